@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pickwise.functions.columns import safe_div, series_udf
 from pickwise.functions.quantiles import kth_smallest
+from pickwise.functions.ranks import global_rank
 
 DISCRETE = (-1.0, 0.0, 1.0)
 
@@ -144,12 +145,25 @@ def winsorize(df: DataFrame, verifiers, lower: float = 0.05, upper: float = 0.95
     return _replace(df, exprs)
 
 
+def values_at_ranks(df: DataFrame, v: str, ranks) -> dict:
+    """Values of column ``v`` at 1-based ranks among its non-null values (exact).
+
+    A distributed range-partitioned sort numbers the rows (:func:`global_rank`);
+    only the wanted ranks (a few thousand at most) reach the driver."""
+    keys = [c for c in ("problem_id", "sample_idx") if c in df.columns]
+    d = df.filter(F.col(v).isNotNull()).select(v, *keys)
+    ranked = global_rank(d, [v, *keys], "__rank")
+    wanted = [r - 1 for r in ranks]
+    rows = ranked.filter(F.col("__rank").isin(wanted)).select("__rank", v).collect()
+    return {int(r["__rank"]) + 1: r[v] for r in rows}
+
+
 def quantile_norm(df: DataFrame, verifiers, n_quantiles: int = 1000) -> DataFrame:
     """Uniform quantile transform per verifier (scope all problems), behind the gate.
 
     Reference quantiles: linear-interpolated percentiles of the non-missing values
     at ``min(n, n_quantiles)`` evenly spaced levels, made non-decreasing; their
-    exact order statistics come from :func:`kth_smallest`.  A score maps to the
+    exact order statistics come from :func:`values_at_ranks`.  A score maps to the
     average of forward and backward piecewise-linear interpolation, clipped to
     0 / 1 within 1e-7 of the end points.  The breakpoints (<= n_quantiles
     numbers) travel in the closure of an Arrow-batched pandas UDF.
@@ -169,11 +183,9 @@ def quantile_norm(df: DataFrame, verifiers, n_quantiles: int = 1000) -> DataFram
         pos = levels * (n - 1)
         lo_r = np.floor(pos).astype(int) + 1
         hi_r = np.minimum(n, lo_r + 1)
-        ranks = sorted(set(lo_r.tolist()) | set(hi_r.tolist()))
-        aliased = df.select(*[F.col(v).alias(f"r{r}") for r in ranks])
-        got = kth_smallest(aliased, {f"r{r}": r for r in ranks})
-        lo_v = np.array([got[f"r{r}"] for r in lo_r])
-        hi_v = np.array([got[f"r{r}"] for r in hi_r])
+        got = values_at_ranks(df, v, sorted(set(lo_r.tolist()) | set(hi_r.tolist())))
+        lo_v = np.array([got[r] for r in lo_r])
+        hi_v = np.array([got[r] for r in hi_r])
         qs = np.maximum.accumulate(lo_v + (hi_v - lo_v) * (pos - np.floor(pos)))
 
         def make(qs=qs, levels=levels):

@@ -185,3 +185,49 @@ def with_fixtures(sql: str, *names: str) -> str:
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+# ---------------------------------------------------------------- F6 list form
+
+F6_SCORES = ["rm_q", "rm_null"]
+F6_VERDICTS = ["j80", "j70"]
+
+
+def f6(spark, sf_dir):
+    """F1 in the reference's list form: one row per problem, lists ordered by sample_idx.
+
+    ``answer`` is the ground truth (NULL for problem_id % 97 = 0, to exercise
+    ``check_input``); ``rm_q_scores`` is one entry short for problem_id % 7 = 0
+    (a score list shorter than its samples, for ``check_lengths``)."""
+    from pyspark.sql import functions as F
+
+    from pickwise.sources.tables import collect_samples
+
+    d = f1(spark, sf_dir).select(
+        "problem_id", "sample_idx", "gt_answer",
+        F.concat(F.lit("The answer is: "), F.coalesce("answer", F.lit(""))).alias("samples"),
+        F.col("answer").alias("extracted_answers"), F.col("y").alias("answer_correct"),
+        *[F.col(v).alias(f"{v}_scores") for v in F6_SCORES],
+        *[F.array(F.col(v)).alias(f"{v}_verdicts") for v in F6_VERDICTS])
+    lists = ["samples", "extracted_answers", "answer_correct", *[f"{v}_scores" for v in F6_SCORES],
+             *[f"{v}_verdicts" for v in F6_VERDICTS]]
+    g = collect_samples(d, lists)
+    gt = d.groupBy("problem_id").agg(F.min("gt_answer").alias("gt"))
+    out = g.join(gt, "problem_id").select(
+        "problem_id", F.concat(F.lit("problem "), F.col("problem_id").cast("string")).alias("instruction"),
+        F.when(F.col("problem_id") % 97 == 0, F.lit(None).cast("string")).otherwise(F.col("gt")).alias("answer"),
+        *[c for c in lists])
+    return out.withColumn("rm_q_scores", F.when(F.col("problem_id") % 7 == 0,
+                                                F.slice("rm_q_scores", 1, F.size("rm_q_scores") - 1))
+                          .otherwise(F.col("rm_q_scores")))
+
+
+F6_SQL_CTE = """f6 AS (SELECT problem_id, 'problem ' || CAST(problem_id AS VARCHAR) AS instruction,
+  CASE WHEN problem_id % 97 = 0 THEN NULL ELSE min(gt_answer) END AS answer,
+  list('The answer is: ' || coalesce(answer, '') ORDER BY sample_idx) AS samples,
+  list(answer ORDER BY sample_idx) AS extracted_answers, list(y ORDER BY sample_idx) AS answer_correct,
+  CASE WHEN problem_id % 7 = 0 THEN list_slice(list(rm_q ORDER BY sample_idx), 1, count(*) - 1)
+       ELSE list(rm_q ORDER BY sample_idx) END AS rm_q_scores,
+  list(rm_null ORDER BY sample_idx) AS rm_null_scores,
+  list([j80] ORDER BY sample_idx) AS j80_verdicts, list([j70] ORDER BY sample_idx) AS j70_verdicts
+FROM f1 GROUP BY problem_id)"""
