@@ -32,7 +32,7 @@ def global_rank(df: DataFrame, order_cols, rank_col: str = "rank") -> DataFrame:
 
     numbered = ordered.mapInPandas(number, schema).persist()
     counts = sorted((r["__pid"], r["n"]) for r in numbered.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets = [0] + list(accumulate(n for _, n in counts))[:-1]
+    offsets = ([0] + list(accumulate(n for _, n in counts)))[:len(counts)]
     spark = df.sparkSession
     off = spark.createDataFrame(pd.DataFrame({"__pid": [p for p, _ in counts], "__off": offsets}),
                                 "__pid int, __off long")
