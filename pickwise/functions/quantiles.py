@@ -1,12 +1,14 @@
 """Exact order statistics of many columns without sorting a whole column in one task.
 
 ``kth_smallest(df, {col: k})`` returns, for every column, its k-th smallest
-non-null value (1-based).  It brackets the answer with ``approx_percentile``
-(mergeable sketch, partial aggregation), checks the bracket with exact counts,
-narrows it until at most ``collect_limit`` values remain inside, and only then
-brings those few values to the driver.  Every pass is a plain aggregate over
-all rows, so no single task ever holds a whole column; the driver sees
-O(columns x collect_limit) numbers.
+non-null value (1-based).  Each round is two plain aggregates over all rows
+(partial aggregation on every task): ``approx_percentile`` (a mergeable sketch)
+proposes probe values inside the current bracket, then exact counts
+#(x < c) and #(x <= c) of every probe decide: a probe with
+#(x < c) < k <= #(x <= c) *is* the answer (this settles heavy ties at once),
+otherwise the bracket shrinks to the probes around rank k.  When at most
+``collect_limit`` values remain inside a bracket, only those values reach the
+driver.  No task ever holds a whole column.
 """
 
 from __future__ import annotations
@@ -27,68 +29,61 @@ def _in_bracket(c, lo, hi):
 
 
 def kth_smallest(df: DataFrame, ks: dict[str, int], collect_limit: int = 200_000,
-                 accuracy: int = 10_000, max_rounds: int = 12) -> dict[str, float | None]:
+                 accuracy: int = 10_000, max_rounds: int = 30) -> dict[str, float | None]:
     """k-th smallest non-null value per column (k is 1-based; None if k is out of range)."""
     cols = list(ks)
     if not cols:
         return {}
     data = df.select(*cols)
-    # (lo, hi, below): the answer lies in (lo, hi]; `below` values are <= lo.
-    state = {c: (None, None, 0) for c in cols}
-    result: dict[str, float | None] = {}
     counts = data.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    result: dict[str, float | None] = {}
     for c in cols:
         if ks[c] is None or ks[c] < 1 or ks[c] > counts[c]:
             result[c] = None
-    todo = [c for c in cols if c not in result]
-    inside = {c: counts[c] for c in todo}
+    # bracket (lo, hi] holding the answer; `below` = #(x <= lo); `inside` = #(lo < x <= hi)
+    state = {c: [None, None, 0, counts[c]] for c in cols if c not in result}
     for _ in range(max_rounds):
+        todo = [c for c in state if c not in result]
         if not todo:
             break
-        small = [c for c in todo if inside[c] <= collect_limit]
-        big = [c for c in todo if inside[c] > collect_limit]
+        small = [c for c in todo if state[c][3] <= collect_limit]
         if small:
-            row = data.agg(*[
-                F.sort_array(F.collect_list(F.when(_in_bracket(c, *state[c][:2]), F.col(c)))).alias(c)
-                for c in small]).first().asDict()
+            row = data.agg(*[F.sort_array(F.collect_list(F.when(_in_bracket(c, state[c][0], state[c][1]), F.col(c))))
+                             .alias(c) for c in small]).first().asDict()
             for c in small:
-                vals = row[c]
-                result[c] = vals[ks[c] - state[c][2] - 1]
+                result[c] = row[c][ks[c] - state[c][2] - 1]
+        big = [c for c in todo if c not in result]
         if not big:
             break
-        # approximate quantiles inside each bracket, widened by the sketch's rank error
         probes = {}
         for c in big:
-            lo, hi, below = state[c]
-            rank = ks[c] - below
-            n = inside[c]
-            margin = 2.0 / accuracy + 1.0 / n
-            q = rank / n
-            probes[c] = (max(0.0, q - margin), min(1.0, q + margin))
-        approx = data.agg(*[
-            F.percentile_approx(F.when(_in_bracket(c, *state[c][:2]), F.col(c)),
-                                list(probes[c]), accuracy).alias(c) for c in big]).first().asDict()
+            lo, hi, below, inside = state[c]
+            q = (ks[c] - below) / inside
+            m = 2.0 / accuracy + 1.0 / inside
+            probes[c] = sorted({min(1.0, max(0.0, p)) for p in (q - m, q, q + m)})
+        approx = data.agg(*[F.percentile_approx(F.when(_in_bracket(c, state[c][0], state[c][1]), F.col(c)),
+                                                probes[c], accuracy).alias(c) for c in big]).first().asDict()
+        cand = {c: sorted({v for v in approx[c] if v is not None}) for c in big}
         checks = []
         for c in big:
-            a, b = approx[c]
-            checks += [F.count_if(F.col(c) <= F.lit(a)).alias(f"{c}__a"),
-                       F.count_if(F.col(c) <= F.lit(b)).alias(f"{c}__b")]
-        cnt = data.agg(*checks).first().asDict()
+            for j, v in enumerate(cand[c]):
+                checks += [F.count_if(F.col(c) < F.lit(v)).alias(f"{c}__lt{j}"),
+                           F.count_if(F.col(c) <= F.lit(v)).alias(f"{c}__le{j}")]
+        cnt = data.agg(*checks).first().asDict() if checks else {}
         for c in big:
-            a, b = approx[c]
-            lo, hi, below = state[c]
-            na, nb = cnt[f"{c}__a"], cnt[f"{c}__b"]
             k = ks[c]
-            if na < k <= nb:
-                state[c] = (a, b, na)
-            elif k <= na:      # answer at or below a: keep lower part
-                state[c] = (lo, a, below)
-            else:              # answer above b
-                state[c] = (b, hi, nb)
-            lo2, hi2, below2 = state[c]
-            upper = nb if hi2 == b else (na if hi2 == a else below + inside[c])
-            inside[c] = max(0, upper - below2)
-        todo = [c for c in todo if c not in result]
+            lo, hi, below, inside = state[c]
+            upper_le = below + inside
+            for j, v in enumerate(cand[c]):
+                lt, le = cnt[f"{c}__lt{j}"], cnt[f"{c}__le{j}"]
+                if lt < k <= le:
+                    result[c] = v
+                    break
+                if le < k and (lo is None or v > lo):
+                    lo, below = v, le          # answer above v
+                if lt >= k and (hi is None or v < hi):
+                    hi, upper_le = v, le       # answer below v (v stays inside, harmless)
+            state[c] = [lo, hi, below, upper_le - below]
     missing = [c for c in cols if c not in result]
     if missing:
         raise RuntimeError(f"kth_smallest did not converge for {missing}")

@@ -37,26 +37,40 @@ def np_log(x) -> F.Column:
             .otherwise(F.lit(float("nan"))))
 
 
-def nb_log_odds(verifiers) -> F.Column:
-    """log P(y=1 | x) - log P(y=0 | x) as one expression over the joined parameter columns."""
-    def term(v, cls):
-        x = F.col(v)
+def nb_log_tables(params: DataFrame, verifiers) -> DataFrame:
+    """Add the log-likelihood of each vote value to the (tiny) parameter table:
+    ``{v}__a1`` = log P(v=1|y=1), ``{v}__b1`` = log P(v=0|y=1), ``{v}__a0`` = log P(v=1|y=0),
+    ``{v}__b0`` = log P(v=0|y=0), and the log priors.  Computed once per parameter row."""
+    one = F.lit(1.0)
+    cols = [np_log(F.col("cb")).alias("__lcb1"), np_log(one - F.col("cb")).alias("__lcb0")]
+    for v in verifiers:
         tpr, tnr = F.col(f"{v}__tpr"), F.col(f"{v}__tnr")
-        if cls == 1:
-            return np_log(x * tpr + (F.lit(1.0) - x) * (F.lit(1.0) - tpr))
-        return np_log(x * (F.lit(1.0) - tnr) + (F.lit(1.0) - x) * tnr)
+        cols += [np_log(tpr).alias(f"{v}__a1"), np_log(one - tpr).alias(f"{v}__b1"),
+                 np_log(one - tnr).alias(f"{v}__a0"), np_log(tnr).alias(f"{v}__b0")]
+    return params.select("*", *cols)
+
+
+def nb_log_odds(verifiers) -> F.Column:
+    """log P(y=1 | x) - log P(y=0 | x) for 0/1 votes: per verifier one of two precomputed logs
+    (other vote values give NaN: naive Bayes needs binary votes)."""
+    nan = F.lit(float("nan"))
+
+    def pick(v, cls):
+        return (F.when(F.col(v) == 1, F.col(f"{v}__a{cls}")).when(F.col(v) == 0, F.col(f"{v}__b{cls}"))
+                .otherwise(nan))
 
-    l1 = reduce(lambda a, b: a + b, [term(v, 1) for v in verifiers]) + np_log(F.col("cb"))
-    l0 = reduce(lambda a, b: a + b, [term(v, 0) for v in verifiers]) + np_log(F.lit(1.0) - F.col("cb"))
+    l1 = reduce(lambda a, b: a + b, [pick(v, 1) for v in verifiers]) + F.col("__lcb1")
+    l0 = reduce(lambda a, b: a + b, [pick(v, 0) for v in verifiers]) + F.col("__lcb0")
     return l1 - l0
 
 
 def nb_score(df: DataFrame, params: DataFrame, verifiers, group_col: str | None = None,
              out: str = "p1") -> DataFrame:
     """p1 = 1 / (1 + exp(l0 - l1)) (the logsumexp form) per sample."""
+    tables = nb_log_tables(params, verifiers)
     if group_col is None:
-        j = df.crossJoin(F.broadcast(params))  # one row
+        j = df.crossJoin(F.broadcast(tables))  # one row
     else:
-        j = df.join(params, group_col)
+        j = df.join(tables, group_col)
     p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-nb_log_odds(verifiers)))
     return j.select(*[F.col(c) for c in df.columns], p1.alias(out))

@@ -71,22 +71,42 @@ def prediction_metrics(df: DataFrame, score: str = "p1", by=("problem_id",)) ->
 
 
 def problem_results(scored: DataFrame, score: str = "p1", set_col: str | None = None) -> DataFrame:
-    """Join the three per-problem metric tables on (set, problem_id)."""
+    """Top-1, sample and prediction metrics of every problem in ONE grouped aggregate
+    (one shuffle on the problem key, partial aggregation map-side, no joins)."""
     by = ("problem_id",) if set_col is None else (set_col, "problem_id")
-    t = select_top1(scored, score, by)
-    s = sample_metrics(scored, score, by)
-    p = prediction_metrics(scored, score, by)
-    return t.join(s, list(by)).join(p, list(by))
+    p1 = F.col(score)
+    p0 = F.lit(1.0) - p1
+    y = F.col("y")
+    pred = p1 > p0
+    cls = F.when(pred, 1).otherwise(0)
+    g = scored.groupBy(*by).agg(
+        F.max_by(F.struct(F.col("sample_idx").alias("idx"), y.alias("lab")), _top_key(score)).alias("t"),
+        F.max("y").alias("has_positive"),
+        F.avg(flag(pred == (y == 1))).alias("sample_accuracy"),
+        F.count_if(pred & (y == 1)).alias("sample_tp"), F.count_if(~pred & (y == 0)).alias("sample_tn"),
+        F.count_if(pred & (y == 0)).alias("sample_fp"), F.count_if(~pred & (y == 1)).alias("sample_fn"),
+        F.count(F.lit(1)).alias("num_samples"), F.avg(y).alias("class_balance"),
+        F.max_by(F.struct(F.col("sample_idx").alias("idx"), cls.alias("cls"), y.alias("lab")),
+                 F.struct(F.greatest(p0, p1), -F.col("sample_idx"))).alias("p"))
+    lab, pos = F.col("t.lab"), F.col("has_positive")
+    c, plab = F.col("p.cls"), F.col("p.lab")
+    return g.select(
+        *by, F.col("t.idx").cast("int").alias("top1_idx"), lab.cast("int").alias("top1_label"),
+        pos.cast("int").alias("has_positive"), flag(lab == 1).alias("top1_positive"),
+        flag((lab == 1) & (pos == 1)).alias("top1_tp"), flag((lab == 1) & (pos == 0)).alias("top1_fp"),
+        flag((lab == 0) & (pos == 0)).alias("top1_tn"), flag((lab == 0) & (pos == 1)).alias("top1_fn"),
+        "sample_accuracy", "sample_tp", "sample_tn", "sample_fp", "sample_fn", "num_samples", "class_balance",
+        F.col("p.idx").cast("int").alias("prediction_idx"), c.cast("int").alias("prediction_class"),
+        flag(c == plab).alias("prediction_accuracy"), flag((c == 1) & (plab == 1)).alias("prediction_tp"),
+        flag((c == 0) & (plab == 0)).alias("prediction_tn"), flag((c == 1) & (plab == 0)).alias("prediction_fp"),
+        flag((c == 0) & (plab == 1)).alias("prediction_fn"))
 
 
 def assemble_results(scored: DataFrame, split: DataFrame, score: str = "p1") -> DataFrame:
     """One row per (set, problem): chosen sample, metrics, difficulty bin and the problem's
     class balance.  ``split``: (problem_id, difficulty, set)."""
-    t = select_top1(scored, score)
-    s = sample_metrics(scored, score)
-    p = prediction_metrics(scored, score)
-    cb = scored.groupBy("problem_id").agg(F.avg("y").alias("class_balance"))
-    return (t.join(s, "problem_id").join(p, "problem_id").join(cb, "problem_id").join(split, "problem_id")
+    res = problem_results(scored, score)
+    return (res.join(split, "problem_id")
             .select("set", "problem_id", "top1_idx", "top1_positive", "sample_accuracy", "prediction_idx",
                     "prediction_accuracy", "difficulty", "class_balance"))
 

@@ -9,6 +9,7 @@ same hash partitioning, so their join needs no further exchange.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,16 @@ def weak_votes(scores: DataFrame, verifiers, threshold: float = 0.5) -> DataFram
 
 
 def naive_bayes_selection(scores: DataFrame, verifiers, threshold: float = 0.5,
-                          set_name: str = "train") -> DataFrame:
-    """Per-problem results of a naive Bayes selection run (train = test = all problems)."""
-    votes = weak_votes(scores.select("problem_id", "sample_idx", "y", *verifiers), verifiers, threshold)
+                          set_name: str = "train", persist: bool = True) -> DataFrame:
+    """Per-problem results of a naive Bayes selection run (train = test = all problems).
+
+    The run makes three dependent passes (normaliser statistics, model fit, scoring), so
+    the narrow score table (ids, y and the V verifier columns) is persisted once
+    (MEMORY_AND_DISK: lost blocks are recomputed from lineage)."""
+    base = scores.select("problem_id", "sample_idx", "y", *verifiers)
+    if persist:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    votes = weak_votes(base, verifiers, threshold)
     params = nb_fit(votes, verifiers)
     scored = nb_score(votes, params, verifiers)
     return problem_results(scored, "p1").withColumn("set", F.lit(set_name))
