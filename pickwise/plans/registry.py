@@ -36,6 +36,7 @@ CATALOG_MODULES = [
     "pickwise.plans.catalog.diagnostics",
     "pickwise.plans.catalog.text",
     "pickwise.plans.catalog.distill",
+    "pickwise.plans.catalog.fitted",
 ]
 
 
