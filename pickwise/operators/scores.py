@@ -432,3 +432,80 @@ def majority_verifier(df: DataFrame, answer_col: str = "answer", out: str = "mv_
     score = (F.when((F.col("__k") == 1) | (F.col("__mn") == F.col("__mx")), F.lit(1.0))
              .otherwise((F.col("__c") - F.col("__mn")).cast("double") / (F.col("__mx") - F.col("__mn"))))
     return j.select(*[F.col(c) for c in df.columns], score.alias(out))
+
+
+# ---------------------------------------------------------------------------
+# 31 / 32 calibration
+
+def _pav_fit(x, y):
+    """Increasing isotonic regression of y on x (ties in x averaged first); returns the unique
+    sorted x and the fitted values."""
+    import numpy as np
+
+    order = np.argsort(x, kind="mergesort")
+    xs, ys = x[order], y[order]
+    ux, inv = np.unique(xs, return_inverse=True)
+    w = np.bincount(inv).astype(float)
+    yv = np.bincount(inv, weights=ys) / w
+    vals, wts, sizes = [], [], []
+    for v, ww in zip(yv, w):
+        vals.append(v)
+        wts.append(ww)
+        sizes.append(1)
+        while len(vals) > 1 and vals[-2] > vals[-1]:
+            tw = wts[-2] + wts[-1]
+            nv = (vals[-2] * wts[-2] + vals[-1] * wts[-1]) / tw
+            ns = sizes[-2] + sizes[-1]
+            vals[-2:], wts[-2:], sizes[-2:] = [nv], [tw], [ns]
+    fitted = np.repeat(vals, sizes)
+    return ux, fitted
+
+
+def calibrate_isotonic(df: DataFrame, verifiers) -> DataFrame:
+    """Per (problem, verifier): isotonic fit of the scores against linspace(0, 1, n) in sample
+    order (the targets rise with sample position, Q28), then each score mapped through the
+    fit (clipped at the ends).  One problem is one pandas group: the group size is the
+    problem's sample count."""
+    import numpy as np
+    import pandas as pd
+
+    cols = df.columns
+
+    def per_problem(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        for v in verifiers:
+            x = pdf[v].to_numpy(dtype=float)
+            ok = ~np.isnan(x)
+            if ok.any():
+                ux, fit = _pav_fit(x[ok], np.linspace(0, 1, int(ok.sum())))
+                out = np.interp(x, ux, fit) if len(ux) > 1 else np.full(len(x), fit[0])
+                out[~ok] = np.nan
+                pdf[v] = out
+        return pdf[cols]
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.groupBy("problem_id").applyInPandas(per_problem, schema)
+
+
+def calibrate_sigmoid(df: DataFrame, verifiers) -> DataFrame:
+    """Per verifier over all rows: logistic regression (L2, C = 1) of (score > median) on the
+    score, then the score replaced by the fitted probability.  The median is exact (two order
+    statistics from :func:`kth_smallest`); the fit is the distributed Newton of
+    :func:`pickwise.models.logistic.logistic_fit` with one feature."""
+    from pickwise.models.logistic import logistic_fit
+
+    counts = df.agg(*[F.count(v).alias(v) for v in verifiers]).first().asDict()
+    exprs = {}
+    for v in verifiers:
+        n = counts[v]
+        if n == 0:
+            continue
+        lo = kth_smallest(df, {v: (n + 1) // 2})[v]
+        hi = kth_smallest(df, {v: n // 2 + 1})[v] if n % 2 == 0 else lo
+        med = (lo + hi) / 2.0
+        d = df.filter(F.col(v).isNotNull()).select(F.col(v).alias("x"), (F.col(v) > F.lit(med)).cast("int").alias("y"))
+        prm = logistic_fit(d, ["x"], class_weight=None).first()
+        if prm is None:  # one target class only: nothing to fit, keep the scores
+            continue
+        exprs[v] = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(prm["b0"]) + F.lit(prm["b1"]) * F.col(v))))
+    return _replace(df, exprs)
