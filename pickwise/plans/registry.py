@@ -37,6 +37,7 @@ CATALOG_MODULES = [
     "pickwise.plans.catalog.text",
     "pickwise.plans.catalog.distill",
     "pickwise.plans.catalog.fitted",
+    "pickwise.plans.catalog.streaming",
 ]
 
 
