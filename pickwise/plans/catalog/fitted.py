@@ -162,3 +162,16 @@ def power_law_fit(spark, sf):
                                                 F.col("k").cast("double").alias("x"), F.col("accuracy").alias("y"))
     fit = SC.power_law_fit(pk.unionByName(sk))
     return fit.select("series", *[r6(c, c) for c in ("a", "b", "c", "r2")])
+
+
+@register("gaussian_em")
+def gaussian_em(spark, sf):
+    """Per difficulty bin (4 bins): incorrect / correct Gaussian score model started from the
+    labels, covariance ridge 0.01; selection summary with p1 = P(correct | scores)."""
+    from pickwise.models.gaussian import gaussian_em as fit_score
+    from pickwise.operators.sampling import difficulty_bins
+
+    d = _lr_data(spark, sf)
+    bins = difficulty_bins(d, 4).select("problem_id", "difficulty")
+    s = fit_score(d.join(bins, "problem_id"), LR, group_col="difficulty")
+    return M.summary(M.problem_results(s).withColumn("set", F.lit("train")))
