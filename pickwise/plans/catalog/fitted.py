@@ -175,3 +175,15 @@ def gaussian_em(spark, sf):
     bins = difficulty_bins(d, 4).select("problem_id", "difficulty")
     s = fit_score(d.join(bins, "problem_id"), LR, group_col="difficulty")
     return M.summary(M.problem_results(s).withColumn("set", F.lit("train")))
+
+
+@register("mixture_logistic")
+def mixture_logistic(spark, sf):
+    """Three logistic experts with a softmax gate on per-problem score statistics (EM);
+    selection summary with the gate-weighted p1."""
+    from pickwise.models.mixture import mixture_fit, mixture_score
+
+    d = _lr_data(spark, sf)
+    model = mixture_fit(d, LR, k=3, max_iter=10)
+    s = mixture_score(d, model)
+    return M.summary(M.problem_results(s).withColumn("set", F.lit("train")))
