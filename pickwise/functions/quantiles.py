@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,15 @@ def kth_smallest(df: DataFrame, ks: dict[str, int], collect_limit: int = 200_000
     cols = list(ks)
     if not cols:
         return {}
-    data = df.select(*cols)
+    # several passes below: keep only the needed columns, once (recomputed if an executor is lost)
+    data = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _kth(data, cols, ks, collect_limit, accuracy, max_rounds)
+    finally:
+        data.unpersist()
+
+
+def _kth(data, cols, ks, collect_limit, accuracy, max_rounds):
     counts = data.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     result: dict[str, float | None] = {}
     for c in cols:

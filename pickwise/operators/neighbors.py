@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.topk import group_topk
+from pickwise.session import ensure_checkpoint_dir
 
 
 def _norm(v):
@@ -72,12 +73,30 @@ def exact_knn(test: DataFrame, train: DataFrame, k: int = 1, vec: str = "vec", i
     ``group_col``: neighbours only within the same group value (an equi-join key).
     """
     keys = [group_col] if group_col else []
+    # identical test vectors have identical neighbours: solve each distinct vector once.  The ids
+    # of the distinct vectors are fixed by a checkpoint (stable if an executor is lost) and test
+    # rows find theirs by exact equality of (group, vector).
+    ensure_checkpoint_dir(test.sparkSession)
+    distinct = (test.select(*keys, F.col(vec).alias("__vec")).distinct()
+                .withColumn("__tid", F.monotonically_increasing_id()).checkpoint())
+    pairs = exact_knn_distinct(distinct.withColumnRenamed("__vec", vec), train, k, vec, id_col, group_col,
+                               metric, dims, cell_target)
+    ids = test.select(F.col(id_col).alias("test_id"), *keys, F.col(vec).alias("__vec")).join(distinct, [*keys, "__vec"])
+    return ids.join(pairs, ["__tid", *keys]).select("test_id", *keys, "train_id", "distance", "rank")
+
+
+def exact_knn_distinct(test: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
+                       group_col: str | None, metric: str, dims: int, cell_target: int) -> DataFrame:
+    """:func:`exact_knn` over test rows identified by ``__tid`` (distinct vectors)."""
+    keys = [group_col] if group_col else []
     g = normalise(F.col(vec)) if metric == "cosine" else F.col(vec)
-    te = test.select(F.col(id_col).alias("test_id"), *keys, F.col(vec).alias("__v"), g.alias("__g"))
+    te = test.select(F.col("__tid").alias("test_id"), *keys, F.col(vec).alias("__v"), g.alias("__g"))
     tr = train.select(F.col(id_col).alias("train_id"), *keys, F.col(vec).alias("__tv"), g.alias("__g"))
-    # identical train vectors: only the k lowest ids can ever be chosen
-    tr = group_topk(tr, keys + ["__g"], [F.col("train_id")], k, salt_col="train_id", rank_col="__dup")
-    dim = len(train.select(vec).first()[0])
+    # identical train vectors: only the k lowest ids can ever be chosen.  The prepared sides are
+    # read by every round below, so they are checkpointed once (reliable, lineage cut).
+    tr = group_topk(tr, keys + ["__g"], [F.col("train_id")], k, salt_col="train_id", rank_col="__dup").checkpoint()
+    te = te.checkpoint()
+    dim = len(tr.select("__tv").first()[0])
     params, m = _grid_params(tr, dim, dims, cell_target)
     width_min = min(w for _, _, w in params)
 
@@ -140,7 +159,8 @@ def exact_knn(test: DataFrame, train: DataFrame, k: int = 1, vec: str = "vec", i
         todo = todo.join(ok, "test_id", "left_anti").drop("__found", "__rk").join(stat2, "test_id", "left")
         radius *= 2
     out = reduce(DataFrame.unionByName, result)
-    return out.select("test_id", *keys, "train_id", "distance", F.col("rank").cast("int").alias("rank"))
+    return out.select(F.col("test_id").alias("__tid"), *keys, "train_id", "distance",
+                      F.col("rank").cast("int").alias("rank"))
 
 
 def mean_vectors(df: DataFrame, verifiers, key: str = "problem_id") -> DataFrame:

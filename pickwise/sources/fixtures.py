@@ -16,6 +16,7 @@ F5  experiment runs (events)
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Verifier columns of F1, by kind.
@@ -113,13 +114,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Fixtures read several times by one query (statistics pass, fit, score, driver round trips)
+# are persisted: the narrow score table is built once per query instead of once per pass.
+PERSISTED = {"f1"}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build fixture ``name`` as a lazy Spark DataFrame over the tables in ``sf_dir``."""
     text, deps = FIXTURES[name]
     args = {}
     for dep in deps:
         args[dep] = fixture(spark, sf_dir, dep) if dep in FIXTURES else read_table(spark, sf_dir, dep)
-    return spark.sql(text, **args)
+    df = spark.sql(text, **args)
+    if name in PERSISTED:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
 
 
 def f1(spark, sf_dir):
