@@ -1,18 +1,22 @@
 """Selection and evaluation metrics (per problem, then averaged).
 
-Per-problem choices use aggregate functions (``max_by`` with a struct key
-``(score, -sample_idx)``: highest score, lowest sample_idx on ties) instead of a
-ranking window, so a problem with millions of samples is reduced map-side.
+Per-problem choices are aggregates, not ranking windows: the highest score per
+problem is a hash aggregate, the chosen row is the lowest sample_idx reaching it
+(``min_by`` on primitive keys after a shuffled-hash join of the maxima), so a
+problem with millions of samples is reduced map-side and nothing is sorted.
+Secondary reports that pick one row per (verifier, problem) use ``max_by`` with a
+struct key ``(score, -sample_idx)``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.columns import flag, safe_div, sum_cols
+from pickwise.functions.topk import group_topk
 
 NO_ANSWER = "NO_ANSWER"
 
@@ -23,20 +27,63 @@ def _top_key(score):
 
 # ---------------------------------------------------------------- 91-95
 
+def _metric_table(scored: DataFrame, score: str, by, top1: bool = True, sample: bool = True,
+                  prediction: bool = True) -> DataFrame:
+    """Per problem, with hash aggregates only (no sort, codegen-friendly):
+
+    1. per-problem maxima of p1 and of max(p0, p1) (one hash aggregate);
+    2. shuffled-hash join of those maxima back to the rows (the aggregate side is the small
+       build side; AQE splits a skewed row side);
+    3. one hash aggregate: the lowest sample_idx among the rows reaching each maximum and its
+       label / class via ``min_by`` on primitive keys, plus the sample counts.
+    """
+    by = list(by)
+    p1 = F.col(score)
+    p0 = F.lit(1.0) - p1
+    s = scored.select(*by, "sample_idx", "y", p1.alias("__p1"), F.greatest(p0, p1).alias("__best"),
+                      F.when(p1 > p0, 1).otherwise(0).alias("__cls"))
+    m = s.groupBy(*by).agg(F.max("__p1").alias("__m1"), F.max("__best").alias("__m2"))
+    j = s.join(m.hint("shuffle_hash"), by)
+    idx = F.col("sample_idx")
+    t_idx = F.when(F.col("__p1") == F.col("__m1"), idx)
+    p_idx = F.when(F.col("__best") == F.col("__m2"), idx)
+    pred, y = F.col("__cls") == 1, F.col("y")
+    aggs = [F.max("y").alias("has_positive")]
+    if top1:
+        aggs += [F.min(t_idx).alias("top1_idx"), F.min_by("y", t_idx).alias("top1_label")]
+    if sample:
+        aggs += [F.avg(flag(pred == (y == 1))).alias("sample_accuracy"),
+                 F.count_if(pred & (y == 1)).alias("sample_tp"), F.count_if(~pred & (y == 0)).alias("sample_tn"),
+                 F.count_if(pred & (y == 0)).alias("sample_fp"), F.count_if(~pred & (y == 1)).alias("sample_fn"),
+                 F.count(F.lit(1)).alias("num_samples"), F.avg("y").alias("class_balance")]
+    if prediction:
+        aggs += [F.min(p_idx).alias("prediction_idx"), F.min_by("__cls", p_idx).alias("prediction_class"),
+                 F.min_by("y", p_idx).alias("__plab")]
+    return j.groupBy(*by).agg(*aggs)
+
+
+def _top1_cols(lab=F.col("top1_label"), pos=F.col("has_positive")):
+    return [F.col("top1_idx").cast("int").alias("top1_idx"), lab.cast("int").alias("top1_label"),
+            pos.cast("int").alias("has_positive"), flag(lab == 1).alias("top1_positive"),
+            flag((lab == 1) & (pos == 1)).alias("top1_tp"), flag((lab == 1) & (pos == 0)).alias("top1_fp"),
+            flag((lab == 0) & (pos == 0)).alias("top1_tn"), flag((lab == 0) & (pos == 1)).alias("top1_fn")]
+
+
+def _pred_cols(c=F.col("prediction_class"), lab=F.col("__plab")):
+    return [F.col("prediction_idx").cast("int").alias("prediction_idx"), c.cast("int").alias("prediction_class"),
+            flag(c == lab).alias("prediction_accuracy"), flag((c == 1) & (lab == 1)).alias("prediction_tp"),
+            flag((c == 0) & (lab == 0)).alias("prediction_tn"), flag((c == 1) & (lab == 0)).alias("prediction_fp"),
+            flag((c == 0) & (lab == 1)).alias("prediction_fn")]
+
+
+SAMPLE_COLS = ["sample_accuracy", "sample_tp", "sample_tn", "sample_fp", "sample_fn", "num_samples"]
+
+
 def select_top1(df: DataFrame, score: str = "p1", by=("problem_id",)) -> DataFrame:
-    """Sample with max ``score`` per problem: its label, has_positive, tp/fp/tn/fn (fp is always 0, Q1)."""
-    g = df.groupBy(*by).agg(
-        F.max_by(F.struct(F.col("sample_idx").alias("idx"), F.col("y").alias("lab")), _top_key(score)).alias("t"),
-        F.max("y").alias("has_positive"))
-    lab, pos = F.col("t.lab"), F.col("has_positive")
-    return g.select(
-        *by, F.col("t.idx").cast("int").alias("top1_idx"), lab.cast("int").alias("top1_label"),
-        pos.cast("int").alias("has_positive"),
-        flag(lab == 1).alias("top1_positive"),
-        flag((lab == 1) & (pos == 1)).alias("top1_tp"),
-        flag((lab == 1) & (pos == 0)).alias("top1_fp"),
-        flag((lab == 0) & (pos == 0)).alias("top1_tn"),
-        flag((lab == 0) & (pos == 1)).alias("top1_fn"))
+    """Sample with max ``score`` per problem (lowest sample_idx on ties): its label,
+    has_positive, tp/fp/tn/fn (fp is always 0, Q1)."""
+    t = _metric_table(df, score, by, top1=True, sample=False, prediction=False)
+    return t.select(*by, *_top1_cols())
 
 
 def sample_metrics(df: DataFrame, score: str = "p1", by=("problem_id",)) -> DataFrame:
@@ -53,53 +100,17 @@ def sample_metrics(df: DataFrame, score: str = "p1", by=("problem_id",)) -> Data
 
 
 def prediction_metrics(df: DataFrame, score: str = "p1", by=("problem_id",)) -> DataFrame:
-    """Most confident (sample, class) cell: row-major argmax over [p0, p1]."""
-    p1 = F.col(score)
-    p0 = F.lit(1.0) - p1
-    cls = F.when(p1 > p0, 1).otherwise(0)
-    g = df.groupBy(*by).agg(F.max_by(
-        F.struct(F.col("sample_idx").alias("idx"), cls.alias("cls"), F.col("y").alias("lab")),
-        F.struct(F.greatest(p0, p1), -F.col("sample_idx"))).alias("t"))
-    c, lab = F.col("t.cls"), F.col("t.lab")
-    return g.select(*by, F.col("t.idx").cast("int").alias("prediction_idx"),
-                    c.cast("int").alias("prediction_class"),
-                    flag(c == lab).alias("prediction_accuracy"),
-                    flag((c == 1) & (lab == 1)).alias("prediction_tp"),
-                    flag((c == 0) & (lab == 0)).alias("prediction_tn"),
-                    flag((c == 1) & (lab == 0)).alias("prediction_fp"),
-                    flag((c == 0) & (lab == 1)).alias("prediction_fn"))
+    """Most confident (sample, class) cell: row-major argmax over [p0, p1] (lowest sample, then
+    class 0, on ties)."""
+    t = _metric_table(df, score, by, top1=False, sample=False, prediction=True)
+    return t.select(*by, *_pred_cols())
 
 
 def problem_results(scored: DataFrame, score: str = "p1", set_col: str | None = None) -> DataFrame:
-    """Top-1, sample and prediction metrics of every problem in ONE grouped aggregate
-    (one shuffle on the problem key, partial aggregation map-side, no joins)."""
+    """Top-1, sample and prediction metrics of every problem from one metric table."""
     by = ("problem_id",) if set_col is None else (set_col, "problem_id")
-    p1 = F.col(score)
-    p0 = F.lit(1.0) - p1
-    y = F.col("y")
-    pred = p1 > p0
-    cls = F.when(pred, 1).otherwise(0)
-    g = scored.groupBy(*by).agg(
-        F.max_by(F.struct(F.col("sample_idx").alias("idx"), y.alias("lab")), _top_key(score)).alias("t"),
-        F.max("y").alias("has_positive"),
-        F.avg(flag(pred == (y == 1))).alias("sample_accuracy"),
-        F.count_if(pred & (y == 1)).alias("sample_tp"), F.count_if(~pred & (y == 0)).alias("sample_tn"),
-        F.count_if(pred & (y == 0)).alias("sample_fp"), F.count_if(~pred & (y == 1)).alias("sample_fn"),
-        F.count(F.lit(1)).alias("num_samples"), F.avg(y).alias("class_balance"),
-        F.max_by(F.struct(F.col("sample_idx").alias("idx"), cls.alias("cls"), y.alias("lab")),
-                 F.struct(F.greatest(p0, p1), -F.col("sample_idx"))).alias("p"))
-    lab, pos = F.col("t.lab"), F.col("has_positive")
-    c, plab = F.col("p.cls"), F.col("p.lab")
-    return g.select(
-        *by, F.col("t.idx").cast("int").alias("top1_idx"), lab.cast("int").alias("top1_label"),
-        pos.cast("int").alias("has_positive"), flag(lab == 1).alias("top1_positive"),
-        flag((lab == 1) & (pos == 1)).alias("top1_tp"), flag((lab == 1) & (pos == 0)).alias("top1_fp"),
-        flag((lab == 0) & (pos == 0)).alias("top1_tn"), flag((lab == 0) & (pos == 1)).alias("top1_fn"),
-        "sample_accuracy", "sample_tp", "sample_tn", "sample_fp", "sample_fn", "num_samples", "class_balance",
-        F.col("p.idx").cast("int").alias("prediction_idx"), c.cast("int").alias("prediction_class"),
-        flag(c == plab).alias("prediction_accuracy"), flag((c == 1) & (plab == 1)).alias("prediction_tp"),
-        flag((c == 0) & (plab == 0)).alias("prediction_tn"), flag((c == 1) & (plab == 0)).alias("prediction_fp"),
-        flag((c == 0) & (plab == 1)).alias("prediction_fn"))
+    t = _metric_table(scored, score, by)
+    return t.select(*by, *_top1_cols(), *SAMPLE_COLS, "class_balance", *_pred_cols())
 
 
 def assemble_results(scored: DataFrame, split: DataFrame, score: str = "p1") -> DataFrame:
@@ -192,8 +203,8 @@ def majority_vote(df: DataFrame, k: int = 1, mode: str = "majority", answer: str
             F.struct(F.col("cnt"), -F.col("first_idx"))).alias("t"))
         return g.select("problem_id", flag(F.col("t.hit")).alias("majority_correct"),
                         F.col("t.first_idx").cast("int").alias("majority_idx"))
-    w = Window.partitionBy("problem_id").orderBy(F.col("cnt").desc(), F.col("first_idx"))
-    top = at.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    # salted two-stage top-k: a problem with very many distinct answers is ranked by many tasks
+    top = group_topk(at, ["problem_id"], [F.col("cnt").desc(), F.col("first_idx")], k, salt_col="first_idx")
     g = top.groupBy("problem_id").agg(
         F.min_by("first_idx", F.when(hit, F.col("rk")).otherwise(F.col("rk") + k)).alias("idx"),
         F.max(flag(hit)).alias("majority_correct"))

@@ -366,30 +366,39 @@ def binarize_per_cluster(df: DataFrame, verifiers, clusters: DataFrame) -> DataF
     """Class-balance thresholds within each cluster (``clusters``: problem_id, cluster_id).
 
     Exactly-{0,1} verifiers keep 0.5 (Q10).  Rank ceil((1-cb_c)*n_c) clipped to [1, n_c].
-    """
+    Clusters are few and large, so every (cluster, verifier) pair is one column of
+    :func:`kth_smallest` (exact, aggregate passes only) instead of a window per cluster."""
+    import math
+
     glob = _binary_flags(df, verifiers).first().asDict()
     cont = [v for v in verifiers if not glob[f"{v}__bin"]]
     d = df.join(clusters, "problem_id")
-    long = (d.select("cluster_id", F.explode(F.array(*[
-        F.struct(F.lit(v).alias("verifier"), F.col(v).alias("score")) for v in cont])).alias("s"))
-        .select("cluster_id", "s.verifier", "s.score"))
-    cbc = d.groupBy("cluster_id").agg(F.avg("y").alias("cb"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("cluster_id", "verifier").orderBy("score")
-    ranked = (long.filter(F.col("score") != -1)
-              .withColumn("rk", F.row_number().over(w))
-              .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster_id", "verifier")))
-              .join(F.broadcast(cbc), "cluster_id"))
-    k = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.lit(1.0) - F.col("cb")) * F.col("n"))))
-    thr = (ranked.filter(F.col("rk") == k).groupBy("cluster_id").pivot("verifier", cont)
-           .agg(F.first("score")))
-    thr = thr.select("cluster_id", *[F.col(v).alias(f"__t_{v}") for v in cont])
-    j = d.join(F.broadcast(thr), "cluster_id", "left")
+    stats = d.groupBy("cluster_id").agg(F.avg("y").alias("cb"),
+                                        *[F.count_if(F.col(v) != -1).alias(f"n_{v}") for v in cont]).collect()
+    ks, cols = {}, {}
+    for r in stats:
+        c = r["cluster_id"]
+        for i, v in enumerate(cont):
+            n = r[f"n_{v}"]
+            if n:
+                name = f"c{len(cols)}"
+                cols[name] = (c, v)
+                ks[name] = min(n, max(1, math.ceil((1.0 - r["cb"]) * n)))
+    wide = d.select(*[F.when((F.col("cluster_id") == F.lit(c)) & (F.col(v) != -1), F.col(v)).alias(name)
+                      for name, (c, v) in cols.items()])
+    thr = kth_smallest(wide, ks) if cols else {}
     exprs = {}
     for v in verifiers:
-        t = F.coalesce(F.col(f"__t_{v}"), F.lit(0.5)) if v in cont else F.lit(0.5)
+        t = F.lit(0.5)
+        if v in cont:
+            case = None
+            for name, (c, vv) in cols.items():
+                if vv == v:
+                    cond = F.col("cluster_id") == F.lit(c)
+                    case = F.when(cond, F.lit(thr[name])) if case is None else case.when(cond, F.lit(thr[name]))
+            t = case.otherwise(F.lit(0.5)) if case is not None else t
         exprs[v] = F.when(F.col(v) == -1, -1.0).when(F.col(v) >= t, 1.0).otherwise(0.0)
-    return _replace(j, exprs, drop={f"__t_{v}" for v in cont})
+    return _replace(d, exprs)
 
 
 # ---------------------------------------------------------------------------

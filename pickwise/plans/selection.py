@@ -2,9 +2,9 @@
 
 Physical shape: the score table is read once per pass; the normaliser and
 the model each need one aggregate pass whose output is a single row
-(broadcast).  Per-problem metrics are grouped aggregates on ``problem_id``
-(partial aggregation, no ranking window); the three metric tables share the
-same hash partitioning, so their join needs no further exchange.
+(broadcast).  Per-problem metrics are hash aggregates on ``problem_id``
+(partial aggregation, no ranking window, no sort), all three metric groups in
+one table.
 """
 
 from __future__ import annotations
