@@ -97,3 +97,33 @@ def test_answer_count_clusters_cover_all(spark, mode):
     assert out.count() == d.select("problem_id").distinct().count()
     assert set(r[0] for r in out.select("cluster_id").distinct().collect()) <= {0, 1, 2}
     _ = F
+
+
+def test_gaussian_mixture_separates_blobs(spark):
+    from pickwise.models.gaussian import gmm_fit, gmm_predict
+
+    rng = np.random.default_rng(1)
+    pts = np.vstack([rng.normal(0, 0.3, (80, 3)), rng.normal(4, 0.3, (80, 3))])
+    truth = [0] * 80 + [1] * 80
+    flip = rng.random(len(pts)) < 0.3
+    init = [int(t ^ f) for t, f in zip(truth, flip)]  # 30% wrong start: EM must recover the blobs
+    df = spark.createDataFrame([(i, list(map(float, p)), init[i]) for i, p in enumerate(pts)],
+                               "problem_id long, vec array<double>, __init int")
+    params = gmm_fit(df, "vec", 2)
+    lab = {r["problem_id"]: r["cluster_id"] for r in gmm_predict(df.drop("__init"), params, "vec").collect()}
+    a = {lab[i] for i in range(80)}
+    b = {lab[i] for i in range(80, 160)}
+    assert len(a) == 1 and len(b) == 1 and a != b
+
+
+def test_mixture_of_experts_runs_and_scores(spark):
+    from pickwise.models.mixture import mixture_fit, mixture_score
+    from pickwise.operators import metrics as M
+    from pickwise.sources.fixtures import f1
+
+    d = f1(spark, "/root/testdata/sf0.001").select("problem_id", "sample_idx", "y", "j80", "j70", "rm_disc")
+    model = mixture_fit(d, ["j80", "j70", "rm_disc"], k=2, max_iter=3)
+    s = mixture_score(d, model)
+    acc = M.select_top1(s).agg(F.avg("top1_label")).first()[0]
+    base = d.filter(F.col("sample_idx") == 0).agg(F.avg("y")).first()[0]
+    assert acc > base  # the learned scorer beats taking the first sample
