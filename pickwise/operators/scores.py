@@ -473,27 +473,53 @@ def _pav_fit(x, y):
 def calibrate_isotonic(df: DataFrame, verifiers) -> DataFrame:
     """Per (problem, verifier): isotonic fit of the scores against linspace(0, 1, n) in sample
     order (the targets rise with sample position, Q28), then each score mapped through the
-    fit (clipped at the ends).  One problem is one pandas group: the group size is the
-    problem's sample count."""
+    fit (clipped at the ends).
+
+    Rows are hash-partitioned by problem and sorted by (problem, sample) inside each
+    partition; one ``mapInPandas`` pass cuts every Arrow batch at problem boundaries (an
+    unfinished last problem is carried into the next batch), so thousands of problems share
+    one batch instead of paying a pandas frame each."""
     import numpy as np
     import pandas as pd
 
     cols = df.columns
 
-    def per_problem(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
+    def fit_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pid = pdf["problem_id"].to_numpy()
+        cuts = np.flatnonzero(pid[1:] != pid[:-1]) + 1
+        starts = np.concatenate([[0], cuts])
+        ends = np.concatenate([cuts, [len(pid)]])
         for v in verifiers:
-            x = pdf[v].to_numpy(dtype=float)
-            ok = ~np.isnan(x)
-            if ok.any():
-                ux, fit = _pav_fit(x[ok], np.linspace(0, 1, int(ok.sum())))
-                out = np.interp(x, ux, fit) if len(ux) > 1 else np.full(len(x), fit[0])
-                out[~ok] = np.nan
-                pdf[v] = out
+            x_all = pdf[v].to_numpy(dtype=float).copy()
+            for a, b in zip(starts, ends):
+                x = x_all[a:b]
+                ok = ~np.isnan(x)
+                if ok.any():
+                    ux, fit = _pav_fit(x[ok], np.linspace(0, 1, int(ok.sum())))
+                    out = np.interp(x, ux, fit) if len(ux) > 1 else np.full(len(x), fit[0])
+                    out[~ok] = np.nan
+                    x_all[a:b] = out
+            pdf[v] = x_all
         return pdf[cols]
 
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if len(pdf) == 0:
+                continue
+            last = pdf["problem_id"].iloc[-1]
+            tail = (pdf["problem_id"] == last).to_numpy()
+            carry = pdf[tail]
+            if (~tail).any():
+                yield fit_block(pdf[~tail].reset_index(drop=True))
+        if carry is not None and len(carry):
+            yield fit_block(carry.reset_index(drop=True))
+
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.groupBy("problem_id").applyInPandas(per_problem, schema)
+    ordered = df.repartition("problem_id").sortWithinPartitions("problem_id", "sample_idx")
+    return ordered.mapInPandas(run, schema)
 
 
 def calibrate_sigmoid(df: DataFrame, verifiers) -> DataFrame:
