@@ -62,14 +62,16 @@ def _metric_table(scored: DataFrame, score: str, by, top1: bool = True, sample:
     return j.groupBy(*by).agg(*aggs)
 
 
-def _top1_cols(lab=F.col("top1_label"), pos=F.col("has_positive")):
+def _top1_cols():
+    lab, pos = F.col("top1_label"), F.col("has_positive")
     return [F.col("top1_idx").cast("int").alias("top1_idx"), lab.cast("int").alias("top1_label"),
             pos.cast("int").alias("has_positive"), flag(lab == 1).alias("top1_positive"),
             flag((lab == 1) & (pos == 1)).alias("top1_tp"), flag((lab == 1) & (pos == 0)).alias("top1_fp"),
             flag((lab == 0) & (pos == 0)).alias("top1_tn"), flag((lab == 0) & (pos == 1)).alias("top1_fn")]
 
 
-def _pred_cols(c=F.col("prediction_class"), lab=F.col("__plab")):
+def _pred_cols():
+    c, lab = F.col("prediction_class"), F.col("__plab")
     return [F.col("prediction_idx").cast("int").alias("prediction_idx"), c.cast("int").alias("prediction_class"),
             flag(c == lab).alias("prediction_accuracy"), flag((c == 1) & (lab == 1)).alias("prediction_tp"),
             flag((c == 0) & (lab == 0)).alias("prediction_tn"), flag((c == 1) & (lab == 0)).alias("prediction_fp"),

@@ -42,3 +42,14 @@ def test_entry_contract(spark):
     rows = out.collect()
     assert len(rows) == 1 and rows[0]["n_problems"] > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_import_without_a_session():
+    """The driver may import the entry module before any Spark session exists."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; assert len(E.queries()) >= len(E.oracle_sql()) > 0"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=300)
