@@ -186,7 +186,9 @@ def test_partition_invariance(spark):
     outs = []
     for n in (1, 4, 16):
         r = naive_bayes_selection(base.repartition(n), vs, persist=False)
-        outs.append(sorted(tuple(x) for x in M.summary(r).collect()))
+        rows = M.summary(r).collect()
+        # float sums depend on the summation order: compare at 9 digits (counts exactly)
+        outs.append(sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in rows))
     assert outs[0] == outs[1] == outs[2]
 
 
