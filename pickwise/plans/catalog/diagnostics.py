@@ -60,7 +60,26 @@ def precision_matrix(spark, sf):
     return D.precision_matrix(_norm(spark, sf), DV)
 
 
-@register("partial_correlation")
+def _pcorr_sql(vs):
+    a, b, c = vs
+    names = [a, b, c]
+    adj = {(0, 0): "c11 * c22 - c12 * c12", (1, 1): "c00 * c22 - c02 * c02", (2, 2): "c00 * c11 - c01 * c01",
+           (0, 1): "c02 * c12 - c01 * c22", (0, 2): "c01 * c12 - c02 * c11", (1, 2): "c01 * c02 - c00 * c12"}
+    rows = []
+    for i in range(3):
+        for j in range(3):
+            if i == j:
+                expr = "1.0"
+            else:
+                key = (min(i, j), max(i, j))
+                expr = f"-({adj[key]}) / sqrt(({adj[(i, i)]}) * ({adj[(j, j)]}))"
+            rows.append(f"SELECT '{names[i]}' AS vi, '{names[j]}' AS vj, round({expr}, 6) AS partial_corr FROM o")
+    return (f"WITH o AS (SELECT covar_samp({a}, {a}) AS c00, covar_samp({a}, {b}) AS c01, covar_samp({a}, {c}) AS c02, "
+            f"covar_samp({b}, {b}) AS c11, covar_samp({b}, {c}) AS c12, covar_samp({c}, {c}) AS c22 FROM f1) "
+            + " UNION ALL ".join(rows))
+
+
+@register("partial_correlation", sql=_pcorr_sql(F1_CLEAN_JUDGES))
 def partial_correlation(spark, sf):
     p = D.precision_matrix(f1(spark, sf), F1_CLEAN_JUDGES)
     return p.select("vi", "vj", r6("partial_corr", "partial_corr"))

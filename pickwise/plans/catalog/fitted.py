@@ -67,12 +67,48 @@ def label_model_select(spark, sf):
     return M.summary(M.problem_results(s).withColumn("set", F.lit("train")))
 
 
-@register("class_balance_tensor")
+def _tensor_sql(vs):
+    import itertools
+    pm = {v: f"CASE WHEN {v} = 1 THEN 1.0 WHEN {v} = 0 THEN -1.0 END" for v in vs}
+    parts = []
+    for i, j, k in itertools.combinations(range(len(vs)), 3):
+        a, b, c = pm[vs[i]], pm[vs[j]], pm[vs[k]]
+        both = f"({a}) IS NOT NULL AND ({b}) IS NOT NULL AND ({c}) IS NOT NULL"
+        parts.append(f"""SELECT avg(CASE WHEN {both} THEN ({a}) * ({b}) END) AS ab, avg(CASE WHEN {both} THEN ({a}) * ({c}) END) AS ac,
+  avg(CASE WHEN {both} THEN ({b}) * ({c}) END) AS bc, avg(CASE WHEN {both} THEN ({a}) * ({b}) * ({c}) END) AS abc FROM f1""")
+    body = " UNION ALL ".join(parts)
+    return f"""WITH m AS ({body}),
+e AS (SELECT abc / (sqrt(abs(ab * ac / bc)) * sqrt(abs(ab * bc / ac)) * sqrt(abs(ac * bc / ab))) AS ey FROM m
+      WHERE least(abs(ab), abs(ac), abs(bc)) >= 1e-12)
+SELECT round(avg(least(1.0, greatest(0.0, (1.0 + ey) / 2.0))), 6) AS class_balance FROM e"""
+
+
+@register("class_balance_tensor", sql=_tensor_sql(LM))
 def class_balance_tensor_q(spark, sf):
     votes = f1(spark, sf).select("problem_id", "sample_idx", *LM)
     return class_balance_tensor(votes, LM).select(r6("class_balance", "class_balance"))
 
 
+def _triplet_select_sql(vs):
+    a, b, c = vs
+    cov = lambda x, y: f"covar_samp({x}, {y})"
+    m3 = f"({a} + {b} + {c}) / 3.0"
+    var = f"avg((({a} - {m3}) * ({a} - {m3}) + ({b} - {m3}) * ({b} - {m3}) + ({c} - {m3}) * ({c} - {m3})) / 3.0)"
+    return f"""WITH o AS (SELECT {cov(a, a)} AS c00, {cov(a, b)} AS c01, {cov(a, c)} AS c02, {cov(b, b)} AS c11,
+                          {cov(b, c)} AS c12, {cov(c, c)} AS c22, {var} AS vy FROM f1),
+t AS (SELECT *, sqrt(c01 * c02 * vy / c12) AS s0, sqrt(c01 * c12 * vy / c02) AS s1, sqrt(c02 * c12 * vy / c01) AS s2,
+             c00 * (c11 * c22 - c12 * c12) - c01 * (c01 * c22 - c12 * c02) + c02 * (c01 * c12 - c11 * c02) AS det FROM o),
+w AS (SELECT ((c11 * c22 - c12 * c12) * s0 + (c02 * c12 - c01 * c22) * s1 + (c01 * c12 - c02 * c11) * s2) / det AS w0,
+             ((c02 * c12 - c01 * c22) * s0 + (c00 * c22 - c02 * c02) * s1 + (c01 * c02 - c00 * c12) * s2) / det AS w1,
+             ((c01 * c12 - c02 * c11) * s0 + (c01 * c02 - c00 * c12) * s1 + (c00 * c11 - c01 * c01) * s2) / det AS w2 FROM t),
+s AS (SELECT problem_id, sample_idx, y, {a} * w0 + {b} * w1 + {c} * w2 AS p1 FROM f1, w)
+SELECT problem_id, CAST(sample_idx AS INT) AS top1_idx, CAST(y AS INT) AS top1_label, CAST(hp AS INT) AS has_positive,
+  CAST(y = 1 AS INT) AS top1_positive, CAST(y = 1 AND hp = 1 AS INT) AS top1_tp, CAST(y = 1 AND hp = 0 AS INT) AS top1_fp,
+  CAST(y = 0 AND hp = 0 AS INT) AS top1_tn, CAST(y = 0 AND hp = 1 AS INT) AS top1_fn
+FROM (SELECT *, max(y) OVER (PARTITION BY problem_id) AS hp,
+             row_number() OVER (PARTITION BY problem_id ORDER BY p1 DESC, sample_idx) AS rk FROM s) WHERE rk = 1"""
+
+
 @register("oracle_logistic")
 def oracle_logistic(spark, sf):
     d = _lr_data(spark, sf, f1d(spark, sf))

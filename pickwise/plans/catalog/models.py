@@ -155,9 +155,13 @@ def triplet_model(spark, sf):
     return p.select("verifier", r6("cov_y", "cov_y"), r6("var_y", "var_y"))
 
 
-@register("triplet_model_select")
+from pickwise.plans.catalog.fitted import _triplet_select_sql  # noqa: E402
+
+
+@register("triplet_model_select", sql=_triplet_select_sql(F1_CLEAN_JUDGES))
 def triplet_model_select(spark, sf):
-    """Top-1 selection with the centred triplet model (Q35) - rows-only check."""
+    """Top-1 selection with the centred triplet model (Q35): covariance moments, triplet
+    closed form for cov(v, y), weights O^-1 cov, p1 = w . x."""
     d = f1(spark, sf)
     p = MO.triplet_fit(d, F1_CLEAN_JUDGES, center=True)
     s = MO.triplet_score(d, p, F1_CLEAN_JUDGES)
