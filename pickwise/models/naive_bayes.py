@@ -50,27 +50,32 @@ def nb_log_tables(params: DataFrame, verifiers) -> DataFrame:
     return params.select("*", *cols)
 
 
-def nb_log_odds(verifiers) -> F.Column:
+def nb_log_odds(verifiers, values: dict | None = None) -> F.Column:
     """log P(y=1 | x) - log P(y=0 | x) for 0/1 votes: per verifier one of two precomputed logs
-    (other vote values give NaN: naive Bayes needs binary votes)."""
+    (other vote values give NaN: naive Bayes needs binary votes).  ``values``: the log table as
+    numbers (inlined literals); without it the columns of a joined table are used."""
     nan = F.lit(float("nan"))
 
+    def ref(name):
+        return F.lit(values[name]) if values is not None else F.col(name)
+
     def pick(v, cls):
-        return (F.when(F.col(v) == 1, F.col(f"{v}__a{cls}")).when(F.col(v) == 0, F.col(f"{v}__b{cls}"))
+        return (F.when(F.col(v) == 1, ref(f"{v}__a{cls}")).when(F.col(v) == 0, ref(f"{v}__b{cls}"))
                 .otherwise(nan))
 
-    l1 = reduce(lambda a, b: a + b, [pick(v, 1) for v in verifiers]) + F.col("__lcb1")
-    l0 = reduce(lambda a, b: a + b, [pick(v, 0) for v in verifiers]) + F.col("__lcb0")
+    l1 = reduce(lambda a, b: a + b, [pick(v, 1) for v in verifiers]) + ref("__lcb1")
+    l0 = reduce(lambda a, b: a + b, [pick(v, 0) for v in verifiers]) + ref("__lcb0")
     return l1 - l0
 
 
 def nb_score(df: DataFrame, params: DataFrame, verifiers, group_col: str | None = None,
              out: str = "p1") -> DataFrame:
-    """p1 = 1 / (1 + exp(l0 - l1)) (the logsumexp form) per sample."""
+    """p1 = 1 / (1 + exp(l0 - l1)) (the logsumexp form) per sample.  One model: its 4V + 2
+    log-likelihoods are inlined as literals (fit / transform); per-group models are joined."""
     tables = nb_log_tables(params, verifiers)
     if group_col is None:
-        j = df.crossJoin(F.broadcast(tables))  # one row
-    else:
-        j = df.join(tables, group_col)
+        vals = tables.first().asDict()
+        return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-nb_log_odds(verifiers, vals))))
+    j = df.join(tables, group_col)
     p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-nb_log_odds(verifiers)))
     return j.select(*[F.col(c) for c in df.columns], p1.alias(out))

@@ -98,9 +98,9 @@ def ensemble_variance(df: DataFrame, verifiers) -> DataFrame:
     row = pm.agg(*items)
     out = row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("variance"))
                                          for k in range(1, len(order) + 1)])).alias("e")).select("e.*")
-    best = out.agg(F.min_by("k", F.struct("variance", "k")).alias("__best"))
-    return out.crossJoin(F.broadcast(best)).select(  # one-row table
-        "k", "variance", (F.col("k") == F.col("__best")).alias("is_min"))
+    rows = out.collect()  # V rows
+    best = min(rows, key=lambda r: (r["variance"], r["k"]))["k"]
+    return out.withColumn("is_min", F.col("k") == F.lit(best))
 
 
 def agreement_matrix(df: DataFrame, verifiers) -> DataFrame:

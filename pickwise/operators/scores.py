@@ -75,40 +75,54 @@ def normalize_gate(df: DataFrame, verifiers, scope: str = "all_problems") -> Dat
 # ---------------------------------------------------------------------------
 # 33 / 34  min-max normalisation
 
+def _keep(st: dict, v: str) -> bool:
+    """Gate decision from one verifier's statistics (all missing, discrete, or inside [0,1])."""
+    mn, mx = st[f"{v}__min"], st[f"{v}__max"]
+    return st[f"{v}__n"] == 0 or st[f"{v}__nd"] == 0 or (mn >= 0 and mx <= 1)
+
+
 def minmax_all(df: DataFrame, verifiers) -> DataFrame:
     """(x - min) / (max - min) per verifier over all rows, behind the gate.
 
-    A constant verifier outside [0,1] gives NULL (0/0), see Q7.
+    Fit / transform: one aggregate pass brings the 4V statistics to the driver, the
+    transform is a projection with those numbers as literals.  A constant verifier
+    outside [0,1] gives NULL (0/0), see Q7.
     """
-    st = F.broadcast(gate_stats(df, verifiers))  # exactly one row
-    j = df.crossJoin(st)
+    st = gate_stats(df, verifiers).first().asDict()
     exprs = {}
     for v in verifiers:
-        mn, mx = F.col(f"{v}__min"), F.col(f"{v}__max")
-        exprs[v] = F.when(_keep_expr(v), F.col(v)).otherwise(safe_div(F.col(v) - mn, mx - mn))
-    return _replace(j, exprs, drop=set(st.columns))
+        if _keep(st, v):
+            continue
+        mn, mx = st[f"{v}__min"], st[f"{v}__max"]
+        exprs[v] = (F.lit(None).cast("double") if mx == mn
+                    else (F.col(v) - F.lit(mn)) / F.lit(mx - mn))
+    return _replace(df, exprs)
 
 
 def minmax_per_problem(df: DataFrame, verifiers) -> DataFrame:
     """Min-max within each problem behind a per-problem gate.
 
     A problem whose values are all equal (and none missing) falls back to the
-    verifier's global min/max; equal values with some missing give NULL.
+    verifier's global min/max; equal values with some missing give NULL.  Per-problem
+    statistics are a grouped aggregate joined back on problem_id; the global bounds
+    (2V numbers) are literals.
     """
     per = gate_stats(df, verifiers, ["problem_id"])
     per = per.select("problem_id", *[F.col(c).alias("p_" + c) for c in per.columns if c != "problem_id"])
-    glob = F.broadcast(df.agg(*[F.min(v).alias(f"g_{v}__min") for v in verifiers],
-                              *[F.max(v).alias(f"g_{v}__max") for v in verifiers]))
-    j = df.join(per, "problem_id").crossJoin(glob)
+    g = df.agg(*[F.min(v).alias(f"{v}__min") for v in verifiers],
+               *[F.max(v).alias(f"{v}__max") for v in verifiers]).first().asDict()
+    j = df.join(per, "problem_id")
     exprs = {}
     for v in verifiers:
         mn, mx = F.col(f"p_{v}__min"), F.col(f"p_{v}__max")
         const = (mn == mx) & (F.col(f"p_{v}__n") == F.col("p___rows"))
+        gmn, gmx = g[f"{v}__min"], g[f"{v}__max"]
+        fallback = (F.lit(None).cast("double") if gmn is None or gmx == gmn
+                    else (F.col(v) - F.lit(gmn)) / F.lit(gmx - gmn))
         exprs[v] = (F.when(_keep_expr(v, "p_"), F.col(v))
-                    .when(const, safe_div(F.col(v) - F.col(f"g_{v}__min"),
-                                          F.col(f"g_{v}__max") - F.col(f"g_{v}__min")))
+                    .when(const, fallback)
                     .otherwise(safe_div(F.col(v) - mn, mx - mn)))
-    return _replace(j, exprs, drop=set(per.columns[1:]) | set(glob.columns))
+    return _replace(j, exprs, drop=set(per.columns[1:]))
 
 
 def range_check(df: DataFrame, verifiers) -> DataFrame:
@@ -208,15 +222,15 @@ def quantile_norm(df: DataFrame, verifiers, n_quantiles: int = 1000) -> DataFram
 def fill_missing(df: DataFrame, verifiers, how="zero") -> DataFrame:
     """Replace NULL by 0 (``how='zero'``) or by the mean of that (problem, verifier).
 
-    Mean of an all-missing (problem, verifier) falls back to the verifier's
-    global mean (Q27); ``fill_fallback`` = 1 marks such rows.
+    Mean of an all-missing (problem, verifier) falls back to the verifier's global mean
+    (Q27, a literal); ``fill_fallback`` = 1 marks such rows.
     """
     if how in (0, "zero"):
         return df.fillna(0.0, subset=list(verifiers))
     per = df.groupBy("problem_id").agg(*[F.avg(v).alias(f"__m_{v}") for v in verifiers])
-    glob = F.broadcast(df.agg(*[F.avg(v).alias(f"__g_{v}") for v in verifiers]))
-    j = df.join(per, "problem_id").crossJoin(glob)
-    exprs = {v: F.coalesce(F.col(v), F.col(f"__m_{v}"), F.col(f"__g_{v}")) for v in verifiers}
+    g = df.agg(*[F.avg(v).alias(v) for v in verifiers]).first().asDict()
+    j = df.join(per, "problem_id")
+    exprs = {v: F.coalesce(F.col(v), F.col(f"__m_{v}"), F.lit(g[v]).cast("double")) for v in verifiers}
     fb = reduce(lambda a, b: a | b, [F.col(v).isNull() & F.col(f"__m_{v}").isNull() for v in verifiers])
     return j.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns],
                     F.when(fb, 1).otherwise(0).alias("fill_fallback"))
@@ -225,16 +239,17 @@ def fill_missing(df: DataFrame, verifiers, how="zero") -> DataFrame:
 def preprocess_score(df: DataFrame, verifier: str, threshold: float | None = None) -> DataFrame:
     """Legacy single-verifier preprocessing: untouched if inside [0,1], else min-max
     when max > min; then optional threshold -> 0/1."""
-    st = F.broadcast(df.agg(F.min(verifier).alias("__mn"), F.max(verifier).alias("__mx")))
-    j = df.crossJoin(st)
+    mn, mx = df.agg(F.min(verifier), F.max(verifier)).first()
     c = F.col(verifier)
-    inside = (F.col("__mn") >= 0) & (F.col("__mx") <= 1)
-    norm = (F.when(inside, c)
-            .when(F.col("__mx") > F.col("__mn"), (c - F.col("__mn")) / (F.col("__mx") - F.col("__mn")))
-            .otherwise(c))
+    if mn is not None and mn >= 0 and mx <= 1:
+        norm = c
+    elif mn is not None and mx > mn:
+        norm = (c - F.lit(mn)) / F.lit(mx - mn)
+    else:
+        norm = c
     if threshold is not None:
         norm = F.when(norm >= F.lit(threshold), 1.0).otherwise(0.0)
-    return _replace(j, {verifier: norm}, drop={"__mn", "__mx"})
+    return _replace(df, {verifier: norm})
 
 
 # ---------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 The reference is batch-only; what carries over to a stream is everything that
 is a projection once the parameters are fixed: normalise with stored bounds,
 binarise, naive Bayes / label model / ensemble scoring.  A fitted parameter
-table is a static DataFrame joined to the stream (one row, broadcast).  The
+table is a static DataFrame inlined as literals when the stream starts.  The
 per-problem choice over a stream uses an event-time window with a watermark,
 so state for a problem is dropped once its window can no longer change.
 """
@@ -37,10 +37,9 @@ def score_stream(stream: DataFrame, stats_row: dict, params: DataFrame, verifier
         else:
             cols.append(F.col(c))
     votes = stream.select(*cols)
-    tables = F.broadcast(nb_log_tables(params, verifiers))  # one row
-    j = votes.crossJoin(tables)
-    p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-nb_log_odds(verifiers)))
-    return j.select(*stream.columns, p1.alias("p1"))
+    vals = nb_log_tables(params, verifiers).first().asDict()  # fixed at stream start: literals
+    p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-nb_log_odds(verifiers, vals)))
+    return votes.withColumn("p1", p1)
 
 
 def windowed_selection(scored: DataFrame, ts_col: str = "ts", window: str = "1 hour",
