@@ -47,20 +47,21 @@ def cosine_dist(a, b):
     return F.lit(1.0) - dot / (_norm(a) * _norm(b))
 
 
-def _grid_params(train: DataFrame, dim: int, dims: int, cell_target: int):
-    aggs = []
-    for i in range(dim):
-        x = F.element_at("__g", i + 1)
-        aggs += [F.var_pop(x).alias(f"v{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = train.agg(F.count(F.lit(1)).alias("n"), *aggs).first().asDict()
-    order = sorted(range(dim), key=lambda i: -(row[f"v{i}"] or 0.0))[:dims]
-    n = row["n"]
-    m = max(1, int((max(n, 1) / cell_target) ** (1.0 / len(order))))
+def _grid_params(train: DataFrame, dims: int, cell_target: int):
+    """Per-coordinate variance / min / max of the train vectors from ONE aggregate over
+    (coordinate, value) pairs (the dimension comes with it); the ``dims`` widest coordinates
+    get cells of width (max - min) / m with m^dims ~ n / cell_target."""
+    st = (train.select(F.posexplode("__g").alias("i", "x")).groupBy("i")
+          .agg(F.var_pop("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
+          .collect())
+    order = sorted(st, key=lambda r: (-(r["v"] or 0.0), r["i"]))[:dims]
+    n = max((r["n"] for r in st), default=1)
+    m = max(1, int((max(n, 1) / cell_target) ** (1.0 / max(len(order), 1))))
     params = []
-    for i in order:
-        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+    for r in order:
+        lo, hi = r["lo"], r["hi"]
         width = (hi - lo) / m if hi is not None and hi > lo else 1.0
-        params.append((i, lo if lo is not None else 0.0, width))
+        params.append((r["i"], lo if lo is not None else 0.0, width))
     return params, m
 
 
@@ -95,9 +96,7 @@ def exact_knn_distinct(test: DataFrame, train: DataFrame, k: int, vec: str, id_c
     # identical train vectors: only the k lowest ids can ever be chosen.  The prepared sides are
     # read by every round below, so they are checkpointed once (reliable, lineage cut).
     tr = group_topk(tr, keys + ["__g"], [F.col("train_id")], k, salt_col="train_id", rank_col="__dup").checkpoint()
-    te = te.checkpoint()
-    dim = len(tr.select("__tv").first()[0])
-    params, m = _grid_params(tr, dim, dims, cell_target)
+    params, m = _grid_params(tr, dims, cell_target)
     width_min = min(w for _, _, w in params)
 
     def cells(df, prefix):
@@ -196,8 +195,7 @@ def range_pairs(test: DataFrame, train: DataFrame, radius, vec: str = "vec", id_
     rc = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius)
     te = test.select(F.col(id_col).alias("test_id"), F.col(vec).alias("__g"), rc.alias("__radius"))
     tr = train.select(F.col(id_col).alias("train_id"), F.col(vec).alias("__g"))
-    dim = len(train.select(vec).first()[0])
-    params, m = _grid_params(tr, dim, dims, cell_target)
+    params, m = _grid_params(tr, dims, cell_target)
     ex = te
     for j, (i, lo, w) in enumerate(params):
         t = F.least(F.greatest(F.floor((F.element_at("__g", i + 1) - F.lit(lo)) / F.lit(w)).cast("long"),
