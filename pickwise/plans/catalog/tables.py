@@ -294,5 +294,5 @@ def attach_scores(spark, sf):
     s = scored.join(test, "problem_id", "left_semi")
     lists = T.collect_samples(s.withColumnRenamed("p1", "scores"), ["scores"])
     out = T.attach_scores(f6(spark, sf), lists)
-    return out.select("problem_id", F.size("weaver_scores").alias("n_scores"),
-                      r6(F.aggregate("weaver_scores", F.lit(0.0), lambda a, x: a + x), "score_sum"))
+    return out.select("problem_id", F.size("selection_scores").alias("n_scores"),
+                      r6(F.aggregate("selection_scores", F.lit(0.0), lambda a, x: a + x), "score_sum"))

@@ -268,7 +268,7 @@ def export_null_scores(dfs) -> DataFrame:
                     F.lit(None).cast("double").alias("prob"), F.lit("null").alias("bucket"))
 
 
-def attach_scores(problems: DataFrame, scores: DataFrame, out: str = "weaver_scores") -> DataFrame:
+def attach_scores(problems: DataFrame, scores: DataFrame, out: str = "selection_scores") -> DataFrame:
     """Put per-problem score lists back on the list-form table; problems without scores get a
     list of 0.0 of their own sample count.  ``scores``: (problem_id, scores ARRAY<DOUBLE>)."""
     j = problems.join(scores.withColumnRenamed("scores", "__s"), "problem_id", "left")
