@@ -223,3 +223,20 @@ def mixture_logistic(spark, sf):
     model = mixture_fit(d, LR, k=3, max_iter=10)
     s = mixture_score(d, model)
     return M.summary(M.problem_results(s).withColumn("set", F.lit("train")))
+
+
+@register("selection_run")
+def selection_run(spark, sf):
+    """The configurable run: 80 / 20 stratified split, naive Bayes fitted on train, summary per set."""
+    from pickwise.plans.selection import run_selection
+
+    _, summ, _ = run_selection(f1(spark, sf), ["rm_q", "rm_disc", "j80", "j70", "j60"], "naive_bayes", 0.8)
+    return summ
+
+
+@register("selection_run_by_difficulty")
+def selection_run_by_difficulty(spark, sf):
+    from pickwise.plans.selection import run_selection
+
+    _, _, by_diff = run_selection(f1(spark, sf), ["rm_q", "rm_disc", "j80", "j70", "j60"], "label_model", 0.8)
+    return by_diff

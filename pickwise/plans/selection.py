@@ -43,3 +43,62 @@ def naive_bayes_selection(scores: DataFrame, verifiers, threshold: float = 0.5,
 
 def selection_summary(scores: DataFrame, verifiers, threshold: float = 0.5) -> DataFrame:
     return summary(naive_bayes_selection(scores, verifiers, threshold))
+
+
+def run_selection(scores: DataFrame, verifiers, model: str = "naive_bayes", train_split: float = 1.0,
+                  normalize: str = "minmax_all", threshold: float = 0.5, seed: int = 42, bins: int = 10,
+                  answer: str = "answer"):
+    """The configurable selection run: split -> normalise -> fill -> binarise -> fit on train ->
+    score train and test -> per-problem results -> (summary, summary by difficulty).
+
+    ``model``: naive_bayes | logistic | label_model | naive_ensemble | majority_vote | first_sample.
+    ``train_split`` = 1 means train = test = all problems (fit once).  Label models are refitted
+    on the test rows when those differ from train (they use no labels).  Returns
+    (results, summary, summary_by_difficulty) DataFrames."""
+    from pickwise.models.label_model import label_model_fit, label_model_score
+    from pickwise.models.logistic import logistic_fit, logistic_score
+    from pickwise.models.simple import naive_ensemble
+    from pickwise.operators.metrics import majority_vote, summary_by_difficulty
+    from pickwise.operators.sampling import stratified_split
+    from pickwise.operators.scores import minmax_per_problem
+
+    keep = ["problem_id", "sample_idx", "y", *verifiers] + ([answer] if answer in scores.columns else [])
+    base = scores.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+    split = stratified_split(base, train_split, seed, bins)
+    norm = minmax_per_problem(base, verifiers) if normalize == "minmax_per_problem" else minmax_all(base, verifiers)
+    filled = fill_missing(norm, verifiers, 0)
+    votes = binarize_fixed(filled, verifiers, threshold)
+    sets = split.select("problem_id", "set", "difficulty")
+    train_ids = sets.filter(F.col("set") == "train").select("problem_id")
+
+    def rows_of(df, name):
+        return df.join(sets.filter(F.col("set") == name).select("problem_id"), "problem_id", "left_semi")
+
+    scored = {}
+    for name in ("train", "test"):
+        if model == "naive_bayes":
+            params = nb_fit(votes.join(train_ids, "problem_id", "left_semi"), verifiers)
+            scored[name] = nb_score(rows_of(votes, name), params, verifiers)
+        elif model == "logistic":
+            params = logistic_fit(filled.join(train_ids, "problem_id", "left_semi"), verifiers)
+            scored[name] = logistic_score(rows_of(filled, name), params, verifiers)
+        elif model == "label_model":
+            src = rows_of(votes, name) if train_split < 1.0 else votes
+            scored[name] = label_model_score(rows_of(votes, name), label_model_fit(src, verifiers), verifiers)
+        elif model == "naive_ensemble":
+            scored[name] = naive_ensemble(rows_of(filled, name), verifiers)
+        elif model == "first_sample":
+            scored[name] = rows_of(base, name).withColumn("p1", (F.col("sample_idx") == 0).cast("double"))
+        elif model == "majority_vote":
+            mv = majority_vote(rows_of(base, name), 1, "majority", answer)
+            picked = mv.select("problem_id", F.col("majority_idx").alias("sample_idx"), F.lit(1.0).alias("__pick"))
+            scored[name] = (rows_of(base, name).join(picked, ["problem_id", "sample_idx"], "left")
+                            .withColumn("p1", F.coalesce("__pick", F.lit(0.0))).drop("__pick"))
+        else:
+            raise ValueError(f"unknown model {model}")
+    results = None
+    for name, s in scored.items():
+        r = problem_results(s, "p1").withColumn("set", F.lit(name))
+        results = r if results is None else results.unionByName(r)
+    results = results.join(sets.select("problem_id", "set", "difficulty"), ["problem_id", "set"])
+    return results, summary(results), summary_by_difficulty(results)
