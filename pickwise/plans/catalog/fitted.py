@@ -52,18 +52,25 @@ def logistic_per_problem(spark, sf):
     return p.select("problem_id", *[r6(c, c) for c in p.columns if c != "problem_id"])
 
 
+def _dev_prior(spark, sf):
+    """Class balance from the sparse dev labels (F1dev), the usual input of a label model."""
+    from pickwise.models.simple import class_balance
+    from pickwise.sources.fixtures import f1dev
+    return class_balance(f1dev(spark, sf), "dev").first()["class_balance"]
+
+
 @register("label_model")
 def label_model(spark, sf):
-    """Class-conditional vote accuracies learned without labels (class balance from the tensor prior)."""
+    """Class-conditional vote accuracies learned without labels; class balance from the dev labels."""
     votes = f1(spark, sf).select("problem_id", "sample_idx", "y", *LM)
-    p = label_model_fit(votes, LM)
+    p = label_model_fit(votes, LM, _dev_prior(spark, sf))
     return p.select("verifier", *[r6(c, c) for c in p.columns if c != "verifier"])
 
 
 @register("label_model_select")
 def label_model_select(spark, sf):
     votes = f1(spark, sf).select("problem_id", "sample_idx", "y", *LM)
-    s = label_model_score(votes, label_model_fit(votes, LM), LM)
+    s = label_model_score(votes, label_model_fit(votes, LM, _dev_prior(spark, sf)), LM)
     return M.summary(M.problem_results(s).withColumn("set", F.lit("train")))
 
 
