@@ -181,7 +181,36 @@ def verifier_scaling_best(spark, sf):
     return SC.verifier_scaling(d, order, 5).select("n_verifiers", r6("accuracy", "accuracy"))
 
 
-@register("scaling_curve")
+def _curve_sql(order, ks, b, seed=42):
+    ens = "(" + " + ".join(order) + f") / {float(len(order))}"
+    md5 = (f"md5(concat_ws('|', '{seed}', CAST(draw AS VARCHAR), CAST(problem_id AS VARCHAR), "
+           f"CAST(sample_idx AS VARCHAR)))")
+    firsts = ", ".join(f"max(CASE WHEN r_{v} = 1 THEN y END) AS v_{v}" for v in order)
+    ranks = ", ".join(f"row_number() OVER (PARTITION BY k, draw, problem_id ORDER BY {v} DESC, sample_idx) AS r_{v}"
+                      for v in order)
+    avgs = ", ".join(f"avg(v_{v}) AS v_{v}" for v in order)
+    best = "greatest(" + ", ".join(f"v_{v}" for v in order) + ")"
+    methods = []
+    for m, e in (("pass_at_k", "pass_at_k"), ("ensemble", "ensemble"), ("best_verifier", "best_verifier"),
+                 ("majority", "majority")):
+        methods.append(f"SELECT '{m}' AS method, k, round(avg({e}), 6) AS mean, round(stddev_pop({e}), 6) AS sd FROM d GROUP BY k")
+    return f"""WITH n AS (SELECT problem_id, count(*) AS n FROM f1d GROUP BY problem_id),
+rep AS (SELECT f.*, CAST(dr AS INT) AS draw, CAST(kk AS INT) AS k FROM f1d f JOIN n ON f.problem_id = n.problem_id,
+        (SELECT unnest(range({b})) AS dr), (SELECT unnest({list(ks)}) AS kk) WHERE n.n >= kk),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, draw, problem_id ORDER BY {md5}) AS slot FROM rep) WHERE slot <= k),
+rk AS (SELECT *, row_number() OVER (PARTITION BY k, draw, problem_id ORDER BY {ens} DESC, sample_idx) AS r_ens, {ranks} FROM bs),
+per AS (SELECT k, draw, problem_id, max(y) AS pass, max(CASE WHEN r_ens = 1 THEN y END) AS ens, {firsts} FROM rk GROUP BY k, draw, problem_id),
+bd AS (SELECT k, draw, avg(pass) AS pass_at_k, avg(ens) AS ensemble, {avgs} FROM per GROUP BY k, draw),
+a AS (SELECT k, draw, problem_id, answer, count(*) AS cnt, sum(y) AS nc, min(sample_idx) AS first_idx FROM bs
+      WHERE answer IS DISTINCT FROM 'NO_ANSWER' GROUP BY k, draw, problem_id, answer),
+mv AS (SELECT k, draw, avg(CASE WHEN nc > cnt / 2.0 THEN 1 ELSE 0 END) AS majority FROM (
+         SELECT *, row_number() OVER (PARTITION BY k, draw, problem_id ORDER BY cnt DESC, first_idx) AS rr FROM a) WHERE rr = 1
+       GROUP BY k, draw),
+d AS (SELECT bd.*, {best} AS best_verifier, mv.majority FROM bd JOIN mv ON bd.k = mv.k AND bd.draw = mv.draw)
+{" UNION ALL ".join(methods)}"""
+
+
+@register("scaling_curve", fixtures=("f1d",), sql=_curve_sql(ORDER, [1, 2, 4], 4))
 def scaling_curve(spark, sf):
     m = SC.scaling_curve(f1d(spark, sf), ORDER, [1, 2, 4], 4, 42)
     return m.select("method", "k", r6("mean", "mean"), r6("sd", "sd"))
