@@ -50,3 +50,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="pickwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return folder
+
+
+def cluster_settings(input_bytes: int, executors: int, cores_per_executor: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Spark settings for a large run, sized from the input volume.
+
+    Shuffle partitions ~ input / 256 MB (at least 2x the task slots), scans split at the
+    same size, AQE coalescing toward that size and AQE skew splitting of any partition
+    5x the median (a problem holding a third of all rows is split by the skew join and
+    pre-aggregated by partial aggregation).  ``spark.checkpoint.dir`` is not touched:
+    it must name the cluster's shared folder."""
+    slots = max(1, executors * cores_per_executor)
+    parts = max(2 * slots, int(input_bytes // target_partition_bytes) + 1)
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return spark
