@@ -173,7 +173,26 @@ def verifier_scaling(spark, sf):
     return m.select("n_verifiers", r6("accuracy", "accuracy"))
 
 
-@register("verifier_scaling_best")
+def _vscale_best_sql(points=5):
+    vs = ORDER
+    top = " UNION ALL ".join(
+        f"SELECT '{v}' AS verifier, {i} AS pos, y FROM (SELECT y, row_number() OVER (PARTITION BY problem_id "
+        f"ORDER BY {v} DESC NULLS LAST, sample_idx) AS rk FROM f1) WHERE rk = 1" for i, v in enumerate(vs))
+    pick = lambda r: ("CASE (SELECT verifier FROM rk WHERE r = " + str(r) + ") " +  # noqa: E731
+                      " ".join(f"WHEN '{v}' THEN {v}" for v in vs) + " END")
+    cols = ", ".join(f"{pick(r)} AS s{r}" for r in range(1, len(vs) + 1))
+    parts = []
+    for v in [int(x) for x in np.linspace(1, len(vs), points).astype(int)]:
+        ens = "(" + " + ".join(f"s{r}" for r in range(1, v + 1)) + f") / {float(v)}"
+        parts.append(f"""SELECT {v} AS n_verifiers, round(avg(y), 6) AS accuracy FROM (
+  SELECT y, row_number() OVER (PARTITION BY problem_id ORDER BY {ens} DESC, sample_idx) AS rk2 FROM sv) WHERE rk2 = 1""")
+    return f"""WITH t AS ({top}), acc AS (SELECT verifier, pos, avg(y) AS a FROM t GROUP BY verifier, pos),
+rk AS (SELECT verifier, row_number() OVER (ORDER BY a DESC, pos) AS r FROM acc),
+sv AS (SELECT problem_id, sample_idx, y, {cols} FROM f1)
+{" UNION ALL ".join(parts)}"""
+
+
+@register("verifier_scaling_best", sql=_vscale_best_sql())
 def verifier_scaling_best(spark, sf):
     """Verifiers ordered best first by their own top-1 accuracy (order found by Spark)."""
     d = f1(spark, sf)
