@@ -107,10 +107,13 @@ def train_val_split(spark, sf):
     return SA.train_val_split(f1(spark, sf), 0.9, 42).select(*IDS, "split")
 
 
-@register("augment_noise")
+@register("augment_noise", sql=f"""SELECT problem_id, sample_idx, round(rm_disc + 0.1 * sqrt(-2.0 * ln(greatest(
+    {_md5_unit('42:0:a', 'problem_id', 'sample_idx')}, 1e-12))) * cos(6.283185307179586::DOUBLE * {_md5_unit('42:0:b', 'problem_id', 'sample_idx')}), 6) AS rm_disc
+FROM f1""")
 def augment_noise(spark, sf):
-    """Gaussian noise from md5 uniforms (Box-Muller); rows-only check plus a pytest on moments."""
-    return SA.augment_noise(f1(spark, sf).select(*IDS, "rm_disc"), ["rm_disc"], 0.1, 42)
+    """Gaussian noise from md5 uniforms (Box-Muller): the same draws in any engine."""
+    d = SA.augment_noise(f1(spark, sf).select(*IDS, "rm_disc"), ["rm_disc"], 0.1, 42)
+    return d.select(*IDS, r6("rm_disc", "rm_disc"))
 
 
 @register("augment_dropout", sql=f"""SELECT problem_id, sample_idx,

@@ -109,14 +109,16 @@ def _scratch(spark, name):
     return os.path.join(base, "pickwise-out", name)
 
 
-@register("write_dataset")
+@register("write_dataset", sql="SELECT problem_id, sample_idx, y, round(rm_q, 6) AS rm_q, j80 FROM f1")
 def write_dataset(spark, sf):
     """Write the score table (overwrite, committer swap) and read it back."""
     path = _scratch(spark, f"write_dataset/{os.path.basename(sf.rstrip('/'))}")
-    return T.write_dataset(f1(spark, sf).select(*IDS, "y", "rm_q", "j80"), path)
+    back = T.write_dataset(f1(spark, sf).select(*IDS, "y", "rm_q", "j80"), path)
+    return back.select(*IDS, "y", r6("rm_q", "rm_q"), "j80")
 
 
-@register("save_params")
+@register("save_params", sql=f"""WITH prm AS ({Q.nb_params('f1', ['j80', 'j70', 'j60'])}),
+s AS ({Q.nb_p1('f1', 'prm', ['j80', 'j70', 'j60'])}) SELECT problem_id, sample_idx, round(p1, 6) AS p1 FROM s""")
 def save_params(spark, sf):
     """Fit naive Bayes, persist its parameter table, load it back and score with it."""
     vs = ["j80", "j70", "j60"]
