@@ -89,10 +89,24 @@ def best_epoch(spark, sf):
     return b.select("run_id", "best_epoch", r6("best_loss", "best_loss"), "stop_epoch", "epochs_seen")
 
 
-@register("best_epoch_delta")
+@register("best_epoch_delta", fixtures=(), sql="""
+WITH RECURSIVE h AS (SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS epoch,
+                            value / 100.0 AS loss FROM events),
+w(run_id, epoch, best, best_e, streak, seen) AS (
+  SELECT run_id, epoch, loss, epoch, 0, 1 FROM h WHERE epoch = 0
+  UNION ALL
+  SELECT w.run_id, h.epoch,
+         CASE WHEN h.loss < w.best - 0.05::DOUBLE THEN h.loss ELSE w.best END,
+         CASE WHEN h.loss < w.best - 0.05::DOUBLE THEN h.epoch ELSE w.best_e END,
+         CASE WHEN h.loss < w.best - 0.05::DOUBLE THEN 0 ELSE w.streak + 1 END, w.seen + 1
+  FROM w JOIN h ON h.run_id = w.run_id AND h.epoch = w.epoch + 1 WHERE w.streak < 3)
+SELECT run_id, best_e AS best_epoch, round(best, 6) AS best_loss, CASE WHEN streak >= 3 THEN epoch END AS stop_epoch,
+       CAST(seen AS BIGINT) AS epochs_seen
+FROM w QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) = 1""")
 def best_epoch_delta(spark, sf):
     """Same with min delta 0.05: the running best only moves on a large enough drop."""
-    return DS.best_epoch(_history(spark, sf), 3, 0.05)
+    b = DS.best_epoch(_history(spark, sf), 3, 0.05)
+    return b.select("run_id", "best_epoch", r6("best_loss", "best_loss"), "stop_epoch", "epochs_seen")
 
 
 # ---------------------------------------------------------------- 150-152 scoring contract

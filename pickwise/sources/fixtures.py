@@ -191,6 +191,8 @@ def with_fixtures(sql: str, *names: str) -> str:
         return sql
     ctes = duckdb_ctes(names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
