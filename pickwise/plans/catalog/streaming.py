@@ -37,3 +37,37 @@ def stream_naive_bayes(spark, sf):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(name).select("problem_id", "sample_idx", r6("p1", "p1"))
+
+
+@register("stream_windowed_selection", fixtures=(), sql="""
+SELECT window_start, problem_id, CAST(top1_idx AS INT) AS top1_idx, top1_label, n_samples FROM (
+  SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, l_shipdate)) AS BIGINT) AS window_start, l_orderkey AS problem_id, l_linenumber AS top1_idx,
+         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS top1_label,
+         count(*) OVER (PARTITION BY time_bucket(INTERVAL 1 DAY, l_shipdate), l_orderkey) AS n_samples,
+         row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 DAY, l_shipdate), l_orderkey
+                            ORDER BY l_discount DESC, l_linenumber) AS rk
+  FROM lineitem) WHERE rk = 1""")
+def stream_windowed_selection(spark, sf):
+    """Event-time selection over a stream of scored lines (event time = ship date, problem =
+    order, sample = line number, score = discount): per (1-day window, problem) the best sample,
+    with a watermark; the stream source is the table written once to the checkpoint folder.
+    Window starts are reported as epoch seconds (UTC)."""
+    from pickwise.sources.fixtures import read_table
+    from pickwise.streaming.scoring import windowed_selection
+
+    src = read_table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("problem_id"), F.col("l_linenumber").alias("sample_idx"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"), F.col("l_discount").alias("p1"),
+        # the naive ship time read as a UTC instant (independent of the session time zone)
+        F.to_timestamp(F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")),
+                       "yyyy-MM-dd HH:mm:ss Z").alias("ts"))
+    root = os.path.join(ensure_checkpoint_dir(spark), "pickwise-stream", uuid.uuid4().hex)
+    src.write.mode("overwrite").parquet(os.path.join(root, "source"))
+    stream = spark.readStream.schema(src.schema).parquet(os.path.join(root, "source"))
+    name = "pickwise_win_" + uuid.uuid4().hex[:8]
+    q = (windowed_selection(stream, "ts", "1 day", "1 day").writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", os.path.join(root, "checkpoint")).outputMode("complete")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name).select(F.unix_seconds(F.col("window.start")).alias("window_start"), "problem_id",
+                                    F.col("top1_idx").cast("int").alias("top1_idx"), "top1_label", "n_samples")
