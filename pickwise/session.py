@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +53,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors once per application.
+
+    Python workers import the functions of ``mapInPandas`` and the like by name; a
+    cluster whose nodes do not have the repository on their path needs the zip."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="pickwise-zip-"), "pickwise_src.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def cluster_settings(input_bytes: int, executors: int, cores_per_executor: int,
                      target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Spark settings for a large run, sized from the input volume.
