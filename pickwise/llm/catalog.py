@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwise.llm import bpe, langid, quality, urls
+from pickwise.llm import bpe, decontam, html, langid, lines, quality, urls, warc
 from pickwise.llm.common import table
 
 QUERIES: dict = {}
@@ -29,6 +29,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op2_line_dedup", lines.oracle_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand on many sources."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rule and adaptive thresholds per language and source."""
@@ -36,6 +42,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, keep=["doc_id"])
 
 
+@query("op5_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page as a WARC record, normalise the archives, read them back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op6_url_filter")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for the URL of every page."""
@@ -50,3 +62,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~F.coalesce(held, F.lit(False))))
     out = langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model)
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that state benchmark items, with the items."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

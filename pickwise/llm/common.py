@@ -92,3 +92,17 @@ def window_hashes(words: list[bytes], size: int, known: WordHashes) -> np.ndarra
 
 def null_safe_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def small_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None,
+               most: int = 200_000, salts: int = 16) -> DataFrame:
+    """Join ``rows`` with ``few`` (one row per key), whatever the skew of ``rows``.
+
+    ``few`` must be a stored table. Counted to have at most ``most`` rows, it is broadcast;
+    beyond that it is repeated over ``salts`` salts and ``rows`` are dealt by key and a hash of
+    the column ``spread``, so that one key's rows go to as many tasks."""
+    if few.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(few), keys, how)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread or keys[0])), F.lit(salts)).cast("int"))
+    return dealt.join(salted, [*keys, "__salt"], how).drop("__salt")

@@ -205,7 +205,7 @@ def _flush(words: dict[str, Counter], order: int) -> pa.RecordBatch:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-        min_count: int = 2, max_grams: int = 200_000, slack: float = 1.5, least: float = 0.5) -> Model:
+        min_count: int = 2, max_grams: int = 200_000, slack: float = 2.0, least: float = 1.5) -> Model:
     """Fit the models on four fifths of the labelled texts; calibrate the rejection on the others.
 
     Rows with null text or null label teach nothing. Without any labelled letter the model
