@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwise.llm import bpe, decontam, html, langid, lines, quality, urls, warc
+from pickwise.llm import bpe, decontam, html, langid, lines, quality, setjoin, urls, warc
 from pickwise.llm.common import table
 
 QUERIES: dict = {}
@@ -64,6 +64,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@query("op8_ngram_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by the similarity of their 5-word shingles."""
+    return setjoin.linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_html_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""

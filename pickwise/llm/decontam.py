@@ -6,8 +6,8 @@ typed placeholders and everything else is lower-cased, so that a question asked
 other values keeps its template. Windows of ``width`` template words of the documents meet
 those of the benchmark by hash join. Along each alignment of document and item, the values
 in the slots must map one to one (the same value of the item always to the same value of
-the document, and back); otherwise the alignment does not count. A document leaks an item
-when the windows of its consistent alignments cover enough of the item.
+the document, and back); otherwise only its windows without slots count. A document leaks
+an item when the windows that count cover enough of the item.
 
 Only window hashes are joined. The benchmark's windows are broadcast when they are counted
 to be few; else both sides are dealt by hash. Texts are looked at again only for matches
@@ -28,11 +28,12 @@ UNITS = ("kg g mg lb lbs oz t km m cm mm mi mile miles ft feet inch inches l ml
          "percent pct degree degrees w kw v a hz khz mhz ghz kb mb gb tb").split()
 LEAST_WORDS = 3
 FEW_WINDOWS = 2_000_000
+MOST_WIDTH = 64     # words of a window at most
 
 
 def spoken(text: Column) -> Column:
     """Words separated by single blanks, names marked by a leading placeholder; null stays null."""
-    marked = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;]\s)(?=\p{Lu})", NAME)
+    marked = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;]\s)(?=\p{Lu}[\p{Ll}'’])", NAME)
     apart = F.regexp_replace(marked, rf"[^\p{{L}}\p{{Nd}}{NAME}]+|(?<=\p{{Nd}})(?=\p{{L}})", " ")
     return F.btrim(apart)
 
@@ -53,21 +54,23 @@ def _hashes(words: Column, width: Column | int) -> Column:
 
 
 def bench_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int, share: float, most: int) -> DataFrame:
-    """(h, item_id, ipos, width, need, raw, kinds) of every window of every item with three words or more.
+    """(h, item, item_id, ipos, width, need, raw, kinds, n_slots) of every window of every item with three words or more.
 
-    Items shorter than ``width`` have one window, the whole item. ``need``: windows of the item
-    that a document must match."""
+    ``item`` stands for id and words. Items shorter than ``width`` have one window, the whole
+    item. ``need``: windows of the item that a document must match. Windows mostly made of
+    placeholders are left out."""
     base = benchmark.select(F.col(id_col).alias("item_id"), spoken(F.col(text_col)).alias("said")).where(F.length("said") > 0).distinct()
-    arrays = base.select("item_id", F.split("said", " ").alias("raw"), F.split(template(F.col("said")), " ").alias("t")).where(F.size("raw") >= LEAST_WORDS)
+    arrays = base.select("item_id", F.xxhash64("item_id", "said").alias("item"), F.split("said", " ").alias("raw"),
+                         F.split(template(F.col("said")), " ").alias("t")).where(F.size("raw") >= LEAST_WORDS)
     sized = arrays.withColumn("width", F.least(F.size("raw"), F.lit(width)))
     windows = sized.withColumn("total", F.size("raw") - F.col("width") + 1).select(
-        "item_id", "width", "raw", "t", F.least(F.lit(most), F.ceil(F.col("total") * share)).cast("int").alias("need"),
+        "item", "item_id", "width", "raw", "t", F.least(F.lit(most), F.ceil(F.col("total") * share)).cast("int").alias("need"),
         F.posexplode(_hashes(F.col("t"), F.col("width"))).alias("ipos", "h"))
     part = F.slice("t", F.col("ipos") + 1, F.col("width"))
     kinds = F.transform(part, lambda x: F.when(x.isin(NAME, NUMBER, UNIT), x))
     solid = F.size(F.filter(part, lambda x: ~x.isin(NAME, NUMBER, UNIT)))
     return windows.where(solid * 2 >= F.col("width")).select(
-        "h", "item_id", "ipos", "width", "need", F.slice("raw", F.col("ipos") + 1, F.col("width")).alias("raw"), kinds.alias("kinds"),
+        "h", "item", "item_id", "ipos", "width", "need", F.slice("raw", F.col("ipos") + 1, F.col("width")).alias("raw"), kinds.alias("kinds"),
         F.size(F.filter(kinds, lambda x: x.isNotNull())).alias("n_slots"))
 
 
@@ -80,6 +83,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     there, and those that the document states differently. Null or empty texts and items, and
     items of fewer than three words, match nothing. Repeated rows give one result; rows that
     share an id are one document. Null ids are kept as an id of their own."""
+    if not 0 < width <= MOST_WIDTH:
+        raise ValueError(f"width must be 1 to {MOST_WIDTH}")
     bench = stored(bench_windows(benchmark, item_col, item_text_col, width, share, most), "bench")
     widths = sorted(r["width"] for r in bench.select("width").distinct().collect()) or [width]  # at most ``width`` values
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
@@ -89,46 +94,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     windows = for_width[0]
     for more in for_width[1:]:
         windows = windows.unionByName(more)
-    slim = bench.select("h", "width", "item_id", "ipos", "n_slots", "need")
+    slim = bench.select("h", "width", "item", "item_id", "ipos", "n_slots", "need")
     if bench.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS:
         slim = F.broadcast(slim)
-    hits = stored(windows.join(slim, ["h", "width"]).select("doc_id", "k1", "k2", "pos", "width", "item_id", "ipos", "n_slots", "need"), "hits")
-    line = F.col("pos") - F.col("ipos")
-    pairs = _slot_pairs(keyed, hits, bench)
-    judged = pairs.groupBy("doc_id", "k1", "k2", "item_id", "line").agg(
+    hits = stored(windows.join(slim, ["h", "width"]).select(
+        "doc_id", "k1", "k2", "pos", "item", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("line"), "n_slots", "need"), "hits")
+    lined = ["k1", "k2", "item", "line"]
+    judged = _slot_pairs(keyed, hits, bench).groupBy(*lined).agg(
         F.count(F.lit(1)).alias("pairs"), F.count_distinct("kind", "asked").alias("from"), F.count_distinct("kind", "stated").alias("to"),
         F.count_if(F.col("asked") != F.col("stated")).alias("changed"))
-    lines = hits.withColumn("line", line).join(judged, _null_safe(hits.withColumn("line", line), judged, ["doc_id", "k1", "k2", "item_id", "line"]), "left").select(
-        hits["doc_id"], hits["k1"], hits["k2"], hits["item_id"], hits["ipos"], hits["need"], "pairs", "changed",
-        F.coalesce((F.col("pairs") == F.col("from")) & (F.col("pairs") == F.col("to")), F.lit(True)).alias("consistent"))
-    per_text = (lines.where("consistent").groupBy("doc_id", "k1", "k2", "item_id")
-                .agg(F.count_distinct("ipos").alias("n_windows"), F.max("need").alias("need"),
-                     F.coalesce(F.max("pairs"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("changed"), F.lit(0)).alias("n_changed")))
+    consistent = F.coalesce((F.col("pairs") == F.col("from")) & (F.col("pairs") == F.col("to")), F.lit(True))
+    per_text = (hits.join(judged, lined, "left").where(consistent | (F.col("n_slots") == 0)).groupBy("k1", "k2", "item")
+                .agg(F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.max("need").alias("need"),
+                     F.count_distinct("ipos").alias("n_windows"), F.coalesce(F.max("pairs"), F.lit(0)).alias("n_slots"),
+                     F.coalesce(F.max("changed"), F.lit(0)).alias("n_changed")))
     return (per_text.where(F.col("n_windows") >= F.col("need")).groupBy("doc_id", "item_id")
             .agg(F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
             .withColumnRenamed("doc_id", id_col))
 
 
-def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    out = None
-    for k in keys:
-        one = a[k].eqNullSafe(b[k])
-        out = one if out is None else out & one
-    return out
-
-
 def _slot_pairs(keyed: DataFrame, hits: DataFrame, bench: DataFrame) -> DataFrame:
     """Distinct (doc, item, line, kind, asked, stated) of the matches that have slots."""
-    slotted = hits.where("n_slots > 0")
+    slotted = hits.where("n_slots > 0").select("k1", "k2", "pos", "item", "ipos", "line").distinct()
     places = stored(slotted.groupBy("k1", "k2").agg(F.collect_set("pos").alias("places")), "places")
     texts = small_join(keyed.select("k1", "k2", "text"), places, ["k1", "k2"], spread="k1")
-    raw = F.split(spoken(F.col("text")), " ")
-    longest = texts.select("k1", "k2", raw.alias("raw"), "places").select(
-        "k1", "k2", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.slice(F.col("raw"), p + 1, 64).alias("stated")))).alias("x"))
-    seen = longest.select("k1", "k2", "x.pos", "x.stated").dropDuplicates(["k1", "k2", "pos"])
-    asked = bench.where("n_slots > 0").select("item_id", "ipos", F.col("raw").alias("asked"), "kinds")
-    both = slotted.join(seen, ["k1", "k2", "pos"]).join(asked, _null_safe(slotted, asked, ["item_id", "ipos"])).select(
-        "doc_id", "k1", "k2", slotted["item_id"], (F.col("pos") - slotted["ipos"]).alias("line"),
-        F.explode(F.arrays_zip("kinds", "asked", "stated")).alias("s"))
-    return both.where(F.col("s.kinds").isNotNull()).select(
-        "doc_id", "k1", "k2", "item_id", "line", F.col("s.kinds").alias("kind"), F.lower("s.asked").alias("asked"), F.lower("s.stated").alias("stated")).distinct()
+    words = texts.select("k1", "k2", F.split(spoken(F.col("text")), " ").alias("raw"), "places")
+    found = words.select("k1", "k2", F.explode(F.transform(
+        "places", lambda p: F.struct(p.alias("pos"), F.slice(F.col("raw"), p + 1, F.lit(MOST_WIDTH)).alias("stated")))).alias("x"))
+    seen = found.select("k1", "k2", "x.pos", "x.stated").dropDuplicates(["k1", "k2", "pos"])
+    asked = bench.where("n_slots > 0").select("item", "ipos", F.col("raw").alias("asked"), "kinds")
+    both = slotted.join(seen, ["k1", "k2", "pos"]).join(asked, ["item", "ipos"])
+    slots = both.select("k1", "k2", "item", "line", F.explode(F.arrays_zip("kinds", "asked", "stated")).alias("s"))
+    return slots.where(F.col("s.kinds").isNotNull()).select(
+        "k1", "k2", "item", "line", F.col("s.kinds").alias("kind"), F.lower("s.asked").alias("asked"), F.lower("s.stated").alias("stated")).distinct()
