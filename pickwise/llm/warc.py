@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from pickwise.llm.common import prepare, scratch
+from pickwise.llm.common import prepare, scratch, small_join, stored
 
 #: A gzip member without content: the row separator of normalised archives.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -49,25 +49,23 @@ def payload_digest(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0,
-                  salts: int = 16) -> DataFrame:
+def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Append payload_bytes, payload_digest, record_type and refers_to.
 
     Of rows whose payloads (UTF-8; null: empty) are equal and have at least ``least_bytes``
     bytes, those with the largest id are responses and the others revisit that id; smaller
     payloads are all responses. A row repeated with that largest id is a response each
-    time; a null id is smaller than any. The digest is taken once per row in Arrow batches,
-    the largest id per digest by a partial aggregate; it returns to the rows by a join on
-    digest and salt, so that one payload shared by a third of all pages is spread over
-    ``salts`` tasks. Columns of the new names are replaced."""
+    time; a null id is smaller than any. The largest id per digest comes from a partial
+    aggregate over digests alone; only digests that several rows share return to the rows,
+    by broadcast when they are counted to be few, else salted, so that one payload shared by
+    a third of all pages is spread. Columns of the new names are replaced."""
     new = ["payload_bytes", "payload_digest", "record_type", "refers_to"]
     base = pages.drop(*new)
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    rows = base.withColumns({"payload_bytes": F.length(body).cast("long"), "__sha1": F.sha1(body),
-                             "__salt": F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int")})
-    best = (rows.where(F.col("payload_bytes") >= least_bytes).groupBy("__sha1").agg(F.max(id_col).alias("__best"))
-            .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    joined = rows.join(best, ["__sha1", "__salt"], "left")
+    rows = base.withColumns({"payload_bytes": F.length(body).cast("long"), "__sha1": F.sha1(body)})
+    several = (rows.where(F.col("payload_bytes") >= least_bytes).groupBy("__sha1")
+               .agg(F.max(id_col).alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    joined = small_join(rows, stored(several, "digests"), ["__sha1"], "left", spread=id_col)
     revisit = F.col("__best").isNotNull() & (~F.col(id_col).eqNullSafe(F.col("__best")))
     return joined.select(*[F.col(f"`{c}`") for c in base.columns], "payload_bytes", base32(F.col("__sha1")).alias("payload_digest"),
                          F.when(revisit, "revisit").otherwise("response").alias("record_type"),
