@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwise.llm import bpe, decontam, html, langid, lines, quality, setjoin, urls, warc
+from pickwise.llm import bpe, decontam, html, langid, lines, passages, quality, setjoin, urls, warc
 from pickwise.llm.common import table
 
 QUERIES: dict = {}
@@ -42,6 +42,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, keep=["doc_id"])
 
 
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs and passages that repeat across documents."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op5_warc")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page as a WARC record, normalise the archives, read them back."""

@@ -243,25 +243,41 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, tokens) of the classes in ``wanted`` (a stored table of distinct ``cls``), from one document each."""
-    needed = stored(wanted.join(classes, "cls").select(F.col("rep").alias("rk")), "needed")
-    texts = small_join(rows.select("rk", "text"), needed, ["rk"], most=1_000_000).dropDuplicates(["rk"])
+def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, cut=None) -> DataFrame:
+    """(cls, tokens) of the classes in ``wanted`` (a stored table of distinct ``cls``), from one row each.
+
+    ``cut(text, known)`` yields the sets of a row's text; by default its one shingle set."""
+    needed = stored(wanted.join(classes, "cls").groupBy(F.col("rep").alias("rk")).agg(F.collect_set("cls").alias("of")), "needed")
+    texts = small_join(rows.select("rk", "text"), needed, ["rk"], most=500_000).dropDuplicates(["rk"])
+    cut = cut or _whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        at_text, at_of = None, None
         for batch in batches:
-            sets = [shingle_set(v.as_py(), known) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             names=["cls", "tokens"])
+            at_text, at_of = batch.schema.names.index("text"), batch.schema.names.index("of")
+            keys, sets = [], []
+            for value, of in zip(batch.column(at_text), batch.column(at_of).to_pylist(), strict=True):
+                left = set(of)
+                for tokens in cut(value.as_py(), known):
+                    key = set_key(tokens)
+                    if key in left:
+                        left.remove(key)
+                        keys.append(key)
+                        sets.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
     return texts.mapInArrow(run, "cls long, tokens binary")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _whole(text: str | None, known: WordHashes) -> list[np.ndarray]:
+    return [shingle_set(text, known)]
+
+
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) -> DataFrame:
     """Those of the stored pairs (a, b) that are linked, by exact intersection."""
     wanted = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "wanted")
-    sets = sets_of(rows, classes, wanted)
+    sets = sets_of(rows, classes, wanted, cut)
     with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     with_both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -289,13 +305,17 @@ def labelled(weighted: DataFrame, labels: DataFrame) -> DataFrame:
     return weighted.join(labels, weighted["cls"] == labels["node"], "left").select("sig", "cls", "g", F.coalesce("component", "cls").alias("comp"))
 
 
-def open_probes(weighted: DataFrame, labels: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def open_probes(weighted: DataFrame, labels: DataFrame, classes: DataFrame, banded: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, probes) of signatures that still join different components, after the allocation.
 
+    ``banded``: the signatures carry no scheme, every member probes.
+
     members: (sig, cls, comp, n, g); probes: the (sig, cls) among them that the allocation keeps."""
     now = stored(labelled(weighted, labels), "labelled")
     mixed = stored(now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"), "mixed")
     members = stored(small_join(now, mixed, ["sig"], spread="cls").join(classes.select("cls", "n", "slack"), "cls"), "members")
+    if banded:
+        return members, members.select("sig", "cls", "n", "comp", "g")
     band = F.shiftright("sig", 1).bitwiseAND(F.lit(63))
     own = members.where(band == F.floor(F.log2("n") + 1e-9))
     price = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, 2).otherwise(1)
@@ -311,7 +331,7 @@ def few_pairs(members: DataFrame, probes: DataFrame) -> DataFrame:
     return r.join(s, "sig").where(fits).select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
 
 
-def family_links(members: DataFrame, probes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+def family_links(members: DataFrame, probes: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) -> DataFrame | None:
     """Links of crowded signatures: all members of a family against those outside its largest component."""
     crowded = stored(probes.where(F.col("g") > FEW).select("sig").distinct(), "crowded")
     if crowded.isEmpty():
@@ -324,7 +344,7 @@ def family_links(members: DataFrame, probes: DataFrame, rows: DataFrame, classes
     sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"))
     largest = stored(sizes.groupBy("family").agg(F.max_by("comp", "k").alias("main"), F.sum("k").alias("size")), "largest")
     spread = stored(small_join(placed, largest, ["family"], spread="cls").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "spread")
-    sets = sets_of(rows, classes, stored(spread.select("cls").distinct(), "wanted"))
+    sets = sets_of(rows, classes, stored(spread.select("cls").distinct(), "wanted"), cut)
     full = spread.join(sets, "cls")
     home = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     held = full.select("family", home.alias("block"), F.lit(False).alias("probe"), "cls", "comp", "tokens")
@@ -389,13 +409,12 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
 
 
-def class_links(rows: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes whose components are those of all links."""
+def class_links(rows: DataFrame, classes: DataFrame, shared: DataFrame, cut=None, banded: bool = False) -> DataFrame:
+    """Edges (a, b) between classes whose components are those of all links among classes that share signatures."""
     crowd = stored(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "crowd")
     weighted = stored(small_join(shared, crowd, ["sig"], spread="cls"), "weighted")
-    edges = verified(stored(hub_pairs(weighted), "hub-pairs"), rows, classes)
-    members, probes = open_probes(weighted, component_labels(edges), classes)
-    pairs = stored(few_pairs(members, probes), "few-pairs")
-    found = edges.unionByName(verified(pairs, rows, classes))
-    families = family_links(members, probes, rows, classes)
+    edges = verified(stored(hub_pairs(weighted), "hub-pairs"), rows, classes, cut)
+    members, probes = open_probes(weighted, component_labels(edges), classes, banded)
+    found = edges.unionByName(verified(stored(few_pairs(members, probes), "few-pairs"), rows, classes, cut))
+    families = family_links(members, probes, rows, classes, cut)
     return found if families is None else found.unionByName(families)
