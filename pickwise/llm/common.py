@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -14,6 +15,7 @@ from pickwise.session import ensure_checkpoint_dir, ship_package
 #: Characters that separate words: [\x20\x09-\x0D].  ``bytes.split()`` splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 #: ASCII-only lower-casing, as the word contracts ask.
+_SPACE_BYTES = [c.encode() for c in SPACES]
 LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -50,11 +52,6 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` in order, as UTF-8; none for null."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit mixing of an unsigned array (wraps)."""
     x = (x ^ (x >> np.uint64(30))) * MIX_B
@@ -62,27 +59,74 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Word bytes -> 64-bit hash, filled on demand; emptied when it holds ``bound`` words (speed only)."""
+_BLOCK = 1 << 20
+_LONG_WORD = 4096
+_BASE = 0x9E6C63D0676A9A99
 
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    out[0] = 1
+    filled, step = 1, np.array([base & 0xFFFFFFFFFFFFFFFF], np.uint64)
+    with np.errstate(over="ignore"):
+        while filled < n:
+            more = min(filled, n - filled)
+            out[filled:filled + more] = out[:more] * step[0]
+            filled += more
+            step = step * step
+    return out
 
 
-def window_hashes(words: list[bytes], size: int, known: WordHashes) -> np.ndarray:
-    """64-bit hash of every ``size``-word window in order; of the whole sequence when it is shorter."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(size, len(words))
-    n = len(words) - width + 1
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and of its inverse, for one block of bytes."""
+    return _powers(_BASE, _BLOCK + 1), _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, byte offset) of every word ``[^\\x20\\x09-\\x0D]+`` of a text, by whole-array steps.
+
+    A word's hash is a polynomial of its bytes, mixed with its length. Texts are taken in
+    blocks of about a MB cut between words; words of over 4096 bytes are hashed one by one."""
+    hashes, offsets, at = [], [], 0
+    power, inverse = _tables()
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > _BLOCK:
+            stop = max(raw.rfind(c, at, at + _BLOCK) for c in _SPACE_BYTES) + 1
+            if stop <= at:  # one word fills the block: up to its end
+                stop = min((i for i in (raw.find(c, at) for c in _SPACE_BYTES) if i >= 0), default=len(raw))
+        if stop - at > _BLOCK:
+            hashes.append(np.array([xxhash.xxh3_64_intdigest(raw[at:stop])], np.uint64))
+            offsets.append(np.array([at]))
+        else:
+            block = np.frombuffer(raw, np.uint8, stop - at, at)
+            solid = np.zeros(len(block) + 2, np.int8)
+            solid[1:-1] = ~((block == 32) | ((block >= 9) & (block <= 13)))
+            edge = np.diff(solid)
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            if len(first):
+                with np.errstate(over="ignore"):
+                    sums = np.zeros(len(block) + 1, np.uint64)
+                    np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[:len(block)], out=sums[1:])
+                    size = (last - first).astype(np.uint64)
+                    got = mix64((sums[last] - sums[first]) * inverse[first] + size * MIX_A)
+                for i in np.flatnonzero(size > _LONG_WORD):
+                    got[i] = xxhash.xxh3_64_intdigest(raw[at + first[i]:at + last[i]])
+                hashes.append(got)
+                offsets.append(first + at)
+        at = stop
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(offsets)
+
+
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size``-word window of word hashes in order; of the whole sequence when it is shorter."""
+    if not len(h):
+        return h
+    width = min(size, len(h))
+    n = len(h) - width + 1
     out = np.full(n, np.uint64(width))
     with np.errstate(over="ignore"):
         for i in range(width):
@@ -90,19 +134,17 @@ def window_hashes(words: list[bytes], size: int, known: WordHashes) -> np.ndarra
     return out
 
 
-def null_safe_text(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def folded(text: str | None) -> bytes:
+    """UTF-8 with A-Z lower-cased; empty for null."""
+    return text.encode("utf-8", "surrogatepass").translate(LOWER_ASCII) if text else b""
 
 
-def small_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None,
-               most: int = 200_000, salts: int = 16) -> DataFrame:
+def small_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", most: int = 200_000) -> DataFrame:
     """Join ``rows`` with ``few`` (one row per key), whatever the skew of ``rows``.
 
-    ``few`` must be a stored table. Counted to have at most ``most`` rows, it is broadcast;
-    beyond that it is repeated over ``salts`` salts and ``rows`` are dealt by key and a hash of
-    the column ``spread``, so that one key's rows go to as many tasks."""
+    ``few`` must be a stored table. Counted to have at most ``most`` rows, it is broadcast.
+    Beyond that both sides are plain shuffled tables, so Spark's adaptive skew join splits
+    the partitions of a key that very many rows share. Null keys match nothing."""
     if few.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(few), keys, how)
-    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread or keys[0])), F.lit(salts)).cast("int"))
-    return dealt.join(salted, [*keys, "__salt"], how).drop("__salt")
+        few = F.broadcast(few)
+    return rows.join(few, keys, how)

@@ -117,7 +117,7 @@ def _slot_pairs(keyed: DataFrame, hits: DataFrame, bench: DataFrame) -> DataFram
     """Distinct (doc, item, line, kind, asked, stated) of the matches that have slots."""
     slotted = hits.where("n_slots > 0").select("k1", "k2", "pos", "item", "ipos", "line").distinct()
     places = stored(slotted.groupBy("k1", "k2").agg(F.collect_set("pos").alias("places")), "places")
-    texts = small_join(keyed.select("k1", "k2", "text"), places, ["k1", "k2"], spread="k1")
+    texts = small_join(keyed.select("k1", "k2", "text"), places, ["k1", "k2"])
     words = texts.select("k1", "k2", F.split(spoken(F.col("text")), " ").alias("raw"), "places")
     found = words.select("k1", "k2", F.explode(F.transform(
         "places", lambda p: F.struct(p.alias("pos"), F.slice(F.col("raw"), p + 1, F.lit(MOST_WIDTH)).alias("stated")))).alias("x"))

@@ -40,7 +40,7 @@ def spread_lines(lines: DataFrame, min_sites: int, margin: float = 0.15, precisi
     estimate = F.hll_sketch_estimate("sketch")
     near = sketches.select("h1", "h2", estimate.alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
     candidates = stored(near.select("h1", "h2", (F.col("sites") > min_sites * (1 + margin)).alias("sure")), "spread")
-    return candidates, stored(small_join(lines, candidates, ["h1", "h2"], spread="__k1"), "occurrences")
+    return candidates, stored(small_join(lines, candidates, ["h1", "h2"]), "occurrences")
 
 
 def boilerplate(occurrences: DataFrame, min_sites: int) -> DataFrame:
@@ -48,7 +48,7 @@ def boilerplate(occurrences: DataFrame, min_sites: int) -> DataFrame:
     near = occurrences.where(~F.col("sure"))
     pairs = near.select("h1", "h2", "site").distinct()     # one row per line and site: a hot line is combined in each task
     exact = stored(pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("h1", "h2"), "exact")
-    return occurrences.where("sure").unionByName(small_join(near, exact, ["h1", "h2"], spread="__k1"))
+    return occurrences.where("sure").unionByName(small_join(near, exact, ["h1", "h2"]))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from pickwise.functions.components import component_labels
 from pickwise.llm import setjoin
-from pickwise.llm.common import LOWER_ASCII, MIX_A, WordHashes, mix64, prepare, small_join, stored, window_hashes
+from pickwise.llm.common import MIX_A, folded, mix64, prepare, small_join, stored, window_hashes, word_hashes
 
 BANDS, ROWS = 16, 4
 SPAN = 30               # words of a passage window
@@ -40,18 +40,17 @@ LOCAL_HOT = 32
 _SEEDS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
-def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of words before, lower-cased words) of every paragraph that is long enough."""
-    before = 0
-    for line in (text.encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split(b"\n") if text else ()):
-        words = line.split()
-        if len(words) >= least_words:
-            yield before, words
-        before += len(words)
+def paragraphs(raw: bytes, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of words before, word hashes) of every paragraph that is long enough."""
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) if raw else np.empty(0, np.int64)
+    cuts = np.concatenate([[0], np.searchsorted(at, ends), [len(h)]])
+    for i in np.flatnonzero(np.diff(cuts) >= LEAST_WORDS):
+        yield int(cuts[i]), h[cuts[i]:cuts[i + 1]]
 
 
-def paragraph_sets(text: str | None, known: WordHashes) -> list[np.ndarray]:
-    return [np.unique(window_hashes(words, setjoin.SHINGLE, known)) for _, words in paragraphs(text)]
+def paragraph_sets(text: str | None) -> list[np.ndarray]:
+    raw = folded(text)
+    return [np.unique(window_hashes(part, setjoin.SHINGLE)) for _, part in paragraphs(raw, *word_hashes(raw))]
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -68,22 +67,20 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def anchored_windows(words: list[bytes], known: WordHashes, span: int = SPAN, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows of a word sequence; none if it is shorter than one."""
-    n = len(words)
+def anchored_windows(h: np.ndarray, span: int = SPAN, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the windows of a sequence of word hashes; none if it is shorter than one."""
+    n = len(h)
     if n < span:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     with np.errstate(over="ignore"):
         pairs = mix64(h[:-1] * MIX_A + h[1:])
-        last = n - span + 1
-        pick = pairs[:last]
-        if last <= reach:
+        pick = pairs[:n - span + 1]
+        if len(pick) <= reach:
             at = np.array([int(np.argmin(pick))])
         else:
             view = np.lib.stride_tricks.sliding_window_view(pick, reach)
-            at = np.concatenate([np.argmin(view[i:i + 65536], axis=1) + np.arange(i, min(i + 65536, len(view))) for i in range(0, len(view), 65536)])
-            at = np.unique(at)
+            at = np.unique(np.concatenate([np.argmin(view[i:i + 65536], axis=1) + np.arange(i, min(i + 65536, len(view)))
+                                           for i in range(0, len(view), 65536)]))
         out = np.full(len(at), np.uint64(span))
         for i in range(span):
             out = mix64(out * MIX_A + h[at + i])
@@ -143,19 +140,18 @@ def index(rows: DataFrame, buckets: int) -> DataFrame:
     """Paragraphs (kind 1), shared bands (2) and shared windows (4) of all rows, stored by kind."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         bands, windows = _Dealt(buckets, 2, 2), _Dealt(buckets, 4, 3)
         for batch in batches:
             info: list[tuple] = []
             sets: list[np.ndarray] = []
             for rk, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_py()
-                for before, words in paragraphs(text):
-                    tokens = np.unique(window_hashes(words, setjoin.SHINGLE, known))
-                    info.append((rk, setjoin.set_key(tokens), before, len(words), len(tokens)))
+                raw = folded(value.as_py())
+                h, offsets = word_hashes(raw)
+                for before, part in paragraphs(raw, h, offsets):
+                    tokens = np.unique(window_hashes(part, setjoin.SHINGLE))
+                    info.append((rk, setjoin.set_key(tokens), before, len(part), len(tokens)))
                     sets.append(tokens)
-                words = text.encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split() if text else []
-                at, keys = anchored_windows(words, known)
+                at, keys = anchored_windows(h)
                 if len(at):
                     windows.add(keys, np.full(len(at), rk, np.int64), at)
                 if windows.full():
@@ -226,7 +222,7 @@ def paragraph_clusters(rows: DataFrame, found: DataFrame) -> DataFrame:
     labels = component_labels(setjoin.class_links(rows, classes, shared, paragraph_sets, banded=True))
     clusters = stored(classes.join(labels, classes["cls"] == labels["node"], "left").where(F.col("component").isNotNull() | F.col("copied"))
                       .select("cls", F.coalesce("component", "cls").alias("cluster")), "clusters")
-    return small_join(info, clusters, ["cls"], spread="rk").select("rk", "start", "n", "cluster").distinct()
+    return small_join(info, clusters, ["cls"]).select("rk", "start", "n", "cluster").distinct()
 
 
 def passage_spans(found: DataFrame, ids: DataFrame) -> DataFrame:
@@ -236,7 +232,7 @@ def passage_spans(found: DataFrame, ids: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("rk")))
     owners = stored(shared.groupBy("key").agg(first.alias("first"), F.min("rk").alias("lo"), F.max("rk").alias("hi")).where("lo <> hi")
                     .select("key", F.col("first.id").alias("owner"), F.col("first.rk").alias("owner_rk")), "owners")
-    placed = small_join(shared, owners, ["key"], spread="rk")
+    placed = small_join(shared, owners, ["key"])
     inside = Window.partitionBy("rk").orderBy("start")
     fresh = F.coalesce((F.col("start") > F.lag("start").over(inside) + SPAN) | (F.col("owner_rk") != F.lag("owner_rk").over(inside)), F.lit(True))
     islands = placed.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(inside))
@@ -260,7 +256,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = stored(paragraph_clusters(rows, found).join(ids, "rk"), "members")
     order = F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("start"), F.col("rk"))
     heads = stored(members.groupBy("cluster").agg(F.min(order).alias("head")), "heads")
-    named = small_join(members, heads, ["cluster"], spread="rk")
+    named = small_join(members, heads, ["cluster"])
     whole = named.select(F.col("id").alias(id_col), F.lit("paragraph").alias("kind"), F.col("start").alias("start_word"), F.col("n").alias("n_words"),
                          F.col("head.id").alias("cluster_id"), ~((F.col("head.rk") == F.col("rk")) & (F.col("head.start") == F.col("start"))))
     spans = passage_spans(found, ids).select(F.col("id").alias(id_col), F.lit("passage").alias("kind"), F.col("start").alias("start_word"),

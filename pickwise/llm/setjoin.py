@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pickwise.functions.components import component_labels
-from pickwise.llm.common import LOWER_ASCII, MIX_A, WordHashes, mix64, prepare, small_join, stored, window_hashes
+from pickwise.llm.common import MIX_A, folded, mix64, prepare, small_join, stored, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Similarity 100 * |r & s| >= 80 * |r | s|.
@@ -51,10 +51,9 @@ BLOCK = 512             # classes of a block
 CHUNK = 1 << 20         # signatures gathered before they are sent
 
 
-def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text; empty without words."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split() if text else []
-    return np.unique(window_hashes(words, SHINGLE, known))
+    return np.unique(window_hashes(word_hashes(folded(text))[0], SHINGLE))
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -183,11 +182,11 @@ def index(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """(documents, shared): per document id, n, cls, slack; and (sig, cls) of signatures with two classes or more."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, gather = WordHashes(), _Gather(buckets)
+        gather = _Gather(buckets)
         for batch in batches:
             info: list[tuple] = []
             for rk, ident, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = shingle_set(value.as_py(), known)
+                tokens = shingle_set(value.as_py())
                 n, slack, key = len(tokens), 0, set_key(tokens)
                 for i, band in enumerate(_bands(n) if n else ()):
                     sigs, weight = signatures(tokens, band)
@@ -246,20 +245,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, cut=None) -> DataFrame:
     """(cls, tokens) of the classes in ``wanted`` (a stored table of distinct ``cls``), from one row each.
 
-    ``cut(text, known)`` yields the sets of a row's text; by default its one shingle set."""
+    ``cut(text)`` yields the sets of a row's text; by default its one shingle set."""
     needed = stored(wanted.join(classes, "cls").groupBy(F.col("rep").alias("rk")).agg(F.collect_set("cls").alias("of")), "needed")
-    texts = small_join(rows.select("rk", "text"), needed, ["rk"], most=500_000).dropDuplicates(["rk"])
+    texts = small_join(rows.select("rk", "text"), needed, ["rk"], most=500_000)
     cut = cut or _whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        at_text, at_of = None, None
         for batch in batches:
             at_text, at_of = batch.schema.names.index("text"), batch.schema.names.index("of")
             keys, sets = [], []
             for value, of in zip(batch.column(at_text), batch.column(at_of).to_pylist(), strict=True):
                 left = set(of)
-                for tokens in cut(value.as_py(), known):
+                for tokens in cut(value.as_py()):
                     key = set_key(tokens)
                     if key in left:
                         left.remove(key)
@@ -267,11 +264,11 @@ def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, cut=None) ->
                         sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
-    return texts.mapInArrow(run, "cls long, tokens binary")
+    return texts.mapInArrow(run, "cls long, tokens binary").dropDuplicates(["cls"])
 
 
-def _whole(text: str | None, known: WordHashes) -> list[np.ndarray]:
-    return [shingle_set(text, known)]
+def _whole(text: str | None) -> list[np.ndarray]:
+    return [shingle_set(text)]
 
 
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) -> DataFrame:
@@ -290,37 +287,43 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) ->
     return stored(with_both.mapInArrow(run, "a long, b long"), "verified")
 
 
-def hub_pairs(weighted: DataFrame) -> DataFrame:
-    """One pair (hub, class) per class: the hub that shares most signatures with it.
-
-    A signature's hub is its class that shares most in all."""
-    score = weighted.groupBy("cls").agg(F.sum("g").alias("score"))
-    scored = weighted.join(score, "cls")
-    hubs = stored(scored.groupBy("sig").agg(F.max_by("cls", "score").alias("hub")), "hubs")
-    votes = small_join(weighted.select("sig", "cls"), hubs, ["sig"], spread="cls").where("hub <> cls").groupBy("hub", "cls").agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("cls").agg(F.max_by("hub", "votes").alias("hub")).select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
+def allocate(weighted: DataFrame, classes: DataFrame, banded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, probes): the (sig, cls) that each class still probes after its allocation, and all classes of those signatures.
 
+    A class gives up its most shared signatures as far as its slack goes. members:
+    (sig, cls, g, n, slack); probes: (sig, cls). ``banded``: signatures without a scheme,
+    every member probes."""
+    sized = stored(weighted.join(classes.select("cls", "n", "slack"), "cls"), "sized")
+    if banded:
+        return sized, sized.select("sig", "cls")
+    band = F.shiftright("sig", 1).bitwiseAND(F.lit(63))
+    own = sized.where(band == F.floor(F.log2("n") + 1e-9))
+    price = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, 2).otherwise(1)
+    spent = F.sum(price).over(Window.partitionBy("cls").orderBy(F.desc("g"), "sig").rowsBetween(Window.unboundedPreceding, 0))
+    probes = stored(own.withColumn("spent", spent).where("spent > slack").select("sig", "cls"), "probes")
+    active = stored(probes.select("sig").distinct(), "active")
+    return stored(small_join(sized, active, ["sig"]), "members"), probes
 
-def labelled(weighted: DataFrame, labels: DataFrame) -> DataFrame:
-    return weighted.join(labels, weighted["cls"] == labels["node"], "left").select("sig", "cls", "g", F.coalesce("component", "cls").alias("comp"))
 
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """One pair (hub, class) per class at most: the hub that shares most signatures with it.
 
-def open_probes(weighted: DataFrame, labels: DataFrame, classes: DataFrame, banded: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, probes) of signatures that still join different components, after the allocation.
+    A signature's hub is its class that shares most in all. Pairs whose sizes exclude a link,
+    or that share far too little for one, are left to the exact step."""
+    score = members.groupBy("cls").agg(F.sum("g").alias("score"))
+    hubs = stored(members.select("sig", "cls", "n").join(score, "cls").groupBy("sig").agg(
+        F.max_by(F.struct(F.col("cls").alias("hub"), F.col("n").alias("hn")), "score").alias("h")).select("sig", "h.hub", "h.hn"), "hubs")
+    near = small_join(members, hubs, ["sig"]).where((F.col("hub") != F.col("cls")) & (DEN * F.least("n", "hn") >= NUM * F.greatest("n", "hn")))
+    votes = near.groupBy("hub", "cls").agg(F.count(F.lit(1)).alias("votes"), F.max("slack").alias("slack")).where(2 * F.col("votes") > F.col("slack"))
+    return votes.groupBy("cls").agg(F.max_by("hub", "votes").alias("hub")).select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
 
-    ``banded``: the signatures carry no scheme, every member probes.
 
-    members: (sig, cls, comp, n, g); probes: the (sig, cls) among them that the allocation keeps."""
-    now = stored(labelled(weighted, labels), "labelled")
-    mixed = stored(now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"), "mixed")
-    members = stored(small_join(now, mixed, ["sig"], spread="cls").join(classes.select("cls", "n", "slack"), "cls"), "members")
-    if banded:
-        return members, members.select("sig", "cls", "n", "comp", "g")
-    band = F.shiftright("sig", 1).bitwiseAND(F.lit(63))
-    own = members.where(band == F.floor(F.log2("n") + 1e-9))
-    price = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, 2).otherwise(1)
-    spent = F.sum(price).over(Window.partitionBy("cls").orderBy(F.desc("g"), "sig").rowsBetween(Window.unboundedPreceding, 0))
-    return members, stored(own.withColumn("spent", spent).where("spent > slack").select("sig", "cls", "n", "comp", "g"), "probes")
+def still_open(members: DataFrame, probes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and probes of the signatures that still join different components, with ``comp``."""
+    named = stored(members.join(labels, members["cls"] == labels["node"], "left").select("sig", "cls", "g", "n", F.coalesce("component", "cls").alias("comp")), "named")
+    mixed = stored(named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"), "mixed")
+    left = stored(small_join(named, mixed, ["sig"]), "open")
+    return left, left.join(probes, ["sig", "cls"], "left_semi")
 
 
 def few_pairs(members: DataFrame, probes: DataFrame) -> DataFrame:
@@ -336,14 +339,14 @@ def family_links(members: DataFrame, probes: DataFrame, rows: DataFrame, classes
     crowded = stored(probes.where(F.col("g") > FEW).select("sig").distinct(), "crowded")
     if crowded.isEmpty():
         return None
-    inside = stored(small_join(members, crowded, ["sig"], spread="cls").select("sig", "cls", "comp"), "inside")
+    inside = stored(small_join(members, crowded, ["sig"]).select("sig", "cls", "comp"), "inside")
     tops = stored(inside.groupBy("sig").agg(F.min("cls").alias("top")), "tops")
-    ties = small_join(inside.select("sig", "cls"), tops, ["sig"], spread="cls").select(F.col("top").alias("a"), F.col("cls").alias("b"))
+    ties = small_join(inside.select("sig", "cls"), tops, ["sig"]).select(F.col("top").alias("a"), F.col("cls").alias("b"))
     family = component_labels(ties.where("a <> b"))
     placed = stored(inside.select("cls", "comp").distinct().join(family, F.col("cls") == F.col("node")).select("cls", "comp", F.col("component").alias("family")), "family")
     sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"))
     largest = stored(sizes.groupBy("family").agg(F.max_by("comp", "k").alias("main"), F.sum("k").alias("size")), "largest")
-    spread = stored(small_join(placed, largest, ["family"], spread="cls").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "spread")
+    spread = stored(small_join(placed, largest, ["family"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "spread")
     sets = sets_of(rows, classes, stored(spread.select("cls").distinct(), "wanted"), cut)
     full = spread.join(sets, "cls")
     home = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -404,7 +407,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
     names = named.groupBy("comp").agg(F.min("least").alias("name"))
     of_class = stored(named.join(names, "comp").select("cls", "name"), "names")
-    out = small_join(documents, of_class, ["cls"], "left", spread="rk")
+    out = small_join(documents, of_class, ["cls"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
 
@@ -412,9 +415,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def class_links(rows: DataFrame, classes: DataFrame, shared: DataFrame, cut=None, banded: bool = False) -> DataFrame:
     """Edges (a, b) between classes whose components are those of all links among classes that share signatures."""
     crowd = stored(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "crowd")
-    weighted = stored(small_join(shared, crowd, ["sig"], spread="cls"), "weighted")
-    edges = verified(stored(hub_pairs(weighted), "hub-pairs"), rows, classes, cut)
-    members, probes = open_probes(weighted, component_labels(edges), classes, banded)
-    found = edges.unionByName(verified(stored(few_pairs(members, probes), "few-pairs"), rows, classes, cut))
-    families = family_links(members, probes, rows, classes, cut)
+    members, probes = allocate(small_join(shared, crowd, ["sig"]), classes, banded)
+    edges = verified(stored(hub_pairs(members), "hub-pairs"), rows, classes, cut)
+    left, open_probes = still_open(members, probes, component_labels(edges))
+    open_probes = stored(open_probes, "open-probes")
+    found = edges.unionByName(verified(stored(few_pairs(left, open_probes), "few-pairs"), rows, classes, cut))
+    families = family_links(left, open_probes, rows, classes, cut)
     return found if families is None else found.unionByName(families)

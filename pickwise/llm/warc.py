@@ -65,7 +65,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     rows = base.withColumns({"payload_bytes": F.length(body).cast("long"), "__sha1": F.sha1(body)})
     several = (rows.where(F.col("payload_bytes") >= least_bytes).groupBy("__sha1")
                .agg(F.max(id_col).alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
-    joined = small_join(rows, stored(several, "digests"), ["__sha1"], "left", spread=id_col)
+    joined = small_join(rows, stored(several, "digests"), ["__sha1"], "left")
     revisit = F.col("__best").isNotNull() & (~F.col(id_col).eqNullSafe(F.col("__best")))
     return joined.select(*[F.col(f"`{c}`") for c in base.columns], "payload_bytes", base32(F.col("__sha1")).alias("payload_digest"),
                          F.when(revisit, "revisit").otherwise("response").alias("record_type"),
