@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwise.llm import bpe, decontam, html, langid, lines, passages, quality, setjoin, urls, warc
+from pickwise.llm import bpe, decontam, html, langid, lines, oracles, passages, quality, setjoin, urls, warc
 from pickwise.llm.common import table
 
 QUERIES: dict = {}
@@ -36,7 +36,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", oracles.quality_sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rule and adaptive thresholds per language and source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -49,16 +49,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op5_warc")
+@query("op5_warc", oracles.warc_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page as a WARC record, normalise the archives, read them back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-@query("op6_url_filter")
+@query("op6_url_filter", oracles.url_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for the URL of every page."""
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"]).drop("n_strict", "n_soft")
 
 
 @query("op7_language_id")
@@ -68,10 +68,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = langid.held_out(F.col("doc_id"))
     model = langid.fit(docs.where(~F.coalesce(held, F.lit(False))))
     out = langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model)
-    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op8_ngram_jaccard")
+@query("op8_ngram_jaccard", oracles.jaccard_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by the similarity of their 5-word shingles."""
     return setjoin.linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"))

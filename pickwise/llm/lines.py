@@ -86,6 +86,6 @@ trimmed AS (SELECT doc_id, text, site, pos, trim(line, ' ' || chr(9) || chr(13))
 spread AS (SELECT body FROM trimmed WHERE length(body) >= {min_chars} GROUP BY body HAVING count(DISTINCT site) >= {min_sites}),
 marks AS (SELECT doc_id, text, list(DISTINCT pos) AS gone, sum(length(body)) AS size FROM (SELECT DISTINCT doc_id, text, pos, body FROM trimmed SEMI JOIN spread USING (body)) GROUP BY doc_id, text),
 judged AS (SELECT parts.*, CASE WHEN size <= {max_share} * length(text) THEN gone END AS gone FROM parts LEFT JOIN marks USING (doc_id, text))
-SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(p, (x, i) -> NOT list_contains(gone, i)), chr(10)) END AS text,
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(p, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text,
        CAST(coalesce(len(p), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed
 FROM judged"""

@@ -244,7 +244,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, kind, start_word, n_words, cluster_id, removed): every repeated paragraph and passage.
 
     ``start_word`` counts the words before, over the whole text. ``cluster_id`` is the smallest
-    document id that has the paragraph or passage; ``removed`` is false for that one occurrence
+    document id of the paragraph's cluster, or that has the passage's windows (at a passage's
+    ends two documents may share a window that the first lacks); ``removed`` is false for that one occurrence
     (the first in its document) and true for the others. Null, empty and short texts give no
     rows; a paragraph repeated only inside one document is none of these. Rows equal in id and
     text are one document; a null id ranks after all others."""

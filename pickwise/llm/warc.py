@@ -246,13 +246,19 @@ def _members(archive: str, content: bytes, level: int, rows: int = 2_000, most:
         yield batch()
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(path, content) of the files below ``path``; with ``kind``, of that part of a normalised folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.where(F.col("path").contains(f"/kind={kind}/")) if kind else files
+
+
+def read_records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """(archive, type, id, target, refers_to, digest, payload_bytes, payload) of every record below ``path``.
 
     ``payload`` is the block after the HTTP head, null for revisits; ``payload_bytes`` is its
     size, for revisits the size that the HTTP head states."""
     prepare(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = _files(spark, path, kind)
     names = ["archive", "type", "id", "target", "refers_to", "digest", "payload_bytes", "payload"]
     kinds = [pa.string()] * 6 + [pa.int64(), pa.binary()]
 
@@ -282,7 +288,7 @@ def _batch(rows, names, kinds):
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Index rows (archive, offset, length, type, id, target, digest) of a normalised folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/kind=index").select("content")
+    files = _files(spark, path, "index").select("content")
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
     names = ["archive", "offset", "length", "type", "id", "target", "digest"]
 
@@ -314,7 +320,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = with_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col, least_bytes)
     write_archives(rows, f"{folder}/monolithic", id_col, url_col, payload_col)
     normalise(spark, f"{folder}/monolithic", f"{folder}/members")
-    found = read_records(spark, f"{folder}/members/kind=warc")
+    found = read_records(spark, f"{folder}/members", "warc")
     return found.select(_page(F.col("id")).alias(id_col), "payload_bytes",
                         F.when(F.col("payload").isNotNull(), base32(F.sha1("payload"))).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"),
                         F.col("type").alias("record_type"), _page(F.col("refers_to")).alias("refers_to"))
