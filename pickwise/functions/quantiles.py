@@ -6,9 +6,8 @@ non-null value (1-based).  Each round is two plain aggregates over all rows
 proposes probe values inside the current bracket, then exact counts
 #(x < c) and #(x <= c) of every probe decide: a probe with
 #(x < c) < k <= #(x <= c) *is* the answer (this settles heavy ties at once),
-otherwise the bracket shrinks to the probes around rank k.  When at most
-``collect_limit`` values remain inside a bracket, only those values reach the
-driver.  No task ever holds a whole column.
+otherwise the bracket shrinks to the probes around rank k.  Only probes and
+counts reach the driver; no task ever holds a whole column.
 """
 
 from __future__ import annotations
@@ -29,8 +28,7 @@ def _in_bracket(c, lo, hi):
     return cond
 
 
-def kth_smallest(df: DataFrame, ks: dict[str, int], collect_limit: int = 200_000,
-                 accuracy: int = 10_000, max_rounds: int = 30) -> dict[str, float | None]:
+def kth_smallest(df: DataFrame, ks: dict[str, int], accuracy: int = 10_000, max_rounds: int = 30) -> dict[str, float | None]:
     """k-th smallest non-null value per column (k is 1-based; None if k is out of range)."""
     cols = list(ks)
     if not cols:
@@ -38,12 +36,12 @@ def kth_smallest(df: DataFrame, ks: dict[str, int], collect_limit: int = 200_000
     # several passes below: keep only the needed columns, once (recomputed if an executor is lost)
     data = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _kth(data, cols, ks, collect_limit, accuracy, max_rounds)
+        return _kth(data, cols, ks, accuracy, max_rounds)
     finally:
         data.unpersist()
 
 
-def _kth(data, cols, ks, collect_limit, accuracy, max_rounds):
+def _kth(data, cols, ks, accuracy, max_rounds):
     counts = data.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     result: dict[str, float | None] = {}
     for c in cols:
@@ -52,16 +50,7 @@ def _kth(data, cols, ks, collect_limit, accuracy, max_rounds):
     # bracket (lo, hi] holding the answer; `below` = #(x <= lo); `inside` = #(lo < x <= hi)
     state = {c: [None, None, 0, counts[c]] for c in cols if c not in result}
     for _ in range(max_rounds):
-        todo = [c for c in state if c not in result]
-        if not todo:
-            break
-        small = [c for c in todo if state[c][3] <= collect_limit]
-        if small:
-            row = data.agg(*[F.sort_array(F.collect_list(F.when(_in_bracket(c, state[c][0], state[c][1]), F.col(c))))
-                             .alias(c) for c in small]).first().asDict()
-            for c in small:
-                result[c] = row[c][ks[c] - state[c][2] - 1]
-        big = [c for c in todo if c not in result]
+        big = [c for c in state if c not in result]
         if not big:
             break
         probes = {}

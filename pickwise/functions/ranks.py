@@ -1,41 +1,32 @@
 """Global 0-based ranks without an unpartitioned window.
 
-``orderBy`` range-partitions the rows over many tasks; each task numbers its
-own rows in order (``mapInPandas`` keeps partition order); the per-partition
-row counts (one small number per partition) become offsets on the driver and
-return through a broadcast join.  The order columns must be unique so that a
-recomputation yields the same ranks.
+``orderBy`` range-partitions the rows over many tasks; ``monotonically_increasing_id``
+numbers each task's rows in order (partition in the high bits, row in the low 33).
+The numbered rows are checkpointed, so a lost executor cannot renumber them; the
+per-partition row counts (one small number per partition) become offsets on the
+driver and return as a map literal.  All of it stays in the JVM.  The order columns
+must be unique so that ranks are reproducible.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from pickwise.session import ensure_checkpoint_dir
 
 
 def global_rank(df: DataFrame, order_cols, rank_col: str = "rank") -> DataFrame:
     """Add ``rank_col`` (BIGINT, 0-based) = position of the row in ``order_cols`` order."""
-    ordered = df.orderBy(*order_cols).withColumn("__pid", F.spark_partition_id())
-    schema = T.StructType(ordered.schema.fields + [T.StructField("__local", T.LongType(), False)])
-
-    def number(batches):
-        seen = 0
-        for pdf in batches:
-            n = len(pdf)
-            pdf = pdf.assign(__local=range(seen, seen + n))
-            seen += n
-            yield pdf
-
-    numbered = ordered.mapInPandas(number, schema).persist()
-    counts = sorted((r["__pid"], r["n"]) for r in numbered.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets = ([0] + list(accumulate(n for _, n in counts)))[:len(counts)]
     spark = df.sparkSession
-    off = spark.createDataFrame(pd.DataFrame({"__pid": [p for p, _ in counts], "__off": offsets}),
-                                "__pid int, __off long")
-    return (numbered.join(F.broadcast(off), "__pid")  # one row per partition
-            .withColumn(rank_col, F.col("__off") + F.col("__local"))
-            .drop("__pid", "__off", "__local"))
+    ensure_checkpoint_dir(spark)
+    numbered = df.orderBy(*order_cols).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__id", 33)
+    counts = sorted((r["p"], r["n"]) for r in numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = [0, *accumulate(n for _, n in counts)]
+    offsets = spark.createDataFrame([(p, off) for (p, _), off in zip(counts, before)], "__part long, __off long")
+    return (numbered.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # one row per partition
+            .withColumn(rank_col, F.col("__off") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("__part", "__off", "__id"))

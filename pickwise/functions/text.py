@@ -68,9 +68,6 @@ CRITIQUE_USER = ("The following is a math problem and a solution (split into par
                  "Please put your final answer (i.e., the index) in \\boxed{}.")
 # ---------------------------------------------------------------------------
 
-BOXED_BODY = r"((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)"  # nested braces, depth <= 3
-
-
 def strip_ws(c) -> Column:
     """Python str.strip(): remove leading and trailing whitespace (spaces, tabs, newlines)."""
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
@@ -95,9 +92,28 @@ def extract_letter(c, n_options: int = 4, mode: str = "loose") -> Column:
 
 
 def extract_boxed(c) -> Column:
-    """Content of the last \\boxed{...} (nested braces up to depth 3), NULL if none."""
-    all_ = F.regexp_extract_all(col(c), F.lit(r"\\boxed\{" + BOXED_BODY + r"\}"), 1)
-    return F.when(F.size(all_) > 0, F.element_at(all_, -1))
+    """Content of the last \\boxed{...} whose braces balance, at any depth; NULL if none.
+
+    The reply is cut into braces, ``\\boxed{`` and the plain runs between them, and folded with
+    a stack of open braces: the balanced box that closes last is the answer. No recursive
+    pattern, so length and depth are not limited."""
+    c = col(c)
+    pieces = F.regexp_extract_all(c, F.lit(r"\\boxed\{|[{}]|[^{}\\]+|\\"), F.lit(0))
+    opened = "array<struct<boxed:boolean,at:int>>"
+    start = F.struct(F.array().cast(opened).alias("open"), F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def step(s, piece):
+        boxed, opens, closes = piece == "\\boxed{", piece.isin("\\boxed{", "{"), (piece == "}") & (F.size(s["open"]) > 0)
+        top = F.get(s["open"], F.size(s["open"]) - 1)
+        found = closes & top["boxed"]
+        stack = (F.when(opens, F.concat(s["open"], F.array(F.struct(boxed.alias("boxed"), s["at"].alias("at")))))
+                 .when(closes, F.slice(s["open"], 1, F.size(s["open"]) - 1)).otherwise(s["open"]))
+        return F.struct(stack.alias("open"), (s["at"] + 1).alias("at"), F.when(found, top["at"]).otherwise(s["first"]).alias("first"),
+                        F.when(found, s["at"]).otherwise(s["last"]).alias("last"))
+
+    end = F.aggregate(pieces, start, step)
+    body = F.array_join(F.slice(pieces, end["first"] + 2, end["last"] - end["first"] - 1), "")
+    return F.when(c.contains("\\boxed{"), F.when(end["first"] >= 0, body))
 
 
 def normalize_answer(c) -> Column:
@@ -146,7 +162,7 @@ def parse_critique(c) -> Column:
     """Last \\boxed{<int>}: -1 -> 1.0 (no error found), any other index -> 0.0, none -> NULL."""
     allm = F.regexp_extract_all(col(c), F.lit(r"\\boxed\{(-?\d+)\}"), 1)
     last = F.element_at(allm, -1)
-    return F.when(F.size(allm) > 0, F.when(last.cast("int") == -1, 1.0).otherwise(0.0))
+    return F.when(F.size(allm) > 0, F.when(last.rlike("^-0*1$"), 1.0).otherwise(0.0))
 
 
 def choices_text(options) -> Column:

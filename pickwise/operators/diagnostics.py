@@ -131,12 +131,12 @@ def _nll(df, p1, eps=1e-6):
 def likelihood_gain(df: DataFrame, p1: str = "p1", eps: float = 1e-6) -> DataFrame:
     """Per-sample NLL of p1 (clipped) minus the entropy of the problem's mean label (clipped);
     returns the averages (nll, gain) over all samples."""
-    per = df.groupBy("problem_id").agg(F.avg("y").alias("__m"))
+    # sums per problem are enough: one partial aggregate, no join back to the samples
+    nll = _nll(df, p1, eps)
+    per = df.groupBy("problem_id").agg(F.avg("y").alias("__m"), F.sum(nll).alias("__s"), F.count(nll).alias("__n"))
     m = F.least(F.greatest(F.col("__m"), F.lit(eps)), F.lit(1 - eps))
     ent = -(m * F.ln(m) + (F.lit(1.0) - m) * F.ln(F.lit(1.0) - m))
-    j = df.join(per.select("problem_id", ent.alias("__h")), "problem_id")
-    nll = _nll(j, p1, eps)
-    return j.agg(F.avg(nll).alias("nll"), F.avg(nll - F.col("__h")).alias("gain"))
+    return per.agg((F.sum("__s") / F.sum("__n")).alias("nll"), (F.sum(F.col("__s") - ent * F.col("__n")) / F.sum("__n")).alias("gain"))
 
 
 def top_nll(df: DataFrame, p1: str = "p1", eps: float = 1e-6) -> DataFrame:

@@ -1,11 +1,8 @@
 """Selection and evaluation metrics (per problem, then averaged).
 
-Per-problem choices are aggregates, not ranking windows: the highest score per
-problem is a hash aggregate, the chosen row is the lowest sample_idx reaching it
-(``min_by`` on primitive keys after a shuffled-hash join of the maxima), so a
-problem with millions of samples is reduced map-side and nothing is sorted.
-Secondary reports that pick one row per (verifier, problem) use ``max_by`` with a
-struct key ``(score, -sample_idx)``.
+Per-problem choices are aggregates, not ranking windows: the chosen row is the maximum
+of a struct ``(score, -sample_idx, ...)``, so a problem with millions of samples is
+reduced where its rows lie and only one partial row per problem and task is shuffled.
 """
 
 from __future__ import annotations
@@ -29,37 +26,40 @@ def _top_key(score):
 
 def _metric_table(scored: DataFrame, score: str, by, top1: bool = True, sample: bool = True,
                   prediction: bool = True) -> DataFrame:
-    """Per problem, with hash aggregates only (no sort, codegen-friendly):
+    """Per problem, in one grouped aggregate with partial aggregation.
 
-    1. per-problem maxima of p1 and of max(p0, p1) (one hash aggregate);
-    2. shuffled-hash join of those maxima back to the rows (the aggregate side is the small
-       build side; AQE splits a skewed row side);
-    3. one hash aggregate: the lowest sample_idx among the rows reaching each maximum and its
-       label / class via ``min_by`` on primitive keys, plus the sample counts.
-    """
+    The chosen row is the maximum of a struct (score, -sample_idx, payload): every task sends one
+    partial row per problem, so a problem that holds a third of all samples is combined where
+    its rows lie and no row is shuffled or joined back.  A problem without any score has no
+    chosen row."""
     by = list(by)
     p1 = F.col(score)
     p0 = F.lit(1.0) - p1
     s = scored.select(*by, "sample_idx", "y", p1.alias("__p1"), F.greatest(p0, p1).alias("__best"),
                       F.when(p1 > p0, 1).otherwise(0).alias("__cls"))
-    m = s.groupBy(*by).agg(F.max("__p1").alias("__m1"), F.max("__best").alias("__m2"))
-    j = s.join(m.hint("shuffle_hash"), by)
-    idx = F.col("sample_idx")
-    t_idx = F.when(F.col("__p1") == F.col("__m1"), idx)
-    p_idx = F.when(F.col("__best") == F.col("__m2"), idx)
     pred, y = F.col("__cls") == 1, F.col("y")
+
+    def best(value, *payload):
+        return F.max(F.when(F.col(value).isNotNull(), F.struct(
+            F.col(value).alias("value"), (-F.col("sample_idx")).alias("back"), *[F.col(c) for c in payload])))
+
     aggs = [F.max("y").alias("has_positive")]
     if top1:
-        aggs += [F.min(t_idx).alias("top1_idx"), F.min_by("y", t_idx).alias("top1_label")]
+        aggs.append(best("__p1", "y").alias("__top"))
     if sample:
         aggs += [F.avg(flag(pred == (y == 1))).alias("sample_accuracy"),
                  F.count_if(pred & (y == 1)).alias("sample_tp"), F.count_if(~pred & (y == 0)).alias("sample_tn"),
                  F.count_if(pred & (y == 0)).alias("sample_fp"), F.count_if(~pred & (y == 1)).alias("sample_fn"),
                  F.count(F.lit(1)).alias("num_samples"), F.avg("y").alias("class_balance")]
     if prediction:
-        aggs += [F.min(p_idx).alias("prediction_idx"), F.min_by("__cls", p_idx).alias("prediction_class"),
-                 F.min_by("y", p_idx).alias("__plab")]
-    return j.groupBy(*by).agg(*aggs)
+        aggs.append(best("__best", "__cls", "y").alias("__pre"))
+    t = s.groupBy(*by).agg(*aggs)
+    out = [F.col(c) for c in t.columns if c not in ("__top", "__pre")]
+    if top1:
+        out += [(-F.col("__top.back")).alias("top1_idx"), F.col("__top.y").alias("top1_label")]
+    if prediction:
+        out += [(-F.col("__pre.back")).alias("prediction_idx"), F.col("__pre.__cls").alias("prediction_class"), F.col("__pre.y").alias("__plab")]
+    return t.select(*out)
 
 
 def _top1_cols():

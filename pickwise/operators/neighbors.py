@@ -135,9 +135,7 @@ def exact_knn_distinct(test: DataFrame, train: DataFrame, k: int, vec: str, id_c
     result = [top.join(done, "test_id", "left_semi")]
     todo = te_c.join(done, "test_id", "left_anti").join(stat, "test_id", "left")
     radius = 2
-    for _ in range(64):
-        if todo.limit(1).count() == 0:
-            break
+    while todo.limit(1).count():  # the radius doubles until the whole grid is covered
         # radius per coordinate: enough cells to cover r_k, or a doubled guess when < k were found
         enough = F.col("__found") >= k
         pts = todo

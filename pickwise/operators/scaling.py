@@ -27,10 +27,15 @@ def _first_k(df, k):
 
 def oracle_logistic(df: DataFrame, verifiers, ks) -> DataFrame:
     """(k, accuracy): logistic regression (balanced, C=1) fitted on all rows of the first k
-    samples, selection accuracy of its top sample per problem."""
+    samples, selection accuracy of its top sample per problem; that class's value when all labels
+    of the first k samples are one class."""
     parts = []
     for k in ks:
         d = _first_k(df, k)
+        low, high = d.agg(F.min("y"), F.max("y")).first()
+        if low == high:  # one label class: every choice is that class
+            parts.append(d.sparkSession.createDataFrame([(k, None if low is None else float(low))], "k int, accuracy double"))
+            continue
         s = logistic_score(d, logistic_fit(d, verifiers), verifiers)
         parts.append(select_top1(s).agg(F.lit(k).alias("k"), F.avg("top1_label").alias("accuracy")))
     return reduce(DataFrame.unionByName, parts)

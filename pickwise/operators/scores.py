@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.columns import safe_div, series_udf
+from pickwise.functions.joins import join_back
 from pickwise.functions.quantiles import kth_smallest
 from pickwise.functions.ranks import global_rank
 
@@ -59,17 +60,13 @@ def normalize_gate(df: DataFrame, verifiers, scope: str = "all_problems") -> Dat
     """Long table (scope keys, verifier, lo, hi, n, n_nondiscrete, action)."""
     by = ["problem_id"] if scope == "per_problem" else []
     st = gate_stats(df, verifiers, by)
-    rows = []
-    for v in verifiers:
-        rows.append(st.select(
-            *[F.col(b) for b in by], F.lit(v).alias("verifier"),
-            F.col(f"{v}__min").alias("lo"), F.col(f"{v}__max").alias("hi"),
-            F.col(f"{v}__n").alias("n"), F.col(f"{v}__nd").alias("n_nondiscrete"),
-            F.when(F.col(f"{v}__n") == 0, "skip_missing")
-             .when(F.col(f"{v}__nd") == 0, "skip_discrete")
-             .when((F.col(f"{v}__min") >= 0) & (F.col(f"{v}__max") <= 1), "skip_in_range")
-             .otherwise("normalize").alias("action")))
-    return reduce(DataFrame.unionByName, rows)
+    # one pass over the statistics: each row opens into V verifier rows
+    each = F.explode(F.array(*[F.struct(
+        F.lit(v).alias("verifier"), F.col(f"{v}__min").cast("double").alias("lo"), F.col(f"{v}__max").cast("double").alias("hi"),
+        F.col(f"{v}__n").alias("n"), F.col(f"{v}__nd").alias("n_nondiscrete")) for v in verifiers]))
+    action = (F.when(F.col("n") == 0, "skip_missing").when(F.col("n_nondiscrete") == 0, "skip_discrete")
+              .when((F.col("lo") >= 0) & (F.col("hi") <= 1), "skip_in_range").otherwise("normalize"))
+    return st.select(*by, each.alias("s")).select(*by, "s.*").withColumn("action", action)
 
 
 # ---------------------------------------------------------------------------
@@ -111,7 +108,7 @@ def minmax_per_problem(df: DataFrame, verifiers) -> DataFrame:
     per = per.select("problem_id", *[F.col(c).alias("p_" + c) for c in per.columns if c != "problem_id"])
     g = df.agg(*[F.min(v).alias(f"{v}__min") for v in verifiers],
                *[F.max(v).alias(f"{v}__max") for v in verifiers]).first().asDict()
-    j = df.join(per, "problem_id")
+    j = join_back(df, per, "problem_id")
     exprs = {}
     for v in verifiers:
         mn, mx = F.col(f"p_{v}__min"), F.col(f"p_{v}__max")
@@ -229,7 +226,7 @@ def fill_missing(df: DataFrame, verifiers, how="zero") -> DataFrame:
         return df.fillna(0.0, subset=list(verifiers))
     per = df.groupBy("problem_id").agg(*[F.avg(v).alias(f"__m_{v}") for v in verifiers])
     g = df.agg(*[F.avg(v).alias(v) for v in verifiers]).first().asDict()
-    j = df.join(per, "problem_id")
+    j = join_back(df, per, "problem_id")
     exprs = {v: F.coalesce(F.col(v), F.col(f"__m_{v}"), F.lit(g[v]).cast("double")) for v in verifiers}
     fb = reduce(lambda a, b: a | b, [F.col(v).isNull() & F.col(f"__m_{v}").isNull() for v in verifiers])
     return j.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns],
@@ -256,27 +253,29 @@ def preprocess_score(df: DataFrame, verifier: str, threshold: float | None = Non
 # 29 smooth, 30 interpolate
 
 def smooth_scores(df: DataFrame, verifiers, w: int = 3) -> DataFrame:
-    """Moving average over sample_idx, zero padded, always divided by w (np.convolve 'same').
+    """Moving average over a problem's samples in sample_idx order, zero padded, always divided
+    by w (np.convolve 'same'); gaps in sample_idx do not count, only positions do.
 
     Each row is sent to the w targets whose window contains it and summed by
-    (problem_id, target) - a key that is unique per sample, so a huge problem
+    (problem_id, rank) - a key that is unique per sample, so a huge problem
     spreads over all tasks.  A NULL inside the window makes the result NULL.
     """
     left = w // 2
     right = (w - 1) - left
+    df = global_rank(df, ["problem_id", "sample_idx"], "__at")  # neighbours of a problem have neighbouring ranks
     # row j contributes to targets j + o for o in [-right, left]
-    spread = (df.select("problem_id", "sample_idx", *[F.col(v) for v in verifiers],
+    spread = (df.select("problem_id", "__at", *[F.col(v) for v in verifiers],
                         F.explode(F.sequence(F.lit(-right), F.lit(left))).alias("__o"))
-              .select("problem_id", (F.col("sample_idx") + F.col("__o")).alias("sample_idx"),
+              .select("problem_id", (F.col("__at") + F.col("__o")).alias("__at"),
                       *[F.col(v) for v in verifiers]))
-    agg = spread.groupBy("problem_id", "sample_idx").agg(
+    agg = spread.groupBy("problem_id", "__at").agg(
         F.count(F.lit(1)).alias("__cnt"),
         *[F.sum(v).alias(f"__s_{v}") for v in verifiers],
         *[F.count(v).alias(f"__n_{v}") for v in verifiers])
-    j = df.join(agg, ["problem_id", "sample_idx"], "left")
+    j = df.join(agg, ["problem_id", "__at"], "left")
     exprs = {v: F.when(F.col(f"__n_{v}") < F.col("__cnt"), F.lit(None).cast("double"))
              .otherwise(F.col(f"__s_{v}") / F.lit(float(w))) for v in verifiers}
-    return _replace(j, exprs, drop=set(agg.columns[2:]))
+    return _replace(j, exprs, drop={*agg.columns[2:], "__at"})
 
 
 def interpolate_missing(df: DataFrame, verifiers) -> DataFrame:
@@ -434,13 +433,12 @@ def vote_check(df: DataFrame, verifiers, shifted: bool = False) -> DataFrame:
     """Verifiers whose votes leave {-1,0,1} ({0,1,2} after the +1 shift), or that do not
     have exactly two distinct values (naive Bayes), with counts."""
     allowed = (0.0, 1.0, 2.0) if shifted else DISCRETE
-    rows = []
-    for v in verifiers:
-        c = F.col(v)
-        rows.append(df.agg(F.lit(v).alias("verifier"),
-                           F.count_if(c.isNotNull() & ~c.isin(*allowed)).alias("n_outside"),
-                           F.count_distinct(c).alias("n_distinct")))
-    out = reduce(DataFrame.unionByName, rows)
+    # one scan: values are counted per (verifier, value) in every task, then per verifier
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("verifier"), F.col(v).cast("double").alias("score")) for v in verifiers]))
+    values = df.select(each.alias("s")).select("s.*").groupBy("verifier", "score").agg(F.count(F.lit(1)).alias("k"))
+    out = values.groupBy("verifier").agg(
+        F.coalesce(F.sum(F.when(F.col("score").isNotNull() & ~F.col("score").isin(*allowed), F.col("k"))), F.lit(0)).alias("n_outside"),
+        F.count("score").alias("n_distinct"))
     return out.filter((F.col("n_outside") > 0) | (F.col("n_distinct") != 2))
 
 
@@ -452,7 +450,8 @@ def majority_verifier(df: DataFrame, answer_col: str = "answer", out: str = "mv_
     cnt = d.groupBy("problem_id", "__ans").agg(F.count(F.lit(1)).alias("__c"))
     rng = cnt.groupBy("problem_id").agg(F.min("__c").alias("__mn"), F.max("__c").alias("__mx"),
                                         F.count(F.lit(1)).alias("__k"))
-    j = d.join(cnt, ["problem_id", "__ans"]).join(rng, "problem_id")
+    # counts and their range meet on the small side; the samples are joined once
+    j = join_back(d, cnt.join(rng, "problem_id"), ["problem_id", "__ans"])
     score = (F.when((F.col("__k") == 1) | (F.col("__mn") == F.col("__mx")), F.lit(1.0))
              .otherwise((F.col("__c") - F.col("__mn")).cast("double") / (F.col("__mx") - F.col("__mn"))))
     return j.select(*[F.col(c) for c in df.columns], score.alias(out))

@@ -2,8 +2,9 @@
 
 The model itself is outside this package (GPU inference is not built); a scorer
 is a Python callable ``scorer(instructions, responses) -> list of scores`` that
-each task calls on its own Arrow batches, cut into ``batch`` rows.  A failing
-call gives NULL for its whole batch; for scalar scorers a NULL score becomes
+each task calls on its own Arrow batches, cut into ``batch`` rows.  The rows of a
+failing call are tried again one by one and only those that fail alone get NULL, so
+the result does not depend on how rows were cut; for scalar scorers a NULL score becomes
 0.0, process scorers (``kind='process'``) keep NULL.  No shuffle: the scores
 stay aligned with their rows.
 """
@@ -24,13 +25,9 @@ def score_batch(df: DataFrame, scorer, out: str, batch: int = 64, kind: str = "s
             scores = []
             for start in range(0, len(pdf), batch):
                 chunk = pdf.iloc[start:start + batch]
-                try:
-                    got = list(scorer(chunk[instruction].tolist(), chunk[response].tolist()))
-                    if len(got) != len(chunk):
-                        raise ValueError("scorer returned a wrong number of scores")
-                except Exception:  # noqa: BLE001 - a failed batch yields NULL scores
-                    got = [None] * len(chunk)
-                scores.extend(got)
+                asked = list(zip(chunk[instruction].tolist(), chunk[response].tolist()))
+                got = _call(scorer, asked)
+                scores.extend(got if got is not None else [(_call(scorer, [one]) or [None])[0] for one in asked])
             s = pd.Series(scores, dtype="float64")
             if kind == "scalar":
                 s = s.fillna(0.0)
@@ -39,6 +36,15 @@ def score_batch(df: DataFrame, scorer, out: str, batch: int = 64, kind: str = "s
     return df.mapInPandas(run, schema)
 
 
+def _call(scorer, pairs):
+    """Scores of (instruction, response) pairs, None if the call fails or returns another number of scores."""
+    try:
+        got = list(scorer([a for a, _ in pairs], [b for _, b in pairs]))
+    except Exception:  # noqa: BLE001 - any failure of the scorer means no score
+        return None
+    return got if len(got) == len(pairs) else None
+
+
 def score_many(df: DataFrame, scorers: dict, batch: int = 64, kinds: dict | None = None,
                instruction: str = "instruction", response: str = "response") -> DataFrame:
     """One score column per scorer, chained (each is a narrow mapInPandas: no shuffle)."""

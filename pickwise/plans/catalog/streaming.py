@@ -19,24 +19,28 @@ from pickwise.sources.fixtures import f1
 from pickwise.streaming.scoring import score_stream
 
 
+def _to_files(spark, rows, root):
+    """Run a stream to its end in append mode into Parquet files below ``root``; the files read back."""
+    query = (rows.writeStream.format("parquet").option("path", os.path.join(root, "out"))
+             .option("checkpointLocation", os.path.join(root, "checkpoint")).outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(os.path.join(root, "out"))
+
+
 @register("stream_naive_bayes", sql=f"WITH {_votes_sql(FLAG)}, prm AS ({Q.nb_params('b', FLAG)}), s AS ({Q.nb_p1('b', 'prm', FLAG)}) "
           "SELECT problem_id, sample_idx, round(p1, 6) AS p1 FROM s")
 def stream_naive_bayes(spark, sf):
     """Fit on the batch table, then score the same rows arriving as a file stream (the score
     table written once to the shared checkpoint folder); run to completion with an
-    available-now trigger into a memory sink and return that table."""
+    available-now trigger into a file sink and read that back."""
     base = f1(spark, sf).select("problem_id", "sample_idx", "y", *FLAG)
     stats = gate_stats(base, FLAG).first().asDict()
     params = nb_fit(weak_votes(base, FLAG), FLAG)
     root = os.path.join(ensure_checkpoint_dir(spark), "pickwise-stream", uuid.uuid4().hex)
     base.write.mode("overwrite").parquet(os.path.join(root, "source"))
     stream = spark.readStream.schema(base.schema).parquet(os.path.join(root, "source"))
-    name = "pickwise_stream_" + uuid.uuid4().hex[:8]
-    q = (score_stream(stream, stats, params, FLAG).writeStream.format("memory").queryName(name)
-         .option("checkpointLocation", os.path.join(root, "checkpoint")).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name).select("problem_id", "sample_idx", r6("p1", "p1"))
+    scored = score_stream(stream, stats, params, FLAG)
+    return _to_files(spark, scored, root).select("problem_id", "sample_idx", r6("p1", "p1"))
 
 
 @register("stream_windowed_selection", fixtures=(), sql="""
@@ -61,13 +65,13 @@ def stream_windowed_selection(spark, sf):
         # the naive ship time read as a UTC instant (independent of the session time zone)
         F.to_timestamp(F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")),
                        "yyyy-MM-dd HH:mm:ss Z").alias("ts"))
+    # a closing row far ahead moves the watermark past every real window; its own window never closes
+    closing = src.agg(F.expr("max(ts) + INTERVAL 30 DAYS").alias("ts")).select(
+        F.lit(None).cast("bigint").alias("problem_id"), F.lit(None).cast("int").alias("sample_idx"), F.lit(0).alias("y"),
+        F.lit(None).cast("double").alias("p1"), "ts")
+    src = src.unionByName(closing)
     root = os.path.join(ensure_checkpoint_dir(spark), "pickwise-stream", uuid.uuid4().hex)
     src.write.mode("overwrite").parquet(os.path.join(root, "source"))
     stream = spark.readStream.schema(src.schema).parquet(os.path.join(root, "source"))
-    name = "pickwise_win_" + uuid.uuid4().hex[:8]
-    q = (windowed_selection(stream, "ts", "1 day", "1 day").writeStream.format("memory").queryName(name)
-         .option("checkpointLocation", os.path.join(root, "checkpoint")).outputMode("complete")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name).select(F.unix_seconds(F.col("window.start")).alias("window_start"), "problem_id",
+    return _to_files(spark, windowed_selection(stream, "ts", "1 day", "1 day"), root).select(F.unix_seconds(F.col("window.start")).alias("window_start"), "problem_id",
                                     F.col("top1_idx").cast("int").alias("top1_idx"), "top1_label", "n_samples")

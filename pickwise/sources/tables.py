@@ -231,10 +231,10 @@ def dev_set(lines: DataFrame, scores: DataFrame, n_samples: int, labels: DataFra
     parsed = (lines.filter(F.trim(F.col("value")) != "")
               .select("line_no", parts.alias("p"))
               .select("line_no",
-                      F.when(F.size("p") == 2, F.col("p")[0].cast("bigint"))
-                       .otherwise((F.col("p")[0].cast("bigint") / F.lit(n_samples)).cast("bigint")).alias("problem_id"),
-                      F.when(F.size("p") == 2, F.col("p")[1].cast("int"))
-                       .otherwise(F.pmod(F.col("p")[0].cast("bigint"), F.lit(n_samples)).cast("int")).alias("sample_idx")))
+                      F.when(F.size("p") == 2, F.col("p")[0].try_cast("bigint"))
+                       .otherwise((F.col("p")[0].try_cast("bigint") / F.lit(n_samples)).cast("bigint")).alias("problem_id"),
+                      F.when(F.size("p") == 2, F.col("p")[1].try_cast("int"))
+                       .otherwise(F.pmod(F.col("p")[0].try_cast("bigint"), F.lit(n_samples)).cast("int")).alias("sample_idx")))
     j = parsed.join(scores.select("problem_id", "sample_idx", "y"), ["problem_id", "sample_idx"])
     if labels is not None:
         j = j.join(labels, "line_no", "left").withColumn("dev_label", F.coalesce("dev_label", "y"))

@@ -127,3 +127,20 @@ def test_mixture_of_experts_runs_and_scores(spark):
     acc = M.select_top1(s).agg(F.avg("top1_label")).first()[0]
     base = d.filter(F.col("sample_idx") == 0).agg(F.avg("y")).first()[0]
     assert acc > base  # the learned scorer beats taking the first sample
+
+
+def test_boxed_answer_at_any_depth_and_length(spark):
+    deep = "x"
+    for _ in range(20):
+        deep = "{" + deep + "}"
+    long = "y" * 100_000
+    rows = [(1, "a \\boxed{1} b \\boxed{2}"), (2, f"\\boxed{{{deep}}}"), (3, f"\\boxed{{{long}}} end"), (4, "\\boxed{ open \\boxed{in}"), (5, "\\boxed{never"),
+            (6, "\\boxed{a \\boxed{b} c}"), (7, None), (8, ""), (9, "} \\boxed{\\frac{1}{2}} {"), (10, "\\boxed{}"), (11, "{}" * 20_000 + "\\boxed{z}")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r["id"]: r["b"] for r in df.select("id", TX.extract_boxed("t").alias("b")).collect()}
+    assert got == {1: "2", 2: deep, 3: long, 4: "in", 5: None, 6: "a \\boxed{b} c", 7: None, 8: None, 9: "\\frac{1}{2}", 10: "", 11: "z"}
+
+
+def test_critique_index_beyond_any_integer(spark):
+    df = spark.createDataFrame([("\\boxed{99999999999999999999}",), ("\\boxed{-1}",), ("none",)], "t string")
+    assert [r["v"] for r in df.select(TX.parse_critique("t").alias("v")).collect()] == [0.0, 1.0, None]
