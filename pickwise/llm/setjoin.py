@@ -21,9 +21,9 @@ pair is lost.
 Links. Only connectivity is asked for, so classes that share signatures are first compared
 with a hub (the class that shares most); what that connects needs no further comparison.
 What remains between different components is compared exactly: pairs where few classes
-share a signature; where many do (a family of near copies), the members outside the
-family's largest component are compared with all members, in blocks of bounded size, of
-which only linking edges come back. Hubs, blocks and slack change the cost only: the
+share a signature; where many do (a family of near copies), the members that probe, or
+those outside the family's largest component, are compared with all members, in blocks of
+bounded size, of which only linking edges come back. Hubs, blocks and slack change the cost only: the
 components are those of all links.
 """
 
@@ -335,24 +335,54 @@ def few_pairs(members: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def family_links(members: DataFrame, probes: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) -> DataFrame | None:
-    """Links of crowded signatures: all members of a family against those outside its largest component."""
+    """Links of crowded signatures, inside families (classes tied together by them).
+
+    Only classes that have enough of their tokens in common with others at all are kept. Of
+    a family, either its probing classes or those outside its largest component, whichever
+    are fewer, meet all of it: every link that could join two components has such an end."""
     crowded = stored(probes.where(F.col("g") > FEW).select("sig").distinct(), "crowded")
     if crowded.isEmpty():
         return None
-    inside = stored(small_join(members, crowded, ["sig"]).select("sig", "cls", "comp"), "inside")
-    tops = stored(inside.groupBy("sig").agg(F.min("cls").alias("top")), "tops")
-    ties = small_join(inside.select("sig", "cls"), tops, ["sig"]).select(F.col("top").alias("a"), F.col("cls").alias("b"))
-    family = component_labels(ties.where("a <> b"))
-    placed = stored(inside.select("cls", "comp").distinct().join(family, F.col("cls") == F.col("node")).select("cls", "comp", F.col("component").alias("family")), "family")
-    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"))
-    largest = stored(sizes.groupBy("family").agg(F.max_by("comp", "k").alias("main"), F.sum("k").alias("size")), "largest")
-    spread = stored(small_join(placed, largest, ["family"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "spread")
-    sets = sets_of(rows, classes, stored(spread.select("cls").distinct(), "wanted"), cut)
-    full = spread.join(sets, "cls")
+    inside = stored(small_join(members, crowded, ["sig"]).select("sig", "cls", "comp", "n"), "inside")
+    asking = small_join(probes.where(F.col("g") > FEW), crowded, ["sig"]).select("cls").distinct().withColumn("asks", F.lit(True))
+    rich = _rich_classes(inside, rows, classes, cut)
+    kept = stored(inside.join(rich, "cls"), "kept")
+    tops = stored(kept.groupBy("sig").agg(F.min("cls").alias("top")), "tops")
+    ties = small_join(kept.select("sig", "cls"), tops, ["sig"]).select(F.col("top").alias("a"), F.col("cls").alias("b")).where("a <> b")
+    family = component_labels(ties).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    placed = stored(kept.select("cls", "comp").distinct().join(family, "cls").join(asking, "cls", "left")
+                    .select("cls", "comp", "family", F.coalesce("asks", F.lit(False)).alias("asks")), "placed")
+    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"), F.count_if("asks").alias("asking"))
+    plan = stored(sizes.groupBy("family").agg(F.max_by("comp", "k").alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"), F.sum("asking").alias("asking"))
+                  .withColumn("by_asking", F.col("asking") < F.col("size") - F.col("most"))
+                  .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+                  .withColumn("slices", F.ceil(F.greatest(F.least("asking", F.col("size") - F.col("most")), F.lit(1)) / (4 * BLOCK)).cast("int")), "plan")
+    spread = stored(small_join(placed, plan.where("size > most and asking > 0"), ["family"]), "spread")
+    full = spread.join(sets_of(rows, classes, stored(spread.select("cls").distinct(), "wanted"), cut), "cls")
     home = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    held = full.select("family", home.alias("block"), F.lit(False).alias("probe"), "cls", "comp", "tokens")
-    sent = full.where("comp <> main").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "cls", "comp", "tokens")
-    return stored(held.unionByName(sent).groupBy("family", "block").applyInArrow(_block_links, "a long, b long"), "family-links")
+    held = full.select("family", home.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("probe"), "cls", "comp", "tokens")
+    sent = full.where(F.when(F.col("by_asking"), F.col("asks")).otherwise(F.col("comp") != F.col("main"))).select(
+        "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("cls", F.lit(7)), F.col("slices")).cast("int").alias("slice"),
+        F.lit(True).alias("probe"), "cls", "comp", "tokens")
+    return stored(held.unionByName(sent).groupBy("family", "block", "slice").applyInArrow(_block_links, "a long, b long"), "family-links")
+
+
+def _rich_classes(inside: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) -> DataFrame:
+    """Classes of which enough tokens occur in another class too: a link needs 0.8 of either set in common."""
+    sets = sets_of(rows, classes, stored(inside.select("cls").distinct(), "wanted"), cut)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(value.as_buffer(), np.int64)
+                for i in range(0, len(tokens), 100_000):
+                    part = tokens[i:i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), cls, np.int64)), pa.array(part)], names=["cls", "token"])
+
+    tokens = stored(sets.mapInArrow(each, "cls long, token long"), "tokens")
+    common = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "common")
+    counted = small_join(tokens, common, ["token"], most=1_000_000).groupBy("cls").agg(F.count(F.lit(1)).alias("k"))
+    return counted.join(classes.select("cls", "n"), "cls").where(DEN * F.col("k") >= NUM * F.col("n")).select("cls")
 
 
 def _block_links(table: pa.Table) -> pa.Table:
