@@ -16,6 +16,9 @@ from pickwise.models.logistic import logistic_fit, logistic_score
 from pickwise.operators import metrics as M
 from pickwise.operators import scaling as SC
 from pickwise.operators.scores import minmax_all
+from pickwise.plans.catalog import sqlparts as Q
+from pickwise.plans.catalog.groups import _split_bucket_sql
+from pickwise.plans.catalog.metrics import _split_sql
 from pickwise.plans.registry import register
 from pickwise.plans.selection import weak_votes
 from pickwise.sources.fixtures import f1, f1d
@@ -280,12 +283,29 @@ def mixture_logistic(spark, sf):
     return M.summary(M.problem_results(s).withColumn("set", F.lit("train")))
 
 
-@register("selection_run")
+CONFIGURED = ["rm_q", "rm_disc", "j80", "j70", "j60"]
+
+
+def _run_sql(vs, grouped: bool) -> str:
+    """CTEs of a naive Bayes run on the 80 / 20 split: one model, or one per third of the problems by difficulty."""
+    fill = ", ".join(f"coalesce({v}, 0.0) AS {v}" for v in vs)
+    bucket = (f"clu AS (SELECT problem_id, {_split_bucket_sql('pos', 'n', 3)} AS g FROM (SELECT problem_id, row_number() OVER (ORDER BY m, problem_id) - 1 AS pos, "
+              "count(*) OVER () AS n FROM (SELECT problem_id, avg(y) AS m FROM f1 GROUP BY problem_id)))" if grouped
+              else "clu AS (SELECT DISTINCT problem_id, 0 AS g FROM f1)")
+    keep = ("problem_id", "sample_idx", "y", "g")
+    return (f"n AS ({Q.minmax_all('f1', vs)}), nf AS (SELECT problem_id, sample_idx, y, {fill} FROM n), b0 AS ({Q.binarize('nf', vs)}), "
+            f"{_split_sql()}, {bucket}, b AS (SELECT b0.*, clu.g FROM b0 JOIN clu USING (problem_id)), "
+            f"prm AS (SELECT g AS pg, {Q.nb_params('b', vs).removeprefix('SELECT ').removesuffix(' FROM b')} FROM b JOIN split USING (problem_id) WHERE split.set = 'train' GROUP BY g), "
+            f"s AS ({Q.nb_p1('b', 'prm', vs, keep)} WHERE b.g = prm.pg), t AS ({Q.top1('s')}), sm AS ({Q.sample_metrics('s')}), "
+            "res AS (SELECT split.set, split.difficulty, t.*, sm.* EXCLUDE (problem_id), clu.g FROM t JOIN sm USING (problem_id) JOIN split USING (problem_id) JOIN clu USING (problem_id))")
+
+
+@register("selection_run", sql=f"WITH {_run_sql(CONFIGURED, False)} {Q.summary('res')}")
 def selection_run(spark, sf):
     """The configurable run: 80 / 20 stratified split, naive Bayes fitted on train, summary per set."""
     from pickwise.plans.selection import run_selection
 
-    _, summ, _ = run_selection(f1(spark, sf), ["rm_q", "rm_disc", "j80", "j70", "j60"], "naive_bayes", 0.8)
+    _, summ, _ = run_selection(f1(spark, sf), CONFIGURED, "naive_bayes", 0.8)
     return summ
 
 
@@ -295,3 +315,42 @@ def selection_run_by_difficulty(spark, sf):
 
     _, _, by_diff = run_selection(f1(spark, sf), ["rm_q", "rm_disc", "j80", "j70", "j60"], "label_model", 0.8)
     return by_diff
+
+
+@register("selection_run_cluster", sql=f"""WITH {_run_sql(CONFIGURED, True)}
+SELECT set, problem_id, difficulty, top1_idx, top1_positive, sample_accuracy, CAST(g AS BIGINT) AS model_id FROM res""")
+def selection_run_cluster(spark, sf):
+    """Naive Bayes per difficulty cluster, 80 / 20 split; every problem with the model it used."""
+    from pickwise.plans.selection import RunConfig, run
+
+    results, _, _ = run(f1(spark, sf), CONFIGURED, RunConfig(model_class="cluster", n_clusters=3, train_split=0.8))
+    return results.select("set", "problem_id", "difficulty", "top1_idx", "top1_positive", "sample_accuracy", "model_id")
+
+
+@register("selection_run_per_problem")
+def selection_run_per_problem(spark, sf):
+    """Naive Bayes per problem; test problems use the nearest trained problem's model."""
+    from pickwise.plans.selection import RunConfig, run
+
+    results, _, _ = run(f1(spark, sf), CONFIGURED, RunConfig(model_class="per_problem", train_split=0.8))
+    return results
+
+
+@register("selection_run_class_balance")
+def selection_run_class_balance(spark, sf):
+    """Votes at the class-balance thresholds, majority vote as a verifier, unbalanced verifiers dropped."""
+    from pickwise.plans.selection import RunConfig, run
+
+    cfg = RunConfig(binarize="class_balance", missing="mean", majority_as_verifier=True, drop_imbalanced="all", train_split=0.8)
+    _, summ, _ = run(f1(spark, sf), CONFIGURED, cfg)
+    return summ
+
+
+@register("selection_run_winsorized_labels")
+def selection_run_winsorized_labels(spark, sf):
+    """Label model per cluster on winsorized scores with the labels' class balance."""
+    from pickwise.plans.selection import RunConfig, run
+
+    cfg = RunConfig(model="label_model", model_class="cluster", normalize="winsorize", class_balance="labels")
+    _, summ, _ = run(f1(spark, sf), CONFIGURED, cfg)
+    return summ

@@ -9,12 +9,21 @@ one table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pickwise.models.logistic import logistic_fit, logistic_score
 from pickwise.models.naive_bayes import nb_fit, nb_score
-from pickwise.operators.metrics import problem_results, summary
+from pickwise.operators import groups as G
+from pickwise.operators import neighbors as NB
+from pickwise.operators import sampling as SP
+from pickwise.operators import scores as S
+from pickwise.operators import verifiers as V
+from pickwise.operators.metrics import problem_results, summary, summary_by_difficulty
 from pickwise.operators.scores import binarize_fixed, fill_missing, minmax_all
 
 
@@ -45,60 +54,224 @@ def selection_summary(scores: DataFrame, verifiers, threshold: float = 0.5) -> D
     return summary(naive_bayes_selection(scores, verifiers, threshold))
 
 
-def run_selection(scores: DataFrame, verifiers, model: str = "naive_bayes", train_split: float = 1.0,
-                  normalize: str = "minmax_all", threshold: float = 0.5, seed: int = 42, bins: int = 10,
-                  answer: str = "answer"):
-    """The configurable selection run: split -> normalise -> fill -> binarise -> fit on train ->
-    score train and test -> per-problem results -> (summary, summary by difficulty).
+@dataclass(frozen=True)
+class RunConfig:
+    """One selection run.
+
+    model: naive_bayes | logistic | label_model | gaussian | naive_ensemble | majority_vote | first_sample
+    model_class: per_dataset (one model) | cluster (one per cluster) | per_problem
+    clusters: difficulty | answers | random, into ``n_clusters`` parts
+    normalize: minmax_all | minmax_per_problem | winsorize | quantile | None
+    missing: zero | mean;  binarize: fixed | class_balance | per_problem | per_cluster | None
+    drop_imbalanced: None | all | small | large | adaptive;  drop_dependent: density of pairs whose second verifier goes
+    class_balance: None (estimated) | "labels" | a number, for the label model
+    train_split 1 means train = test = all problems; train_queries and train_samples below 1 are shares."""
+    model: str = "naive_bayes"
+    model_class: str = "per_dataset"
+    clusters: str = "difficulty"
+    n_clusters: int = 2
+    train_split: float = 1.0
+    train_queries: float = 1
+    train_samples: float = 1
+    normalize: str | None = "minmax_all"
+    missing: str = "zero"
+    binarize: str | None = "fixed"
+    threshold: float = 0.5
+    majority_as_verifier: bool = False
+    drop_imbalanced: str | None = None
+    drop_dependent: float = 0
+    class_balance: float | str | None = None
+    seed: int = 42
+    bins: int = 10
+    answer: str = "answer"
+
+
+GROUPED = ("naive_bayes", "logistic", "label_model", "gaussian")
+
+
+def prepare_scores(base: DataFrame, verifiers, cfg: RunConfig, clusters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(filled scores, votes) by the configured normaliser, missing rule and binariser."""
+    norm = {None: lambda d, v: d, "minmax_all": S.minmax_all, "minmax_per_problem": S.minmax_per_problem,
+            "winsorize": S.winsorize, "quantile": S.quantile_norm}[cfg.normalize](base, verifiers)
+    filled = S.fill_missing(norm, verifiers, 0 if cfg.missing == "zero" else "mean")
+    filled = filled.drop("fill_fallback")
+    if cfg.binarize is None:
+        return filled, filled
+    if cfg.binarize == "fixed":
+        votes = S.binarize_fixed(filled, verifiers, cfg.threshold)
+    elif cfg.binarize == "class_balance":
+        votes = S.binarize_class_balance(filled, verifiers)
+    elif cfg.binarize == "per_problem":
+        votes = S.binarize_per_problem(filled, verifiers)
+    elif cfg.binarize == "per_cluster":
+        votes = S.binarize_per_cluster(filled.join(clusters, "problem_id"), verifiers).drop("cluster_id")
+    else:
+        raise ValueError(f"unknown binariser {cfg.binarize}")
+    return filled, votes
 
-    ``model``: naive_bayes | logistic | label_model | naive_ensemble | majority_vote | first_sample.
-    ``train_split`` = 1 means train = test = all problems (fit once).  Label models are refitted
-    on the test rows when those differ from train (they use no labels).  Returns
-    (results, summary, summary_by_difficulty) DataFrames."""
+
+def cluster_problems(base: DataFrame, cfg: RunConfig) -> DataFrame:
+    """(problem_id, cluster_id) of all problems."""
+    if cfg.clusters == "difficulty":
+        return G.cluster_difficulty(base, cfg.n_clusters)
+    if cfg.clusters == "answers":
+        return G.cluster_answer_count(base, cfg.n_clusters, answer=cfg.answer).select("problem_id", "cluster_id")
+    if cfg.clusters == "random":
+        return G.cluster_random(base, cfg.n_clusters, cfg.seed)
+    raise ValueError(f"unknown clusters {cfg.clusters}")
+
+
+def kept_verifiers(train_votes: DataFrame, verifiers, cfg: RunConfig) -> list[str]:
+    """Verifiers left after the imbalance and dependency rules (V rows reach the driver)."""
+    left = list(verifiers)
+    if cfg.drop_imbalanced:
+        kept = {r["verifier"] for r in V.drop_imbalanced(train_votes, left, cfg.drop_imbalanced, fallback=True).where("kept").collect()}
+        left = [v for v in left if v in kept]
+    if cfg.drop_dependent and len(left) > 2:
+        gone = {r["vj"] for r in V.dependency_pairs(train_votes, left, cfg.drop_dependent).collect()}
+        left = [v for v in left if v not in gone] or left
+    return left
+
+
+def _fit_score(model: str, train: DataFrame, asked: dict[str, DataFrame], verifiers, cfg: RunConfig, group: str | None):
+    """{set: rows with p1}: one fit per model (or group), used for every set.
+
+    Label models use no labels: where the asked rows are not the train rows they are fitted on those."""
+    if model == "naive_bayes":
+        params = nb_fit(train, verifiers, group_col=group).checkpoint()
+        return {k: nb_score(d, params, verifiers, group_col=group) for k, d in asked.items()}
+    if model == "logistic":
+        params = logistic_fit(train, verifiers, group_col=group)
+        return {k: logistic_score(d, params, verifiers, group_col=group) for k, d in asked.items()}
+    if model == "gaussian":
+        from pickwise.models.gaussian import gmm_fit, gmm_predict
+        start = train.withColumn("__init", F.col("y").cast("int"))
+        params = gmm_fit(start, list(verifiers), 2, group, reg=0.01, max_iter=50, tol=1e-4)
+        return {k: gmm_predict(d, params, list(verifiers), group, out="p1", prob_of=1) for k, d in asked.items()}
     from pickwise.models.label_model import label_model_fit, label_model_score
-    from pickwise.models.logistic import logistic_fit, logistic_score
-    from pickwise.models.simple import naive_ensemble
-    from pickwise.operators.metrics import majority_vote, summary_by_difficulty
-    from pickwise.operators.sampling import stratified_split
-    from pickwise.operators.scores import minmax_per_problem
-
-    keep = ["problem_id", "sample_idx", "y", *verifiers] + ([answer] if answer in scores.columns else [])
-    base = scores.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-    split = stratified_split(base, train_split, seed, bins)
-    norm = minmax_per_problem(base, verifiers) if normalize == "minmax_per_problem" else minmax_all(base, verifiers)
-    filled = fill_missing(norm, verifiers, 0)
-    votes = binarize_fixed(filled, verifiers, threshold)
-    sets = split.select("problem_id", "set", "difficulty")
-    train_ids = sets.filter(F.col("set") == "train").select("problem_id")
-
-    def rows_of(df, name):
-        return df.join(sets.filter(F.col("set") == name).select("problem_id"), "problem_id", "left_semi")
-
-    scored = {}
-    for name in ("train", "test"):
-        if model == "naive_bayes":
-            params = nb_fit(votes.join(train_ids, "problem_id", "left_semi"), verifiers)
-            scored[name] = nb_score(rows_of(votes, name), params, verifiers)
-        elif model == "logistic":
-            params = logistic_fit(filled.join(train_ids, "problem_id", "left_semi"), verifiers)
-            scored[name] = logistic_score(rows_of(filled, name), params, verifiers)
-        elif model == "label_model":
-            src = rows_of(votes, name) if train_split < 1.0 else votes
-            scored[name] = label_model_score(rows_of(votes, name), label_model_fit(src, verifiers), verifiers)
-        elif model == "naive_ensemble":
-            scored[name] = naive_ensemble(rows_of(filled, name), verifiers)
-        elif model == "first_sample":
-            scored[name] = rows_of(base, name).withColumn("p1", (F.col("sample_idx") == 0).cast("double"))
-        elif model == "majority_vote":
-            mv = majority_vote(rows_of(base, name), 1, "majority", answer)
-            picked = mv.select("problem_id", F.col("majority_idx").alias("sample_idx"), F.lit(1.0).alias("__pick"))
-            scored[name] = (rows_of(base, name).join(picked, ["problem_id", "sample_idx"], "left")
-                            .withColumn("p1", F.coalesce("__pick", F.lit(0.0))).drop("__pick"))
+    out = {}
+    groups = [None] if group is None else [r[0] for r in train.select(group).distinct().collect()]  # clusters: a parameter's number
+    for k, d in asked.items():
+        parts = []
+        for g in groups:
+            rows = d if g is None else d.where(F.col(group) == F.lit(g))
+            own = train if g is None else train.where(F.col(group) == F.lit(g))
+            cb = own.agg(F.avg("y")).first()[0] if cfg.class_balance == "labels" else cfg.class_balance
+            parts.append(label_model_score(rows, label_model_fit(own if k == "train" or cfg.train_split >= 1 else rows, verifiers, cb), verifiers))
+        out[k] = reduce(DataFrame.unionByName, parts)
+    return out
+
+
+def run(scores: DataFrame, verifiers, cfg: RunConfig, fixed_test: DataFrame | None = None):
+    """split -> normalise -> fill -> binarise -> drop verifiers -> fit once on train -> route and score train
+    and test -> per-problem results -> (results, summary, summary by difficulty).
+
+    ``fixed_test`` (problem_id): these problems are the test set whatever the split, and never train.
+    Results carry the model used (``model_id``: cluster or train problem; null for one model) and the
+    distance of the mean scores to the train problem behind the choice.  Problems whose model could not be
+    trained (one label class) use the nearest train problem with a trained model; train problems without
+    a model of their own are left out, as there is nothing to report."""
+    verifiers = list(verifiers)
+    columns = ["problem_id", "sample_idx", "y", *verifiers] + ([cfg.answer] if cfg.answer in scores.columns else [])
+    base = scores.select(*columns)
+    if cfg.majority_as_verifier:
+        base = S.majority_verifier(base, cfg.answer)
+        verifiers.append("mv_verifier")
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    split = SP.stratified_split(base, cfg.train_split, cfg.seed, cfg.bins)
+    if cfg.train_queries != 1:
+        split = SP.train_queries(split, cfg.train_queries, cfg.seed)
+    if fixed_test is not None:
+        fixed = fixed_test.select("problem_id").distinct()
+        levels = SP.difficulty_bins(base, cfg.bins).select("problem_id", "difficulty")
+        train_part = split.where("set = 'train'").join(fixed, "problem_id", "left_anti")
+        split = train_part.unionByName(levels.join(fixed, "problem_id").withColumn("set", F.lit("test")))
+    split = split.checkpoint()
+    clusters = cluster_problems(base, cfg).checkpoint() if "cluster" in (cfg.model_class, (cfg.binarize or "")[4:]) else None
+    filled, votes = prepare_scores(base, verifiers, cfg, clusters)
+
+    def of(df, name):
+        return df.join(split.where(F.col("set") == name).select("problem_id"), "problem_id", "left_semi")
+
+    train_votes = of(votes, "train")
+    if cfg.train_samples != 1:
+        train_votes = SP.subsample_samples(train_votes, cfg.train_samples, cfg.seed)
+    verifiers = kept_verifiers(train_votes, verifiers, cfg)
+    routes = None
+    if cfg.model in GROUPED:
+        source, train = votes, train_votes
+        if cfg.model in ("logistic", "gaussian") and cfg.binarize == "fixed":
+            source = filled  # these models read scores, not votes
+            train = of(filled, "train").join(train_votes.select("problem_id", "sample_idx"), ["problem_id", "sample_idx"], "left_semi")
+        if cfg.model_class == "per_dataset":
+            scored = _fit_score(cfg.model, train, {n: of(source, n) for n in ("train", "test")}, verifiers, cfg, None)
         else:
-            raise ValueError(f"unknown model {model}")
-    results = None
-    for name, s in scored.items():
-        r = problem_results(s, "p1").withColumn("set", F.lit(name))
-        results = r if results is None else results.unionByName(r)
-    results = results.join(sets.select("problem_id", "set", "difficulty"), ["problem_id", "set"])
+            routes = route_groups(base, filled, split, clusters, train, verifiers, cfg)
+            own = train.join(_group_of(clusters, train), "problem_id")
+            asked = {n: of(source, n).join(routes.where(F.col("set") == n).select("problem_id", "__group"), "problem_id") for n in ("train", "test")}
+            scored = _fit_score(cfg.model, own, asked, verifiers, cfg, "__group")
+    else:
+        scored = {n: _unfitted(cfg, of(filled, n), verifiers) for n in ("train", "test")}
+    results = reduce(DataFrame.unionByName, [problem_results(s, "p1").withColumn("set", F.lit(n)) for n, s in scored.items()])
+    results = results.join(split.select("problem_id", "set", "difficulty"), ["problem_id", "set"])
+    if routes is None:
+        results = results.withColumns({"model_id": F.lit(None).cast("bigint"), "distance": F.lit(None).cast("double")})
+    else:
+        results = results.join(routes.select("problem_id", "set", F.col("__group").cast("bigint").alias("model_id"), "distance"), ["problem_id", "set"])
     return results, summary(results), summary_by_difficulty(results)
+
+
+def _group_of(clusters: DataFrame | None, rows: DataFrame) -> DataFrame:
+    if clusters is None:
+        return rows.select("problem_id", F.col("problem_id").alias("__group")).distinct()
+    return clusters.select("problem_id", F.col("cluster_id").alias("__group"))
+
+
+def route_groups(base, filled, split, clusters, train, verifiers, cfg: RunConfig) -> DataFrame:
+    """(problem_id, set, __group, distance): the trained model that each problem uses.
+
+    A problem whose own group (itself, or its cluster) has a trained model uses that; any other test problem
+    takes the group of the nearest train problem with a trained model."""
+    own = _group_of(clusters, base)
+    grouped = train.join(own, "problem_id")
+    labels = grouped.groupBy("__group").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    needs_two = cfg.model in ("naive_bayes", "logistic", "gaussian")
+    trained = (labels.where("lo <> hi") if needs_two else labels).select("__group").checkpoint()
+    train_ids = split.where("set = 'train'").select("problem_id").join(own, "problem_id").join(trained, "__group")
+    asked = split.select("problem_id", "set").join(own, "problem_id")
+    direct = asked.join(trained, "__group", "left_semi")
+    lost = asked.where("set = 'test'").join(trained, "__group", "left_anti").select("problem_id", "set")
+    means = NB.mean_vectors(filled, verifiers)
+    if clusters is None:
+        near = direct.select("problem_id", "set", "__group", F.lit(0.0).alias("distance"))
+    else:
+        te = means.join(direct.select("problem_id").distinct(), "problem_id", "left_semi")
+        tr = means.join(train_ids.select("problem_id"), "problem_id", "left_semi")
+        inside = G.nearest_in_cluster(te, tr, clusters, clusters, 1).select(F.col("test_id").alias("problem_id"), "distance")
+        near = direct.join(inside, "problem_id", "left").select("problem_id", "set", "__group", "distance")
+    far = G.route_model(means.join(lost.select("problem_id"), "problem_id", "left_semi"), means, train_ids.select("problem_id"))
+    far = (far.join(train_ids.select(F.col("problem_id").alias("model_id"), "__group"), "model_id")
+           .withColumn("set", F.lit("test")).select("problem_id", "set", "__group", "distance"))
+    return near.unionByName(far).checkpoint()
+
+
+def _unfitted(cfg: RunConfig, rows: DataFrame, verifiers) -> DataFrame:
+    """p1 of the models that learn nothing."""
+    from pickwise.models.simple import naive_ensemble
+    from pickwise.operators.metrics import majority_vote
+
+    if cfg.model == "naive_ensemble":
+        return naive_ensemble(rows, verifiers)
+    if cfg.model == "first_sample":
+        return rows.withColumn("p1", (F.col("sample_idx") == 0).cast("double"))
+    if cfg.model == "majority_vote":
+        picked = majority_vote(rows, 1, "majority", cfg.answer).select("problem_id", F.col("majority_idx").alias("sample_idx"), F.lit(1.0).alias("__pick"))
+        return rows.join(picked, ["problem_id", "sample_idx"], "left").withColumn("p1", F.coalesce("__pick", F.lit(0.0))).drop("__pick")
+    raise ValueError(f"unknown model {cfg.model}")
+
+
+def run_selection(scores: DataFrame, verifiers, model: str = "naive_bayes", train_split: float = 1.0,
+                  normalize: str = "minmax_all", threshold: float = 0.5, seed: int = 42, bins: int = 10,
+                  answer: str = "answer"):
+    """:func:`run` with the most used settings as arguments."""
+    return run(scores, verifiers, RunConfig(model=model, train_split=train_split, normalize=normalize, threshold=threshold, seed=seed, bins=bins, answer=answer))
