@@ -1,33 +1,41 @@
-"""Exact k-nearest-neighbour join without all pairs.
-
-Both sides are bucketed on a grid over the D (<= 3) highest-variance
-coordinates (cell widths sized for ~``cell_target`` train points per cell).
-Pass 1 joins every test point with the train points of its own and the
-adjacent cells (3^D cell keys, an equi-join).  A test point whose k-th
-candidate is closer than the narrowest cell width is exact: any point nearer
-than that lies in an adjacent cell, because the distance over all
-coordinates is at least the distance over the D grid coordinates.  The other
-test points search again with a radius of ceil(r_k / width) cells per
-coordinate (doubling while fewer than k candidates exist), which again covers
-every point within r_k.  Work is bounded by local density, never by the
-product of the two sides.
-
-Identical train vectors are first reduced to the k with the lowest ids (only
-those can be among the k nearest), so a value shared by a third of all rows
-cannot make one cell quadratic.  Ties are broken by the train id, like a
-stable argsort over train positions.
+"""Exact k-nearest-neighbour and range joins by pivots and the triangle inequality.
+
+A bounded number of train vectors, chosen by hash, are pivots. Every train vector belongs to
+the cell of its nearest pivot; a cell is known by its number of members and its radius, the
+largest distance of a member to the pivot. A test point x at distance d(x, p) of a pivot can
+only have neighbours within r in cells with d(x, p) - radius <= r. So:
+
+1. x is joined with its nearest cells, as many as hold k members; the k-th distance found
+   there bounds the answer from above;
+2. x is joined with the other cells that can hold anything nearer.
+
+Only occupied cells are ever named, and both joins are equi-joins on the cell. The number of
+candidates depends on how clustered the data are: on vectors of high dimension without any
+clusters the triangle inequality rules out little, and the second join approaches all pairs
+(no exact method avoids that); the pivots change the cost only, never the result.
+
+The same holds for any metric; here euclidean distance, the angle (euclidean distance of unit
+vectors, reported as 1 - cos) and the sum of two euclidean parts (means and covariances).
+
+Identical train vectors are first reduced to the k with the lowest ids (only those can be
+among the k nearest), and identical test vectors are solved once. Ties go to the lower id.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.topk import group_topk
 from pickwise.session import ensure_checkpoint_dir
 
+MOST_PIVOTS = 256
+SLACK = 1e-9        # relative room for rounding when cells are ruled out
+
 
 def _norm(v):
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
@@ -47,117 +55,190 @@ def cosine_dist(a, b):
     return F.lit(1.0) - dot / (_norm(a) * _norm(b))
 
 
-def _grid_params(train: DataFrame, dims: int, cell_target: int):
-    """Per-coordinate variance / min / max of the train vectors from ONE aggregate over
-    (coordinate, value) pairs (the dimension comes with it); the ``dims`` widest coordinates
-    get cells of width (max - min) / m with m^dims ~ n / cell_target."""
-    st = (train.select(F.posexplode("__g").alias("i", "x")).groupBy("i")
-          .agg(F.var_pop("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
-          .collect())
-    order = sorted(st, key=lambda r: (-(r["v"] or 0.0), r["i"]))[:dims]
-    n = max((r["n"] for r in st), default=1)
-    m = max(1, int((max(n, 1) / cell_target) ** (1.0 / max(len(order), 1))))
-    params = []
-    for r in order:
-        lo, hi = r["lo"], r["hi"]
-        width = (hi - lo) / m if hi is not None and hi > lo else 1.0
-        params.append((r["i"], lo if lo is not None else 0.0, width))
-    return params, m
+def cov_distance(mu_a, mu_b, cov_a, cov_b):
+    """L2 norm of the mean difference plus the Frobenius norm of the covariance difference."""
+    return euclid(mu_a, mu_b) + euclid(cov_a, cov_b)
+
+
+@dataclass(frozen=True)
+class Metric:
+    """euclidean, cosine, or sum: two euclidean parts, the first ``head`` coordinates and the rest."""
+    name: str = "euclidean"
+    head: int = 0
+
+    def space(self, v):
+        """The vector in which the triangle inequality holds."""
+        return normalise(v) if self.name == "cosine" else v
+
+    def between(self, a, b):
+        """Distance column in that space."""
+        if self.name == "sum":
+            n = self.head
+            rest = F.greatest(F.size(a) - n, F.lit(0))
+            return cov_distance(F.slice(a, 1, n), F.slice(b, 1, n), F.slice(a, F.lit(n + 1), rest), F.slice(b, F.lit(n + 1), rest))
+        return euclid(a, b)
+
+    def matrix(self, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """(rows, pivots) distances in that space."""
+        parts = [slice(0, self.head), slice(self.head, None)] if self.name == "sum" else [slice(None)]
+        out = np.zeros((len(x), len(p)))
+        for s in parts:
+            a, b = x[:, s], p[:, s]
+            out += np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+        return out
+
+
+def _pivots(train: DataFrame) -> np.ndarray:
+    """At most MOST_PIVOTS distinct vectors, those with the smallest hashes; about one for 16 rows."""
+    rows = train.select("__g").distinct().orderBy(F.xxhash64("__g"), "__g").limit(MOST_PIVOTS).collect()
+    n = train.count()
+    return np.array([r[0] for r in rows[:max(1, min(MOST_PIVOTS, n // 16))]], dtype=float)
+
+
+def _with_cells(train: DataFrame, pivots: np.ndarray, metric: Metric) -> DataFrame:
+    """Append the nearest pivot's number and the distance to it."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in train.dtypes) + ", cell int, __d double"
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = metric.matrix(np.stack(pdf["__g"].to_numpy()).astype(float), pivots)
+                near = d.argmin(1)
+                yield pdf.assign(cell=near.astype("int32"), __d=d[np.arange(len(d)), near])
+
+    return train.mapInPandas(run, schema)
+
+
+class _Cells:
+    """Count and radius of the occupied cells, per group value (None without groups): pivots x groups numbers."""
+
+    def __init__(self, celled: DataFrame, group_col: str | None, n: int):
+        self.group_col, self.n = group_col, n
+        keys = ([group_col] if group_col else []) + ["cell"]
+        self.by_group: dict = {}
+        for r in celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max("__d").alias("r")).collect():
+            count, radius = self.by_group.setdefault(r[group_col] if group_col else None, (np.zeros(n, int), np.full(n, -np.inf)))
+            count[r["cell"]], radius[r["cell"]] = r["k"], r["r"]
+
+    def of(self, group):
+        return self.by_group.get(group if self.group_col else None, (np.zeros(self.n, int), np.full(self.n, -np.inf)))
+
+
+def _named_cells(points: DataFrame, pivots: np.ndarray, cells: _Cells, metric: Metric, choose) -> DataFrame:
+    """Append the array ``cells`` that ``choose(distances, counts, radii, row)`` names for each point."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in points.dtypes) + ", cells array<int>"
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = metric.matrix(np.stack(pdf["__g"].to_numpy()).astype(float), pivots)
+                groups = pdf[cells.group_col] if cells.group_col else [None] * len(pdf)
+                rows = pdf.to_dict("records")
+                yield pdf.assign(cells=pd.Series([choose(d[i], *cells.of(g), rows[i]) for i, g in enumerate(groups)], index=pdf.index, dtype=object))
+
+    return points.mapInPandas(run, schema)
+
+
+def _nearest(k: int):
+    """Cells by distance of their pivots until they hold k members."""
+    def choose(d, count, radius, row):
+        order = np.argsort(d, kind="stable")
+        order = order[count[order] > 0]
+        enough = np.searchsorted(np.cumsum(count[order]), k) + 1
+        return order[:enough].astype("int32")
+    return choose
+
+
+def _reaching(bound: str, seen: str | None = None):
+    """Cells that can hold a member within ``row[bound]`` (null: all), but for those in ``row[seen]``."""
+    def choose(d, count, radius, row):
+        limit = row[bound]
+        limit = np.inf if limit is None or np.isnan(limit) else limit
+        hit = (count > 0) & (d - radius <= limit + SLACK * (1 + np.abs(d) + limit))
+        if seen is not None:
+            hit[np.asarray(row[seen], int)] = False
+        return np.flatnonzero(hit).astype("int32")
+    return choose
+
+
+def _candidates(points: DataFrame, celled: DataFrame, keys, metric: Metric) -> DataFrame:
+    """Points joined with the members of their cells; ``__rd`` is the distance in the metric space."""
+    each = points.select("test_id", *keys, "__v", "__g", F.explode("cells").alias("cell"))
+    members = celled.select("train_id", *keys, "cell", "__tv", F.col("__g").alias("__tg"))
+    joined = each.join(members, [*keys, "cell"])
+    rd = metric.between(F.col("__g"), F.col("__tg"))
+    distance = cosine_dist(F.col("__v"), F.col("__tv")) if metric.name == "cosine" else rd
+    return joined.select("test_id", "train_id", distance.alias("distance"), rd.alias("__rd"))
+
+
+def _topk(candidates: DataFrame, k: int) -> DataFrame:
+    return group_topk(candidates, ["test_id"], [F.col("distance"), F.col("train_id")], k, salt_col="train_id", rank_col="rank")
+
+
+def _whole(df: DataFrame, vec: str) -> DataFrame:
+    return df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull()))
 
 
 def exact_knn(test: DataFrame, train: DataFrame, k: int = 1, vec: str = "vec", id_col: str = "problem_id",
-              group_col: str | None = None, metric: str = "euclidean", dims: int = 3,
-              cell_target: int = 32) -> DataFrame:
+              group_col: str | None = None, metric: str | Metric = "euclidean") -> DataFrame:
     """(test_id, train_id, distance, rank) for the k nearest train rows of every test row.
 
-    ``metric``: euclidean or cosine (ranked on unit vectors, reported as 1 - cos).
-    ``group_col``: neighbours only within the same group value (an equi-join key).
-    """
+    ``metric``: euclidean, cosine (ranked and reported as 1 - cos), or a :class:`Metric`.
+    ``group_col``: neighbours only within the same group value (few values).  Rows whose vector
+    is null or holds a null have no neighbours and are none."""
+    ensure_checkpoint_dir(test.sparkSession)
+    test, train = _whole(test, vec), _whole(train, vec)
+    metric = Metric(metric) if isinstance(metric, str) else metric
     keys = [group_col] if group_col else []
-    # identical test vectors have identical neighbours: solve each distinct vector once.  The ids
-    # of the distinct vectors are fixed by a checkpoint (stable if an executor is lost) and test
-    # rows find theirs by exact equality of (group, vector).
+    # the ids of the distinct test vectors are fixed by a checkpoint (stable if an executor is lost)
+    distinct = (test.select(*keys, F.col(vec).alias("__v")).distinct()
+                .withColumn("test_id", F.monotonically_increasing_id()).checkpoint())
+    points = distinct.withColumn("__g", metric.space(F.col("__v")))
+    tr = train.select(F.col(id_col).alias("train_id"), *keys, F.col(vec).alias("__tv"), metric.space(F.col(vec)).alias("__g"))
+    tr = group_topk(tr, keys + ["__g"], [F.col("train_id")], k, salt_col="train_id", rank_col="__dup").drop("__dup").checkpoint()
+    pivots = _pivots(tr)
+    ids = test.select(F.col(id_col).alias("__id"), *keys, F.col(vec).alias("__v"))
+    if not len(pivots):
+        return ids.limit(0).select(F.col("__id").alias("test_id"), F.col("__id").alias("train_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+    celled = _with_cells(tr, pivots, metric).checkpoint()
+    cells = _Cells(celled, group_col, len(pivots))
+    first_cells = _named_cells(points, pivots, cells, metric, _nearest(k)).withColumnRenamed("cells", "__seen").checkpoint()
+    first = _topk(_candidates(first_cells.withColumnRenamed("__seen", "cells"), celled, keys, metric), k).checkpoint()
+    bound = first.groupBy("test_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("__rd")).alias("__bound"))
+    rest = _named_cells(first_cells.join(bound, "test_id", "left"), pivots, cells, metric, _reaching("__bound", "__seen"))
+    second = _candidates(rest, celled, keys, metric)
+    top = _topk(first.select("test_id", "train_id", "distance").unionByName(second.select("test_id", "train_id", "distance")), k)
+    found = distinct.join(top, "test_id").select(*keys, "__v", "train_id", "distance", F.col("rank").cast("int").alias("rank"))
+    return ids.join(found, [*keys, "__v"]).select(F.col("__id").alias("test_id"), "train_id", "distance", "rank")
+
+
+def range_pairs(test: DataFrame, train: DataFrame, radius, vec: str = "vec", id_col: str = "problem_id") -> DataFrame:
+    """All (test_id, train_id, distance) with euclidean distance <= radius (a number, or a
+    column of ``test`` holding a per-row radius)."""
     ensure_checkpoint_dir(test.sparkSession)
-    distinct = (test.select(*keys, F.col(vec).alias("__vec")).distinct()
-                .withColumn("__tid", F.monotonically_increasing_id()).checkpoint())
-    pairs = exact_knn_distinct(distinct.withColumnRenamed("__vec", vec), train, k, vec, id_col, group_col,
-                               metric, dims, cell_target)
-    ids = test.select(F.col(id_col).alias("test_id"), *keys, F.col(vec).alias("__vec")).join(distinct, [*keys, "__vec"])
-    return ids.join(pairs, ["__tid", *keys]).select("test_id", *keys, "train_id", "distance", "rank")
+    test, train = _whole(test, vec), _whole(train, vec)
+    metric = Metric()
+    rc = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius)
+    points = test.select(F.col(id_col).alias("test_id"), F.col(vec).alias("__v"), F.col(vec).alias("__g"), rc.cast("double").alias("__radius"))
+    tr = train.select(F.col(id_col).alias("train_id"), F.col(vec).alias("__tv"), F.col(vec).alias("__g")).checkpoint()
+    pivots = _pivots(tr)
+    if not len(pivots):
+        return points.limit(0).select("test_id", F.col("test_id").alias("train_id"), F.col("__radius").alias("distance"))
+    celled = _with_cells(tr, pivots, metric).checkpoint()
+    cells = _Cells(celled, None, len(pivots))
+    near = _named_cells(points, pivots, cells, metric, _reaching("__radius"))
+    pairs = _candidates(near, celled, [], metric).join(points.select("test_id", "__radius"), "test_id")
+    return pairs.where("distance <= __radius").select("test_id", "train_id", "distance")
 
 
-def exact_knn_distinct(test: DataFrame, train: DataFrame, k: int, vec: str, id_col: str,
-                       group_col: str | None, metric: str, dims: int, cell_target: int) -> DataFrame:
-    """:func:`exact_knn` over test rows identified by ``__tid`` (distinct vectors)."""
-    keys = [group_col] if group_col else []
-    g = normalise(F.col(vec)) if metric == "cosine" else F.col(vec)
-    te = test.select(F.col("__tid").alias("test_id"), *keys, F.col(vec).alias("__v"), g.alias("__g"))
-    tr = train.select(F.col(id_col).alias("train_id"), *keys, F.col(vec).alias("__tv"), g.alias("__g"))
-    # identical train vectors: only the k lowest ids can ever be chosen.  The prepared sides are
-    # read by every round below, so they are checkpointed once (reliable, lineage cut).
-    tr = group_topk(tr, keys + ["__g"], [F.col("train_id")], k, salt_col="train_id", rank_col="__dup").checkpoint()
-    params, m = _grid_params(tr, dims, cell_target)
-    width_min = min(w for _, _, w in params)
-
-    def cells(df, prefix):
-        # test cells are clamped into [0, m]: that only widens the covered range
-        return df.select("*", *[F.least(F.greatest(
-            F.floor((F.element_at("__g", i + 1) - F.lit(lo)) / F.lit(w)).cast("long"), F.lit(0)), F.lit(m))
-            .alias(f"{prefix}{j}") for j, (i, lo, w) in enumerate(params)])
-
-    tr_c = cells(tr, "c")
-    te_c = cells(te, "t")
-    dist = (cosine_dist(F.col("__v"), F.col("__tv")) if metric == "cosine"
-            else euclid(F.col("__v"), F.col("__tv")))
-    rank_dist = euclid(F.col("__g"), F.col("__tg")) if metric == "cosine" else dist
-
-    def search(points, radius_cols):
-        """Join points with all train cells within their per-point radius (in cells)."""
-        ex = points
-        for j in range(len(params)):
-            ex = ex.withColumn(f"c{j}", F.explode(F.sequence(F.col(f"t{j}") - F.col(radius_cols[j]),
-                                                             F.col(f"t{j}") + F.col(radius_cols[j]))))
-        trs = tr_c.select("train_id", *keys, "__tv", F.col("__g").alias("__tg"), *[f"c{j}" for j in range(len(params))])
-        cand = ex.join(trs, keys + [f"c{j}" for j in range(len(params))])
-        cand = cand.select("test_id", *keys, "train_id", dist.alias("distance"), rank_dist.alias("__rd"))
-        top = group_topk(cand, ["test_id"], [F.col("distance"), F.col("train_id")], k, salt_col="train_id",
-                         rank_col="rank")
-        stat = top.groupBy("test_id").agg(F.count(F.lit(1)).alias("__found"), F.max("__rd").alias("__rk"))
-        return top, stat
-
-    pts = te_c.withColumn("__r", F.lit(1))
-    for j in range(len(params)):
-        pts = pts.withColumn(f"__r{j}", F.col("__r"))
-    top, stat = search(pts, [f"__r{j}" for j in range(len(params))])
-    top = top.persist()
-    # settled: k found and k-th distance strictly below one cell width
-    done = stat.filter((F.col("__found") >= k) & (F.col("__rk") < F.lit(width_min))).select("test_id")
-    result = [top.join(done, "test_id", "left_semi")]
-    todo = te_c.join(done, "test_id", "left_anti").join(stat, "test_id", "left")
-    radius = 2
-    while todo.limit(1).count():  # the radius doubles until the whole grid is covered
-        # radius per coordinate: enough cells to cover r_k, or a doubled guess when < k were found
-        enough = F.col("__found") >= k
-        pts = todo
-        for j, (_, _, w) in enumerate(params):
-            need = F.ceil(F.col("__rk") / F.lit(w)).cast("long")
-            pts = pts.withColumn(f"__r{j}", F.when(enough, F.greatest(need, F.lit(1))).otherwise(F.lit(radius)))
-        pts = pts.drop("__found", "__rk")
-        top2, stat2 = search(pts, [f"__r{j}" for j in range(len(params))])
-        top2 = top2.persist()
-        ok = (stat2.join(todo.select("test_id", F.col("__found").alias("__prev")), "test_id")
-              .filter((F.col("__found") >= k) & F.col("__prev").isNotNull() & (F.col("__prev") >= k))
-              .select("test_id"))
-        if radius > m + 1:
-            # the whole grid was searched for the points still lacking k candidates
-            result.append(top2.join(todo.select("test_id"), "test_id", "left_semi"))
-            break
-        result.append(top2.join(ok, "test_id", "left_semi"))
-        todo = todo.join(ok, "test_id", "left_anti").drop("__found", "__rk").join(stat2, "test_id", "left")
-        radius *= 2
-    out = reduce(DataFrame.unionByName, result)
-    return out.select(F.col("test_id").alias("__tid"), *keys, "train_id", "distance",
-                      F.col("rank").cast("int").alias("rank"))
+def exact_knn_sum_metric(test: DataFrame, train: DataFrame, k: int = 1) -> DataFrame:
+    """k nearest under d = |mu_a - mu_b| + |S_a - S_b|_F (``nearest_by_cov``): a sum of two metrics is one."""
+    one = train.select(F.size("mu").alias("n")).first()
+
+    def stack(df):
+        return df.select("problem_id", F.concat("mu", "cov").alias("vec"))
+
+    return exact_knn(stack(test), stack(train), k, metric=Metric("sum", one["n"] if one else 0))
 
 
 def mean_vectors(df: DataFrame, verifiers, key: str = "problem_id") -> DataFrame:
@@ -167,9 +248,7 @@ def mean_vectors(df: DataFrame, verifiers, key: str = "problem_id") -> DataFrame
 
 
 def cov_vectors(df: DataFrame, verifiers, key: str = "problem_id", digits: int | None = None) -> DataFrame:
-    """(key, vec): per-problem [means..., flattened sample covariance matrix...] so that the
-    euclidean distance of two vectors is sqrt(|mu diff|^2 + |Sigma diff|_F^2); the reference
-    adds the two norms instead - see :func:`cov_distance`."""
+    """(key, mu, cov): per-problem means and flattened sample covariance matrix, optionally rounded."""
     aggs = [F.avg(v).alias(f"m_{v}") for v in verifiers]
     for a in verifiers:
         for b in verifiers:
@@ -178,58 +257,3 @@ def cov_vectors(df: DataFrame, verifiers, key: str = "problem_id", digits: int |
     rnd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     return g.select(key, F.array(*[rnd(F.col(f"m_{v}")) for v in verifiers]).alias("mu"),
                     F.array(*[rnd(F.col(f"c_{a}_{b}")) for a in verifiers for b in verifiers]).alias("cov"))
-
-
-def cov_distance(mu_a, mu_b, cov_a, cov_b):
-    """L2 norm of the mean difference plus the Frobenius norm of the covariance difference."""
-    return euclid(mu_a, mu_b) + euclid(cov_a, cov_b)
-
-
-def range_pairs(test: DataFrame, train: DataFrame, radius, vec: str = "vec", id_col: str = "problem_id",
-                dims: int = 3, cell_target: int = 32) -> DataFrame:
-    """All (test_id, train_id, distance) with euclidean distance <= radius (a number, or a
-    column of ``test`` holding a per-row radius).  Only grid cells within the radius are
-    joined, so the pairs emitted are the answer plus a bounded margin, not the product."""
-    rc = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius)
-    te = test.select(F.col(id_col).alias("test_id"), F.col(vec).alias("__g"), rc.alias("__radius"))
-    tr = train.select(F.col(id_col).alias("train_id"), F.col(vec).alias("__g"))
-    params, m = _grid_params(tr, dims, cell_target)
-    ex = te
-    for j, (i, lo, w) in enumerate(params):
-        t = F.least(F.greatest(F.floor((F.element_at("__g", i + 1) - F.lit(lo)) / F.lit(w)).cast("long"),
-                               F.lit(0)), F.lit(m))
-        r = F.ceil(F.col("__radius") / F.lit(w)).cast("long")
-        ex = ex.withColumn(f"c{j}", F.explode(F.sequence(t - r, t + r)))
-    trc = tr.select("train_id", F.col("__g").alias("__tg"),
-                    *[F.floor((F.element_at("__g", i + 1) - F.lit(lo)) / F.lit(w)).cast("long").alias(f"c{j}")
-                      for j, (i, lo, w) in enumerate(params)])
-    cand = ex.join(trc, [f"c{j}" for j in range(len(params))])
-    d = euclid(F.col("__g"), F.col("__tg"))
-    return cand.select("test_id", "train_id", d.alias("distance"), "__radius") \
-        .filter(F.col("distance") <= F.col("__radius")).drop("__radius")
-
-
-def exact_knn_sum_metric(test: DataFrame, train: DataFrame, k: int = 1) -> DataFrame:
-    """k nearest under d = |mu_a - mu_b| + |S_a - S_b|_F (``nearest_by_cov``).
-
-    With e = euclid([mu, S]) we have e <= d <= sqrt(2) e.  Pass 1 finds the k
-    nearest under e; its candidates' largest d bounds the k-th smallest d, and
-    every point with d below that bound has e below it too, so one exact range
-    search with that radius over the stacked vector covers the answer."""
-    def stack(df):
-        return df.select("problem_id", "mu", "cov", F.concat("mu", "cov").alias("vec"))
-
-    te, tr = stack(test), stack(train)
-    first = exact_knn(te, tr, k)
-    d = cov_distance(F.col("a.mu"), F.col("b.mu"), F.col("a.cov"), F.col("b.cov"))
-    bound = (first.alias("f").join(te.alias("a"), F.col("f.test_id") == F.col("a.problem_id"))
-             .join(tr.alias("b"), F.col("f.train_id") == F.col("b.problem_id"))
-             .groupBy(F.col("f.test_id").alias("problem_id")).agg(F.max(d).alias("__bound")))
-    cand = range_pairs(te.join(bound, "problem_id"), tr, "__bound")
-    full = (cand.join(te.select(F.col("problem_id").alias("test_id"), "mu", "cov"), "test_id")
-            .join(tr.select(F.col("problem_id").alias("train_id"), F.col("mu").alias("__tmu"),
-                            F.col("cov").alias("__tcov")), "train_id"))
-    scored = full.select("test_id", "train_id",
-                         cov_distance(F.col("mu"), F.col("__tmu"), F.col("cov"), F.col("__tcov")).alias("distance"))
-    return group_topk(scored, ["test_id"], [F.col("distance"), F.col("train_id")], k, salt_col="train_id",
-                      rank_col="rank").select("test_id", "train_id", "distance", F.col("rank").cast("int"))

@@ -162,7 +162,7 @@ def test_exact_knn_matches_bruteforce(spark):
     te = [(i, list(map(float, rng.random(4) * 1.3 - 0.1))) for i in range(60)]
     tdf = spark.createDataFrame(te, "problem_id long, vec array<double>")
     rdf = spark.createDataFrame(tr, "problem_id long, vec array<double>")
-    got = exact_knn(tdf, rdf, 3, cell_target=8).toPandas()
+    got = exact_knn(tdf, rdf, 3).toPandas()
     want = _brute_knn(te, tr, 3)
     for ti, ids in want.items():
         g = got[got.test_id == ti].sort_values("rank")["train_id"].tolist()
@@ -173,7 +173,7 @@ def test_range_pairs_matches_bruteforce(spark):
     rng = np.random.default_rng(6)
     pts = [(i, list(map(float, rng.random(3)))) for i in range(200)]
     df = spark.createDataFrame(pts, "problem_id long, vec array<double>")
-    got = {(r["test_id"], r["train_id"]) for r in range_pairs(df, df, 0.2, cell_target=4).collect()}
+    got = {(r["test_id"], r["train_id"]) for r in range_pairs(df, df, 0.2).collect()}
     want = {(a, b) for a, va in pts for b, vb in pts if np.sqrt(((np.array(va) - np.array(vb)) ** 2).sum()) <= 0.2}
     assert got == want
 
@@ -195,3 +195,74 @@ def test_partition_invariance(spark):
 def test_binarize_then_nb_pipeline_columns(spark):
     df = binarize_fixed(f1(spark, SF), ["j80"], 0.5)
     assert set(df.columns) >= {"problem_id", "sample_idx", "j80"}
+
+
+def test_candidates_of_clustered_vectors_stay_far_below_all_pairs(spark):
+    """64 coordinates, 40 tight clusters: the pivots rule out most of the product."""
+    from pickwise.operators import neighbors as NB
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64)) * 5
+    rows = [(i, (centres[i % 40] + rng.normal(size=64) * 0.05).tolist()) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "problem_id long, vec array<double>")
+    points = df.where("problem_id % 5 = 0")
+    metric = NB.Metric()
+    tr = df.select(F.col("problem_id").alias("train_id"), F.col("vec").alias("__tv"), F.col("vec").alias("__g"))
+    pivots = NB._pivots(tr)
+    celled = NB._with_cells(tr, pivots, metric).cache()
+    cells = NB._Cells(celled, None, len(pivots))
+    named = NB._named_cells(points.select(F.col("problem_id").alias("test_id"), F.col("vec").alias("__v"), F.col("vec").alias("__g"), F.lit(1.0).alias("r")),
+                            pivots, cells, metric, NB._reaching("r"))
+    assert NB._candidates(named, celled, [], metric).count() < 0.15 * 400 * 2_000
+    got = {(r["test_id"], r["rank"]): r["train_id"] for r in NB.exact_knn(points, df, 3).collect()}
+    x = np.array([v for _, v in rows])
+    for i in range(0, 2_000, 50):
+        want = np.lexsort((np.arange(2_000), np.linalg.norm(x - x[i], axis=1)))[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == want.tolist()
+
+
+def test_chain_of_ten_thousand_is_one_component(spark):
+    from pickwise.operators.groups import connected_components
+
+    nodes = spark.range(10_001).select(F.col("id").alias("node"))
+    edges = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert connected_components(edges, nodes).agg(F.max("comp")).first()[0] == 0
+
+
+def test_smoothing_counts_positions_not_indices(spark):
+    from pickwise.operators.scores import smooth_scores
+
+    df = spark.createDataFrame([(1, 0, 0, 0.0), (1, 2, 0, 2.0), (1, 4, 0, 4.0)], "problem_id long, sample_idx int, y int, v double")
+    got = [r["v"] for r in smooth_scores(df, ["v"], 3).orderBy("sample_idx").collect()]
+    assert [round(x, 6) for x in got] == [0.666667, 2.0, 2.0]
+
+
+def test_scorer_failures_do_not_depend_on_batches(spark):
+    from pickwise.operators.scoring import score_batch
+
+    def picky(asked, told):
+        if any(t == "bad" for t in told):
+            raise RuntimeError("no")
+        return [float(len(t)) for t in told]
+
+    df = spark.createDataFrame([(i, "q", "bad" if i == 3 else "x" * i) for i in range(8)], "id int, instruction string, response string").coalesce(1)
+    for batch in (1, 3, 8):
+        got = [r["s"] for r in score_batch(df, picky, "s", batch=batch, kind="process").orderBy("id").collect()]
+        assert got == [0.0, 1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0]
+
+
+def test_gaussian_model_takes_unlabelled_rows(spark):
+    from pickwise.models.gaussian import gaussian_em
+
+    rng = np.random.default_rng(4)
+    rows = [(i // 4, i % 4, None if i % 5 == 0 else int(i % 2), float(rng.normal(3 * (i % 2), 0.3)), float(rng.normal(i % 2, 0.3))) for i in range(200)]
+    df = spark.createDataFrame(rows, "problem_id long, sample_idx int, y int, a double, b double")
+    got = gaussian_em(df, ["a", "b"]).collect()
+    assert len(got) == 200 and np.mean([(r["p1"] > 0.5) == (r["sample_idx"] % 2 == 1) for r in got]) > 0.98
+
+
+def test_oracle_logistic_on_one_label_class(spark):
+    from pickwise.operators.scaling import oracle_logistic
+
+    df = spark.createDataFrame([(i // 2, i % 2, 1, 0.1 * i) for i in range(10)], "problem_id long, sample_idx int, y int, v double")
+    assert [(r["k"], r["accuracy"]) for r in oracle_logistic(df, ["v"], [1, 2]).collect()] == [(1, 1.0), (2, 1.0)]
