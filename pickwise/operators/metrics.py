@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.columns import flag, safe_div, sum_cols
+from pickwise.functions.joins import join_back
 from pickwise.functions.topk import group_topk
 
 NO_ANSWER = "NO_ANSWER"
@@ -215,12 +216,14 @@ def majority_vote(df: DataFrame, k: int = 1, mode: str = "majority", answer: str
 
 
 def majority_at_k(df: DataFrame, ks, top_m: int = 1, mode: str = "majority", answer: str = "answer") -> DataFrame:
-    """Majority vote over the first k samples with the top-M answers, accuracy per k."""
-    parts = []
-    for k in ks:
-        mv = majority_vote(df.filter(F.col("sample_idx") < k), top_m, mode, answer)
-        parts.append(mv.agg(F.lit(k).alias("k"), F.avg("majority_correct").alias("majority_at_k")))
-    return reduce(DataFrame.unionByName, parts)
+    """Majority vote over the first k samples with the top-M answers, accuracy per k, over the
+    problems with at least k samples.  One scan: a sample opens into the ks that it counts for."""
+    n = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("__n"))
+    rows = join_back(df.select("problem_id", "sample_idx", "y", answer), n, "problem_id")
+    fits = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: (F.col("sample_idx") < k) & (F.col("__n") >= k))
+    opened = rows.select("problem_id", "sample_idx", "y", answer, F.explode(fits).alias("k"))
+    mv = majority_vote(opened.withColumn("problem_id", F.struct("k", "problem_id")), top_m, mode, answer)
+    return mv.groupBy(F.col("problem_id.k").alias("k")).agg(F.avg("majority_correct").alias("majority_at_k"))
 
 
 def majority_top1(df: DataFrame, only_solvable: bool = False, answer: str = "answer") -> DataFrame:
@@ -312,14 +315,13 @@ def best_verifier(df: DataFrame, verifiers) -> DataFrame:
 
 
 def selection_at_k(df: DataFrame, score: str, ks) -> DataFrame:
-    """Accuracy of the top score among the first k samples, per k (problems with >= k samples)."""
-    n = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("__n"))
-    d = df.join(n, "problem_id")
-    parts = []
-    for k in ks:
-        sub = d.filter((F.col("sample_idx") < k) & (F.col("__n") >= k))
-        parts.append(select_top1(sub, score).agg(F.lit(k).alias("k"), F.avg("top1_label").alias("accuracy")))
-    return reduce(DataFrame.unionByName, parts)
+    """Accuracy of the top score among the first k samples, per k (problems with >= k samples).
+    One grouped aggregate with a column per k; nothing is joined."""
+    key = F.struct(F.col(score).alias("value"), (-F.col("sample_idx")).alias("back"), F.col("y"))
+    best = [F.max(F.when((F.col("sample_idx") < k) & F.col(score).isNotNull(), key)).alias(f"b{k}") for k in ks]
+    per = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), *best)
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{k}.y").alias("label")) for k in ks]))
+    return per.select("n", rows.alias("r")).where("n >= r.k").groupBy(F.col("r.k").alias("k")).agg(F.avg("r.label").alias("accuracy"))
 
 
 def ensemble_at_k(df: DataFrame, verifiers, ks) -> DataFrame:

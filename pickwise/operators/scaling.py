@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pickwise.functions.columns import sum_cols
 from pickwise.models.label_model import label_model_fit, label_model_score
 from pickwise.models.logistic import logistic_fit, logistic_score
+from pickwise.functions.joins import join_back
 from pickwise.operators.metrics import majority_vote, select_top1
 from pickwise.operators.sampling import bootstrap_samples
 
 
 def _first_k(df, k):
-    return df.filter(F.col("sample_idx") < k)
+    """The first k samples of the problems that have as many."""
+    enough = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("problem_id")
+    return join_back(df.filter(F.col("sample_idx") < k), enough, "problem_id", "left_semi")
 
 
 def oracle_logistic(df: DataFrame, verifiers, ks) -> DataFrame:
@@ -71,17 +74,15 @@ def label_model_at_k(votes: DataFrame, verifiers, ks, class_balance: float | Non
 def scaling_matrix(df: DataFrame, order, rs, vs) -> DataFrame:
     """(r, v, accuracy): selection accuracy of the mean of the first v verifiers of ``order``
     among the first r samples, for every grid cell, in one grouped aggregate.
-    Problems need at least max(rs) samples (rectangle rule)."""
-    n = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("__n"))
-    d = df.join(n.filter(F.col("__n") >= max(rs)), "problem_id", "left_semi")
+    A problem takes part in the rows r that it has samples for."""
     ens = {v: sum_cols(order[:v]) / F.lit(float(v)) for v in sorted(set(vs))}
     aggs = []
     for r in sorted(set(rs)):
         for v in sorted(set(vs)):
             key = F.when(F.col("sample_idx") < r, F.struct(ens[v], -F.col("sample_idx")))
             aggs.append(F.max_by("y", key).alias(f"c{r}_{v}"))
-    g = d.groupBy("problem_id").agg(*aggs)
-    acc = g.agg(*[F.avg(f"c{r}_{v}").alias(f"c{r}_{v}") for r in sorted(set(rs)) for v in sorted(set(vs))])
+    g = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), *aggs)
+    acc = g.agg(*[F.avg(F.when(F.col("n") >= r, F.col(f"c{r}_{v}"))).alias(f"c{r}_{v}") for r in sorted(set(rs)) for v in sorted(set(vs))])
     cells = [F.struct(F.lit(r).alias("r"), F.lit(v).alias("v"), F.col(f"c{r}_{v}").alias("accuracy"))
              for r in rs for v in vs]
     return acc.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

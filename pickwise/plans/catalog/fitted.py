@@ -21,7 +21,7 @@ from pickwise.plans.catalog.groups import _split_bucket_sql
 from pickwise.plans.catalog.metrics import _split_sql
 from pickwise.plans.registry import register
 from pickwise.plans.selection import weak_votes
-from pickwise.sources.fixtures import f1, f1d
+from pickwise.sources.fixtures import f1
 
 LR = ["rm_q", "rm_disc", "j80", "j70", "j60"]
 LM = ["j80", "j70", "j60", "j_abstain"]
@@ -121,19 +121,19 @@ FROM (SELECT *, max(y) OVER (PARTITION BY problem_id) AS hp,
 
 @register("oracle_logistic")
 def oracle_logistic(spark, sf):
-    d = _lr_data(spark, sf, f1d(spark, sf))
+    d = _lr_data(spark, sf, f1(spark, sf))
     return SC.oracle_logistic(d, LR, [1, 2, 4]).select("k", r6("accuracy", "accuracy"))
 
 
 @register("oracle_logistic_per_problem")
 def oracle_logistic_per_problem(spark, sf):
-    d = _lr_data(spark, sf, f1d(spark, sf))
+    d = _lr_data(spark, sf, f1(spark, sf))
     return SC.oracle_logistic_per_problem(d, LR, [2, 4]).select("k", r6("accuracy", "accuracy"))
 
 
 @register("label_model_at_k")
 def label_model_at_k(spark, sf):
-    votes = f1d(spark, sf).select("problem_id", "sample_idx", "y", *LM)
+    votes = f1(spark, sf).select("problem_id", "sample_idx", "y", *LM)
     return SC.label_model_at_k(votes, LM, [2, 4]).select("k", r6("accuracy", "accuracy"))
 
 
@@ -146,17 +146,17 @@ def _matrix_sql(rs, vs, src):
         for v in sorted(set(vs)):
             ens = "(" + " + ".join(ORDER[:v]) + f") / {float(v)}"
             parts.append(f"""SELECT {r} AS r, {v} AS v, avg(y) AS accuracy FROM (
-  SELECT y, row_number() OVER (PARTITION BY problem_id ORDER BY {ens} DESC, sample_idx) AS rk FROM {src} WHERE sample_idx < {r})
-  WHERE rk = 1""")
+  SELECT y, row_number() OVER (PARTITION BY problem_id ORDER BY {ens} DESC, sample_idx) AS rk
+  FROM {src} WHERE sample_idx < {r} AND problem_id IN (SELECT problem_id FROM {src} GROUP BY problem_id HAVING count(*) >= {r})) WHERE rk = 1""")
     body = " UNION ALL ".join(parts)
     grid = " UNION ALL ".join(f"SELECT {r} AS r, {v} AS v" for r in rs for v in vs)
     return f"SELECT g.r, g.v, round(m.accuracy, 6) AS accuracy FROM ({grid}) g JOIN ({body}) m ON g.r = m.r AND g.v = m.v"
 
 
-@register("scaling_matrix", fixtures=("f1d",), sql=_matrix_sql([1, 2, 3, 4], VS, "f1d"))
+@register("scaling_matrix", sql=_matrix_sql([1, 2, 3, 4], VS, "f1"))
 def scaling_matrix(spark, sf):
     """Samples x verifiers grid (verifiers in a fixed order; duplicates of the linspace grid kept)."""
-    m = SC.scaling_matrix(f1d(spark, sf), ORDER, [1, 2, 3, 4], VS)
+    m = SC.scaling_matrix(f1(spark, sf), ORDER, [1, 2, 3, 4], VS)
     return m.select("r", "v", r6("accuracy", "accuracy"))
 
 
@@ -216,8 +216,8 @@ def _curve_sql(order, ks, b, seed=42):
     for m, e in (("pass_at_k", "pass_at_k"), ("ensemble", "ensemble"), ("best_verifier", "best_verifier"),
                  ("majority", "majority")):
         methods.append(f"SELECT '{m}' AS method, k, round(avg({e}), 6) AS mean, round(stddev_pop({e}), 6) AS sd FROM d GROUP BY k")
-    return f"""WITH n AS (SELECT problem_id, count(*) AS n FROM f1d GROUP BY problem_id),
-rep AS (SELECT f.*, CAST(dr AS INT) AS draw, CAST(kk AS INT) AS k FROM f1d f JOIN n ON f.problem_id = n.problem_id,
+    return f"""WITH n AS (SELECT problem_id, count(*) AS n FROM f1 GROUP BY problem_id),
+rep AS (SELECT f.*, CAST(dr AS INT) AS draw, CAST(kk AS INT) AS k FROM f1 f JOIN n ON f.problem_id = n.problem_id,
         (SELECT unnest(range({b})) AS dr), (SELECT unnest({list(ks)}) AS kk) WHERE n.n >= kk),
 bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, draw, problem_id ORDER BY {md5}) AS slot FROM rep) WHERE slot <= k),
 rk AS (SELECT *, row_number() OVER (PARTITION BY k, draw, problem_id ORDER BY {ens} DESC, sample_idx) AS r_ens, {ranks} FROM bs),
@@ -232,15 +232,15 @@ d AS (SELECT bd.*, {best} AS best_verifier, mv.majority FROM bd JOIN mv ON bd.k
 {" UNION ALL ".join(methods)}"""
 
 
-@register("scaling_curve", fixtures=("f1d",), sql=_curve_sql(ORDER, [1, 2, 4], 4))
+@register("scaling_curve", sql=_curve_sql(ORDER, [1, 2, 4], 4))
 def scaling_curve(spark, sf):
-    m = SC.scaling_curve(f1d(spark, sf), ORDER, [1, 2, 4], 4, 42)
+    m = SC.scaling_curve(f1(spark, sf), ORDER, [1, 2, 4], 4, 42)
     return m.select("method", "k", r6("mean", "mean"), r6("sd", "sd"))
 
 
 @register("scaling_heatmap")
 def scaling_heatmap(spark, sf):
-    d = f1d(spark, sf)
+    d = f1(spark, sf)
     m = SC.scaling_heatmap(d, d, ["j80", "j70", "j60", "j_abstain"], [2, 4], [1, 3, 4])
     return m.select("method", "r", "v", r6("accuracy", "accuracy"))
 

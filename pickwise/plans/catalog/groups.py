@@ -10,7 +10,7 @@ from pickwise.operators import neighbors as NB
 from pickwise.operators.sampling import difficulty_bins, stratified_split
 from pickwise.plans.catalog.metrics import _split_sql
 from pickwise.plans.registry import register
-from pickwise.sources.fixtures import F1_CLEAN_JUDGES, f1, f1d, f4
+from pickwise.sources.fixtures import F1_CLEAN_JUDGES, f1, f4
 
 JV = F1_CLEAN_JUDGES
 
@@ -54,8 +54,8 @@ def _cov_sql():
     dmu = " + ".join(f"(te.m_{v} - tr.m_{v}) * (te.m_{v} - tr.m_{v})" for v in JV)
     dcov = " + ".join(f"(te.c_{a}_{b} - tr.c_{a}_{b}) * (te.c_{a}_{b} - tr.c_{a}_{b})" for a, b in pairs)
     dist = f"(sqrt({dmu}) + sqrt({dcov}))"
-    return f"""WITH {_split_sql('0.8', 42, 10, 'f1d')},
-v AS (SELECT problem_id, {mu}, {cov} FROM f1d GROUP BY problem_id HAVING count(*) >= 2),
+    return f"""WITH {_split_sql('0.8', 42, 10, 'f1')},
+v AS (SELECT problem_id, {mu}, {cov} FROM f1 GROUP BY problem_id HAVING count(*) >= 2),
 te AS (SELECT * FROM v WHERE problem_id IN (SELECT problem_id FROM split WHERE set = 'test')),
 tr AS (SELECT * FROM v WHERE problem_id IN (SELECT problem_id FROM split WHERE set = 'train'))
 SELECT te.problem_id AS test_id, tr.problem_id AS train_id, round({dist}, 6) AS distance,
@@ -63,10 +63,10 @@ SELECT te.problem_id AS test_id, tr.problem_id AS train_id, round({dist}, 6) AS
 FROM te, tr QUALIFY rank = 1"""
 
 
-@register("nearest_by_cov", fixtures=("f1d",), sql=_cov_sql())
+@register("nearest_by_cov", sql=_cov_sql())
 def nearest_by_cov(spark, sf):
     """Features rounded to 9 digits so that equal covariances tie identically in any engine."""
-    test, train = _sets(spark, sf, f1d(spark, sf))
+    test, train = _sets(spark, sf, f1(spark, sf))
     return _out(G.nearest_by_cov(test, train, JV, 1, digits=9))
 
 

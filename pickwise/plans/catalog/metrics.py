@@ -10,7 +10,7 @@ from pickwise.operators.sampling import difficulty_bins, stratified_split
 from pickwise.plans.catalog import sqlparts as Q
 from pickwise.plans.registry import register
 from pickwise.plans.selection import naive_bayes_selection
-from pickwise.sources.fixtures import F1_CLEAN_JUDGES, F1_VERIFIERS, f1, f1d, f5
+from pickwise.sources.fixtures import F1_CLEAN_JUDGES, F1_VERIFIERS, f1, f5
 
 ENS = F1_CLEAN_JUDGES
 ENS_SQL = "(j80 + j70 + j60) / 3.0"
@@ -115,14 +115,14 @@ def assemble_results(spark, sf):
 
 # ---------------------------------------------------------------- pass@k
 
-@register("pass_at_k", fixtures=("f1d",), sql="""
+@register("pass_at_k", sql="""
 WITH g AS (SELECT problem_id, count(*) AS n, max(CASE WHEN sample_idx < 1 THEN y END) AS h1,
                   max(CASE WHEN sample_idx < 2 THEN y END) AS h2, max(CASE WHEN sample_idx < 4 THEN y END) AS h4
-           FROM f1d GROUP BY problem_id),
+           FROM f1 GROUP BY problem_id),
 r AS (SELECT 1 AS k, h1 AS hit, n FROM g UNION ALL SELECT 2, h2, n FROM g UNION ALL SELECT 4, h4, n FROM g)
 SELECT k, round(avg(hit), 6) AS pass_at_k FROM r WHERE n >= k GROUP BY k""")
 def pass_at_k(spark, sf):
-    return _round_all(M.pass_at_k(f1d(spark, sf), [1, 2, 4]))
+    return _round_all(M.pass_at_k(f1(spark, sf), [1, 2, 4]))
 
 
 @register("pass_at_k_ragged", sql="""
@@ -149,9 +149,9 @@ def pass_at_k_unbiased(spark, sf):
     return _round_all(M.pass_at_k_unbiased(f1(spark, sf), [1, 2, 4, 8]))
 
 
-@register("pass_at_k_unbiased_first_m", fixtures=("f1d",), sql=_sql_unbiased("f1d", [1, 2, 3], 3))
+@register("pass_at_k_unbiased_first_m", sql=_sql_unbiased("f1", [1, 2, 3], 3))
 def pass_at_k_unbiased_first_m(spark, sf):
-    return _round_all(M.pass_at_k_unbiased(f1d(spark, sf), [1, 2, 3], 3))
+    return _round_all(M.pass_at_k_unbiased(f1(spark, sf), [1, 2, 3], 3))
 
 
 # ---------------------------------------------------------------- majority
@@ -179,13 +179,13 @@ def _sql_majority_at_k(ks):
     parts = []
     for k in ks:
         parts.append(f"SELECT {k} AS k, avg(CAST(nc > cnt / 2.0 AS INT)) AS acc FROM (" +
-                     "WITH " + MV_A.format(src="f1d", extra=f"AND sample_idx < {k}") + " SELECT * FROM r WHERE rk = 1)")
+                     "WITH " + MV_A.format(src="f1", extra=f"AND sample_idx < {k} AND problem_id IN (SELECT problem_id FROM f1 GROUP BY problem_id HAVING count(*) >= {k})") + " SELECT * FROM r WHERE rk = 1)")
     return f"SELECT k, round(acc, 6) AS majority_at_k FROM ({' UNION ALL '.join(parts)})"
 
 
-@register("majority_at_k", fixtures=("f1d",), sql=_sql_majority_at_k([1, 2, 3, 4]))
+@register("majority_at_k", sql=_sql_majority_at_k([1, 2, 3, 4]))
 def majority_at_k(spark, sf):
-    return _round_all(M.majority_at_k(f1d(spark, sf), [1, 2, 3, 4]))
+    return _round_all(M.majority_at_k(f1(spark, sf), [1, 2, 3, 4]))
 
 
 MV_ALL = """a AS (SELECT problem_id, answer, count(*) AS cnt, sum(y) AS nc, min(sample_idx) AS first_idx FROM {src} GROUP BY problem_id, answer),
