@@ -40,30 +40,38 @@ LOCAL_HOT = 32
 _SEEDS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
-def paragraphs(raw: bytes, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of words before, word hashes) of every paragraph that is long enough."""
+def paragraphs(raw: bytes, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(words before, words, sorted distinct shingle hashes) of every paragraph that is long enough."""
     ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) if raw else np.empty(0, np.int64)
     cuts = np.concatenate([[0], np.searchsorted(at, ends), [len(h)]])
-    for i in np.flatnonzero(np.diff(cuts) >= LEAST_WORDS):
-        yield int(cuts[i]), h[cuts[i]:cuts[i + 1]]
+    long = np.flatnonzero(np.diff(cuts) >= LEAST_WORDS)
+    shingles = window_hashes(h, setjoin.SHINGLE) if len(long) else h
+    for first, last in zip(cuts[long].tolist(), cuts[long + 1].tolist(), strict=True):
+        tokens = np.sort(shingles[first:last - setjoin.SHINGLE + 1])
+        fresh = tokens[1:] != tokens[:-1]
+        yield first, last - first, tokens if fresh.all() else tokens[np.concatenate([[True], fresh])]
 
 
 def paragraph_sets(text: str | None) -> list[np.ndarray]:
     raw = folded(text)
-    return [np.unique(window_hashes(part, setjoin.SHINGLE)) for _, part in paragraphs(raw, *word_hashes(raw))]
+    return [tokens for _, _, tokens in paragraphs(raw, *word_hashes(raw))]
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, bands) band hashes of non-empty sets; identical sets have identical rows."""
     tokens = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.zeros((len(sets), BANDS), np.uint64)
+    low = np.empty((BANDS * ROWS, len(sets)), np.uint64)
+    scratch = np.empty_like(tokens)
     with np.errstate(over="ignore"):
-        for p, seed in enumerate(_SEEDS):
-            h = tokens * seed
-            low = np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts)
-            band = p // ROWS
-            out[:, band] = mix64(out[:, band] * MIX_A + low + np.uint64(band + 1))
+        for p, seed in enumerate(_SEEDS):  # tokens are mixed already: an odd multiple permutes them
+            np.minimum.reduceat(np.multiply(tokens, seed, out=scratch), starts, out=low[p])
+        out = np.empty((len(sets), BANDS), np.uint64)
+        for band in range(BANDS):
+            key = np.full(len(sets), np.uint64(band + 1))
+            for row in low[band * ROWS:(band + 1) * ROWS]:
+                key = mix64(key * MIX_A + row)
+            out[:, band] = key
     return out
 
 
@@ -73,17 +81,25 @@ def anchored_windows(h: np.ndarray, span: int = SPAN, reach: int = REACH) -> tup
     if n < span:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        pairs = mix64(h[:-1] * MIX_A + h[1:])
-        pick = pairs[:n - span + 1]
+        runs = {1: h}       # hashes of runs of 1, 2, 4, ... words, by doubling
+        size = 1
+        while 2 * size <= span:
+            runs[2 * size] = mix64(runs[size][:-size] * MIX_A + runs[size][size:])
+            size *= 2
+        pick = runs[min(2, size)][:n - span + 1]
         if len(pick) <= reach:
             at = np.array([int(np.argmin(pick))])
         else:
             view = np.lib.stride_tricks.sliding_window_view(pick, reach)
-            at = np.unique(np.concatenate([np.argmin(view[i:i + 65536], axis=1) + np.arange(i, min(i + 65536, len(view)))
-                                           for i in range(0, len(view), 65536)]))
-        out = np.full(len(at), np.uint64(span))
-        for i in range(span):
-            out = mix64(out * MIX_A + h[at + i])
+            at = np.concatenate([np.argmin(view[i:i + 65536], axis=1) + np.arange(i, min(i + 65536, len(view)))
+                                 for i in range(0, len(view), 65536)])
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]  # the least of a moving window never moves back
+        out, done = np.full(len(at), np.uint64(span)), 0
+        while size:
+            if span - done >= size:
+                out = mix64(out * MIX_A + runs[size][at + done])
+                done += size
+            size //= 2
     return at, out
 
 
@@ -144,21 +160,22 @@ def index(rows: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             info: list[tuple] = []
             sets: list[np.ndarray] = []
+            held = 0            # tokens; few at a time stay in the processor's cache
             for rk, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = folded(value.as_py())
                 h, offsets = word_hashes(raw)
-                for before, part in paragraphs(raw, h, offsets):
-                    tokens = np.unique(window_hashes(part, setjoin.SHINGLE))
-                    info.append((rk, setjoin.set_key(tokens), before, len(part), len(tokens)))
+                for before, size, tokens in paragraphs(raw, h, offsets):
+                    info.append((rk, setjoin.set_key(tokens), before, size, len(tokens)))
                     sets.append(tokens)
+                    held += len(tokens)
                 at, keys = anchored_windows(h)
                 if len(at):
                     windows.add(keys, np.full(len(at), rk, np.int64), at)
                 if windows.full():
                     yield from _packed(windows.flush())
-                if sum(map(len, sets)) > 500_000:
+                if held > 20_000:
                     yield from _paragraphs(info, sets, bands, buckets)
-                    info, sets = [], []
+                    info, sets, held = [], [], 0
             if info:
                 yield from _paragraphs(info, sets, bands, buckets)
         yield from _packed(bands.flush() + windows.flush())
