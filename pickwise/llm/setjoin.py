@@ -210,19 +210,9 @@ def index(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
         if len(info):
             none = pa.nulls(len(info), pa.int64())
             out.append(pa.Table.from_arrays([pa.array(np.full(len(info), 1, np.int32)), none, *(info[c].combine_chunks() for c in ("cls", "rk", "id", "n", "slack"))], schema=_MADE))
-        plain, hot = [], []
-        for data, is_hot in zip(table["data"], table["hot"], strict=True):
-            if data.is_valid:
-                (hot if is_hot.as_py() else plain).append(np.frombuffer(data.as_buffer(), np.int64).reshape(2, -1))
-        for parts, least in ((plain, 2), (hot, 1)):
-            if parts:
-                both = np.concatenate(parts, axis=1)
-                sig, own, starts = _grouped(both[0].view(np.uint64), both[1])
-                sizes = np.diff(np.append(starts, len(sig)))
-                keep = np.repeat(sizes >= least, sizes)
-                if keep.any():
-                    none = pa.nulls(int(keep.sum()), pa.int64())
-                    out.append(pa.Table.from_arrays([pa.array(np.zeros(len(none), np.int32)), pa.array(sig[keep].view(np.int64)), pa.array(own[keep]), none, none, none, none], schema=_MADE))
+        for rows in _shared_rows(table):
+            none = pa.nulls(rows.shape[1], pa.int64())
+            out.append(pa.Table.from_arrays([pa.array(np.zeros(len(none), np.int32)), pa.array(rows[0]), pa.array(rows[1]), none, none, none, none], schema=_MADE))
         return pa.concat_tables(out) if out else _MADE.empty_table()
 
     made = stored(rows.mapInArrow(send, _SENT_SQL).groupBy("bucket").applyInArrow(receive, _MADE_SQL), "signatures", "kind")
@@ -368,21 +358,54 @@ def family_links(members: DataFrame, probes: DataFrame, rows: DataFrame, classes
 
 
 def _rich_classes(inside: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) -> DataFrame:
-    """Classes of which enough tokens occur in another class too: a link needs 0.8 of either set in common."""
-    sets = sets_of(rows, classes, stored(inside.select("cls").distinct(), "wanted"), cut)
+    """Classes of which enough tokens occur in another class too: a link needs 0.8 of either set in common.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tokens are packed into buckets as signatures are; a bucket returns one count per class."""
+    wanted = stored(inside.select("cls", "n").distinct(), "wanted")
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4, int(16 * total // 12_000_000))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gather = _Gather(buckets)
         for batch in batches:
             for cls, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = np.frombuffer(value.as_buffer(), np.int64)
-                for i in range(0, len(tokens), 100_000):
-                    part = tokens[i:i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), cls, np.int64)), pa.array(part)], names=["cls", "token"])
-
-    tokens = stored(sets.mapInArrow(each, "cls long, token long"), "tokens")
-    common = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "common")
-    counted = small_join(tokens, common, ["token"], most=1_000_000).groupBy("cls").agg(F.count(F.lit(1)).alias("k"))
-    return counted.join(classes.select("cls", "n"), "cls").where(DEN * F.col("k") >= NUM * F.col("n")).select("cls")
+                gather.add(np.frombuffer(value.as_buffer(), np.uint64), cls)
+                if gather.size >= CHUNK:
+                    yield from _boxed(gather.flush())
+        yield from _boxed(gather.flush())
+
+    def count(table: pa.Table) -> pa.Table:
+        owners = [rows[1] for rows in _shared_rows(table)]
+        cls, k = np.unique(np.concatenate(owners), return_counts=True) if owners else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return pa.table({"cls": pa.array(cls, pa.int64()), "k": pa.array(k, pa.int64())})
+
+    sets = sets_of(rows, classes, wanted.select("cls"), cut)
+    counted = sets.mapInArrow(send, "bucket int, hot boolean, data binary").groupBy("bucket").applyInArrow(count, "cls long, k long")
+    # a token crowded in one task is counted once more for the class that stands for it there: k may be too high, never too low
+    return counted.groupBy("cls").agg(F.sum("k").alias("k")).join(classes.select("cls", "n"), "cls").where(DEN * F.col("k") >= NUM * F.col("n")).select("cls")
+
+
+def _boxed(rows: list[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 256):
+        bucket, hot, data = zip(*rows[i:i + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(hot, pa.bool_()), pa.array(data, pa.binary())], names=["bucket", "hot", "data"])
+
+
+def _shared_rows(table: pa.Table) -> list[np.ndarray]:
+    """(2, rows) arrays of key and owner: of keys that two owners share, and of keys that were crowded in a task."""
+    plain, hot, out = [], [], []
+    for data, is_hot in zip(table["data"], table["hot"], strict=True):
+        if data.is_valid:
+            (hot if is_hot.as_py() else plain).append(np.frombuffer(data.as_buffer(), np.int64).reshape(2, -1))
+    for parts, least in ((plain, 2), (hot, 1)):
+        if parts:
+            both = np.concatenate(parts, axis=1)
+            sig, own, starts = _grouped(both[0].view(np.uint64), both[1])
+            sizes = np.diff(np.append(starts, len(sig)))
+            keep = np.repeat(sizes >= least, sizes)
+            if keep.any():
+                out.append(np.stack([sig[keep].view(np.int64), own[keep]]))
+    return out
 
 
 def _block_links(table: pa.Table) -> pa.Table:
