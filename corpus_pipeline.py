@@ -45,19 +45,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id."""
+    """One document of each component stays: that with the smallest doc_id, once if its row repeats.
+
+    Documents without an id are never the ones that go."""
     prepare(spark)
-    linked = setjoin.linked_components(docs.select("doc_id", "text"))
-    # the documents that go are named by id and component; a document alone in its component is not among them
+    columns = docs.columns
+    linked = stored(setjoin.linked_components(docs.select("doc_id", "text")), "linked")
     gone = stored(linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
-    return small_join(docs, gone, ["doc_id"], "left_anti", most=500_000).select(*docs.columns)
+    kept = small_join(docs, gone, ["doc_id"], "left_anti", most=500_000).select(*columns)
+    repeated = stored(linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = small_join(kept, repeated, ["doc_id"], "left_semi", most=500_000).dropDuplicates(["doc_id", "text"])
+    return small_join(kept, repeated, ["doc_id"], "left_anti", most=500_000).select(*columns).unionByName(once.select(*columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that state an item of ``benchmark`` go."""
+    """Documents that state an item of ``benchmark`` go; those without an id count as one document."""
     prepare(spark)
-    leaks = stored(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return small_join(docs, leaks, ["doc_id"], "left_anti", most=500_000).select(*docs.columns)
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")).alias("__id")
+    leaks = stored(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(key).distinct(), "leaks")
+    return small_join(docs.select("*", key), leaks, ["__id"], "left_anti", most=500_000).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ UNITS = ("kg g mg lb lbs oz t km m cm mm mi mile miles ft feet inch inches l ml
          "minutes h hr hrs hour hours day days week weeks month months year years dollar dollars usd euro euros eur pound pounds gbp cent cents "
          "percent pct degree degrees w kw v a hz khz mhz ghz kb mb gb tb").split()
 LEAST_WORDS = 3
-FEW_WINDOWS = 2_000_000
+FEW_WINDOWS = 500_000
 MOST_WIDTH = 64     # words of a window at most
 
 

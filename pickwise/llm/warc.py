@@ -212,7 +212,8 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = 6) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                archive = re.sub(r"[^A-Za-z0-9_.-]", "_", path.as_py().rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".txt"))
+                name = re.sub(r"[^A-Za-z0-9_.-]", "_", path.as_py().rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".txt"))
+                archive = f"{name}-{zlib.crc32(path.as_py().encode()):08x}"  # files of one name in two folders stay apart
                 yield from _members(archive, content.as_py(), level)
 
     made = files.mapInArrow(run, "kind string, archive string, seq long, value binary")

@@ -284,3 +284,18 @@ def test_pipeline_stages_on_an_empty_table(spark):
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_pipeline_stages_take_nulls_and_repeated_rows(spark):
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, text, None, None, None), (None, text, "en", "a", 9), (None, leak, "en", "a", 9),
+            (3, None, None, None, None), (4, "", "en", "a", 0), (5, leak, "en", "a", 1), (6, "word " * 30_000, "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    assert all(stage[n](spark, df, SMALL).columns == df.columns for n in list(stage)[:-1])
+    near = [r["doc_id"] for r in stage["near_duplicates"](spark, df, SMALL).collect()]
+    assert sorted(near, key=str) == [1, 3, 4, 5, 6, None, None]
+    clean = [r["doc_id"] for r in stage["decontaminate"](spark, df, SMALL).collect()]
+    assert sorted(clean) == [1, 1, 2, 3, 4, 6]
+    assert sorted(r["doc_id"] for r in stage["language_id"](spark, df, SMALL).where("doc_id in (3, 4)").collect()) == []
