@@ -66,6 +66,37 @@ CRITIQUE_USER = ("The following is a math problem and a solution (split into par
                  "error in a paragraph, return the index of the paragraph where the earliest error occurs. "
                  "Otherwise, return the index of -1 (which typically denotes \"not found\").\n\n"
                  "Please put your final answer (i.e., the index) in \\boxed{}.")
+# Judge prompts for generated scenes (verdict and critique).
+SCENE_SYSTEM = (
+    "You are a rigorous evaluator for determining whether a scene is valid and high quality with respect to a given prompt.\n"
+    "\n"
+    "    The scene will be represented as a JSON with a list of objects and a floor layout. The floor layout will be represented as a list of vertices and faces.\n"
+    "    Each object will be represented by a unique name, category, position, size, forward direction, right direction, and up direction.\n"
+    "    \n"
+    "    Evaluate the scene against the relevant criteria such as:\n"
+    "    - Whether the right objects are present in the scene\n"
+    "    - Physically plausible placement of objects, such as grounding and intersections\n"
+    "    - Making sure objects are in bounds of the floor layout\n"
+    "    - Accessible and navigable arrangement of the space\n"
+    "    - Proper commonsense relationships between objects and the space\n"
+    "\n"
+    "    For instance, if objects intersect or float in the air when they should be on the ground, this is an error. Or if objects are not accessible or\n"
+    "    prevent parts of the room from being accessed, this is an error. If objects do not face the correct direction, this is an error. Check for other \n"
+    "    errors of similar nature.\n"
+    "    \n"
+    "    Then respond with EXACTLY \"True\" if you have high confidence the scene is valid, or \"False\" otherwise.\n"
+    "    \n"
+    "    Your response should be structured as:\n"
+    "    A single line containing only \"True\" or \"False\" \n"
+    "\n"
+    "    You must include your final verdict of True or False on a new line at the end of your response.")
+SCENE_USER = "Prompt: {instruction}\n\nScene to evaluate:\n{sample}\n\nAnalyze the scene, then on a new line state True or False:"
+SCENE_CRITIQUE_SYSTEM = "You are a rigorous evaluator for determining whether a scene is valid and high quality with respect to a given prompt."
+SCENE_CRITIQUE_USER = (
+    "The following is a prompt and a scene (split into paragraphs, enclosed with tags and indexed from 0):\n\n[Prompt]\n{instruction}\n\n[Scene]\n{sample}\n\n"
+    "Your task is to review and critique the different components of the scene. Once you identify an error, return the objects involved in the error and the "
+    "nature of the error. Otherwise, return \"No errors found\".\n\n"
+    "Please put your final answer (i.e., the objects involved in the error and the nature of the error) in \\boxed{}.")
 # ---------------------------------------------------------------------------
 
 def strip_ws(c) -> Column:

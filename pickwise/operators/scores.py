@@ -131,12 +131,15 @@ def range_check(df: DataFrame, verifiers) -> DataFrame:
 # ---------------------------------------------------------------------------
 # 36 quantile / 37 winsorize (scope = all problems)
 
-def winsorize(df: DataFrame, verifiers, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
+def winsorize(df: DataFrame, verifiers, lower: float = 0.05, upper: float = 0.95, scope: str = "all_problems") -> DataFrame:
     """Clip each verifier at its lower / upper discrete percentile, then min-max if outside [0,1].
 
     Bounds are the values of 1-based rank ceil(q * n) among the non-null values
-    (the documented percentile meaning, Q8).  Gate as in :func:`minmax_all`.
+    (the documented percentile meaning, Q8).  Gate as in :func:`minmax_all`, or per problem as in
+    :func:`minmax_per_problem` with ``scope='per_problem'`` (bounds by ``percentile_disc``).
     """
+    if scope == "per_problem":
+        return _winsorize_per_problem(df, verifiers, lower, upper)
     st = gate_stats(df, verifiers).first().asDict()
     work = [v for v in verifiers
             if not (st[f"{v}__n"] == 0 or st[f"{v}__nd"] == 0
@@ -156,6 +159,19 @@ def winsorize(df: DataFrame, verifiers, lower: float = 0.05, upper: float = 0.95
     return _replace(df, exprs)
 
 
+def _winsorize_per_problem(df: DataFrame, verifiers, lower: float, upper: float) -> DataFrame:
+    st = gate_stats(df, verifiers, ["problem_id"])
+    bounds = df.groupBy("problem_id").agg(*[
+        F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{v}`)").alias(f"{v}__{n}") for v in verifiers for n, p in (("a", lower), ("b", upper))])
+    j = join_back(df, st.join(bounds, "problem_id"), "problem_id")
+    exprs = {}
+    for v in verifiers:
+        a, b = F.col(f"{v}__a"), F.col(f"{v}__b")
+        clipped = F.least(F.greatest(F.col(v), a), b)
+        exprs[v] = F.when(_keep_expr(v) | F.col(v).isNull(), F.col(v)).when((a >= 0) & (b <= 1), clipped).otherwise(safe_div(clipped - a, b - a))
+    return _replace(j, exprs, drop={c for c in j.columns if "__" in c})
+
+
 def values_at_ranks(df: DataFrame, v: str, ranks) -> dict:
     """Values of column ``v`` at 1-based ranks among its non-null values (exact).
 
@@ -169,19 +185,65 @@ def values_at_ranks(df: DataFrame, v: str, ranks) -> dict:
     return {int(r["__rank"]) + 1: r[v] for r in rows}
 
 
-def quantile_norm(df: DataFrame, verifiers, n_quantiles: int = 1000) -> DataFrame:
+def _quantile_map(x, qs, levels, normal: bool):
+    """Scores to levels by interpolation from both sides; optionally on to standard normal values."""
+    import numpy as np
+    from statistics import NormalDist
+
+    out = 0.5 * (np.interp(x, qs, levels) - np.interp(-x, -qs[::-1], -levels[::-1]))
+    out[x + 1e-7 > qs[-1]] = 1.0
+    out[x - 1e-7 < qs[0]] = 0.0
+    if normal:
+        uniq, back = np.unique(np.clip(out, 1e-7, 1 - 1e-7), return_inverse=True)
+        inv = NormalDist().inv_cdf
+        out = np.array([inv(u) if u == u else np.nan for u in uniq.tolist()])[back]
+    out[np.isnan(x)] = np.nan
+    return out
+
+
+def _quantile_per_problem(df: DataFrame, verifiers, n_quantiles: int, normal: bool) -> DataFrame:
+    """Each problem's own quantiles, from its list of scores (one problem's samples in one row)."""
+    import numpy as np
+    import pandas as pd
+
+    st = gate_stats(df, verifiers, ["problem_id"])
+    lists = df.groupBy("problem_id").agg(*[F.sort_array(F.collect_list(v)).alias(f"{v}__all") for v in verifiers])
+    j = join_back(df, st.join(lists, "problem_id"), "problem_id")
+
+    def transform(x, own):
+        out = np.full(len(x), np.nan)
+        for i, (value, scores) in enumerate(zip(x.to_numpy(dtype=float), own)):
+            if len(scores) and value == value:
+                levels = np.linspace(0, 1, min(len(scores), n_quantiles))
+                qs = np.maximum.accumulate(np.quantile(np.asarray(scores, float), levels))
+                out[i] = _quantile_map(np.array([value]), qs, levels, normal)[0]
+        return pd.Series(out)
+
+    transform.__annotations__ = {"x": pd.Series, "own": pd.Series, "return": pd.Series}
+    transform = F.pandas_udf(transform, "double")
+    exprs = {v: F.when(_keep_expr(v), F.col(v)).otherwise(F.nanvl(transform(F.col(v).cast("double"), F.col(f"{v}__all")), F.lit(None).cast("double"))) for v in verifiers}
+    return _replace(j, exprs, drop={c for c in j.columns if "__" in c})
+
+
+def quantile_norm(df: DataFrame, verifiers, n_quantiles: int = 1000, output: str = "uniform", scope: str = "all_problems") -> DataFrame:
     """Uniform quantile transform per verifier (scope all problems), behind the gate.
 
     Reference quantiles: linear-interpolated percentiles of the non-missing values
     at ``min(n, n_quantiles)`` evenly spaced levels, made non-decreasing; their
     exact order statistics come from :func:`values_at_ranks`.  A score maps to the
     average of forward and backward piecewise-linear interpolation, clipped to
-    0 / 1 within 1e-7 of the end points.  The breakpoints (<= n_quantiles
+    0 / 1 within 1e-7 of the end points.  ``output='normal'`` goes on to standard normal values,
+    which are then min-max scaled (they leave [0, 1]); ``scope='per_problem'`` takes each problem's own
+    quantiles.  The breakpoints (<= n_quantiles
     numbers) travel in the closure of an Arrow-batched pandas UDF.
     """
     import numpy as np
     import pandas as pd
 
+    normal = output == "normal"
+    if scope == "per_problem":
+        out = _quantile_per_problem(df, verifiers, n_quantiles, normal)
+        return minmax_per_problem(out, verifiers) if normal else out
     st = gate_stats(df, verifiers).first().asDict()
     work = [v for v in verifiers
             if not (st[f"{v}__n"] == 0 or st[f"{v}__nd"] == 0
@@ -201,16 +263,12 @@ def quantile_norm(df: DataFrame, verifiers, n_quantiles: int = 1000) -> DataFram
 
         def make(qs=qs, levels=levels):
             def transform(x):
-                a = x.to_numpy(dtype=float)
-                out = 0.5 * (np.interp(a, qs, levels) - np.interp(-a, -qs[::-1], -levels[::-1]))
-                out[a + 1e-7 > qs[-1]] = 1.0
-                out[a - 1e-7 < qs[0]] = 0.0
-                out[np.isnan(a)] = np.nan
-                return pd.Series(out)
+                return pd.Series(_quantile_map(x.to_numpy(dtype=float), qs, levels, normal))
             return series_udf(transform)
 
         exprs[v] = make()(F.col(v))
-    return _replace(df, exprs)
+    out = _replace(df, exprs)
+    return minmax_all(out, work) if normal else out
 
 
 # ---------------------------------------------------------------------------

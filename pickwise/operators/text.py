@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwise.functions import text as TX
+from pickwise.functions.topk import group_topk
 from pickwise.functions.columns import col, hash_order
 
 
@@ -56,6 +57,15 @@ def repeat_prompts(df: DataFrame, n: int, key: str = "problem_id") -> DataFrame:
     return df.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def gather_samples(generated: DataFrame, n: int, key: str = "problem_id", batch: str = "batch_no", sample: str = "response") -> DataFrame:
+    """Generated batches back to one row per problem: ``samples`` in batch order, cut to the first n.
+
+    ``generated``: one row per (problem, batch) with an array of samples; n bounds a row's list."""
+    slots = generated.select(key, batch, F.posexplode(F.col(sample)).alias("pos", "text"))
+    first = group_topk(slots, [key], [F.col(batch), F.col("pos")], n, salt_col="pos")
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rk", "text"))), lambda s: s["text"]).alias("samples"))
+
+
 # ---------------------------------------------------------------- 136-140 answers
 
 def label_samples(df: DataFrame, reply: str = "response", truth: str = "gt_answer", kind: str = "choice",
@@ -88,6 +98,9 @@ def build_messages(df: DataFrame, instruction: str = "instruction", sample: str
     if task == "critique":
         system = F.lit(TX.CRITIQUE_SYSTEM)
         user = TX.fill_template(TX.CRITIQUE_USER, instruction=instruction, solution=TX.paragraphs_tagged(sample))
+    elif task in ("scene", "scene_critique"):
+        system = F.lit(TX.SCENE_SYSTEM if task == "scene" else TX.SCENE_CRITIQUE_SYSTEM)
+        user = TX.fill_template(TX.SCENE_USER if task == "scene" else TX.SCENE_CRITIQUE_USER, instruction=instruction, sample=sample)
     else:
         system = F.lit(TX.JUDGE_SYSTEM)
         user = TX.fill_template(TX.JUDGE_USER, instruction=instruction, sample=sample)

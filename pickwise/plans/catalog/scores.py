@@ -145,6 +145,26 @@ def winsorize(spark, sf):
     return _out(S.winsorize(f1(spark, sf), WINS), WINS)
 
 
+@register("winsorize_per_problem", sql="""WITH g AS (SELECT problem_id, min(rm_q) AS mn, max(rm_q) AS mx, count(rm_q) AS n, count_if(rm_q NOT IN (-1, 0, 1)) AS nd,
+  quantile_disc(rm_q, 0.05) AS a, quantile_disc(rm_q, 0.95) AS b FROM f1 GROUP BY problem_id)
+SELECT problem_id, sample_idx, round(CASE WHEN rm_q IS NULL OR n = 0 OR nd = 0 OR (mn >= 0 AND mx <= 1) THEN rm_q
+  WHEN a >= 0 AND b <= 1 THEN least(greatest(rm_q, a), b) ELSE (least(greatest(rm_q, a), b) - a) / nullif(b - a, 0) END, 6) AS rm_q
+FROM f1 JOIN g USING (problem_id)""")
+def winsorize_per_problem(spark, sf):
+    return _out(S.winsorize(f1(spark, sf), ["rm_q"], scope="per_problem"), ["rm_q"])
+
+
+@register("quantile_norm_normal")
+def quantile_norm_normal(spark, sf):
+    """Normal target, min-max scaled as the scores leave [0, 1]."""
+    return _out(S.quantile_norm(f1(spark, sf), ["rm_q", "rm_price"], output="normal"), ["rm_q", "rm_price"])
+
+
+@register("quantile_norm_per_problem")
+def quantile_norm_per_problem(spark, sf):
+    return _out(S.quantile_norm(f1(spark, sf), ["rm_q", "rm_price"], scope="per_problem"), ["rm_q", "rm_price"])
+
+
 @register("quantile_norm")
 def quantile_norm(spark, sf):
     return _out(S.quantile_norm(f1(spark, sf), ["rm_q", "rm_price"]), ["rm_q", "rm_price"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -105,8 +106,8 @@ def pivot_scores(spark, sf):
 # ---------------------------------------------------------------- 8, 21
 
 def _scratch(spark, name):
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "pickwise-out", name)
+    """A folder of this run below the shared checkpoint folder: two runs never share one."""
+    return os.path.join(ensure_checkpoint_dir(spark), "pickwise-out", f"{name}-{uuid.uuid4().hex}")
 
 
 @register("write_dataset", sql="SELECT problem_id, sample_idx, y, round(rm_q, 6) AS rm_q, j80 FROM f1")

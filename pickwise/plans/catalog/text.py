@@ -98,6 +98,14 @@ def repeat_prompts(spark, sf):
     return T.repeat_prompts(b, 4, "item_id").select("item_id", F.col("sample_idx").cast("int"))
 
 
+@register("gather_samples", fixtures=(), sql="""SELECT c_custkey, list(o_orderkey ORDER BY o_orderkey)[1:5] AS samples FROM
+  (SELECT o_custkey AS c_custkey, o_orderkey FROM orders) GROUP BY c_custkey""")
+def gather_samples(spark, sf):
+    """Orders as generated batches of one or two samples, gathered to the first five of each customer."""
+    o = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("batch_no"), F.array("o_orderkey").alias("response"))
+    return T.gather_samples(o, 5, "c_custkey")
+
+
 # ---------------------------------------------------------------- answers
 
 def _duck_strip(x):
@@ -220,6 +228,29 @@ def build_messages_gemini(spark, sf):
     return m.select(*IDS, "system", F.col("messages")[0]["role"].alias("role"), F.col("messages")[0]["content"].alias("content"))
 
 
+def _parts_sql(template, **values):
+    import re
+    out, pos = [], 0
+    for m in re.finditer(r"\{(instruction|sample)\}", template):
+        out += [q(template[pos:m.start()]), values[m[1]]]
+        pos = m.end()
+    return " || ".join([*out, q(template[pos:])])
+
+
+@register("build_messages_scene", fixtures=("f3",), sql=f"""SELECT problem_id, sample_idx, {q(TX.SCENE_SYSTEM)} AS system,
+  {_parts_sql(TX.SCENE_USER, instruction='instruction', sample='response')} AS user FROM f3""")
+def build_messages_scene(spark, sf):
+    m = T.build_messages(f3(spark, sf), task="scene")
+    return m.select(*IDS, F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
+
+
+@register("critique_prompt_scene", fixtures=("f3",), sql=f"""SELECT problem_id, sample_idx, {q(TX.SCENE_CRITIQUE_SYSTEM)} AS system,
+  {_parts_sql(TX.SCENE_CRITIQUE_USER, instruction='instruction', sample='response')} AS user FROM f3""")
+def critique_prompt_scene(spark, sf):
+    m = T.build_messages(f3(spark, sf), task="scene_critique")
+    return m.select(*IDS, F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
+
+
 def _tagged_sql(x):
     return (f"array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), lambda p, i: '<paragraph_' || CAST(i - 1 AS VARCHAR) "
             f"|| '>' || chr(10) || p || chr(10) || '</paragraph_' || CAST(i - 1 AS VARCHAR) || '>'), chr(10))")

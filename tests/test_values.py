@@ -99,7 +99,7 @@ def test_fitted_clusters_cover_every_problem_once(spark, key, groups):
     assert {r["cluster_id"] for r in got} <= set(range(groups)) and len({r["cluster_id"] for r in got}) > 1
 
 
-@pytest.mark.parametrize("key,column", [("quantile_norm", "rm_q"), ("quantile_norm", "rm_price"), ("calibrate_sigmoid", "rm_price")])
+@pytest.mark.parametrize("key,column", [("quantile_norm", "rm_q"), ("quantile_norm", "rm_price"), ("quantile_norm_normal", "rm_q"), ("calibrate_sigmoid", "rm_price")])
 def test_maps_of_scores_are_monotone_into_the_unit_interval(spark, key, column):
     before = {(r["problem_id"], r["sample_idx"]): r[column] for r in f1(spark, SF).select("problem_id", "sample_idx", column).collect()}
     pairs = sorted((before[r["problem_id"], r["sample_idx"]], r[column]) for r in rows(spark, key) if r[column] is not None and before[r["problem_id"], r["sample_idx"]] is not None)
@@ -110,6 +110,20 @@ def test_maps_of_scores_are_monotone_into_the_unit_interval(spark, key, column):
         assert np.abs(y - np.searchsorted(np.sort(x), x, "right") / len(x)).mean() < 0.02  # near the empirical distribution
 
 
+def test_quantiles_of_each_problem_are_its_own_ranks(spark):
+    before: dict = {}
+    for r in f1(spark, SF).select("problem_id", "sample_idx", "rm_price").collect():
+        before.setdefault(r["problem_id"], {})[r["sample_idx"]] = r["rm_price"]
+    checked = 0
+    for r in rows(spark, "quantile_norm_per_problem"):
+        own = before[r["problem_id"]]
+        values = sorted(set(own.values()))
+        if len(values) == len(own) > 2 and None not in values:  # distinct scores: evenly spaced levels
+            assert r["rm_price"] == pytest.approx(values.index(own[r["sample_idx"]]) / (len(values) - 1), abs=1e-5)
+            checked += 1
+    assert checked > 100
+
+
 def test_isotonic_calibration_is_monotone_within_a_problem(spark):
     before = {(r["problem_id"], r["sample_idx"]): r["rm_disc"] for r in f1(spark, SF).select("problem_id", "sample_idx", "rm_disc").collect()}
     by: dict = {}
