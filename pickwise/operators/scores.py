@@ -219,8 +219,7 @@ def _quantile_per_problem(df: DataFrame, verifiers, n_quantiles: int, normal: bo
                 out[i] = _quantile_map(np.array([value]), qs, levels, normal)[0]
         return pd.Series(out)
 
-    transform.__annotations__ = {"x": pd.Series, "own": pd.Series, "return": pd.Series}
-    transform = F.pandas_udf(transform, "double")
+    transform = series_udf(transform, n_args=2)
     exprs = {v: F.when(_keep_expr(v), F.col(v)).otherwise(F.nanvl(transform(F.col(v).cast("double"), F.col(f"{v}__all")), F.lit(None).cast("double"))) for v in verifiers}
     return _replace(j, exprs, drop={c for c in j.columns if "__" in c})
 
