@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pickwise.functions.columns import sum_cols
+from pickwise.functions.columns import hash_unit, sum_cols
 from pickwise.sources.tables import explode_samples, union_sources, verifier_columns
 
 
@@ -48,6 +48,21 @@ def distilled_scorer_fit(pairs: DataFrame, num_features: int = 1 << 18, reg: flo
     return pipe.fit(text.filter(F.col("label").isNotNull()))
 
 
+def split_pairs(pairs: DataFrame, validation: float = 0.1, seed: int = 42, keys=("source", "problem_idx")) -> tuple[DataFrame, DataFrame]:
+    """(train, validation) pairs; all samples of a problem fall on one side, by its md5 uniform."""
+    u = hash_unit(seed, *keys)
+    return pairs.where(u >= validation), pairs.where(u < validation)
+
+
+def distilled_scorer_report(predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(n, mse, mae, accuracy, bias) of predictions against labels; rows without a label do not count."""
+    d = predicted.where(F.col("label").isNotNull())
+    miss = F.col("prediction") - F.col("label")
+    same = (F.col("prediction") >= threshold) == (F.col("label") >= threshold)
+    return d.agg(F.count(F.lit(1)).alias("n"), F.avg(miss * miss).alias("mse"), F.avg(F.abs(miss)).alias("mae"),
+                 F.avg(same.cast("double")).alias("accuracy"), F.avg(miss).alias("bias"))
+
+
 def distilled_scorer_score(model, pairs: DataFrame) -> DataFrame:
     text = pairs.withColumn("__text", F.concat_ws(" [SEP] ", F.col("instruction"), F.col("response")))
     return model.transform(text).drop("__text", "__tok", "__tf", "features")

@@ -161,12 +161,38 @@ def augment_dropout(df: DataFrame, verifiers, rate: float = 0.1, seed: int = 42)
     return out
 
 
-def augment_mixup(df: DataFrame, verifiers, alpha: float = 0.2, seed: int = 42) -> DataFrame:
-    """Convex mix of scores and labels with one partner row: lambda ~ Beta(alpha, alpha).
+def _beta_from_uniform(u: np.ndarray, alpha: float) -> np.ndarray:
+    """Beta(alpha, alpha) values from one uniform per row, by Joehnk's rejection on whole arrays.
+
+    Each row has a counter-based stream of its own (its uniform's bits, mixed with the attempt's
+    number), so a row's value does not depend on its batch."""
+    key = (u * 2.0 ** 52).astype(np.uint64)
+    out = np.full(len(u), 0.5)
+    left = np.arange(len(u))
+    attempt = 0
+
+    def stream(i):
+        with np.errstate(over="ignore"):
+            x = key[left] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * attempt + i + 1) * np.uint64(0xD1342543DE82EF95)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0 ** 53
+
+    while len(left):
+        a, b = stream(0) ** (1 / alpha), stream(1) ** (1 / alpha)
+        taken = (a + b <= 1) & (a + b > 0)
+        out[left[taken]] = (a / (a + b))[taken]
+        left = left[~taken]
+        attempt += 1
+    return out
+
+
+def augment_mixup(df: DataFrame, verifiers, alpha: float = 0.2, seed: int = 42, vectors=()) -> DataFrame:
+    """Convex mix of scores, labels and array columns (``vectors``, such as an embedding) with one
+    partner row: lambda ~ Beta(alpha, alpha).
 
     Partner = the row whose md5 rank is the next one (cyclic) - an equi-join on a
-    rank, no pairs.  Beta is drawn as G1/(G1+G2) from two Gamma(alpha) draws
-    (Marsaglia-Tsang needs a loop, so a vectorised pandas UDF does it per batch).
+    rank, no pairs.  Lambda comes from the row's md5 uniform, a batch at a time.
     """
     import pandas as pd
 
@@ -174,15 +200,10 @@ def augment_mixup(df: DataFrame, verifiers, alpha: float = 0.2, seed: int = 42)
     ranked = global_rank(keyed, ["__h", "problem_id", "sample_idx"], "__r")
     n = ranked.count()
     partner = ranked.select(((F.col("__r") + 1) % F.lit(n)).alias("__r"),
-                            *[F.col(v).alias(f"__p_{v}") for v in verifiers], F.col("y").alias("__p_y"))
+                            *[F.col(v).alias(f"__p_{v}") for v in [*verifiers, *vectors]], F.col("y").alias("__p_y"))
 
     def beta(u):
-        # one generator per row, seeded by the row's md5 uniform: partition-independent
-        out = np.empty(len(u))
-        for i, s in enumerate((u * 2**31).astype("int64")):
-            g = np.random.default_rng(int(s)).gamma(alpha, 1.0, size=2)
-            out[i] = g[0] / (g[0] + g[1]) if g.sum() > 0 else 0.5
-        return pd.Series(out)
+        return pd.Series(_beta_from_uniform(u.to_numpy(dtype=float), alpha))
 
     beta = series_udf(beta)
 
@@ -190,6 +211,8 @@ def augment_mixup(df: DataFrame, verifiers, alpha: float = 0.2, seed: int = 42)
     lam = F.col("lam")
     return j.select("problem_id", "sample_idx",
                     *[(lam * F.col(v) + (F.lit(1.0) - lam) * F.col(f"__p_{v}")).alias(v) for v in verifiers],
+                    *[F.transform(F.arrays_zip(F.col(v).alias("a"), F.col(f"__p_{v}").alias("b")),
+                                  lambda e: lam * e["a"] + (F.lit(1.0) - lam) * e["b"]).alias(v) for v in vectors],
                     (lam * F.col("y") + (F.lit(1.0) - lam) * F.col("__p_y")).alias("y_mix"), "lam")
 
 

@@ -64,6 +64,13 @@ def distilled_scorer(spark, sf):
                                                       r6("prediction", "prediction"))
 
 
+@register("distilled_scorer_report")
+def distilled_scorer_report(spark, sf):
+    """Fitted on nine tenths of the problems, judged on the others."""
+    train, held = DS.split_pairs(_pairs(spark, sf), 0.1)
+    return DS.distilled_scorer_report(DS.distilled_scorer_score(DS.distilled_scorer_fit(train), held))
+
+
 def _history(spark, sf):
     e = read_table(spark, sf, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

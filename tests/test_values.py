@@ -200,6 +200,24 @@ def test_heatmap_and_distilled_scorer(spark):
     assert ((p - y) ** 2).mean() <= ((y - y.mean()) ** 2).mean() + 1e-6
 
 
+def test_distilled_scorer_report_adds_up(spark):
+    r = rows(spark, "distilled_scorer_report")[0]
+    assert r["n"] > 0 and 0 <= r["accuracy"] <= 1 and r["mae"] ** 2 <= r["mse"] + 1e-12 and abs(r["bias"]) <= r["mae"] + 1e-12
+
+
+def test_mixup_weights_follow_the_beta_law_and_mix_vectors(spark):
+    from pickwise.operators.sampling import _beta_from_uniform, augment_mixup
+
+    u = np.random.default_rng(1).random(40_000)
+    for alpha in (0.2, 1.0, 2.0):
+        x = _beta_from_uniform(u, alpha)
+        assert abs(x.mean() - 0.5) < 0.01 and abs(x.var() - 1 / (4 * (2 * alpha + 1))) < 0.005
+    assert (_beta_from_uniform(u[:10], 0.2) == _beta_from_uniform(u, 0.2)[:10]).all()
+    df = spark.createDataFrame([(i, 0, i % 2, float(i), [float(i), -float(i)]) for i in range(20)], "problem_id long, sample_idx int, y int, v double, e array<double>")
+    for r in augment_mixup(df, ["v"], vectors=["e"]).collect():
+        assert r["e"][0] == pytest.approx(r["v"]) and r["e"][1] == pytest.approx(-r["v"])
+
+
 def test_by_difficulty_covers_the_split(spark):
     got = rows(spark, "selection_run_by_difficulty")
     assert sum(r["train_problems"] or 0 for r in got) + sum(r["test_problems"] or 0 for r in got) == f1(spark, SF).select("problem_id").distinct().count()
