@@ -78,6 +78,14 @@ def stratified_split(df: DataFrame, train: float = 0.8, seed: int = 42, bins: in
                         F.when(cond, "train").otherwise("test").alias("set"))
 
 
+def with_fixed_test(split: DataFrame, fixed: DataFrame, levels: DataFrame) -> DataFrame:
+    """The split with a test set of its own: the problems of ``fixed`` are the test set whatever the split
+    says, and none of them trains.  ``levels``: (problem_id, difficulty) of all problems."""
+    ids = fixed.select("problem_id").distinct()
+    train = split.where("set = 'train'").join(ids, "problem_id", "left_anti")
+    return train.unionByName(levels.select("problem_id", "difficulty").join(ids, "problem_id").withColumn("set", F.lit("test")))
+
+
 def train_queries(split: DataFrame, q: float, seed: int = 42) -> DataFrame:
     """Subset of the train problems: q < 1 -> floor(q * n_train) per difficulty bin (stratified),
     q > 1 -> int(q) problems at random, q = 1 -> all.  Test rows are kept unchanged."""

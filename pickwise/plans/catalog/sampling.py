@@ -47,6 +47,18 @@ def stratified_split_all(spark, sf):
     return SA.stratified_split(f1(spark, sf), 1.0, 42, 10)
 
 
+@register("fixed_test_split", sql=f"""WITH {_split_sql()},
+fixed AS (SELECT problem_id FROM f1 GROUP BY problem_id HAVING count(*) >= 6)
+SELECT problem_id, difficulty, 'train' AS set FROM split ANTI JOIN fixed USING (problem_id) WHERE set = 'train'
+UNION ALL SELECT problem_id, difficulty, 'test' AS set FROM bins SEMI JOIN fixed USING (problem_id)""")
+def fixed_test_split(spark, sf):
+    """A given table of problems (here those with six samples or more) is the test set; the others train as the split says."""
+    d = f1(spark, sf)
+    split = SA.stratified_split(d, 0.8, 42, 10)
+    fixed = d.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 6")
+    return SA.with_fixed_test(split, fixed, SA.difficulty_bins(d, 10))
+
+
 @register("train_queries", sql=f"""WITH {_split_sql()},
 tr AS (SELECT problem_id, difficulty, set, row_number() OVER (PARTITION BY difficulty ORDER BY {_md5_unit(43, 'problem_id')}) AS rk,
               count(*) OVER (PARTITION BY difficulty) AS n FROM split WHERE set = 'train')

@@ -182,10 +182,7 @@ def run(scores: DataFrame, verifiers, cfg: RunConfig, fixed_test: DataFrame | No
     if cfg.train_queries != 1:
         split = SP.train_queries(split, cfg.train_queries, cfg.seed)
     if fixed_test is not None:
-        fixed = fixed_test.select("problem_id").distinct()
-        levels = SP.difficulty_bins(base, cfg.bins).select("problem_id", "difficulty")
-        train_part = split.where("set = 'train'").join(fixed, "problem_id", "left_anti")
-        split = train_part.unionByName(levels.join(fixed, "problem_id").withColumn("set", F.lit("test")))
+        split = SP.with_fixed_test(split, fixed_test, SP.difficulty_bins(base, cfg.bins))
     split = split.checkpoint()
     clusters = cluster_problems(base, cfg).checkpoint() if "cluster" in (cfg.model_class, (cfg.binarize or "")[4:]) else None
     filled, votes = prepare_scores(base, verifiers, cfg, clusters)
