@@ -25,7 +25,7 @@ from pickwise.llm.common import SPACES, prepare, stored
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Ratio -> the least spread (Q3 - Q1) that counts, so that uniform groups keep ordinary texts.
-RATIOS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.05, "chars_per_word": 1.0}
+RATIOS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.1, "chars_per_word": 1.0}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
