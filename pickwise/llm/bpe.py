@@ -108,7 +108,7 @@ class Vocabulary:
 class Encoder(dict):
     """pre-token -> its ids as little-endian 32-bit bytes; a bounded memory of earlier answers (speed only)."""
 
-    def __init__(self, vocab: Vocabulary, bound: int = 500_000):
+    def __init__(self, vocab: Vocabulary, bound: int = 250_000):
         super().__init__()
         self.vocab, self.bound = vocab, bound
         self.pattern = regex.compile(vocab.pattern)
@@ -180,25 +180,9 @@ class Encoder(dict):
         return b"".join(map(self.vocab.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(handle) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if handle.id not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[handle.id] = Encoder(handle.vocab.value)
-    return _ENCODERS[handle.id]
-
-
-class _Handle:
-    def __init__(self, key, vocab):
-        self.id, self.vocab = key, vocab
-
-
-def share_vocabulary(spark, path: str, pattern: str) -> _Handle:
-    vocab = Vocabulary(read_ranks(path), pattern)
-    return _Handle(hashlib.sha1(f"{path}\0{pattern}".encode()).hexdigest(), spark.sparkContext.broadcast(vocab))
+def share_vocabulary(spark, path: str, pattern: str):
+    """The built vocabulary as a broadcast; each task makes an encoder of its own, freed with it."""
+    return spark.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
@@ -217,12 +201,12 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", o
 def _codec(df, path, pattern, source, target, fn, kind) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
-    handle = share_vocabulary(spark, path, pattern)
+    shared = share_vocabulary(spark, path, pattern)
     schema = df.drop(target).schema.add(target, kind)
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(handle)
+        enc = Encoder(shared.value)
         for batch in batches:
             values = batch.column(batch.schema.names.index(source))
             got = pa.array([fn(enc, v.as_py()) for v in values], pa.binary())
@@ -241,11 +225,11 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     Null text counts as empty. Rows may repeat; each gives one row. Other columns are not read."""
     spark = df.sparkSession
     prepare(spark)
-    handle = share_vocabulary(spark, path, pattern)
+    shared = share_vocabulary(spark, path, pattern)
     rows = df.select(df[id_col].cast("long").alias(id_col), df[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(handle)
+        enc = Encoder(shared.value)
         for batch in batches:
             counts, ids, back = [], [], []
             for v in batch.column(1):

@@ -18,6 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 _SPACE_BYTES = [c.encode() for c in SPACES]
 LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+BATCH_ROWS = 1_000
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 MIX_C = np.uint64(0x94D049BB133111EB)
@@ -28,9 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder known, package on the workers; every operator with Python tasks calls it."""
+    """Checkpoint folder known, package on the workers, Arrow batches of bounded size; every operator
+    with Python tasks calls it. Rows are whole texts, so a batch of Spark's usual 10,000 rows could
+    hold a GB."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def scratch(spark: SparkSession, label: str) -> str:
