@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,35 +106,50 @@ class Vocabulary:
         return i if self.tokens[i] == raw else -1
 
 
+class _Ranks(dict):
+    """Bytes of a pair of parts -> rank, -1 if it is no token; a bounded memory (speed only)."""
+
+    def __init__(self, find, bound: int):
+        super().__init__()
+        self.find, self.bound = find, bound
+
+    def __missing__(self, raw: bytes) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+        self[raw] = got = self.find(raw)
+        return got
+
+
 class Encoder(dict):
-    """pre-token -> its ids as little-endian 32-bit bytes; a bounded memory of earlier answers (speed only)."""
+    """pre-token -> its ids as little-endian 32-bit bytes; a bounded memory of earlier answers (speed only).
+
+    When the memory is full it becomes the older generation, from which pre-tokens that come
+    again are taken over; those that do not are forgotten at the next turn."""
 
-    def __init__(self, vocab: Vocabulary, bound: int = 250_000):
+    def __init__(self, vocab: Vocabulary, bound: int = 350_000):
         super().__init__()
-        self.vocab, self.bound = vocab, bound
+        self.vocab, self.bound, self.older = vocab, bound // 2, {}
         self.pattern = regex.compile(vocab.pattern)
         self.find = vocab.find
-        self.ranks: dict[bytes, int] = {}
+        self.ranks = _Ranks(vocab.find, bound // 2)
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.find(raw)
-        ids = [whole] if whole >= 0 else self.merge(raw)
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(raw) <= 256:
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = self.answer(piece)
+        if len(packed) <= 1024:
             if len(self) >= self.bound:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
 
-    def rank(self, raw: bytes) -> int:
-        """Rank of a pair of parts, -1 if it is no token (pairs are remembered, bounded)."""
-        got = self.ranks.get(raw)
-        if got is None:
-            if len(self.ranks) >= self.bound:
-                self.ranks.clear()
-            got = self.ranks[raw] = self.find(raw)
-        return got
+    def answer(self, piece: str) -> bytes:
+        """Tier one, then tier two."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        whole = self.find(raw)
+        ids = [whole] if whole >= 0 else self.merge(raw)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def merge(self, raw: bytes) -> list[int]:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is a token."""
@@ -141,10 +157,10 @@ class Encoder(dict):
         end = list(range(1, n + 1))        # part i covers raw[i:end[i]]
         before = list(range(-1, n - 1))
         gone = [False] * n
-        rank = self.rank
+        ranks, push = self.ranks, heapq.heappush
         heap = []
         for i in range(n - 1):
-            r = rank(raw[i:i + 2])
+            r = ranks[raw[i:i + 2]]
             if r >= 0:
                 heap.append((r, i, i + 2))
         heapq.heapify(heap)
@@ -158,17 +174,17 @@ class Encoder(dict):
             if stop < n:
                 before[stop] = i
                 after = end[stop]
-                q = rank(raw[i:after])
+                q = ranks[raw[i:after]]
                 if q >= 0:
-                    heapq.heappush(heap, (q, i, after))
+                    push(heap, (q, i, after))
             k = before[i]
             if k >= 0:
-                q = rank(raw[k:stop])
+                q = ranks[raw[k:stop]]
                 if q >= 0:
-                    heapq.heappush(heap, (q, k, stop))
+                    push(heap, (q, k, stop))
         ids, i = [], 0
         while i < n:
-            ids.append(rank(raw[i:end[i]]))
+            ids.append(ranks[raw[i:end[i]]])
             i = end[i]
         return ids
 
