@@ -178,6 +178,12 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).cast("string").alias("text"))
 
 
+def bucket_count(rows: DataFrame, per_bucket: int = 4_000_000, least: int = 64) -> int:
+    """Buckets for what a table's texts send: one for so many bytes of text, so that a bucket's rows stay a few MB."""
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, int(volume // per_bucket))
+
+
 def index(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """(documents, shared): per document id, n, cls, slack; and (sig, cls) of signatures with two classes or more."""
 
@@ -450,9 +456,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     prepare(spark)
     rows = keyed_rows(docs, id_col, text_col)
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, int(volume // 12_000_000))
-    documents, shared = index(rows, buckets)
+    documents, shared = index(rows, bucket_count(rows))
     classes = stored(documents.where("n > 0").groupBy("cls").agg(F.min("rk").alias("rep"), F.max("n").alias("n"), F.max("slack").alias("slack"),
                                                                 F.min("id").alias("least")), "classes")
     edges = class_links(rows, classes, shared)
