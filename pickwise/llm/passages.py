@@ -268,8 +268,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text are one document; a null id ranks after all others."""
     prepare(docs.sparkSession)
     rows = setjoin.keyed_rows(docs, id_col, text_col)
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = index(rows, max(64, int(volume // 12_000_000)))
+    found = index(rows, setjoin.bucket_count(rows, 12_000_000))
     ids = stored(rows.select("rk", "id").distinct(), "ids")
     members = stored(paragraph_clusters(rows, found).join(ids, "rk"), "members")
     order = F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("start"), F.col("rk"))
