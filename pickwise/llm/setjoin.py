@@ -13,6 +13,12 @@ non-empty segments, up to a position that depends on its size, and for a few seg
 those of its one-deletion neighbours; a set near the lower end of its band emits them for
 the band below as well.
 
+Light sets. When the tokens of a set crowd into few segments, its weight can stay under
+H + 1 whatever it emits. Small sets therefore also emit their first floor(n / 5) + 1 tokens
+in hash order: two linked sets always share one of these (prefix filter). Only light sets
+probe them. Larger sets emit so many segments that a light one is not to be expected; if one
+comes up all the same, the index is built again with the prefixes of sets of its size.
+
 Cost-based allocation. Segments add up to a little more than H + 1; a set spends that
 slack by not probing its most expensive signatures, those shared by the most classes. So
 a passage that thousands of otherwise different documents share costs nothing, and no
@@ -49,6 +55,9 @@ LOCAL_HOT = 32          # classes of one signature in one chunk that travel apar
 FEW = 32                # classes of a signature compared pair by pair; beyond, in blocks
 BLOCK = 512             # classes of a block
 CHUNK = 1 << 20         # signatures gathered before they are sent
+SMALL = 64              # light sets up to this size are linked by their prefixes
+PREFIX_BAND = 63        # stands in a signature's flags for a prefix token; no set has 2^63 tokens
+SPREADS = 6.5           # standard deviations of its weight that a set emits beyond the weight it needs
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -69,7 +78,10 @@ def scheme(band: int) -> tuple[int, int, np.ndarray]:
     low, high = 1 << band, 1 << (band + 1)
     m = max(1, int(0.6 * low) + 2)
     size = np.arange(low, min(high, low + (1 << 16)) if high - low > 1 << 16 else high, max(1, (high - low) >> 16))
-    want = np.ceil(1.15 * (size // 4 + 1) / (1 - np.exp(-size / m))).astype(np.int64) + 1
+    need, empty = size // 4 + 1, np.exp(-size / m)
+    filled = 1 - empty
+    spread = np.sqrt(np.maximum(0, need / filled * empty * (1 - empty * (1 + size / m * need / filled / m))))
+    want = np.ceil(np.maximum(1.15 * need, need + SPREADS * spread) / filled).astype(np.int64) + 1
     return m, min(m, 2 + m // 40), np.minimum(m, np.maximum.accumulate(want))
 
 
@@ -108,6 +120,12 @@ def signatures(tokens: np.ndarray, band: int, deletions: bool = True) -> tuple[n
         return np.concatenate(out), weight
 
 
+def prefix(tokens: np.ndarray) -> np.ndarray:
+    """Signatures of a set's first tokens in hash order: any two linked sets share one of them."""
+    with np.errstate(over="ignore"):
+        return (mix64(tokens[:len(tokens) // 5 + 1] * MIX_A) & ~FLAG_BITS) | np.uint64(PREFIX_BAND << 1)
+
+
 def _seal(sums: np.ndarray, place: np.ndarray, seed: np.uint64) -> np.ndarray:
     return mix64(sums ^ mix64((place + np.uint64(1)) * MIX_A + seed))
 
@@ -184,8 +202,18 @@ def bucket_count(rows: DataFrame, per_bucket: int = 4_000_000, least: int = 64)
     return max(least, int(volume // per_bucket))
 
 
-def index(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(documents, shared): per document id, n, cls, slack; and (sig, cls) of signatures with two classes or more."""
+def whole_index(rows: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """``index`` with the prefixes of sets as large as the largest light one."""
+    buckets = bucket_count(rows)
+    documents, shared = index(rows, buckets, small)
+    light = documents.where("slack < 0").agg(F.max("n")).first()[0] or 0
+    return (documents, shared) if light <= small else index(rows, buckets, light)
+
+
+def index(rows: DataFrame, buckets: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(documents, shared): per document id, n, cls, slack; and (sig, cls) of signatures with two classes or more.
+
+    Light sets of up to ``small`` tokens meet every set they can be linked with by a prefix."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _Gather(buckets)
@@ -199,6 +227,8 @@ def index(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
                     gather.add(sigs, key)
                     if i == 0:
                         slack = weight - (n // 4 + 1)
+                if n and 4 * n <= 5 * small:
+                    gather.add(prefix(tokens), key)
                 info.append((rk % buckets, rk, ident, n, key, slack))
                 if gather.size >= CHUNK:
                     yield from _packed(gather.flush())
@@ -286,14 +316,15 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) ->
 def allocate(weighted: DataFrame, classes: DataFrame, banded: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, probes): the (sig, cls) that each class still probes after its allocation, and all classes of those signatures.
 
-    A class gives up its most shared signatures as far as its slack goes. members:
+    A class gives up its most shared signatures as far as its slack goes; a light one (slack
+    under 0) probes all it has and its prefix. members:
     (sig, cls, g, n, slack); probes: (sig, cls). ``banded``: signatures without a scheme,
     every member probes."""
     sized = stored(weighted.join(classes.select("cls", "n", "slack"), "cls"), "sized")
     if banded:
         return sized, sized.select("sig", "cls")
     band = F.shiftright("sig", 1).bitwiseAND(F.lit(63))
-    own = sized.where(band == F.floor(F.log2("n") + 1e-9))
+    own = sized.where((band == F.floor(F.log2("n") + 1e-9)) | ((band == PREFIX_BAND) & (F.col("slack") < 0)))
     price = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, 2).otherwise(1)
     spent = F.sum(price).over(Window.partitionBy("cls").orderBy(F.desc("g"), "sig").rowsBetween(Window.unboundedPreceding, 0))
     probes = stored(own.withColumn("spent", spent).where("spent > slack").select("sig", "cls"), "probes")
@@ -456,7 +487,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     prepare(spark)
     rows = keyed_rows(docs, id_col, text_col)
-    documents, shared = index(rows, bucket_count(rows))
+    documents, shared = whole_index(rows)
     classes = stored(documents.where("n > 0").groupBy("cls").agg(F.min("rk").alias("rep"), F.max("n").alias("n"), F.max("slack").alias("slack"),
                                                                 F.min("id").alias("least")), "classes")
     edges = class_links(rows, classes, shared)

@@ -194,6 +194,58 @@ def test_pigeonhole_never_misses_a_similar_pair():
         assert matched > weight - (len(a) // 4 + 1)  # more than its slack: giving that up loses nothing
 
 
+def probed(tokens):
+    """Signatures by which a set finds the larger ones, and its weight less what it needs."""
+    sigs, weight = setjoin.signatures(tokens, setjoin._bands(len(tokens))[0])
+    slack = weight - (len(tokens) // 4 + 1)
+    return (sigs if slack >= 0 else np.concatenate([sigs, setjoin.prefix(tokens)])), slack
+
+
+def test_light_sets_meet_every_similar_set():
+    rnd = np.random.default_rng(10)
+    light = 0
+    for n in [4] * 9_000 + [5, 8, 12, 16, 20, 32, 48, 64] * 150:
+        a = np.unique(rnd.integers(0, 2 ** 63, n, dtype=np.uint64))
+        sigs, slack = probed(a)
+        if slack < 0:
+            light += 1
+            for _ in range(20):
+                b = np.unique(np.concatenate([a, rnd.integers(0, 2 ** 63, n // 4, dtype=np.uint64)]))
+                have = np.concatenate([setjoin.signatures(b, k)[0] for k in setjoin._bands(len(b))] + [setjoin.prefix(b)])
+                assert setjoin.similar(a, b) and np.isin(sigs, have).any()
+    assert light > 20
+
+
+@pytest.mark.parametrize("n", [96, 128, 130, 192, 256, 300, 512])
+def test_larger_sets_are_not_light(n):
+    rnd = np.random.default_rng(11)
+    assert min(probed(np.unique(rnd.integers(0, 2 ** 63, n, dtype=np.uint64)))[1] for _ in range(3_000)) >= 0
+
+
+def test_components_of_short_texts_whose_shingles_share_a_segment(spark):
+    rnd, rows = random.Random(12), []
+    while len(rows) < 60:
+        words = prose(rnd, 9)
+        a, b = (setjoin.shingle_set(" ".join(words[:k])) for k in (8, 9))
+        if not np.isin(setjoin.signatures(a, 2)[0], setjoin.signatures(b, 2)[0]).any():
+            rows += [(len(rows), " ".join(words[:8])), (len(rows) + 1, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in setjoin.linked_components(df).collect()} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_index_is_built_again_for_a_larger_light_set(spark, monkeypatch):
+    asked, build = [], setjoin.index
+    monkeypatch.setattr(setjoin, "index", lambda rows, buckets, small: asked.append(small) or build(rows, buckets, small))
+    rows, rnd = [], random.Random(13)
+    while not rows:
+        words = prose(rnd, 8)
+        if probed(setjoin.shingle_set(" ".join(words)))[1] < 0:
+            rows = [(1, " ".join(words))]
+    common.prepare(spark)
+    setjoin.whole_index(setjoin.keyed_rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), small=3)
+    assert asked == [3, 4]
+
+
 def test_components_of_a_long_chain(spark):
     from pickwise.functions.components import component_labels
 
