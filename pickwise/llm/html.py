@@ -3,16 +3,20 @@
 A page is read once from left to right into blocks (runs of text between block-level
 tags). Elements that are never article text (menus, footers, sidebars, forms, scripts,
 styles, and elements whose class, id or role names a notice, an advert or reader comments)
-are left out. The remaining blocks are classified in two passes:
+are left out; where such a word is only a part of a class or id (``no-sidebar``), the
+element stays if it holds most of the page's text. The remaining blocks are classified in two passes:
 
 1. each block on its own, by link density, length and stop-word density: good, bad, or
    undecided (short, or of middling density);
 2. undecided blocks inherit: the label of the nearest decided block on each side, good if
    either the two agree on good, or the nearer one is good; a heading looks forward only.
 
-Where the page marks its article (``article`` or ``main``), that element bounds the text:
-blocks outside are bad, blocks inside are good unless they are mostly links. Without such
-a mark the rules above decide alone. One page is one row; pages are independent, so the
+Where the page marks its article, the mark is evidence: in the first pass a block inside
+``article`` counts one step better (bad, undecided, good) unless it is mostly links, one
+outside of ``article`` and ``main`` one step worse; ``main`` alone changes nothing inside
+it. In the second pass blocks of ``article`` inherit from each other only, and a block
+outside the mark needs good neighbours on both sides. A mark with less text than the good
+blocks outside of it (a teaser card) is no evidence. One page is one row; pages are independent, so the
 work is a narrow map without a shuffle.
 """
 
@@ -23,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +69,7 @@ WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     links: int          # characters inside links
-    inside: bool        # within article or main
+    mark: int           # 1 within article, 0 within main only, -1 outside
     heading: bool
 
 
@@ -73,6 +78,7 @@ class _Open:
     name: str
     dropped: bool
     article: bool
+    doubt: int | None   # first block, where only a part of the element's name speaks against it
 
 
 class Page:
@@ -86,8 +92,12 @@ class Page:
         self.open: Counter = Counter()
         self.hidden = 0
         self.depth = 0          # open article or main elements
+        self.articles = 0       # open article elements
+        self.doubts: list[tuple[int, int]] = []     # (first block, end) of elements in doubt
         self._read(source)
         self._flush()
+        self.doubts += [(e.doubt, len(self.blocks)) for e in self.stack if e.doubt is not None]
+        self._settle()
 
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
@@ -118,6 +128,16 @@ class Page:
                     stop = s.lower().find(f"</{name}", at) if n < 4096 else _find_end(s, name, at)
                     at = n if stop < 0 else stop
 
+    def _settle(self) -> None:
+        """Leave out the elements in doubt that do not hold most of the page's text."""
+        upto = list(accumulate((len(b.text) for b in self.blocks), initial=0))
+        edge = [0] * (len(self.blocks) + 1)
+        for first, end in self.doubts:
+            if 2 * (upto[end] - upto[first]) <= upto[-1]:
+                edge[first] += 1
+                edge[end] -= 1
+        self.blocks = [b for b, out in zip(self.blocks, accumulate(edge), strict=False) if not out]
+
     def _text(self, piece: str) -> None:
         if not self.hidden:
             self.parts.append(piece)
@@ -128,7 +148,7 @@ class Page:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append(Block(text, self.links, self.depth > 0, heading))
+                self.blocks.append(Block(text, self.links, 1 if self.articles else 0 if self.depth else -1, heading))
             self.parts = []
         self.links = 0
 
@@ -144,12 +164,14 @@ class Page:
             self._flush(bool(self.stack) and self.stack[-1].name in HEADINGS)
         if name in VOID or attributes.endswith("/"):
             return
-        drop = name in DROPPED or (name == "header" and not self.depth) or _negative(attributes, name, self.depth > 0)
+        against = 2 if name in DROPPED or (name == "header" and not self.depth) else _negative(attributes, name, self.depth > 0)
+        drop = against == 2 or (against == 1 and name not in BLOCK)
         article = name in ARTICLE and not drop and not self.hidden
-        self.stack.append(_Open(name, drop, article))
+        self.stack.append(_Open(name, drop, article, len(self.blocks) if against == 1 and not drop and not self.hidden else None))
         self.open[name] += 1
         self.hidden += drop
         self.depth += article
+        self.articles += article and name == "article"
 
     def _end(self, name: str) -> None:
         if name in BLOCK:
@@ -160,7 +182,12 @@ class Page:
             e = self.stack.pop()
             self.open[e.name] -= 1
             self.hidden -= e.dropped
+            if e.doubt is not None or e.article:
+                self._flush()
+            if e.doubt is not None:
+                self.doubts.append((e.doubt, len(self.blocks)))
             self.depth -= e.article
+            self.articles -= e.article and e.name == "article"
             if e.name == name:
                 return
 
@@ -170,44 +197,60 @@ def _find_end(s: str, name: str, at: int) -> int:
     return m.start() if m else -1
 
 
-def _negative(attributes: str, name: str, inside: bool) -> bool:
+def _negative(attributes: str, name: str, inside: bool) -> int:
+    """2: the element is no article text by a whole class or id, its role or its being hidden; 1: by a part of a name; else 0."""
     if not attributes or name in ("html", "body"):
-        return False
+        return 0
+    found = 0
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
             parts = set(NAME_PARTS.findall(value))
             if parts & NEGATIVE or (not inside and "header" in parts):
-                return True
+                whole = set(value.split())
+                if whole & NEGATIVE or (not inside and "header" in whole):
+                    return 2
+                found = 1
         elif key == "role":
             if value in NEGATIVE_ROLES:
-                return True
+                return 2
         elif value != "false" and (key == "aria-hidden" or attributes[m.start() - 1:m.start()].isspace() and (m[2] or attributes[m.end():m.end() + 1] in ("", " ", "/"))):
-            return True
-    return False
+            return 2
+    return found
 
 
 GOOD, BAD, UNDECIDED = "good", "bad", "undecided"
+STEPS = (BAD, UNDECIDED, GOOD)
 
 
-def first_pass(block: Block, marked: bool, short: int, long: int, low: float, high: float, most_links: float) -> str:
-    """Label of a block on its own; ``marked``: the page marks its article."""
+def first_pass(block: Block, short: int, long: int, low: float, high: float, most_links: float) -> int | None:
+    """Step of a block on its own (0 bad, 1 undecided, 2 good); None where links are most of it."""
     size = len(block.text)
     if block.links > most_links * max(1, size):
-        return BAD
-    if marked:
-        return GOOD if block.inside else BAD
+        return None
     if size < short:
-        return BAD if block.links else UNDECIDED
+        return 0 if block.links else 1
     words = WORD.findall(block.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= high:
-        return GOOD if size >= long else UNDECIDED
-    return UNDECIDED if density >= low else BAD
+        return 2 if size >= long else 1
+    return 1 if density >= low else 0
+
+
+def evidence(blocks: list[Block], steps: list[int | None]) -> list[int]:
+    """Marks of the blocks; none where the page has none, or more good text outside than text inside."""
+    inside = sum(len(b.text) for b, step in zip(blocks, steps, strict=True) if b.mark >= 0 and step is not None)
+    outside = sum(len(b.text) for b, step in zip(blocks, steps, strict=True) if b.mark < 0 and step == 2)
+    return [b.mark for b in blocks] if inside and inside >= outside else [0] * len(blocks)
 
 
-def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
+def second_pass(blocks: list[Block], labels: list[str], marks: list[int]) -> list[bool]:
     """Undecided blocks take the label of their nearest decided neighbours; a page without any keeps them."""
+    own = [i for i, mark in enumerate(marks) if mark > 0]
+    if 0 < len(own) < len(blocks):
+        labels = list(labels)
+        for i, good in zip(own, second_pass([blocks[i] for i in own], [labels[i] for i in own], [1] * len(own)), strict=True):
+            labels[i] = GOOD if good else BAD
     n = len(blocks)
     before: list[tuple[int, str] | None] = [None] * n
     after: list[tuple[int, str] | None] = [None] * n
@@ -225,7 +268,9 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
             out.append(labels[i] == GOOD)
             continue
         left, right = before[i], after[i]
-        if blocks[i].heading and right:
+        if marks[i] < 0:
+            out.append(bool(left and right) and left[1] == right[1] == GOOD)
+        elif blocks[i].heading and right:
             out.append(right[1] == GOOD)
         elif left and right and left[1] != right[1]:
             nearer = left if i - left[0] < right[0] - i else right if right[0] - i < i - left[0] else None
@@ -240,9 +285,10 @@ def main_text(source: str | None, short: int = 70, long: int = 200, low: float =
     if not source:
         return ""
     blocks = Page(source).blocks
-    marked = any(b.inside for b in blocks)
-    labels = [first_pass(b, marked, short, long, low, high, most_links) for b in blocks]
-    return " ".join(b.text for b, good in zip(blocks, second_pass(blocks, labels), strict=True) if good)
+    steps = [first_pass(b, short, long, low, high, most_links) for b in blocks]
+    marks = evidence(blocks, steps)
+    labels = [BAD if step is None else STEPS[max(0, min(2, step + mark))] for step, mark in zip(steps, marks, strict=True)]
+    return " ".join(b.text for b, good in zip(blocks, second_pass(blocks, labels, marks), strict=True) if good)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
