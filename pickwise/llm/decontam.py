@@ -4,7 +4,8 @@ A text becomes a sequence of words (runs of letters and digits). In its template
 units after a number, and names (a capitalised word inside a sentence) are replaced by
 typed placeholders and everything else is lower-cased, so that a question asked again with
 other values keeps its template. Windows of ``width`` template words of the documents meet
-those of the benchmark by hash join. Along each alignment of document and item, the values
+those of the benchmark by hash join; windows of the benchmark that are mostly placeholders
+meet only documents that have the very same words there. Along each alignment of document and item, the values
 in the slots must map one to one (the same value of the item always to the same value of
 the document, and back); otherwise only its windows without slots count. A document leaks
 an item when the windows that count cover enough of the item.
@@ -46,6 +47,11 @@ def template(words: Column) -> Column:
     return F.lower(measured)
 
 
+def plain(words: Column) -> Column:
+    """Lower-cased words without placeholders, aligned word by word with ``spoken``."""
+    return F.lower(F.translate(words, NAME, ""))
+
+
 def _hashes(words: Column, width: Column | int) -> Column:
     """Hash of every window of a word array; none if it is shorter."""
     width = F.lit(width) if isinstance(width, int) else width
@@ -54,24 +60,34 @@ def _hashes(words: Column, width: Column | int) -> Column:
 
 
 def bench_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int, share: float, most: int) -> DataFrame:
-    """(h, item, item_id, ipos, width, need, raw, kinds, n_slots) of every window of every item with three words or more.
+    """(h, plain, item, item_id, ipos, width, need, need_like, raw, kinds, n_slots) of every window of every item with three words or more.
 
     ``item`` stands for id and words. Items shorter than ``width`` have one window, the whole
-    item. ``need``: windows of the item that a document must match. Windows mostly made of
-    placeholders are left out."""
+    item. ``need``: windows of the item that a document must match. ``plain``: windows mostly
+    made of placeholders; they are hashed by their words and have no slots. ``need_like``: the
+    same as ``need`` over the other windows alone, which match with other values too."""
     base = benchmark.select(F.col(id_col).alias("item_id"), spoken(F.col(text_col)).alias("said")).where(F.length("said") > 0).distinct()
     arrays = base.select("item_id", F.xxhash64("item_id", "said").alias("item"), F.split("said", " ").alias("raw"),
-                         F.split(template(F.col("said")), " ").alias("t")).where(F.size("raw") >= LEAST_WORDS)
+                         F.split(template(F.col("said")), " ").alias("t"), F.split(plain(F.col("said")), " ").alias("p")).where(F.size("raw") >= LEAST_WORDS)
     sized = arrays.withColumn("width", F.least(F.size("raw"), F.lit(width)))
-    windows = sized.withColumn("total", F.size("raw") - F.col("width") + 1).select(
-        "item", "item_id", "width", "raw", "t", F.least(F.lit(most), F.ceil(F.col("total") * share)).cast("int").alias("need"),
-        F.posexplode(_hashes(F.col("t"), F.col("width"))).alias("ipos", "h"))
+
+    def like(part: Column) -> Column:
+        return F.size(F.filter(part, lambda x: ~x.isin(NAME, NUMBER, UNIT))) * 2 >= F.col("width")
+
+    def needed(windows: Column) -> Column:
+        return F.least(F.lit(most), F.ceil(windows * share)).cast("int")
+
+    total = F.size("raw") - F.col("width") + 1
+    likes = F.size(F.filter(F.sequence(F.lit(0), total - 1), lambda i: like(F.slice("t", i + 1, F.col("width")))))
+    windows = sized.select(
+        "item", "item_id", "width", "raw", "t", needed(total).alias("need"), needed(likes).alias("need_like"),
+        F.posexplode(F.arrays_zip(_hashes(F.col("t"), F.col("width")).alias("ht"), _hashes(F.col("p"), F.col("width")).alias("hp"))).alias("ipos", "h"))
     part = F.slice("t", F.col("ipos") + 1, F.col("width"))
     kinds = F.transform(part, lambda x: F.when(x.isin(NAME, NUMBER, UNIT), x))
-    solid = F.size(F.filter(part, lambda x: ~x.isin(NAME, NUMBER, UNIT)))
-    return windows.where(solid * 2 >= F.col("width")).select(
-        "h", "item", "item_id", "ipos", "width", "need", F.slice("raw", F.col("ipos") + 1, F.col("width")).alias("raw"), kinds.alias("kinds"),
-        F.size(F.filter(kinds, lambda x: x.isNotNull())).alias("n_slots"))
+    return windows.select(
+        F.when(like(part), F.col("h.ht")).otherwise(F.col("h.hp")).alias("h"), (~like(part)).alias("plain"), "item", "item_id", "ipos", "width", "need", "need_like",
+        F.slice("raw", F.col("ipos") + 1, F.col("width")).alias("raw"), kinds.alias("kinds"),
+        F.when(like(part), F.size(F.filter(kinds, lambda x: x.isNotNull()))).otherwise(0).alias("n_slots"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -79,36 +95,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc id, item_id, n_windows, n_slots, n_changed): one row per document and item that it leaks.
 
     n_windows: distinct windows of the item matched along consistent alignments; at least
-    ``min(most, ceil(share * windows of the item))``. n_slots, n_changed: distinct slot values
+    ``min(most, ceil(share * windows of the item))``, or as many of the windows that are not
+    mostly placeholders, counted over these alone. Windows that are match by their very words
+    and count as windows without slots. n_slots, n_changed: distinct slot values
     there, and those that the document states differently. Null or empty texts and items, and
     items of fewer than three words, match nothing. Repeated rows give one result; rows that
     share an id are one document. Null ids are kept as an id of their own."""
     if not 0 < width <= MOST_WIDTH:
         raise ValueError(f"width must be 1 to {MOST_WIDTH}")
     bench = stored(bench_windows(benchmark, item_col, item_text_col, width, share, most), "bench")
-    widths = sorted(r["width"] for r in bench.select("width").distinct().collect()) or [width]  # at most ``width`` values
+    shapes = sorted((r["plain"], r["width"]) for r in bench.select("plain", "width").distinct().collect()) or [(False, width)]  # at most 2 * ``width``
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                         F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.col(text_col), F.col(id_col)).alias("k2"))
-    words = keyed.select("doc_id", "k1", "k2", F.split(template(spoken(F.col("text"))), " ").alias("t"))
-    for_width = [words.select("doc_id", "k1", "k2", F.lit(w).alias("width"), F.posexplode(_hashes(F.col("t"), w)).alias("pos", "h")) for w in widths]
-    windows = for_width[0]
-    for more in for_width[1:]:
+    words = {as_is: keyed.select("doc_id", "k1", "k2", F.split((plain if as_is else template)(spoken(F.col("text"))), " ").alias("t")) for as_is in (False, True)}
+    for_shape = [words[as_is].select("doc_id", "k1", "k2", F.lit(w).alias("width"), F.lit(as_is).alias("plain"), F.posexplode(_hashes(F.col("t"), w)).alias("pos", "h"))
+                 for as_is, w in shapes]
+    windows = for_shape[0]
+    for more in for_shape[1:]:
         windows = windows.unionByName(more)
-    slim = bench.select("h", "width", "item", "item_id", "ipos", "n_slots", "need")
+    slim = bench.select("h", "width", "plain", "item", "item_id", "ipos", "n_slots", "need", "need_like")
     if bench.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS:
         slim = F.broadcast(slim)
-    hits = stored(windows.join(slim, ["h", "width"]).select(
-        "doc_id", "k1", "k2", "pos", "item", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("line"), "n_slots", "need"), "hits")
+    hits = stored(windows.join(slim, ["h", "width", "plain"]).select(
+        "doc_id", "k1", "k2", "pos", "item", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("line"), "n_slots", "need", "need_like", "plain"), "hits")
     lined = ["k1", "k2", "item", "line"]
     judged = _slot_pairs(keyed, hits, bench).groupBy(*lined).agg(
         F.count(F.lit(1)).alias("pairs"), F.count_distinct("kind", "asked").alias("from"), F.count_distinct("kind", "stated").alias("to"),
         F.count_if(F.col("asked") != F.col("stated")).alias("changed"))
     consistent = F.coalesce((F.col("pairs") == F.col("from")) & (F.col("pairs") == F.col("to")), F.lit(True))
     per_text = (hits.join(judged, lined, "left").where(consistent | (F.col("n_slots") == 0)).groupBy("k1", "k2", "item")
-                .agg(F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.max("need").alias("need"),
-                     F.count_distinct("ipos").alias("n_windows"), F.coalesce(F.max("pairs"), F.lit(0)).alias("n_slots"),
+                .agg(F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.max("need").alias("need"), F.max("need_like").alias("need_like"),
+                     F.count_distinct("ipos").alias("n_windows"), F.count_distinct(F.when(~F.col("plain"), F.col("ipos"))).alias("n_like"), F.coalesce(F.max("pairs"), F.lit(0)).alias("n_slots"),
                      F.coalesce(F.max("changed"), F.lit(0)).alias("n_changed")))
-    return (per_text.where(F.col("n_windows") >= F.col("need")).groupBy("doc_id", "item_id")
+    enough = (F.col("n_windows") >= F.col("need")) | ((F.col("n_like") >= F.col("need_like")) & (F.col("n_like") > 0))
+    return (per_text.where(enough).groupBy("doc_id", "item_id")
             .agg(F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
             .withColumnRenamed("doc_id", id_col))
 

@@ -276,6 +276,16 @@ def test_templates_catch_other_values_and_check_the_slots(spark):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0 == decontam.find_leaks(df, bench.limit(0)).count()
 
 
+def test_items_made_mostly_of_placeholders(spark):
+    """A verbatim copy of numbers counts; an item with few other windows is still found with other numbers."""
+    numbers = "Add {} to the sum that he wrote down"
+    bench = spark.createDataFrame([(1, "Compute 12 + 45 * 3 - 7"), (2, numbers.format(" ".join(map(str, range(10, 22)))))], "item_id long, text string")
+    rows = [(1, "Please compute 12 + 45 * 3 - 7 at once"), (2, "Please compute 13 + 45 * 3 - 7 at once"), (3, numbers.format(" ".join(map(str, range(50, 62))))),
+            (4, "nothing but " + " ".join(map(str, range(10, 22)))), (5, "so we add up to the sum")]
+    got = {(r["doc_id"], r["item_id"]): r["n_windows"] for r in decontam.find_leaks(docs(spark, [(i, t, "s") for i, t in rows]), bench).collect()}
+    assert got == {(1, 1): 1, (3, 2): 4, (4, 2): 6}
+
+
 def test_op10_equals_brute_force(spark):
     """Items without numbers: leaks are the documents that hold half of an item's 7-word windows, or six."""
     tokens = {d["doc_id"]: re.findall(r"[^\W_]+", d["text"].lower()) for d in spark.read.parquet(f"{MID}/documents.parquet").collect()}
