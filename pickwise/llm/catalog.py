@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwise.llm import bpe, decontam, html, langid, lines, oracles, passages, quality, setjoin, urls, warc
+from pickwise.llm import bpe, decontam, html, langid, lines, oracles, passages, quality, repair, setjoin, urls, warc
 from pickwise.llm.common import table
 
 QUERIES: dict = {}
@@ -89,6 +89,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_structure_repair", oracles.repair_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage every conversation by the contract's rule, then the cheapest repair of each."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over ``documents``."""

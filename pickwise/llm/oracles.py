@@ -79,3 +79,57 @@ links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (na + nb - k)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a AS x, b AS y FROM edges UNION SELECT reach.x, edges.b FROM reach JOIN edges ON reach.y = edges.a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(y) FROM reach WHERE x = doc_id), doc_id)) AS component_id FROM sets"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit (3988292384 is the reflected polynomial)."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
+            "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)")
+
+
+def repair_sql() -> str:
+    """Damage, faults, cost to go from the last row back as strings of cost and audit, and the repaired rows."""
+    spaces = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+    def go(cost: str, edit: str, value: str) -> str:
+        return f"(printf('%09d', substr({value}, 1, 9)::INT + {cost}) || '{edit}' || substr({value}, 10))"
+
+    #: states: 0 start, 1 after system, 2 after user, 3 after assistant
+    kept = {0: "CASE f.init WHEN 's' THEN v1 WHEN 'u' THEN v2 END", 1: "CASE f.init WHEN 'u' THEN v2 END", 2: "CASE f.init WHEN 'a' THEN v3 END", 3: "CASE f.init WHEN 'u' THEN v2 END"}
+    gone = "f.fault IN ('blank', 'duplicate')"
+    plain = ", ".join("least({}, CASE WHEN {} THEN NULL ELSE {} END, CASE WHEN {} THEN NULL ELSE {} END) AS b{}".format(
+        go("3", "D", f"v{q}"), gone, go("f.extra", "K", f"({kept[q]})"), gone, go("2 + f.extra", "R", "v3" if q == 2 else "v2"), q) for q in range(4))
+    return f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                                {_crc32("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM keyed WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, {spaces}) AS solid FROM damaged),
+faults AS (SELECT conv_id, pos, role, text, substr(role, 1, 1) AS init,
+                  CASE WHEN solid = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                  (solid <> '' AND nth = 1 AND right(solid, 1) NOT IN ('.', '!', '?'))::INT AS extra,
+                  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || substr(role, 1, 1) AS pair FROM placed),
+plan AS (
+  SELECT conv_id, max(pos) + 1 AS pos, '000000000' AS v0, '000000004II' AS v1, '000000002I' AS v2, '000000000' AS v3 FROM faults GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos, least(b0, {go('2', 'I', 'u')}), least(b1, {go('2', 'I', 'u')}), u, least(b3, {go('2', 'I', 'b2')})
+  FROM (SELECT *, least(b2, {go('2', 'I', 'b3')}) AS u FROM (
+    SELECT plan.conv_id, f.pos, {plain} FROM plan JOIN faults f ON f.conv_id IS NOT DISTINCT FROM plan.conv_id AND f.pos = plan.pos - 1))),
+best AS (SELECT conv_id, substr(v0, 1, 9)::BIGINT AS cost, substr(v0, 10) AS audit FROM plan WHERE pos = 1),
+edits AS (SELECT conv_id, i, substr(audit, i, 1) AS edit, length(replace(substr(audit, 1, i), 'I', '')) AS pos, length(replace(substr(audit, 1, i), 'D', '')) AS out
+          FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS i FROM best)),
+named AS (SELECT e.*, f.role, f.text, max(CASE WHEN out = 1 AND edit = 'K' AND f.init = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+          FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.pos = e.pos AND edit <> 'I' WHERE edit <> 'D'),
+told AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (out - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY out)) AS sha
+         FROM named GROUP BY conv_id),
+counts AS (SELECT conv_id, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+spans AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM damaged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+       coalesce(told.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN spans ON spans.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM o.conv_id"""
