@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pickwise.llm import bpe, decontam, html, langid, lines, oracles, passages, quality, repair, setjoin, urls, warc
+from pickwise.llm import bpe, decontam, html, langid, lines, oracles, passages, prefixtrie, quality, repair, setjoin, suffixes, urls, warc
 from pickwise.llm.common import table
 
 QUERIES: dict = {}
@@ -95,6 +95,18 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_prefix_trie", oracles.trie_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with its members, leaves and savings."""
+    return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_suffix_dedup", oracles.suffix_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes that repeated 400-byte strings cover."""
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over ``documents``."""

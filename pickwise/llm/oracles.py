@@ -133,3 +133,45 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN spans ON spans.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+def trie_sql() -> str:
+    """Prefixes as concatenated digests of turns; descendants by pairs of prefixes of one conversation."""
+    return f"""
+WITH placed AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+                       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), k) AS i FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_crc32('conv_id::VARCHAR')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM placed)),
+heads AS (SELECT c.conv_id, p.i, p.k, p.text FROM convs c JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 20 AND p.i <= c.h),
+walks AS (SELECT * FROM heads UNION ALL
+          SELECT c.conv_id, p.i - c.h + coalesce(n, 0), p.k, p.text FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.i > c.h
+          LEFT JOIN (SELECT conv_id, count(*) AS n FROM heads GROUP BY conv_id) b ON b.conv_id = c.conv_id),
+steps AS (SELECT conv_id, i AS depth, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY i) AS node, len(regexp_extract_all(text, '{WORD}')) AS words FROM walks
+          UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+members AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM steps),
+nodes AS (SELECT node, any_value(depth) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY node),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id, p.node AS parent FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.node = left(n.node, length(n.node) - 32)),
+kids AS (SELECT parent, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM members a JOIN members b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT top, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens, count(*) FILTER (kids.n IS NULL) AS n_leaves
+         FROM below JOIN nodes n USING (node) LEFT JOIN kids ON kids.parent = n.node GROUP BY top)
+SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, sums.n_leaves, sums.saved_tokens, l.ends_sha256
+FROM linked l JOIN sums ON sums.top = l.node LEFT JOIN kids ON kids.parent = l.node"""
+
+
+def suffix_sql(depth: int = 400) -> str:
+    """Every window of every text as hexadecimal digits, grouped by its MD5; runs of repeated ones cut out."""
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+pieces AS (SELECT row_id, base, substr(digits, 2 * base + 1, 2 * (1000 + {depth - 1})) AS d FROM (SELECT row_id, digits, unnest(range(0, n_bytes - {depth} + 1, 1000)) AS base FROM texts WHERE n_bytes >= {depth})),
+windows AS (SELECT row_id, base + i AS pos, md5(substr(d, 2 * i + 1, {2 * depth})) AS w FROM (SELECT row_id, base, d, unnest(range(0, least(1000, length(d) // 2 - {depth - 1}))) AS i FROM pieces)),
+twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT row_id, pos, lag(pos) OVER (PARTITION BY row_id ORDER BY pos) AS before FROM windows JOIN twice USING (w)),
+runs AS (SELECT row_id, pos, sum((before IS NULL OR before + {depth} < pos)::INT) OVER (PARTITION BY row_id ORDER BY pos) AS run FROM hits),
+spans AS (SELECT row_id, min(pos) AS start, max(pos) + {depth} AS stop FROM runs GROUP BY row_id, run),
+cuts AS (SELECT row_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY row_id ORDER BY start), 0) AS from_, lead(stop) OVER (PARTITION BY row_id ORDER BY start) IS NULL AS ends FROM spans),
+kept AS (SELECT row_id, sum(stop - start)::BIGINT AS n_removed, count(*) AS n_spans,
+                string_agg(substr(digits, 2 * from_ + 1, 2 * (start - from_)) || CASE WHEN ends THEN substr(digits, 2 * stop + 1) ELSE '' END, '' ORDER BY start) AS rest
+         FROM cuts JOIN texts USING (row_id) GROUP BY row_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, digits))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (row_id)"""
