@@ -39,7 +39,6 @@ CHUNK = 1 << 19                 # records gathered before they are sent
 LOCAL_HOT = 32                  # blocks of one core in one chunk that travel by the core
 MOST_BLOCKS = 4_000             # blocks of one core whose bytes meet in one task
 BUCKET_BYTES = 8 << 20          # bytes of records of a bucket
-MOST_SPANS = 1_000_000          # spans (8 bytes each) that may be broadcast
 BASES = (0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F)
 RECORD = np.dtype([("core", "<u8"), ("block", "<u8"), ("text", "V12"), ("at", "<u4"), ("lead", "<u2"), ("runs", "<u2"), ("flag", "u1")])
 SPAN = np.dtype([("text", "V12"), ("start", "<u4"), ("stop", "<u4")])
@@ -336,13 +335,6 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*columns, data], ["text", "start", "core", "lead", "runs", "settled", "data"])
 
 
-def _with_texts(texts: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
-    """``texts`` joined with one row per distinct text; broadcast only if its lists are counted to be small."""
-    if (per_text.agg(F.sum(F.size("items") + 2)).first()[0] or 0) <= MOST_SPANS:
-        per_text = F.broadcast(per_text)
-    return texts.join(per_text, "name", how)
-
-
 def further_passes(texts: DataFrame, open_: DataFrame, scheme: Scheme, buckets: int, most: int = MOST_BLOCKS) -> DataFrame:
     """(text, start, stop): what further digits find repeated among the blocks that the first pass left open."""
     depth = scheme.depth
@@ -351,7 +343,7 @@ def further_passes(texts: DataFrame, open_: DataFrame, scheme: Scheme, buckets:
     hot = stored(once.groupBy("core").count().where(F.col("count") > most).select("core"), "hot-cores")
     item = F.struct("start", "stop", "core", "lead", "runs", (F.col("settled") | (F.col("n") > 1)).alias("settled"))
     per_text = stored(once.groupBy(F.col("text").alias("name")).agg(F.collect_list(item).alias("items")), "blocks-by-text")
-    joined = _with_texts(texts, per_text, "inner").select("name", "text", "items")
+    joined = texts.join(per_text, "name").select("name", "text", "items")
     blocks = stored(joined.mapInArrow(_cut_blocks, "text binary, start long, core long, lead int, runs int, settled boolean, data binary"), "blocks")
     if hot.isEmpty():
         cold, crowded = blocks, None
@@ -385,23 +377,36 @@ def text_name(text: Column) -> Column:
     return F.unhex(F.substring(F.md5(text), 1, 24))
 
 
-def _remove(schema: pa.Schema, width: int):
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _maximal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, items): spans that overlap or touch become one."""
+    for batch in batches:
+        out = []
+        for items in batch.column(1).to_pylist():
+            merged: list[list[int]] = []
+            for start, stop in sorted((s["start"], s["stop"]) for s in items):
+                if merged and start <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], stop)
+                else:
+                    merged.append([start, stop])
+            out.append([{"start": a, "stop": b} for a, b in merged])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPANS)], ["name", "items"])
+
+
+def _remove(width: int):
+    """The bytes of each text outside its spans; ``width`` columns before the text go through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
             for text, items in zip(batch.column(width), batch.column(width + 1).to_pylist(), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
-                merged: list[list[int]] = []
-                for s in sorted((s["start"], s["stop"]) for s in items or ()):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
-                edges = [0, *(x for s in merged for x in s), len(raw)]
+                edges = [0, *(x for s in items or () for x in (s["start"], s["stop"])), len(raw)]
                 sizes.append(len(raw))
-                spans.append([{"start": a, "stop": b} for a, b in merged])
+                spans.append(items or [])
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(sizes, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())],
                                              names=[*batch.schema.names[:width], "n_bytes", "spans", "kept"])
     return run
 
@@ -422,12 +427,13 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text", dep
     found = first_pass(long, buckets, scheme)
     rest = further_passes(long, found.where("kind = 1").drop("kind"), scheme, 4 * buckets)
     spans = found.where("kind = 0").select("text", "start", "stop").unionByName(rest)
-    per_text = stored(spans.groupBy(F.col("text").alias("name")).agg(F.collect_list(F.struct("start", "stop")).alias("items")), "covered")
+    # copies of a text report the same spans: combined before they are listed and joined to every copy
+    lists = spans.distinct().groupBy(F.col("text").alias("name")).agg(F.collect_list(F.struct("start", "stop")).alias("items"))
+    per_text = stored(lists.mapInArrow(_maximal, "name binary, items array<struct<start: long, stop: long>>"), "covered")
     named = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], text.alias("text")).withColumn("name", text_name(F.col("text")))
-    joined = _with_texts(named, per_text, "left").select(*[f"__{i}" for i in range(len(keep))], "text", "items")
+    joined = named.join(per_text, "name", "left").select(*[f"__{i}" for i in range(len(keep))], "text", "items")
     kinds = ", ".join(f"__{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = joined.mapInArrow(_remove(pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]), len(keep)),
-                            f"{kinds}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    out = joined.mapInArrow(_remove(len(keep)), f"{kinds}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
     return out.toDF(*keep, "n_bytes", "spans", "kept")
 
 
