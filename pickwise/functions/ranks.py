@@ -2,7 +2,7 @@
 
 ``orderBy`` range-partitions the rows over many tasks; ``monotonically_increasing_id``
 numbers each task's rows in order (partition in the high bits, row in the low 33).
-The numbered rows are checkpointed, so a lost executor cannot renumber them; the
+The numbered rows are written out, so a lost executor cannot renumber them; the
 per-partition row counts (one small number per partition) become offsets on the
 driver and return as a map literal.  All of it stays in the JVM.  The order columns
 must be unique so that ranks are reproducible.
@@ -15,14 +15,13 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pickwise.session import ensure_checkpoint_dir
+from pickwise.functions.joins import written
 
 
 def global_rank(df: DataFrame, order_cols, rank_col: str = "rank") -> DataFrame:
     """Add ``rank_col`` (BIGINT, 0-based) = position of the row in ``order_cols`` order."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    numbered = df.orderBy(*order_cols).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    numbered = written(df.orderBy(*order_cols).withColumn("__id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__id", 33)
     counts = sorted((r["p"], r["n"]) for r in numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     before = [0, *accumulate(n for _, n in counts)]

@@ -1,18 +1,24 @@
-"""Exact k-nearest-neighbour and range joins by pivots and the triangle inequality.
-
-A bounded number of train vectors, chosen by hash, are pivots. Every train vector belongs to
-the cell of its nearest pivot; a cell is known by its number of members and its radius, the
-largest distance of a member to the pivot. A test point x at distance d(x, p) of a pivot can
-only have neighbours within r in cells with d(x, p) - radius <= r. So:
-
-1. x is joined with its nearest cells, as many as hold k members; the k-th distance found
-   there bounds the answer from above;
-2. x is joined with the other cells that can hold anything nearer.
-
-Only occupied cells are ever named, and both joins are equi-joins on the cell. The number of
-candidates depends on how clustered the data are: on vectors of high dimension without any
-clusters the triangle inequality rules out little, and the second join approaches all pairs
-(no exact method avoids that); the pivots change the cost only, never the result.
+"""Exact k-nearest-neighbour and range joins over a pivot tree.
+
+Tree. The train vectors of a node choose pivots among themselves (those with the smallest hashes,
+about one for LEAF / 2 members, FAN at most); every member goes to the child of its nearest pivot. A child is known by
+its pivot, its number of members and its radius, the largest distance of a member to the pivot.
+Children of more than LEAF members are nodes of the next level, so the depth grows with the logarithm of
+the table while a cell stays as small as it is.
+
+Search. A point carries a bound: its range, or the distance within which k members of the nearest
+cell lie. Level by level it goes to the children with d(point, pivot) - radius <= bound, and meets
+the members of the cells that it ends in. So the number of candidates follows the number of
+cells that the bound reaches, which the structure of the data decides and not their number.
+On vectors of high dimension without clusters the triangle inequality rules out little and the join
+approaches all pairs; no exact method avoids that, and the result is the same.
+
+Tasks. The nodes of a level travel to all tasks while their bytes are counted to be few; beyond
+that, rows and nodes are grouped by node. Points and members meet by cell, at most POINTS
+points and CHUNK members at a time: a cell that very many points reach is copied to
+several tasks, and a cell that could not be split (members at equal distances) is cut into pieces.
+Distances are first taken as matrix products, with a bound on their rounding error; only pairs
+that this leaves in question are computed again coordinate by coordinate, as SQL would.
 
 The same holds for any metric; here euclidean distance, the angle (euclidean distance of unit
 vectors, reported as 1 - cos) and the sum of two euclidean parts (means and covariances).
@@ -23,18 +29,25 @@ among the k nearest), and identical test vectors are solved once. Ties go to the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pickwise.functions.joins import written
 from pickwise.functions.topk import group_topk
-from pickwise.session import ensure_checkpoint_dir
+from pickwise.session import ensure_checkpoint_dir, ship_package
 
-MOST_PIVOTS = 256
-SLACK = 1e-9        # relative room for rounding when cells are ruled out
+LEAF = 512              # members of a cell that is not split
+FAN = 512               # pivots of a node at most
+CHUNK = 2_048           # members of a piece of a cell that cannot be split
+POINTS = 4_096          # points that meet the members of a cell in one task
+NODE_BYTES = 32 << 20   # bytes of a level's pivots that are sent to all tasks
+ROUNDING = 1e-12        # of the squared norms: more than a matrix product of doubles loses
 
 
 def _norm(v):
@@ -46,20 +59,6 @@ def normalise(v):
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
-def euclid(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
-def cosine_dist(a, b):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.lit(1.0) - dot / (_norm(a) * _norm(b))
-
-
-def cov_distance(mu_a, mu_b, cov_a, cov_b):
-    """L2 norm of the mean difference plus the Frobenius norm of the covariance difference."""
-    return euclid(mu_a, mu_b) + euclid(cov_a, cov_b)
-
-
 @dataclass(frozen=True)
 class Metric:
     """euclidean, cosine, or sum: two euclidean parts, the first ``head`` coordinates and the rest."""
@@ -67,116 +66,256 @@ class Metric:
     head: int = 0
 
     def space(self, v):
-        """The vector in which the triangle inequality holds."""
+        """The vector (column) in which the triangle inequality holds."""
         return normalise(v) if self.name == "cosine" else v
 
-    def between(self, a, b):
-        """Distance column in that space."""
-        if self.name == "sum":
-            n = self.head
-            rest = F.greatest(F.size(a) - n, F.lit(0))
-            return cov_distance(F.slice(a, 1, n), F.slice(b, 1, n), F.slice(a, F.lit(n + 1), rest), F.slice(b, F.lit(n + 1), rest))
-        return euclid(a, b)
-
-    def matrix(self, x: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """(rows, pivots) distances in that space."""
-        parts = [slice(0, self.head), slice(self.head, None)] if self.name == "sum" else [slice(None)]
-        out = np.zeros((len(x), len(p)))
-        for s in parts:
-            a, b = x[:, s], p[:, s]
-            out += np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
-        return out
-
+    def flat(self, x: np.ndarray) -> np.ndarray:
+        """The same for the rows of a matrix."""
+        return x / np.sqrt((x * x).sum(1, keepdims=True)) if self.name == "cosine" else x
 
-def _pivots(train: DataFrame) -> np.ndarray:
-    """At most MOST_PIVOTS distinct vectors, those with the smallest hashes; about one for 16 rows."""
-    rows = train.select("__g").distinct().orderBy(F.xxhash64("__g"), "__g").limit(MOST_PIVOTS).collect()
-    n = train.count()
-    return np.array([r[0] for r in rows[:max(1, min(MOST_PIVOTS, n // 16))]], dtype=float)
+    def _parts(self) -> list[slice]:
+        return [slice(0, self.head), slice(self.head, None)] if self.name == "sum" else [slice(None)]
 
+    def bounds(self, x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, rows) bounds from below and above of the distances in that space."""
+        low, high = np.zeros((len(x), len(p))), np.zeros((len(x), len(p)))
+        for s in self._parts():
+            a, b = x[:, s], p[:, s]
+            size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None]
+            square = np.maximum(size - 2 * a @ b.T, 0)
+            low += np.sqrt(np.maximum(square - ROUNDING * size, 0))
+            high += np.sqrt(square + ROUNDING * size)
+        return low, high
+
+    def exact(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Reported distances of rows and rows, summed coordinate by coordinate as an SQL expression does."""
+        if self.name == "cosine":
+            dot, one, two = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+            for j in range(a.shape[1]):
+                dot += a[:, j] * b[:, j]
+                one += a[:, j] * a[:, j]
+                two += b[:, j] * b[:, j]
+            return 1.0 - dot / (np.sqrt(one) * np.sqrt(two))
+        out = np.zeros(len(a))
+        for s in self._parts():
+            total = np.zeros(len(a))
+            for j in range(*s.indices(a.shape[1])):
+                total += (a[:, j] - b[:, j]) * (a[:, j] - b[:, j])
+            out = out + np.sqrt(total)
+        return out
 
-def _with_cells(train: DataFrame, pivots: np.ndarray, metric: Metric) -> DataFrame:
-    """Append the nearest pivot's number and the distance to it."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in train.dtypes) + ", cell int, __d double"
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = metric.matrix(np.stack(pdf["__g"].to_numpy()).astype(float), pivots)
-                near = d.argmin(1)
-                yield pdf.assign(cell=near.astype("int32"), __d=d[np.arange(len(d)), near])
+def matrix(column) -> np.ndarray:
+    """(rows, coordinates) of an Arrow column of equally long lists."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float)
+    return values.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+@dataclass
+class Node:
+    """Pivots of a node and, once its members are assigned, its children."""
+    pivots: np.ndarray
+    count: np.ndarray = field(default_factory=lambda: np.empty(0, int))
+    radius: np.ndarray = field(default_factory=lambda: np.empty(0))
+    leaf: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
+
+    @staticmethod
+    def of(pivots, kids, width: int) -> Node:
+        node = Node(np.asarray(pivots, float).reshape(-1, width))
+        n = len(node.pivots)
+        node.count, node.radius, node.leaf = np.zeros(n, int), np.full(n, -np.inf), np.zeros(n, bool)
+        for kid in kids or ():
+            node.count[kid["child"]], node.radius[kid["child"]], node.leaf[kid["child"]] = kid["n"], kid["radius"], kid["leaf"]
+        return node
+
+
+Step = Callable[[str, Node, pa.Table], pa.Table]
+
+
+def _by_node(rows: DataFrame, nodes: DataFrame, step: Step, schema: str) -> DataFrame:
+    """``step(name, node, rows)`` for the rows of every node of ``nodes`` (node, width, pivots, kids); other rows go.
+
+    Sent to all tasks if their bytes are few; otherwise grouped by node, at most POINTS rows at a time."""
+    spark = rows.sparkSession
+    if (nodes.agg(F.sum(F.size("pivots") + 8 * F.size("kids"))).first()[0] or 0) * 8 <= NODE_BYTES:
+        shared = spark.sparkContext.broadcast({r["node"]: Node.of(r["pivots"], r["kids"], r["width"]) for r in nodes.collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                names, place = np.unique(np.asarray(table["node"].to_pylist(), object), return_inverse=True) if len(table) else ((), ())
+                for i, name in enumerate(names):
+                    if name in shared.value:
+                        yield from step(name, shared.value[name], table.filter(pa.array(place == i))).to_batches()
+
+        return rows.mapInArrow(run, schema)
+    sizes = written(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / POINTS).cast("int").alias("__parts")), "node-sizes")
+    spread = F.xxhash64("train_id" if "train_id" in rows.columns else "test_id")
+    left = rows.join(sizes, "node").withColumn("__part", F.pmod(spread, F.col("__parts")).cast("int")).drop("__parts")
+    right = nodes.join(sizes, "node").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+
+    def meet(mine: pa.Table, tree: pa.Table) -> pa.Table:
+        row = tree.to_pylist()[0] if len(tree) else None
+        if row is None or not len(mine):
+            return empty
+        return step(row["node"], Node.of(row["pivots"], row["kids"], row["width"]), mine.drop_columns(["__part"]))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return left.groupBy("node", "__part").cogroup(right.groupBy("node", "__part")).applyInArrow(meet, schema)
+
+
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *more])
+
+
+class PivotTree:
+    """Cells of the rows of (node, train_id, vec, lead); ``node`` names the root of each group, ``lead`` rows may be pivots."""
+
+    def __init__(self, rows: DataFrame, metric: Metric, leaf: int = LEAF, fan: int = FAN):
+        self.metric, self.levels, self.members = metric, [], None
+        rows = written(rows, "members")
+        while not rows.isEmpty():
+            counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("__n"))
+            wanted = F.least(F.lit(fan), F.ceil(2 * F.col("__n") / leaf).cast("int"))
+            leads = rows.where("lead").join(counts.select("node", wanted.alias("__m")), "node")
+            chosen = group_topk(leads, ["node"], [F.xxhash64("vec"), F.col("train_id")], F.col("__m"), salt_col="train_id", rank_col="__rk")
+            vectors = F.transform(F.array_sort(F.collect_list(F.struct("__rk", "vec"))), lambda x: x["vec"])
+            pivots = (chosen.groupBy("node").agg(F.max(F.size("vec")).alias("width"), F.flatten(vectors).alias("pivots"))
+                      .withColumn("kids", F.array().cast("array<struct<child:int,n:bigint,radius:double,leaf:boolean>>")))
+            pivots = written(pivots, "pivots")
+            placed = written(_by_node(rows, pivots, self._assign(), _schema(rows, "child int", "__d double")), "placed")
+            stats = placed.groupBy("node", "child").agg(F.count(F.lit(1)).alias("n"), F.max("__d").alias("radius"))
+            # a child with nearly all members of its parent does not get smaller by splitting
+            stats = written(stats.join(counts, "node").select("node", "child", "n", "radius", ((F.col("n") <= leaf) | (F.col("n") > 0.9 * F.col("__n"))).alias("leaf")), "children")
+            kids = stats.groupBy("node").agg(F.collect_list(F.struct("child", "n", "radius", "leaf")).alias("kids"))
+            self.levels.append(written(pivots.drop("kids").join(kids, "node"), "nodes"))
+            named = placed.join(stats.select("node", "child", "leaf"), ["node", "child"]).withColumn("node", F.concat("node", F.lit("."), F.col("child")))
+            cells = named.where("leaf").select(F.col("node").alias("cell"), "train_id", "vec")
+            self.members = cells if self.members is None else self.members.unionByName(cells)
+            rows = named.where("not leaf").select(*rows.columns)
+
+    def _assign(self) -> Step:
+        metric = self.metric
+
+        def step(name: str, node: Node, table: pa.Table) -> pa.Table:
+            _, high = metric.bounds(metric.flat(matrix(table["vec"])), metric.flat(node.pivots))
+            near = high.argmin(1)
+            return table.append_column("child", pa.array(near.astype(np.int32))).append_column("__d", pa.array(high[np.arange(len(near)), near]))
+
+        return step
+
+    def visits(self, points: DataFrame, choose) -> DataFrame:
+        """(test_id, vec, bound, cell): ``choose(node, low, high, bounds)`` marks the children that each point goes to."""
+        metric, found, at = self.metric, None, points.select("node", "test_id", "vec", "bound")
+        for level in self.levels:
+
+            def step(name: str, node: Node, table: pa.Table) -> pa.Table:
+                low, high = metric.bounds(metric.flat(matrix(table["vec"])), metric.flat(node.pivots))
+                bound = table["bound"].to_numpy()
+                row, kid = np.nonzero(choose(node, low, high, np.where(np.isnan(bound), np.inf, bound)))
+                out = table.take(pa.array(row))
+                names = pa.array([f"{name}.{i}" for i in range(len(node.pivots))], pa.string()).take(pa.array(kid))
+                return out.set_column(0, "node", names).append_column("leaf", pa.array(node.leaf[kid]))
+
+            went = written(_by_node(at, level, step, _schema(at, "leaf boolean")), "visits")
+            cells = went.where("leaf").select("test_id", "vec", "bound", F.col("node").alias("cell"))
+            found = cells if found is None else found.unionByName(cells)
+            at = went.where("not leaf").drop("leaf")
+        return found
+
+    def meet(self, visits: DataFrame, evaluate, schema: str) -> DataFrame:
+        """``evaluate(points, members)`` on Arrow tables, for at most POINTS points of a cell and CHUNK members at a time."""
+        points = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / POINTS).cast("int").alias("__parts"))
+        sizes = written(self.members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("__chunks")).join(points, "cell"), "meetings")
+        asked = visits.join(sizes, "cell").withColumns({"part": F.pmod(F.xxhash64("test_id"), F.col("__parts")), "chunk": F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))})
+        told = self.members.join(sizes, "cell").withColumns({"chunk": F.pmod(F.xxhash64("train_id"), F.col("__chunks")), "part": F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))})
+        keys = [F.col("cell"), F.col("part").cast("int").alias("part"), F.col("chunk").cast("int").alias("chunk")]
+        left = asked.select(*keys, "test_id", "vec", "bound").groupBy("cell", "part", "chunk")
+        right = told.select(*keys, "train_id", "vec").groupBy("cell", "part", "chunk")
+        return left.cogroup(right).applyInArrow(evaluate, schema)
 
-    return train.mapInPandas(run, schema)
 
+def _nearest(k: int):
+    """Children by distance of their pivots until they hold k members."""
+    def choose(node: Node, low, high, bound):
+        order = np.argsort(np.where(node.count > 0, low, np.inf), axis=1, kind="stable")
+        before = np.cumsum(node.count[order], axis=1) - node.count[order]
+        out = np.zeros(low.shape, bool)
+        np.put_along_axis(out, order, (before < k) & (node.count[order] > 0), axis=1)
+        return out
+    return choose
 
-class _Cells:
-    """Count and radius of the occupied cells, per group value (None without groups): pivots x groups numbers."""
 
-    def __init__(self, celled: DataFrame, group_col: str | None, n: int):
-        self.group_col, self.n = group_col, n
-        keys = ([group_col] if group_col else []) + ["cell"]
-        self.by_group: dict = {}
-        for r in celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max("__d").alias("r")).collect():
-            count, radius = self.by_group.setdefault(r[group_col] if group_col else None, (np.zeros(n, int), np.full(n, -np.inf)))
-            count[r["cell"]], radius[r["cell"]] = r["k"], r["r"]
+def _reaching(node: Node, low, high, bound):
+    """Children that can hold a member within the bound."""
+    return (node.count > 0) & (low - node.radius <= bound[:, None] * (1 + 1e-12))
 
-    def of(self, group):
-        return self.by_group.get(group if self.group_col else None, (np.zeros(self.n, int), np.full(self.n, -np.inf)))
 
+def _bounds_of(metric: Metric, k: int):
+    """(test_id, far): of each point, upper bounds of the distances to the k nearest members of the cell."""
+    kind = pa.list_(pa.float64())
 
-def _named_cells(points: DataFrame, pivots: np.ndarray, cells: _Cells, metric: Metric, choose) -> DataFrame:
-    """Append the array ``cells`` that ``choose(distances, counts, radii, row)`` names for each point."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in points.dtypes) + ", cells array<int>"
+    def run(points: pa.Table, members: pa.Table) -> pa.Table:
+        if not len(points) or not len(members):
+            return pa.schema([("test_id", pa.int64()), ("far", kind)]).empty_table()
+        _, high = metric.bounds(metric.flat(matrix(points["vec"])), metric.flat(matrix(members["vec"])))
+        n = min(k, high.shape[1])
+        least = np.partition(high, n - 1, axis=1)[:, :n]
+        far = pa.ListArray.from_arrays(np.arange(0, least.size + 1, n).astype(np.int32), least.ravel())
+        return pa.Table.from_arrays([points["test_id"].combine_chunks(), far], ["test_id", "far"])
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = metric.matrix(np.stack(pdf["__g"].to_numpy()).astype(float), pivots)
-                groups = pdf[cells.group_col] if cells.group_col else [None] * len(pdf)
-                rows = pdf.to_dict("records")
-                yield pdf.assign(cells=pd.Series([choose(d[i], *cells.of(g), rows[i]) for i, g in enumerate(groups)], index=pdf.index, dtype=object))
+    return run
 
-    return points.mapInPandas(run, schema)
 
+def _pairs(metric: Metric, k: int | None, id_type: pa.DataType):
+    """(test_id, train_id, distance) of the pairs within the bound; the k nearest of each point, or all."""
+    empty = pa.schema([("test_id", pa.int64()), ("train_id", id_type), ("distance", pa.float64())]).empty_table()
 
-def _nearest(k: int):
-    """Cells by distance of their pivots until they hold k members."""
-    def choose(d, count, radius, row):
-        order = np.argsort(d, kind="stable")
-        order = order[count[order] > 0]
-        enough = np.searchsorted(np.cumsum(count[order]), k) + 1
-        return order[:enough].astype("int32")
-    return choose
+    def run(points: pa.Table, members: pa.Table) -> pa.Table:
+        if not len(points) or not len(members):
+            return empty
+        a, b = matrix(points["vec"]), matrix(members["vec"])
+        bound = points["bound"].to_numpy()
+        limit = np.where(np.isnan(bound), np.inf, bound) * (1 + 1e-12)
+        low, _ = metric.bounds(metric.flat(a), metric.flat(b))
+        row, col = np.nonzero(low <= limit[:, None])
+        distance = np.concatenate([metric.exact(a[row[i:i + 65536]], b[col[i:i + 65536]]) for i in range(0, len(row), 65536)] or [np.empty(0)])
+        if k is None:
+            take = distance <= np.where(np.isnan(bound), np.inf, bound)[row]
+            row, col, distance = row[take], col[take], distance[take]
+        else:
+            ids = members["train_id"].combine_chunks()
+            order = np.empty(len(ids), np.int64)
+            order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            by = np.lexsort((order[col], distance, row))
+            row, col, distance = row[by], col[by], distance[by]
+            first = np.searchsorted(row, np.arange(len(a)))
+            take = np.arange(len(row)) - first[row] < k
+            row, col, distance = row[take], col[take], distance[take]
+        return pa.Table.from_arrays([points["test_id"].combine_chunks().take(pa.array(row)), members["train_id"].combine_chunks().take(pa.array(col)), pa.array(distance)], schema=empty.schema)
 
+    return run
 
-def _reaching(bound: str, seen: str | None = None):
-    """Cells that can hold a member within ``row[bound]`` (null: all), but for those in ``row[seen]``."""
-    def choose(d, count, radius, row):
-        limit = row[bound]
-        limit = np.inf if limit is None or np.isnan(limit) else limit
-        hit = (count > 0) & (d - radius <= limit + SLACK * (1 + np.abs(d) + limit))
-        if seen is not None:
-            hit[np.asarray(row[seen], int)] = False
-        return np.flatnonzero(hit).astype("int32")
-    return choose
 
+def _whole(df: DataFrame, vec: str, metric: Metric) -> DataFrame:
+    df = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull()))
+    return df.where(F.exists(vec, lambda x: x != 0)) if metric.name == "cosine" else df
 
-def _candidates(points: DataFrame, celled: DataFrame, keys, metric: Metric) -> DataFrame:
-    """Points joined with the members of their cells; ``__rd`` is the distance in the metric space."""
-    each = points.select("test_id", *keys, "__v", "__g", F.explode("cells").alias("cell"))
-    members = celled.select("train_id", *keys, "cell", "__tv", F.col("__g").alias("__tg"))
-    joined = each.join(members, [*keys, "cell"])
-    rd = metric.between(F.col("__g"), F.col("__tg"))
-    distance = cosine_dist(F.col("__v"), F.col("__tv")) if metric.name == "cosine" else rd
-    return joined.select("test_id", "train_id", distance.alias("distance"), rd.alias("__rd"))
 
+def _root(group_col: str | None):
+    return F.lit("") if group_col is None else F.concat(F.lit("g"), F.col(group_col).cast("string"))
 
-def _topk(candidates: DataFrame, k: int) -> DataFrame:
-    return group_topk(candidates, ["test_id"], [F.col("distance"), F.col("train_id")], k, salt_col="train_id", rank_col="rank")
 
+def _id_type(df: DataFrame, column: str) -> tuple[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _whole(df: DataFrame, vec: str) -> DataFrame:
-    return df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull()))
+    kind = df.schema[column].dataType
+    return kind.simpleString(), to_arrow_type(kind)
 
 
 def exact_knn(test: DataFrame, train: DataFrame, k: int = 1, vec: str = "vec", id_col: str = "problem_id",
@@ -184,51 +323,57 @@ def exact_knn(test: DataFrame, train: DataFrame, k: int = 1, vec: str = "vec", i
     """(test_id, train_id, distance, rank) for the k nearest train rows of every test row.
 
     ``metric``: euclidean, cosine (ranked and reported as 1 - cos), or a :class:`Metric`.
-    ``group_col``: neighbours only within the same group value (few values).  Rows whose vector
-    is null or holds a null have no neighbours and are none."""
-    ensure_checkpoint_dir(test.sparkSession)
-    test, train = _whole(test, vec), _whole(train, vec)
+    ``group_col``: neighbours only within the same (non-null) group value.  Rows whose vector is null
+    or holds a null (for cosine: or is all zeros) have no neighbours and are none."""
+    _ready(test)
     metric = Metric(metric) if isinstance(metric, str) else metric
+    test, train = _whole(test, vec, metric), _whole(train, vec, metric)
     keys = [group_col] if group_col else []
-    # the ids of the distinct test vectors are fixed by a checkpoint (stable if an executor is lost)
-    distinct = (test.select(*keys, F.col(vec).alias("__v")).distinct()
-                .withColumn("test_id", F.monotonically_increasing_id()).checkpoint())
-    points = distinct.withColumn("__g", metric.space(F.col("__v")))
-    tr = train.select(F.col(id_col).alias("train_id"), *keys, F.col(vec).alias("__tv"), metric.space(F.col(vec)).alias("__g"))
-    tr = group_topk(tr, keys + ["__g"], [F.col("train_id")], k, salt_col="train_id", rank_col="__dup").drop("__dup").checkpoint()
-    pivots = _pivots(tr)
-    ids = test.select(F.col(id_col).alias("__id"), *keys, F.col(vec).alias("__v"))
-    if not len(pivots):
+    as_double = F.col(vec).cast("array<double>")
+    ids = written(test.select(F.col(id_col).alias("__id"), *keys, as_double.alias("__v")), "asked")
+    # the ids of the distinct test vectors are fixed by writing them (stable if an executor is lost)
+    distinct = written(ids.select(*keys, "__v").distinct().withColumn("test_id", F.monotonically_increasing_id()), "points")
+    points = distinct.select(_root(group_col).alias("node"), "test_id", F.col("__v").alias("vec"), F.lit(None).cast("double").alias("bound")).where("node is not null")
+    tr = train.select(_root(group_col).alias("node"), F.col(id_col).alias("train_id"), as_double.alias("vec"), metric.space(as_double).alias("__g")).where("node is not null")
+    tr = group_topk(tr, ["node", "__g"], [F.col("train_id")], k, salt_col="train_id", rank_col="__dup")
+    tree = PivotTree(tr.select("node", "train_id", "vec", (F.col("__dup") == 1).alias("lead")), metric)
+    if not tree.levels:
         return ids.limit(0).select(F.col("__id").alias("test_id"), F.col("__id").alias("train_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
-    celled = _with_cells(tr, pivots, metric).checkpoint()
-    cells = _Cells(celled, group_col, len(pivots))
-    first_cells = _named_cells(points, pivots, cells, metric, _nearest(k)).withColumnRenamed("cells", "__seen").checkpoint()
-    first = _topk(_candidates(first_cells.withColumnRenamed("__seen", "cells"), celled, keys, metric), k).checkpoint()
-    bound = first.groupBy("test_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("__rd")).alias("__bound"))
-    rest = _named_cells(first_cells.join(bound, "test_id", "left"), pivots, cells, metric, _reaching("__bound", "__seen"))
-    second = _candidates(rest, celled, keys, metric)
-    top = _topk(first.select("test_id", "train_id", "distance").unionByName(second.select("test_id", "train_id", "distance")), k)
+    far = tree.meet(tree.visits(points, _nearest(k)), _bounds_of(metric, k), "test_id long, far array<double>")
+    reach = far.groupBy("test_id").agg(F.try_element_at(F.sort_array(F.flatten(F.collect_list("far"))), F.lit(k)).alias("bound"))
+    bounded = points.drop("bound").join(reach, "test_id", "left").select(*points.columns)
+    name, kind = _id_type(tr, "train_id")
+    near = tree.meet(tree.visits(bounded, _reaching), _pairs(metric, k, kind), f"test_id long, train_id {name}, distance double")
+    top = group_topk(near, ["test_id"], [F.col("distance"), F.col("train_id")], k, salt_col="train_id", rank_col="rank")
     found = distinct.join(top, "test_id").select(*keys, "__v", "train_id", "distance", F.col("rank").cast("int").alias("rank"))
     return ids.join(found, [*keys, "__v"]).select(F.col("__id").alias("test_id"), "train_id", "distance", "rank")
 
 
 def range_pairs(test: DataFrame, train: DataFrame, radius, vec: str = "vec", id_col: str = "problem_id") -> DataFrame:
     """All (test_id, train_id, distance) with euclidean distance <= radius (a number, or a
-    column of ``test`` holding a per-row radius)."""
-    ensure_checkpoint_dir(test.sparkSession)
-    test, train = _whole(test, vec), _whole(train, vec)
+    column of ``test`` holding a per-row radius; rows with a null radius have no pairs)."""
+    _ready(test)
     metric = Metric()
+    test, train = _whole(test, vec, metric), _whole(train, vec, metric)
     rc = F.lit(float(radius)) if isinstance(radius, (int, float)) else F.col(radius)
-    points = test.select(F.col(id_col).alias("test_id"), F.col(vec).alias("__v"), F.col(vec).alias("__g"), rc.cast("double").alias("__radius"))
-    tr = train.select(F.col(id_col).alias("train_id"), F.col(vec).alias("__tv"), F.col(vec).alias("__g")).checkpoint()
-    pivots = _pivots(tr)
-    if not len(pivots):
-        return points.limit(0).select("test_id", F.col("test_id").alias("train_id"), F.col("__radius").alias("distance"))
-    celled = _with_cells(tr, pivots, metric).checkpoint()
-    cells = _Cells(celled, None, len(pivots))
-    near = _named_cells(points, pivots, cells, metric, _reaching("__radius"))
-    pairs = _candidates(near, celled, [], metric).join(points.select("test_id", "__radius"), "test_id")
-    return pairs.where("distance <= __radius").select("test_id", "train_id", "distance")
+    as_double = F.col(vec).cast("array<double>")
+    named = test.select(F.col(id_col).alias("__id"), as_double.alias("vec"), rc.cast("double").alias("bound")).where("bound is not null")
+    named = written(named.withColumn("test_id", F.monotonically_increasing_id()), "points")
+    alike = train.withColumn("__v", as_double).groupBy("__v").agg(F.min(id_col).alias("__least"))
+    rows = train.select(F.lit("").alias("node"), F.col(id_col).alias("train_id"), as_double.alias("vec"))
+    rows = rows.join(alike, F.col("vec") == F.col("__v")).select("node", "train_id", "vec", (F.col("train_id") == F.col("__least")).alias("lead"))
+    tree = PivotTree(rows, metric)
+    name, kind = _id_type(rows, "train_id")
+    if not tree.levels:
+        return named.limit(0).select(F.col("__id").alias("test_id"), F.col("__id").cast(name).alias("train_id"), F.col("bound").alias("distance"))
+    points = named.select(F.lit("").alias("node"), "test_id", "vec", "bound")
+    pairs = tree.meet(tree.visits(points, _reaching), _pairs(metric, None, kind), f"test_id long, train_id {name}, distance double")
+    return pairs.join(named.select("test_id", "__id"), "test_id").select(F.col("__id").alias("test_id"), "train_id", "distance")
+
+
+def _ready(df: DataFrame) -> None:
+    ensure_checkpoint_dir(df.sparkSession)
+    ship_package(df.sparkSession)
 
 
 def exact_knn_sum_metric(test: DataFrame, train: DataFrame, k: int = 1) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.columns import safe_div, series_udf
-from pickwise.functions.joins import join_back
-from pickwise.functions.quantiles import kth_smallest
+from pickwise.functions.joins import join_back, written
+from pickwise.functions.quantiles import ceil_rank, grouped_ranks, kth_smallest, long_scores, select_ranks, values_at
 from pickwise.functions.ranks import global_rank
 
 DISCRETE = (-1.0, 0.0, 1.0)
@@ -144,13 +144,11 @@ def winsorize(df: DataFrame, verifiers, lower: float = 0.05, upper: float = 0.95
     work = [v for v in verifiers
             if not (st[f"{v}__n"] == 0 or st[f"{v}__nd"] == 0
                     or (st[f"{v}__min"] >= 0 and st[f"{v}__max"] <= 1))]
-    ks_lo = {v: max(1, math.ceil(lower * st[f"{v}__n"])) for v in work}
-    ks_hi = {v: max(1, math.ceil(upper * st[f"{v}__n"])) for v in work}
-    lo = kth_smallest(df, ks_lo)
-    hi = kth_smallest(df, ks_hi)
+    ranks = {v: (ceil_rank(lower, st[f"{v}__n"]), ceil_rank(upper, st[f"{v}__n"])) for v in work}
+    found = select_ranks(df, {(None, v): r for v, r in ranks.items()})
     exprs = {}
     for v in work:
-        a, b = lo[v], hi[v]
+        a, b = (found[None, v][r] for r in ranks[v])
         clipped = F.least(F.greatest(F.col(v), F.lit(a)), F.lit(b))
         if a >= 0 and b <= 1:
             exprs[v] = clipped
@@ -159,11 +157,19 @@ def winsorize(df: DataFrame, verifiers, lower: float = 0.05, upper: float = 0.95
     return _replace(df, exprs)
 
 
+def _wide(found: DataFrame, verifiers, *parts: str) -> DataFrame:
+    """(problem_id, verifier__part...) of a table (problem_id, verifier, part...)."""
+    return found.groupBy("problem_id").agg(*[F.max(F.when(F.col("verifier") == v, F.col(p))).alias(f"{v}__{p}") for v in verifiers for p in parts])
+
+
 def _winsorize_per_problem(df: DataFrame, verifiers, lower: float, upper: float) -> DataFrame:
     st = gate_stats(df, verifiers, ["problem_id"])
-    bounds = df.groupBy("problem_id").agg(*[
-        F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{v}`)").alias(f"{v}__{n}") for v in verifiers for n, p in (("a", lower), ("b", upper))])
-    j = join_back(df, st.join(bounds, "problem_id"), "problem_id")
+    ranked, groups = grouped_ranks(long_scores(df, verifiers, "problem_id", "sample_idx"), ["problem_id"], ["sample_idx"])
+    ends = F.explode(F.array(*[F.struct(F.lit(n).alias("part"), (F.col("__start") + F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))) - 1).cast("long").alias("__at"))
+                               for n, p in (("a", lower), ("b", upper))]))
+    found = values_at(ranked, groups.select("problem_id", "verifier", ends.alias("e")).select("problem_id", "verifier", "e.*"))
+    bounds = found.groupBy("problem_id", "verifier").agg(*[F.max(F.when(F.col("part") == n, F.col("value"))).alias(n) for n in ("a", "b")])
+    j = join_back(df, st.join(_wide(bounds, verifiers, "a", "b"), "problem_id", "left"), "problem_id")
     exprs = {}
     for v in verifiers:
         a, b = F.col(f"{v}__a"), F.col(f"{v}__b")
@@ -172,19 +178,6 @@ def _winsorize_per_problem(df: DataFrame, verifiers, lower: float, upper: float)
     return _replace(j, exprs, drop={c for c in j.columns if "__" in c})
 
 
-def values_at_ranks(df: DataFrame, v: str, ranks) -> dict:
-    """Values of column ``v`` at 1-based ranks among its non-null values (exact).
-
-    A distributed range-partitioned sort numbers the rows (:func:`global_rank`);
-    only the wanted ranks (a few thousand at most) reach the driver."""
-    keys = [c for c in ("problem_id", "sample_idx") if c in df.columns]
-    d = df.filter(F.col(v).isNotNull()).select(v, *keys)
-    ranked = global_rank(d, [v, *keys], "__rank")
-    wanted = [r - 1 for r in ranks]
-    rows = ranked.filter(F.col("__rank").isin(wanted)).select("__rank", v).collect()
-    return {int(r["__rank"]) + 1: r[v] for r in rows}
-
-
 def _quantile_map(x, qs, levels, normal: bool):
     """Scores to levels by interpolation from both sides; optionally on to standard normal values."""
     import numpy as np
@@ -201,26 +194,65 @@ def _quantile_map(x, qs, levels, normal: bool):
     return out
 
 
+def _between(x, lo, hi, i, m):
+    """Level of x between the breakpoints number i and i + 1 of m."""
+    level = lambda k: k / (m - 1)
+    return level(i) + F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(F.lit(0.0)) * (level(i + 1) - level(i))
+
+
 def _quantile_per_problem(df: DataFrame, verifiers, n_quantiles: int, normal: bool) -> DataFrame:
-    """Each problem's own quantiles, from its list of scores (one problem's samples in one row)."""
-    import numpy as np
-    import pandas as pd
+    """Each problem's own quantiles, from places in one sort of all scores.
 
-    st = gate_stats(df, verifiers, ["problem_id"])
-    lists = df.groupBy("problem_id").agg(*[F.sort_array(F.collect_list(v)).alias(f"{v}__all") for v in verifiers])
-    j = join_back(df, st.join(lists, "problem_id"), "problem_id")
-
-    def transform(x, own):
-        out = np.full(len(x), np.nan)
-        for i, (value, scores) in enumerate(zip(x.to_numpy(dtype=float), own)):
-            if len(scores) and value == value:
-                levels = np.linspace(0, 1, min(len(scores), n_quantiles))
-                qs = np.maximum.accumulate(np.quantile(np.asarray(scores, float), levels))
-                out[i] = _quantile_map(np.array([value]), qs, levels, normal)[0]
-        return pd.Series(out)
-
-    transform = series_udf(transform, n_args=2)
-    exprs = {v: F.when(_keep_expr(v), F.col(v)).otherwise(F.nanvl(transform(F.col(v).cast("double"), F.col(f"{v}__all")), F.lit(None).cast("double"))) for v in verifiers}
+    A score of a problem with n <= n_quantiles scores maps to the middle of the places of its
+    equals over n - 1. In a larger problem the breakpoints around a score are known by its place: it is joined
+    with those two only, so a problem with very many rows has as many keys as breakpoints."""
+    from statistics import NormalDist
+
+    base = written(df.withColumn("__row", F.monotonically_increasing_id()), "quantile-rows")
+    ranked, groups = grouped_ranks(long_scores(base, verifiers, "problem_id", "__row"), ["problem_id"], ["__row"])
+    ranked = written(ranked, "quantile-ranks")
+    groups = written(groups, "quantile-groups")
+    key = ["problem_id", "verifier"]
+    runs = ranked.groupBy(*key, "score").agg(F.min("__at").alias("__a"), F.max("__at").alias("__b"))
+    ends = groups.select(*key, "__start", "n").join(
+        runs.groupBy(*key).agg(F.min("score").alias("lo"), F.max("score").alias("hi")), key)
+    placed = join_back(runs, ends, key).withColumns({"__a": F.col("__a") - F.col("__start"), "__b": F.col("__b") - F.col("__start")})
+    small = placed.where(F.col("n") <= n_quantiles).select(*key, "score", "lo", "hi", safe_div(F.col("__a") + F.col("__b"), 2.0 * (F.col("n") - 1)).alias("level"))
+    m = n_quantiles
+    if m > 1 and not groups.where(F.col("n") > m).isEmpty():
+        # breakpoint i stands at place i * (n - 1) / (m - 1), between two whole places
+        at = F.col("i") * (F.col("n") - 1) / (m - 1)
+        points = (groups.where(F.col("n") > m).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("__p", at)
+                  .withColumn("end", F.explode(F.array(F.lit(0), F.lit(1))))
+                  .withColumn("__at", F.col("__start") + F.least(F.floor("__p") + F.col("end"), F.col("n") - 1)))
+        q = (values_at(ranked, points.select(*key, "i", "end", (F.col("__p") - F.floor("__p")).alias("share"), "__at"))
+             .groupBy(*key, "i").agg(F.max("share").alias("share"), F.max(F.when(F.col("end") == 0, F.col("value"))).alias("v0"), F.max(F.when(F.col("end") == 1, F.col("value"))).alias("v1"))
+             .select(*key, "i", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("q")))
+        q = written(q, "breakpoints")
+        big = placed.where(F.col("n") > m)
+        level_of = lambda place: place * (m - 1) / (F.col("n") - 1)
+        big = big.withColumns({"up": F.least(F.floor(level_of(F.col("__b"))), F.lit(m - 2)).cast("int"),
+                               "down": F.greatest(F.ceil(level_of(F.col("__a"))) - 1, F.lit(0)).cast("int")})
+        pair = q.join(q.select(*key, (F.col("i") - 1).alias("i"), F.col("q").alias("q1")), [*key, "i"])
+        for side in ("up", "down"):
+            big = big.join(pair.select(*key, F.col("i").alias(side), F.col("q").alias(f"{side}0"), F.col("q1").alias(f"{side}1")), [*key, side])
+        forward, backward = (_between(F.col("score"), F.col(f"{s}0"), F.col(f"{s}1"), F.col(s), m) for s in ("up", "down"))
+        # equal breakpoints: from above the last, from below the first of them
+        forward = F.when(F.col("score") >= F.col("up1"), (F.col("up") + 1) / (m - 1)).otherwise(forward)
+        backward = F.when(F.col("score") <= F.col("down0"), F.col("down") / (m - 1)).when(F.col("score") >= F.col("down1"), (F.col("down") + 1) / (m - 1)).otherwise(backward)
+        small = small.unionByName(big.select(*key, "score", "lo", "hi", (0.5 * (forward + backward)).alias("level")))
+    x = F.col("score")
+    level = F.when(x - 1e-7 < F.col("lo"), 0.0).when(x + 1e-7 > F.col("hi"), 1.0).otherwise(F.col("level"))
+    if normal:
+        inv = NormalDist().inv_cdf
+        level = series_udf(lambda p: p.map(inv))(F.least(F.greatest(level, F.lit(1e-7)), F.lit(1 - 1e-7)))
+    mapped = written(small.select(*key, "score", level.alias("value")), "quantile-levels")
+    per = gate_stats(base, verifiers, ["problem_id"])
+    j = join_back(base, per, "problem_id")
+    values = ranked.select(*key, "score", "__row").join(mapped, [*key, "score"]).groupBy("__row").agg(
+        *[F.max(F.when(F.col("verifier") == v, F.col("value"))).alias(f"{v}__to") for v in verifiers])
+    j = j.join(values, "__row", "left")
+    exprs = {v: F.when(_keep_expr(v), F.col(v)).otherwise(F.col(f"{v}__to")) for v in verifiers}
     return _replace(j, exprs, drop={c for c in j.columns if "__" in c})
 
 
@@ -228,8 +260,8 @@ def quantile_norm(df: DataFrame, verifiers, n_quantiles: int = 1000, output: str
     """Uniform quantile transform per verifier (scope all problems), behind the gate.
 
     Reference quantiles: linear-interpolated percentiles of the non-missing values
-    at ``min(n, n_quantiles)`` evenly spaced levels, made non-decreasing; their
-    exact order statistics come from :func:`values_at_ranks`.  A score maps to the
+    at ``min(n, n_quantiles)`` evenly spaced levels, made non-decreasing; the
+    exact order statistics of all verifiers come from one :func:`select_ranks`.  A score maps to the
     average of forward and backward piecewise-linear interpolation, clipped to
     0 / 1 within 1e-7 of the end points.  ``output='normal'`` goes on to standard normal values,
     which are then min-max scaled (they leave [0, 1]); ``scope='per_problem'`` takes each problem's own
@@ -247,15 +279,21 @@ def quantile_norm(df: DataFrame, verifiers, n_quantiles: int = 1000, output: str
     work = [v for v in verifiers
             if not (st[f"{v}__n"] == 0 or st[f"{v}__nd"] == 0
                     or (st[f"{v}__min"] >= 0 and st[f"{v}__max"] <= 1))]
-    exprs = {}
+    places, wants = {}, {}
     for v in work:
         n = st[f"{v}__n"]
         m = min(n, n_quantiles)
         levels = np.linspace(0, 1, m)
-        pos = levels * (n - 1)
+        pos = np.arange(m) * (n - 1) / max(1, m - 1)  # whole numbers stay whole
         lo_r = np.floor(pos).astype(int) + 1
         hi_r = np.minimum(n, lo_r + 1)
-        got = values_at_ranks(df, v, sorted(set(lo_r.tolist()) | set(hi_r.tolist())))
+        places[v] = levels, pos, lo_r, hi_r
+        wants[None, v] = set(lo_r.tolist()) | set(hi_r.tolist())
+    found = select_ranks(df, wants)
+    exprs = {}
+    for v in work:
+        levels, pos, lo_r, hi_r = places[v]
+        got = found[None, v]
         lo_v = np.array([got[r] for r in lo_r])
         hi_v = np.array([got[r] for r in hi_r])
         qs = np.maximum.accumulate(lo_v + (hi_v - lo_v) * (pos - np.floor(pos)))
@@ -309,30 +347,31 @@ def preprocess_score(df: DataFrame, verifier: str, threshold: float | None = Non
 # ---------------------------------------------------------------------------
 # 29 smooth, 30 interpolate
 
+SMOOTH_BLOCK = 4_096
+
+
 def smooth_scores(df: DataFrame, verifiers, w: int = 3) -> DataFrame:
     """Moving average over a problem's samples in sample_idx order, zero padded, always divided
     by w (np.convolve 'same'); gaps in sample_idx do not count, only positions do.
 
-    Each row is sent to the w targets whose window contains it and summed by
-    (problem_id, rank) - a key that is unique per sample, so a huge problem
-    spreads over all tasks.  A NULL inside the window makes the result NULL.
-    """
-    left = w // 2
-    right = (w - 1) - left
-    df = global_rank(df, ["problem_id", "sample_idx"], "__at")  # neighbours of a problem have neighbouring ranks
-    # row j contributes to targets j + o for o in [-right, left]
-    spread = (df.select("problem_id", "__at", *[F.col(v) for v in verifiers],
-                        F.explode(F.sequence(F.lit(-right), F.lit(left))).alias("__o"))
-              .select("problem_id", (F.col("__at") + F.col("__o")).alias("__at"),
-                      *[F.col(v) for v in verifiers]))
-    agg = spread.groupBy("problem_id", "__at").agg(
-        F.count(F.lit(1)).alias("__cnt"),
-        *[F.sum(v).alias(f"__s_{v}") for v in verifiers],
-        *[F.count(v).alias(f"__n_{v}") for v in verifiers])
-    j = df.join(agg, ["problem_id", "__at"], "left")
-    exprs = {v: F.when(F.col(f"__n_{v}") < F.col("__cnt"), F.lit(None).cast("double"))
-             .otherwise(F.col(f"__s_{v}") / F.lit(float(w))) for v in verifiers}
-    return _replace(j, exprs, drop={*agg.columns[2:], "__at"})
+    One range sort numbers the rows; blocks of consecutive numbers are smoothed apart, and only the
+    w - 1 rows at a block's border go to its neighbour as well. So a huge problem spreads over all
+    tasks, and rows move once.  A NULL inside the window makes the result NULL."""
+    from pyspark.sql import Window
+
+    left, right = w // 2, (w - 1) - w // 2
+    size = max(SMOOTH_BLOCK, 4 * w)
+    at, own = F.col("__at"), F.floor(F.col("__at") / size)
+    ranked = global_rank(df, ["problem_id", "sample_idx"], "__at")  # neighbours of a problem have neighbouring numbers
+    inside = F.pmod(at, F.lit(size))
+    # a row is read by windows up to ``left`` numbers after it and ``right`` before it
+    homes = F.filter(F.array(own, F.when(inside >= size - left, own + 1), F.when(inside < right, own - 1)), lambda b: b.isNotNull())
+    blocks = ranked.withColumn("__block", F.explode(homes))
+    window = Window.partitionBy("__block", "problem_id").orderBy("__at").rowsBetween(-left, right)
+    exprs = {v: F.when(F.count(v).over(window) < F.count(F.lit(1)).over(window), F.lit(None).cast("double"))
+             .otherwise(F.sum(F.col(v).cast("double")).over(window) / F.lit(float(w))) for v in verifiers}
+    smoothed = blocks.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns], "__at", "__block")
+    return smoothed.where(F.col("__block") == own).drop("__at", "__block")
 
 
 def interpolate_missing(df: DataFrame, verifiers) -> DataFrame:
@@ -410,22 +449,14 @@ def binarize_per_problem(df: DataFrame, verifiers) -> DataFrame:
     cont = [v for v in verifiers if not glob[f"{v}__bin"]]
     if not cont:
         return binarize_fixed(df, verifiers, 0.5)
-    long = (df.select("problem_id", "y", F.explode(F.array(*[
-        F.struct(F.lit(v).alias("verifier"), F.col(v).alias("score")) for v in cont])).alias("s"))
-        .select("problem_id", "y", "s.verifier", "s.score"))
-    cbp = df.groupBy("problem_id").agg(F.avg("y").alias("cb"), F.count(F.lit(1)).alias("n_rows"))
-    # rank of each non-abstain score within (problem, verifier)
-    from pyspark.sql import Window
-    w = Window.partitionBy("problem_id", "verifier").orderBy("score")
-    ranked = (long.filter(F.col("score") != -1)
-              .withColumn("rk", F.row_number().over(w))
-              .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("problem_id", "verifier")))
-              .join(cbp, "problem_id"))
+    cbp = df.groupBy("problem_id").agg(F.avg("y").alias("cb"))
+    voting = df.select("problem_id", "sample_idx", *[F.when(F.col(v) != -1, F.col(v)).alias(v) for v in cont])
+    ranked, groups = grouped_ranks(long_scores(voting, cont, "problem_id", "sample_idx"), ["problem_id"], ["sample_idx"])
     k = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.lit(1.0) - F.col("cb")) * F.col("n"))))
-    thr = (ranked.filter(F.col("rk") == k).groupBy("problem_id").pivot("verifier", cont)
-           .agg(F.first("score")))
+    found = values_at(ranked, groups.join(cbp, "problem_id").select("problem_id", "verifier", (F.col("__start") + k - 1).cast("long").alias("__at")))
+    thr = found.groupBy("problem_id").pivot("verifier", cont).agg(F.first("value"))
     thr = thr.select("problem_id", *[F.col(v).alias(f"__t_{v}") for v in cont])
-    j = df.join(thr, "problem_id", "left")
+    j = join_back(df, thr, "problem_id", "left")
     exprs = {}
     for v in verifiers:
         t = F.coalesce(F.col(f"__t_{v}"), F.lit(0.5)) if v in cont else F.lit(0.5)
@@ -437,37 +468,22 @@ def binarize_per_cluster(df: DataFrame, verifiers, clusters: DataFrame) -> DataF
     """Class-balance thresholds within each cluster (``clusters``: problem_id, cluster_id).
 
     Exactly-{0,1} verifiers keep 0.5 (Q10).  Rank ceil((1-cb_c)*n_c) clipped to [1, n_c].
-    Clusters are few and large, so every (cluster, verifier) pair is one column of
-    :func:`kth_smallest` (exact, aggregate passes only) instead of a window per cluster."""
-    import math
-
+    Clusters are few and large: :func:`select_ranks` finds the thresholds of all (cluster, verifier)
+    pairs together, from counts alone."""
     glob = _binary_flags(df, verifiers).first().asDict()
     cont = [v for v in verifiers if not glob[f"{v}__bin"]]
     d = df.join(clusters, "problem_id")
     stats = d.groupBy("cluster_id").agg(F.avg("y").alias("cb"),
                                         *[F.count_if(F.col(v) != -1).alias(f"n_{v}") for v in cont]).collect()
-    ks, cols = {}, {}
-    for r in stats:
-        c = r["cluster_id"]
-        for i, v in enumerate(cont):
-            n = r[f"n_{v}"]
-            if n:
-                name = f"c{len(cols)}"
-                cols[name] = (c, v)
-                ks[name] = min(n, max(1, math.ceil((1.0 - r["cb"]) * n)))
-    wide = d.select(*[F.when((F.col("cluster_id") == F.lit(c)) & (F.col(v) != -1), F.col(v)).alias(name)
-                      for name, (c, v) in cols.items()])
-    thr = kth_smallest(wide, ks) if cols else {}
+    ks = {(r["cluster_id"], v): min(r[f"n_{v}"], max(1, math.ceil((1.0 - r["cb"]) * r[f"n_{v}"]))) for r in stats for v in cont if r[f"n_{v}"]}
+    voting = d.select("cluster_id", *[F.when(F.col(v) != -1, F.col(v)).alias(v) for v in cont])
+    found = select_ranks(voting, {key: [k] for key, k in ks.items()}, "cluster_id")
     exprs = {}
     for v in verifiers:
         t = F.lit(0.5)
-        if v in cont:
-            case = None
-            for name, (c, vv) in cols.items():
-                if vv == v:
-                    cond = F.col("cluster_id") == F.lit(c)
-                    case = F.when(cond, F.lit(thr[name])) if case is None else case.when(cond, F.lit(thr[name]))
-            t = case.otherwise(F.lit(0.5)) if case is not None else t
+        for (c, vv), k in ks.items():
+            if vv == v:
+                t = F.when(F.col("cluster_id") == F.lit(c), F.lit(found[c, v][k])).otherwise(t)
         exprs[v] = F.when(F.col(v) == -1, -1.0).when(F.col(v) >= t, 1.0).otherwise(0.0)
     return _replace(d, exprs)
 
@@ -596,19 +612,18 @@ def calibrate_isotonic(df: DataFrame, verifiers) -> DataFrame:
 def calibrate_sigmoid(df: DataFrame, verifiers) -> DataFrame:
     """Per verifier over all rows: logistic regression (L2, C = 1) of (score > median) on the
     score, then the score replaced by the fitted probability.  The median is exact (two order
-    statistics from :func:`kth_smallest`); the fit is the distributed Newton of
+    statistics from :func:`select_ranks`); the fit is the distributed Newton of
     :func:`pickwise.models.logistic.logistic_fit` with one feature."""
     from pickwise.models.logistic import logistic_fit
 
     counts = df.agg(*[F.count(v).alias(v) for v in verifiers]).first().asDict()
+    found = select_ranks(df, {(None, v): ((n + 1) // 2, n // 2 + 1) for v, n in counts.items()})
     exprs = {}
     for v in verifiers:
         n = counts[v]
         if n == 0:
             continue
-        lo = kth_smallest(df, {v: (n + 1) // 2})[v]
-        hi = kth_smallest(df, {v: n // 2 + 1})[v] if n % 2 == 0 else lo
-        med = (lo + hi) / 2.0
+        med = (found[None, v][(n + 1) // 2] + found[None, v][n // 2 + 1]) / 2.0
         d = df.filter(F.col(v).isNotNull()).select(F.col(v).alias("x"), (F.col(v) > F.lit(med)).cast("int").alias("y"))
         prm = logistic_fit(d, ["x"], class_weight=None).first()
         if prm is None:  # one target class only: nothing to fit, keep the scores

@@ -160,12 +160,38 @@ def quantile_norm_normal(spark, sf):
     return _out(S.quantile_norm(f1(spark, sf), ["rm_q", "rm_price"], output="normal"), ["rm_q", "rm_price"])
 
 
-@register("quantile_norm_per_problem")
+def _sql_quantile(v, by, levels=1000):
+    """Breakpoints by rank, then the place of each score between the distinct ones (equal ones: the middle of their numbers)."""
+    key, on = (f"{by}, ", f" AND a.{by} = b.{by}") if by else ("", "")
+    part = f"PARTITION BY {by} " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    using = f"USING ({by})" if by else "ON true"
+    asof = f"x.{by} = d.{by} AND " if by else ""
+    return f"""{v}_n AS (SELECT {key}count({v}) AS n, least(count({v}), {levels}) AS m, min({v}) AS mn, max({v}) AS mx, count_if({v} NOT IN (-1, 0, 1)) AS nd FROM f1 {group}),
+{v}_r AS (SELECT {key}{v} AS x, row_number() OVER ({part}ORDER BY {v}) AS r FROM f1 WHERE {v} IS NOT NULL),
+{v}_p AS (SELECT {key}n, m, unnest(range(m)) AS i FROM {v}_n),
+{v}_q AS (SELECT {'a.' + by + ', ' if by else ''}i, a.x + (coalesce(b.x, a.x) - a.x) * (pos - floor(pos)) AS q
+          FROM (SELECT *, i * (n - 1) / greatest(m - 1, 1)::DOUBLE AS pos FROM {v}_p) p
+          JOIN {v}_r a ON a.r = floor(pos) + 1{f' AND a.{by} = p.{by}' if by else ''} LEFT JOIN {v}_r b ON b.r = a.r + 1{on}),
+{v}_d AS (SELECT {key}q, min(i) AS first, max(i) AS last FROM {v}_q GROUP BY {key}q),
+{v}_e AS (SELECT *, lead(q) OVER ({part}ORDER BY q) AS following FROM {v}_d),
+{v}_m AS (SELECT x.problem_id, x.sample_idx, CASE WHEN n = 0 OR nd = 0 OR (mn >= 0 AND mx <= 1) THEN x.{v}
+            WHEN x.{v} - 1e-7 < mn THEN 0.0 WHEN x.{v} + 1e-7 > mx THEN 1.0
+            WHEN x.{v} = d.q THEN (d.first + d.last) / 2.0 / (m - 1) ELSE (d.last + (x.{v} - d.q) / (d.following - d.q)) / (m - 1) END AS {v}
+          FROM f1 x JOIN {v}_n {using} ASOF LEFT JOIN {v}_e d ON {asof}x.{v} >= d.q)"""
+
+
+def _quantile_oracle(vs, by=None):
+    return (f"WITH {', '.join(_sql_quantile(v, by) for v in vs)} SELECT problem_id, sample_idx, {', '.join(f'round({v}, 6) AS {v}' for v in vs)} FROM "
+            + " JOIN ".join(f"{v}_m" if i == 0 else f"{v}_m USING (problem_id, sample_idx)" for i, v in enumerate(vs)))
+
+
+@register("quantile_norm_per_problem", sql=_quantile_oracle(["rm_q", "rm_price"], "problem_id"))
 def quantile_norm_per_problem(spark, sf):
     return _out(S.quantile_norm(f1(spark, sf), ["rm_q", "rm_price"], scope="per_problem"), ["rm_q", "rm_price"])
 
 
-@register("quantile_norm")
+@register("quantile_norm", sql=_quantile_oracle(["rm_q", "rm_price"]))
 def quantile_norm(spark, sf):
     return _out(S.quantile_norm(f1(spark, sf), ["rm_q", "rm_price"]), ["rm_q", "rm_price"])
 

@@ -16,6 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pickwise.functions.joins import written
 from pickwise.models.logistic import logistic_fit, logistic_score
 from pickwise.models.naive_bayes import nb_fit, nb_score
 from pickwise.operators import groups as G
@@ -238,7 +239,7 @@ def route_groups(base, filled, split, clusters, train, verifiers, cfg: RunConfig
     asked = split.select("problem_id", "set").join(own, "problem_id")
     direct = asked.join(trained, "__group", "left_semi")
     lost = asked.where("set = 'test'").join(trained, "__group", "left_anti").select("problem_id", "set")
-    means = NB.mean_vectors(filled, verifiers)
+    means = written(NB.mean_vectors(filled, verifiers), "means")
     if clusters is None:
         near = direct.select("problem_id", "set", "__group", F.lit(0.0).alias("distance"))
     else:
