@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.columns import safe_div, series_udf
+from pickwise.functions.isotonic import fit_groups
 from pickwise.functions.joins import join_back, written
 from pickwise.functions.quantiles import ceil_rank, grouped_ranks, kth_smallest, long_scores, select_ranks, values_at
 from pickwise.functions.ranks import global_rank
@@ -533,80 +534,26 @@ def majority_verifier(df: DataFrame, answer_col: str = "answer", out: str = "mv_
 # ---------------------------------------------------------------------------
 # 31 / 32 calibration
 
-def _pav_fit(x, y):
-    """Increasing isotonic regression of y on x (ties in x averaged first); returns the unique
-    sorted x and the fitted values."""
-    import numpy as np
-
-    order = np.argsort(x, kind="mergesort")
-    xs, ys = x[order], y[order]
-    ux, inv = np.unique(xs, return_inverse=True)
-    w = np.bincount(inv).astype(float)
-    yv = np.bincount(inv, weights=ys) / w
-    vals, wts, sizes = [], [], []
-    for v, ww in zip(yv, w):
-        vals.append(v)
-        wts.append(ww)
-        sizes.append(1)
-        while len(vals) > 1 and vals[-2] > vals[-1]:
-            tw = wts[-2] + wts[-1]
-            nv = (vals[-2] * wts[-2] + vals[-1] * wts[-1]) / tw
-            ns = sizes[-2] + sizes[-1]
-            vals[-2:], wts[-2:], sizes[-2:] = [nv], [tw], [ns]
-    fitted = np.repeat(vals, sizes)
-    return ux, fitted
-
-
 def calibrate_isotonic(df: DataFrame, verifiers) -> DataFrame:
     """Per (problem, verifier): isotonic fit of the scores against linspace(0, 1, n) in sample
     order (the targets rise with sample position, Q28), then each score mapped through the
-    fit (clipped at the ends).
-
-    Rows are hash-partitioned by problem and sorted by (problem, sample) inside each
-    partition; one ``mapInPandas`` pass cuts every Arrow batch at problem boundaries (an
-    unfinished last problem is carried into the next batch), so thousands of problems share
-    one batch instead of paying a pandas frame each."""
-    import numpy as np
-    import pandas as pd
-
-    cols = df.columns
-
-    def fit_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pid = pdf["problem_id"].to_numpy()
-        cuts = np.flatnonzero(pid[1:] != pid[:-1]) + 1
-        starts = np.concatenate([[0], cuts])
-        ends = np.concatenate([cuts, [len(pid)]])
-        for v in verifiers:
-            x_all = pdf[v].to_numpy(dtype=float).copy()
-            for a, b in zip(starts, ends):
-                x = x_all[a:b]
-                ok = ~np.isnan(x)
-                if ok.any():
-                    ux, fit = _pav_fit(x[ok], np.linspace(0, 1, int(ok.sum())))
-                    out = np.interp(x, ux, fit) if len(ux) > 1 else np.full(len(x), fit[0])
-                    out[~ok] = np.nan
-                    x_all[a:b] = out
-            pdf[v] = x_all
-        return pdf[cols]
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if len(pdf) == 0:
-                continue
-            last = pdf["problem_id"].iloc[-1]
-            tail = (pdf["problem_id"] == last).to_numpy()
-            carry = pdf[tail]
-            if (~tail).any():
-                yield fit_block(pdf[~tail].reset_index(drop=True))
-        if carry is not None and len(carry):
-            yield fit_block(carry.reset_index(drop=True))
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    ordered = df.repartition("problem_id").sortWithinPartitions("problem_id", "sample_idx")
-    return ordered.mapInPandas(run, schema)
+    fit.
+
+    One range sort in sample order gives the targets, one in score order the places; the fits of all
+    groups are pooled by pieces of places (:func:`pickwise.functions.isotonic.fit_groups`), so a problem
+    with very many samples is fitted by many tasks."""
+    base = written(df.withColumn("__row", F.monotonically_increasing_id()), "isotonic-input")
+    scores = long_scores(base, verifiers, "problem_id", "sample_idx", "__row")
+    ordered = global_rank(scores, ["problem_id", "verifier", "sample_idx", "__row"], "__pos")
+    groups = written(ordered.groupBy("problem_id", "verifier").agg(F.min("__pos").alias("start"), F.count(F.lit(1)).alias("n")), "isotonic-groups")
+    target = F.when(F.col("n") > 1, (F.col("__pos") - F.col("start")) / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    aimed = join_back(ordered, groups, ["problem_id", "verifier"]).withColumn("y", target)
+    ranked = global_rank(aimed, ["problem_id", "verifier", "score", "__row"], "at")  # both sorts begin a group at the same number
+    fits = fit_groups(ranked.select(F.col("__row").alias("row"), "start", "n", "at", F.col("score").alias("x"), "y"))
+    named = fits.join(groups.select("start", "verifier"), "start")
+    wide = named.groupBy("row").agg(*[F.max(F.when(F.col("verifier") == v, F.col("value"))).alias(f"{v}__fit") for v in verifiers])
+    j = base.join(wide, F.col("__row") == F.col("row"), "left")
+    return _replace(j, {v: F.col(f"{v}__fit") for v in verifiers}, drop={"__row", "row", *(f"{v}__fit" for v in verifiers)})
 
 
 def calibrate_sigmoid(df: DataFrame, verifiers) -> DataFrame:

@@ -227,7 +227,7 @@ def test_candidates_of_a_point_do_not_grow_with_the_table(spark):
     counts = []
     for n in (1_000, 16_000):
         x = rng.random((n, 3))
-        df = spark.createDataFrame(pd.DataFrame({"problem_id": range(n), "vec": list(x)}), "problem_id long, vec array<double>")
+        df = spark.createDataFrame(pd.DataFrame({"problem_id": range(n), "vec": x.tolist()}), "problem_id long, vec array<double>")
         tree = NB.PivotTree(df.select(F.lit("").alias("node"), F.col("problem_id").alias("train_id"), "vec", F.lit(True).alias("lead")), NB.Metric(), leaf=32, fan=16)
         assert len(tree.levels) >= 2
         near = float(np.sort(np.linalg.norm(x - x[0], axis=1))[3])

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pickwise.functions import isotonic
 from pickwise.functions.quantiles import from_bits, grouped_ranks, long_scores, ordered_bits, select_ranks, values_at
 from pickwise.operators import scores as S
 
@@ -123,3 +124,42 @@ def test_smoothing_across_blocks(spark, monkeypatch, w):
         padded = np.concatenate([np.zeros(w // 2), x, np.zeros(w - 1 - w // 2)])
         want = np.array([padded[i:i + w].sum() / w for i in range(len(x))])
         np.testing.assert_allclose(got[got.problem_id == pid]["a"].to_numpy(float), want, atol=1e-12, equal_nan=True)
+
+
+def brute_isotonic(x, y):
+    """Largest over starts of the least over ends of the means, over distinct scores."""
+    ux, inv = np.unique(x, return_inverse=True)
+    w = np.bincount(inv).astype(float)
+    s = np.concatenate([[0], np.cumsum(np.bincount(inv, weights=y))])
+    n = np.concatenate([[0], np.cumsum(w)])
+    fit = [max(min((s[k + 1] - s[j]) / (n[k + 1] - n[j]) for k in range(i, len(ux))) for j in range(i + 1)) for i in range(len(ux))]
+    return np.array(fit)[inv]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 5)), min_size=1, max_size=40), st.lists(st.integers(1, 39), max_size=4))
+def test_blocks_of_pieces_merge_to_the_fit_of_the_whole(rows, cuts):
+    rows.sort(key=lambda r: r[0])
+    x, y = (np.array([r[i] for r in rows], float) for i in (0, 1))
+    edges = sorted({0, len(x), *(c for c in cuts if c < len(x))})
+    pieces = [b for a, b_ in zip(edges, edges[1:], strict=False) for b in isotonic.summary(0, np.arange(a, b_), x[a:b_], y[a:b_])]
+    found = isotonic.merged(isotonic._table(pieces)).to_pylist()
+    got = np.concatenate([np.full(b["last"] - b["first"] + 1, b["total"] / b["weight"]) for b in found])
+    np.testing.assert_allclose(got, brute_isotonic(x, y), atol=1e-12)
+    np.testing.assert_allclose(isotonic.fitted(x, y), got, atol=1e-12)
+
+
+def test_isotonic_calibration_of_a_hot_problem_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(isotonic, "PIECE", 100)
+    rows = hot(np.random.default_rng(5), n=1_500)
+    got = S.calibrate_isotonic(table(spark, rows), ["a", "b"]).toPandas().set_index(["problem_id", "sample_idx"])
+    assert len(got) == len(rows) and list(got.columns) == ["y", "a", "b"]
+    for pid, own in rows.groupby("problem_id"):
+        own = own.sort_values("sample_idx")
+        for v in "ab":
+            x = own[v].to_numpy(float)
+            known = ~np.isnan(x)
+            want = np.full(len(x), np.nan)
+            if known.any():
+                want[known] = brute_isotonic(x[known], np.linspace(0, 1, known.sum()))
+            np.testing.assert_allclose(got.loc[pid].loc[own.sample_idx, v].to_numpy(float), want, atol=1e-9, equal_nan=True)
