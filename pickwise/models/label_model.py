@@ -52,24 +52,24 @@ def vote_moments(df: DataFrame, verifiers):
     return n, m1, o
 
 
-def _fit_mu(m1, o, cb, steps=4000, lr=0.01, seed=0):
-    """Adam on the moment residual; mu has shape (V, 2 vote values, 2 classes)."""
-    v = m1.shape[0]
-    p = np.array([1.0 - cb, cb])
-    nonab = m1.sum(axis=1)
-    mu = np.zeros((v, 2, 2))
-    mu[:, 0, 0] = 0.7 * nonab
-    mu[:, 1, 0] = 0.3 * nonab
-    mu[:, 0, 1] = 0.3 * nonab
-    mu[:, 1, 1] = 0.7 * nonab
-    mask = 1.0 - np.eye(v)
+def fit_mu_many(m1, o, cb, steps=4000, lr=0.01):
+    """Adam on the moment residuals of many models at once: m1 (models, V, 2), o (models, V, V, 2, 2), cb (models).
+
+    Returns mu (models, V, 2 vote values, 2 classes)."""
+    models, v = m1.shape[:2]
+    p = np.stack([1.0 - np.asarray(cb, float), np.asarray(cb, float)], axis=1)
+    nonab = m1.sum(axis=2)
+    mu = np.zeros((models, v, 2, 2))
+    mu[:, :, 0, 0] = mu[:, :, 1, 1] = 0.7 * nonab
+    mu[:, :, 1, 0] = mu[:, :, 0, 1] = 0.3 * nonab
+    mask = (1.0 - np.eye(v))[None, :, :, None, None]
     m_adam = np.zeros_like(mu)
     v_adam = np.zeros_like(mu)
     for t in range(1, steps + 1):
-        pred2 = np.einsum("isy,jty,y->ijst", mu, mu, p)
-        r2 = (pred2 - o) * mask[:, :, None, None]
-        r1 = np.einsum("isy,y->is", mu, p) - m1
-        g = 2 * np.einsum("ijst,jty,y->isy", r2, mu, p) * 2 + 2 * np.einsum("is,y->isy", r1, p)
+        weighted = mu * p[:, None, None, :]
+        r2 = (np.einsum("misy,mjty->mijst", mu, weighted) - o) * mask
+        r1 = weighted.sum(axis=3) - m1
+        g = 4 * np.einsum("mijst,mjty->misy", r2, weighted) + 2 * r1[..., None] * p[:, None, None, :]
         m_adam = 0.9 * m_adam + 0.1 * g
         v_adam = 0.999 * v_adam + 0.001 * g * g
         mu -= lr * (m_adam / (1 - 0.9 ** t)) / (np.sqrt(v_adam / (1 - 0.999 ** t)) + 1e-12)
@@ -83,7 +83,7 @@ def label_model_fit(df: DataFrame, verifiers, class_balance: float | None = None
     ``class_balance``: given prior; None -> the tensor estimate (no labels used)."""
     cb = class_balance if class_balance is not None else class_balance_tensor_value(df, verifiers)
     _, m1, o = vote_moments(df, verifiers)
-    mu = np.clip(_fit_mu(m1, o, cb), clip[0], clip[1])
+    mu = np.clip(fit_mu_many(m1[None], o[None], np.array([cb]))[0], clip[0], clip[1])
     rows = [(v, float(mu[i, 0, 0]), float(mu[i, 1, 0]), float(mu[i, 0, 1]), float(mu[i, 1, 1]), float(cb))
             for i, v in enumerate(verifiers)]
     return df.sparkSession.createDataFrame(pd.DataFrame(rows, columns=[
@@ -128,17 +128,20 @@ def class_balance_tensor_value(df: DataFrame, verifiers, seed: int = 42) -> floa
                  F.sum(F.when(both, a * c)).alias(f"ac{t}"), F.sum(F.when(both, b * c)).alias(f"bc{t}"),
                  F.sum(F.when(both, a * b * c)).alias(f"abc{t}")]
     row = df.agg(*aggs).first().asDict()
+    return balance_of([[row[f"{c}{t}"] or 0 for c in ("n", "ab", "ac", "bc", "abc")] for t in range(len(trip))])
+
+
+def balance_of(triples) -> float:
+    """P(y=1) from the sums (n, ab, ac, bc, abc) of triples of +-1 votes; one half without a usable triple."""
     ests = []
-    for t in range(len(trip)):
-        n = row[f"n{t}"]
+    for n, *sums in triples:
         if not n:
             continue
-        ab, ac, bc, abc = (row[f"{k}{t}"] / n for k in ("ab", "ac", "bc", "abc"))
+        ab, ac, bc, abc = (x / n for x in sums)
         if min(abs(ab), abs(ac), abs(bc)) < 1e-12:
             continue
         ai, aj, ak = (math.sqrt(abs(ab * ac / bc)), math.sqrt(abs(ab * bc / ac)), math.sqrt(abs(ac * bc / ab)))
-        ey = abc / (ai * aj * ak)
-        ests.append(min(1.0, max(0.0, (1.0 + ey) / 2.0)))
+        ests.append(min(1.0, max(0.0, (1.0 + abc / (ai * aj * ak)) / 2.0)))
     return float(np.mean(ests)) if ests else 0.5
 
 

@@ -85,10 +85,17 @@ def triplet_fit(df: DataFrame, verifiers, center: bool = False) -> DataFrame:
 
     Returns (verifier, cov_y, weight, var_y).  Triplets with |O_jk| < 1e-12 or a
     negative radicand are skipped (NumPy would give NaN)."""
-    spark = df.sparkSession
-    m = len(verifiers)
     o = gram_matrix(df, verifiers, "cov" if center else "m2")
     var_y = mean_row_variance(df, verifiers).first()["var_y"]
+    mean = df.agg(F.avg(verifiers[0])).first()[0] if len(verifiers) == 1 else None
+    acc, w = triplet_solution(o, var_y, mean)
+    pdf = pd.DataFrame({"verifier": verifiers, "cov_y": acc, "weight": w, "var_y": var_y})
+    return df.sparkSession.createDataFrame(pdf, "verifier string, cov_y double, weight double, var_y double")
+
+
+def triplet_solution(o: np.ndarray, var_y: float, mean: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(cov(v_i, Y), weights) from the second moments; ``mean`` of the verifier when there is only one."""
+    m = len(o)
     acc = np.zeros(m)
     if m >= 3:
         coll = {i: [] for i in range(m)}
@@ -102,13 +109,16 @@ def triplet_fit(df: DataFrame, verifiers, center: bool = False) -> DataFrame:
     elif m == 2:
         acc = np.array([np.sqrt(o[0, 1] * var_y / (o[1, 1] + 1e-8)), np.sqrt(o[1, 0] * var_y / (o[0, 0] + 1e-8))])
     elif m == 1:
-        acc = np.array([df.agg(F.avg(verifiers[0])).first()[0]])
+        acc = np.array([mean])
     try:
         w = np.linalg.solve(o, acc)
     except np.linalg.LinAlgError:
         w = np.linalg.pinv(o) @ acc
-    pdf = pd.DataFrame({"verifier": verifiers, "cov_y": acc, "weight": w, "var_y": var_y})
-    return spark.createDataFrame(pdf, "verifier string, cov_y double, weight double, var_y double")
+    return acc, w
+
+
+def triplet_weights(o: np.ndarray, var_y: float, mean: float | None) -> np.ndarray:
+    return triplet_solution(o, var_y, mean)[1]
 
 
 def triplet_score(df: DataFrame, params: DataFrame, verifiers, out: str = "p1") -> DataFrame:

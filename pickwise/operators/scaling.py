@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.columns import sum_cols
-from pickwise.models.label_model import label_model_fit, label_model_score
-from pickwise.models.logistic import logistic_fit, logistic_score
 from pickwise.functions.joins import join_back
-from pickwise.operators.metrics import majority_vote, select_top1
-from pickwise.operators.sampling import bootstrap_samples
+from pickwise.models.logistic import logistic_fit, logistic_score
+from pickwise.operators.grids import Cells
+from pickwise.operators.metrics import select_top1
 
 
 def _first_k(df, k):
@@ -28,19 +27,29 @@ def _first_k(df, k):
     return join_back(df.filter(F.col("sample_idx") < k), enough, "problem_id", "left_semi")
 
 
-def oracle_logistic(df: DataFrame, verifiers, ks) -> DataFrame:
-    """(k, accuracy): logistic regression (balanced, C=1) fitted on all rows of the first k
-    samples, selection accuracy of its top sample per problem; that class's value when all labels
-    of the first k samples are one class."""
+def oracle_logistic(df: DataFrame, verifiers, ks, split: float = 1.0) -> DataFrame:
+    """(k, accuracy): logistic regression (balanced, C=1) fitted on the rows of the first k
+    samples, selection accuracy of its top sample per problem.
+
+    ``split`` below 1: only the first share of these rows, by problem and sample, teaches. With one label class in
+    the teaching rows, a whole split gives that class's value, a share the part of all rows that have it.
+    All ks are fitted together, one scan per Newton step."""
+    cells = Cells(df, verifiers, ks)
+    fits = cells.logistic(split)
+    only = {k: f for (_, k), f in fits.items() if isinstance(f, float)}
+    spark = df.sparkSession
     parts = []
-    for k in ks:
-        d = _first_k(df, k)
-        low, high = d.agg(F.min("y"), F.max("y")).first()
-        if low == high:  # one label class: every choice is that class
-            parts.append(d.sparkSession.createDataFrame([(k, None if low is None else float(low))], "k int, accuracy double"))
-            continue
-        s = logistic_score(d, logistic_fit(d, verifiers), verifiers)
-        parts.append(select_top1(s).agg(F.lit(k).alias("k"), F.avg("top1_label").alias("accuracy")))
+    if only and split >= 1:
+        parts.append(spark.createDataFrame(sorted(only.items()), "k int, accuracy double"))
+    elif only:
+        rows = [F.struct(F.lit(k).alias("k"), F.avg(F.when(cells.inside(k), (F.col("y") == c).cast("int"))).alias("accuracy")) for k, c in sorted(only.items())]
+        parts.append(cells.rows.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("a")).select("a.*"))
+    fitted = [k for k in sorted(set(ks)) if (0, k) in fits and k not in only]
+    if fitted:
+        parts.append(cells.accuracies({("logistic", k): cells.logistic_score(fits, k) for k in fitted}).select("k", "accuracy"))
+    missing = [(k, None) for k in sorted(set(ks)) if (0, k) not in fits]
+    if missing or not parts:
+        parts.append(spark.createDataFrame(missing, "k int, accuracy double"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -62,13 +71,11 @@ def oracle_logistic_per_problem(df: DataFrame, verifiers, ks) -> DataFrame:
 
 
 def label_model_at_k(votes: DataFrame, verifiers, ks, class_balance: float | None = None) -> DataFrame:
-    """(k, accuracy): label model fitted (without labels) on the first k samples' votes."""
-    parts = []
-    for k in ks:
-        d = _first_k(votes, k)
-        s = label_model_score(d, label_model_fit(d, verifiers, class_balance), verifiers)
-        parts.append(select_top1(s).agg(F.lit(k).alias("k"), F.avg("top1_label").alias("accuracy")))
-    return reduce(DataFrame.unionByName, parts)
+    """(k, accuracy): label model fitted (without labels) on the first k samples' votes; one scan for all ks."""
+    cells = Cells(votes, verifiers, ks, votes=votes)
+    v = len(verifiers)
+    fits = cells.label_models([v], class_balance, continuous=False)
+    return cells.accuracies({("label_model", k): cells.vote_score(fits, k, v) for k in cells.ks}).select("k", "accuracy")
 
 
 def scaling_matrix(df: DataFrame, order, rs, vs) -> DataFrame:
@@ -113,45 +120,55 @@ def verifier_order(df: DataFrame, verifiers, how: str = "best", seed: int = 42)
     return best if how == "best" else best[::-1]
 
 
-def scaling_curve(df: DataFrame, verifiers, ks, b: int = 5, seed: int = 42) -> DataFrame:
-    """(method, k, mean, sd): over ``b`` bootstrap draws of k samples per problem, the mean
-    and population sd of pass@k, majority@1, naive-ensemble selection and best single
-    verifier selection.  Draws and k are columns: one aggregate per method."""
-    parts = []
-    for k in ks:
-        bs = bootstrap_samples(df, k, b, seed).withColumn("k", F.lit(k))
-        per = bs.groupBy("k", "draw", "problem_id").agg(
-            F.max("y").alias("pass"),
-            F.max_by("y", F.struct(sum_cols(verifiers) / F.lit(float(len(verifiers))), -F.col("sample_idx"))).alias("ens"),
-            *[F.max_by("y", F.struct(F.col(v), -F.col("sample_idx"))).alias(f"v_{v}") for v in verifiers])
-        by_draw = per.groupBy("k", "draw").agg(
-            F.avg("pass").alias("pass_at_k"), F.avg("ens").alias("ensemble"),
-            *[F.avg(f"v_{v}").alias(f"v_{v}") for v in verifiers])
-        by_draw = by_draw.withColumn("best_verifier", F.greatest(*[F.col(f"v_{v}") for v in verifiers]))
-        mv = majority_vote(bs.drop("k").withColumn("problem_id", F.struct("draw", "problem_id")), 1, "majority")
-        mv = mv.select(F.col("problem_id.draw").alias("draw"), "majority_correct").groupBy("draw").agg(
-            F.avg("majority_correct").alias("majority")).withColumn("k", F.lit(k))
-        by_draw = by_draw.join(mv, ["k", "draw"])
-        for m in ("pass_at_k", "ensemble", "best_verifier", "majority"):
-            parts.append(by_draw.groupBy("k").agg(F.lit(m).alias("method"), F.avg(m).alias("mean"),
-                                                  F.stddev_pop(m).alias("sd")))
-    return reduce(DataFrame.unionByName, parts).select("method", "k", "mean", "sd")
+METHODS = ("pass_at_k", "ensemble", "best_verifier", "majority", "logistic", "label_model", "continuous")
+
+
+def scaling_curve(df: DataFrame, verifiers, ks, b: int = 5, seed: int = 42, methods=METHODS, class_balance: float | None = None,
+                  answer: str = "answer", threshold: float = 0.5) -> DataFrame:
+    """(method, k, mean, sd): over ``b`` draws of k samples per problem (without replacement), mean and population sd of
+    pass@k, naive-ensemble, best single verifier, majority, logistic regression (fitted on the draw's
+    labels), discrete and continuous label model (no labels).
+
+    The draws are ordered once for all ks; all methods and ks read that one table."""
+    cells = Cells(df, verifiers, ks, b, seed, answer=answer, threshold=threshold)
+    v = len(verifiers)
+    scorers: dict = {}
+    if "pass_at_k" in methods:
+        scorers |= {("pass_at_k", k): F.col("y").cast("double") for k in cells.ks}
+    if "ensemble" in methods:
+        scorers |= {("ensemble", k): cells.mean_score(v) for k in cells.ks}
+    if "best_verifier" in methods:
+        scorers |= {(f"__v{i}", k): F.col(f"s{i}") for i in range(v) for k in cells.ks}
+    if "logistic" in methods:
+        fits = cells.logistic()
+        scorers |= {("logistic", k): cells.logistic_score(fits, k) for k in cells.ks}
+    if "label_model" in methods or "continuous" in methods:
+        models = cells.label_models([v], class_balance, "continuous" in methods)
+        if "label_model" in methods:
+            scorers |= {("label_model", k): cells.vote_score(models, k, v) for k in cells.ks}
+        if "continuous" in methods:
+            scorers |= {("continuous", k): cells.continuous_score(models, k, v) for k in cells.ks}
+    parts = [cells.accuracies(scorers)] if scorers else []
+    if "majority" in methods:
+        parts.append(cells.majority())
+    # the best single verifier of a draw is the best of their accuracies
+    label = F.when(F.col("label").startswith("__v"), "best_verifier").otherwise(F.col("label"))
+    by_draw = reduce(DataFrame.unionByName, parts).groupBy(label.alias("method"), "draw", "k").agg(F.max("accuracy").alias("accuracy"))
+    return by_draw.groupBy("method", "k").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd"))
 
 
 def scaling_heatmap(votes: DataFrame, scores: DataFrame, order, rs, vs, class_balance: float | None = None) -> DataFrame:
-    """(method, r, v, accuracy) for the naive ensemble and the label model over a grid of
-    first-r samples x first-v verifiers."""
-    ens = scaling_matrix(scores, order, rs, vs).withColumn("method", F.lit("ensemble"))
-    parts = [ens.select("method", "r", "v", "accuracy")]
-    for v in sorted(set(vs)):
-        if v < 3:
-            continue
-        sub = order[:v]
-        for r in sorted(set(rs)):
-            d = _first_k(votes, r)
-            s = label_model_score(d, label_model_fit(d, sub, class_balance), sub)
-            parts.append(select_top1(s).agg(F.lit("label_model").alias("method"), F.lit(r).alias("r"),
-                                            F.lit(v).alias("v"), F.avg("top1_label").alias("accuracy")))
+    """(method, r, v, accuracy) for the naive ensemble, the label model and the continuous label model (from three
+    verifiers on) over a grid of first-r samples x first-v verifiers; one scan fits all cells."""
+    wanted = sorted({v for v in vs if v >= 3})
+    parts = [scaling_matrix(scores, order, rs, vs).select(F.lit("ensemble").alias("method"), "r", "v", "accuracy")]
+    if wanted:
+        cells = Cells(scores, order[:wanted[-1]], rs, votes=votes)
+        fits = cells.label_models(wanted, class_balance)
+        scorers = {(f"label_model|{v}", r): cells.vote_score(fits, r, v) for v in wanted for r in cells.ks}
+        scorers |= {(f"continuous|{v}", r): cells.continuous_score(fits, r, v) for v in wanted for r in cells.ks}
+        name = F.split("label", "[|]")
+        parts.append(cells.accuracies(scorers).select(name[0].alias("method"), F.col("k").alias("r"), name[1].cast("int").alias("v"), "accuracy"))
     return reduce(DataFrame.unionByName, parts)
 
 

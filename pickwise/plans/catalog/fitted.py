@@ -234,10 +234,24 @@ d AS (SELECT bd.*, {best} AS best_verifier, mv.majority FROM bd JOIN mv ON bd.k
 
 @register("scaling_curve", sql=_curve_sql(ORDER, [1, 2, 4], 4))
 def scaling_curve(spark, sf):
-    m = SC.scaling_curve(f1(spark, sf), ORDER, [1, 2, 4], 4, 42)
+    m = SC.scaling_curve(f1(spark, sf), ORDER, [1, 2, 4], 4, 42, methods=("pass_at_k", "ensemble", "best_verifier", "majority"))
     return m.select("method", "k", r6("mean", "mean"), r6("sd", "sd"))
 
 
+@register("scaling_curve_fits")
+def scaling_curve_fits(spark, sf):
+    """Logistic regression and both label models over the same draws."""
+    m = SC.scaling_curve(f1(spark, sf), ORDER[:4], [1, 2, 4], 3, 42, methods=("logistic", "label_model", "continuous"), class_balance=0.5)
+    return m.select("method", "k", r6("mean", "mean"), r6("sd", "sd"))
+
+
+@register("oracle_logistic_split")
+def oracle_logistic_split(spark, sf):
+    """The first four fifths of the rows teach."""
+    d = _lr_data(spark, sf, f1(spark, sf))
+    return SC.oracle_logistic(d, LR, [1, 2, 4], 0.8).select("k", r6("accuracy", "accuracy"))
+
+
 @register("scaling_heatmap")
 def scaling_heatmap(spark, sf):
     d = f1(spark, sf)
