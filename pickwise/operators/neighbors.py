@@ -29,7 +29,6 @@ among the k nearest), and identical test vectors are solved once. Ties go to the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.joins import written
+from pickwise.functions.keyed import Step, with_record
 from pickwise.functions.topk import group_topk
 from pickwise.session import ensure_checkpoint_dir, ship_package
 
@@ -131,42 +131,10 @@ class Node:
         return node
 
 
-Step = Callable[[str, Node, pa.Table], pa.Table]
-
-
 def _by_node(rows: DataFrame, nodes: DataFrame, step: Step, schema: str) -> DataFrame:
-    """``step(name, node, rows)`` for the rows of every node of ``nodes`` (node, width, pivots, kids); other rows go.
-
-    Sent to all tasks if their bytes are few; otherwise grouped by node, at most POINTS rows at a time."""
-    spark = rows.sparkSession
-    if (nodes.agg(F.sum(F.size("pivots") + 8 * F.size("kids"))).first()[0] or 0) * 8 <= NODE_BYTES:
-        shared = spark.sparkContext.broadcast({r["node"]: Node.of(r["pivots"], r["kids"], r["width"]) for r in nodes.collect()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                names, place = np.unique(np.asarray(table["node"].to_pylist(), object), return_inverse=True) if len(table) else ((), ())
-                for i, name in enumerate(names):
-                    if name in shared.value:
-                        yield from step(name, shared.value[name], table.filter(pa.array(place == i))).to_batches()
-
-        return rows.mapInArrow(run, schema)
-    sizes = written(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / POINTS).cast("int").alias("__parts")), "node-sizes")
-    spread = F.xxhash64("train_id" if "train_id" in rows.columns else "test_id")
-    left = rows.join(sizes, "node").withColumn("__part", F.pmod(spread, F.col("__parts")).cast("int")).drop("__parts")
-    right = nodes.join(sizes, "node").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
-
-    def meet(mine: pa.Table, tree: pa.Table) -> pa.Table:
-        row = tree.to_pylist()[0] if len(tree) else None
-        if row is None or not len(mine):
-            return empty
-        return step(row["node"], Node.of(row["pivots"], row["kids"], row["width"]), mine.drop_columns(["__part"]))
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-    return left.groupBy("node", "__part").cogroup(right.groupBy("node", "__part")).applyInArrow(meet, schema)
+    """``step(name, node, rows)`` for the rows of every node of ``nodes`` (node, width, pivots, kids); other rows go."""
+    spread = "train_id" if "train_id" in rows.columns else "test_id"
+    return with_record(rows, nodes, "node", F.size("pivots") + 8 * F.size("kids"), lambda r: Node.of(r["pivots"], r["kids"], r["width"]), step, schema, spread, NODE_BYTES, POINTS)
 
 
 def _schema(df: DataFrame, *more: str) -> str:

@@ -147,7 +147,7 @@ def _fit_score(model: str, train: DataFrame, asked: dict[str, DataFrame], verifi
     if model == "gaussian":
         from pickwise.models.gaussian import gmm_fit, gmm_predict
         start = train.withColumn("__init", F.col("y").cast("int"))
-        params = gmm_fit(start, list(verifiers), 2, group, reg=0.01, max_iter=50, tol=1e-4)
+        params = gmm_fit(start, list(verifiers), 2, group, reg=0.01, max_iter=50, tol=1e-4, start="two_means")
         return {k: gmm_predict(d, params, list(verifiers), group, out="p1", prob_of=1) for k, d in asked.items()}
     from pickwise.models.label_model import label_model_fit, label_model_score
     out = {}

@@ -291,6 +291,35 @@ def test_scorer_failures_do_not_depend_on_batches(spark):
         assert got == [0.0, 1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0]
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_mixture_of_many_groups_by_table(spark, monkeypatch, sent):
+    """Groups with and without labels, parameters sent along or joined by group; EM equals NumPy."""
+    from pickwise.functions import keyed
+    from pickwise.models.gaussian import gmm_fit, two_means
+
+    monkeypatch.setattr(keyed, "SENT_BYTES", sent)
+    monkeypatch.setattr(keyed, "PART_ROWS", 16)
+    rng = np.random.default_rng(6)
+    rows = [(g, g % 2 == 0, int(i % 2), [float(v) for v in rng.normal(g + 4 * (i % 2), 0.5, 2)]) for g in range(4) for i in range(60)]
+    df = spark.createDataFrame([(g, None if bare else c, x) for g, bare, c, x in rows], "g long, __init int, x array<double>").repartition(3)
+    params = {r["__key"]: r for r in gmm_fit(df, "x", 2, "g", reg=0.01, max_iter=3, tol=0.0, start="two_means").collect()}
+    for g in range(4):
+        x = np.array([r[3] for r in rows if r[0] == g])
+        c = np.array([r[2] for r in rows if r[0] == g])
+        r = np.eye(2)[c]                              # two means find the well separated halves
+        for step in range(4):
+            n = r.sum(0)
+            mean = (r.T @ x) / n[:, None]
+            cov = [(x * r[:, [k]]).T @ x / n[k] - np.outer(mean[k], mean[k]) + 0.01 * np.eye(2) for k in (0, 1)]
+            lp = np.stack([np.log(n[k] / len(x)) - 0.5 * np.log(np.linalg.det(cov[k])) - 0.5 * np.einsum("ni,ij,nj->n", x - mean[k], np.linalg.inv(cov[k]), x - mean[k]) for k in (0, 1)], 1)
+            r = np.exp(lp - lp.max(1, keepdims=True))
+            r /= r.sum(1, keepdims=True)
+        assert np.allclose(np.array(params[g]["means"]).reshape(2, 2), mean, atol=1e-8) and params[g]["n"] == 60 and not params[g]["converged"]
+        assert np.allclose(np.array(params[g]["covs"]).reshape(2, 2, 2), cov, atol=1e-8)
+    flat = spark.createDataFrame([(0, i, [0.0, 0.0]) for i in range(5)], "__key long, __row long, __x array<double>")
+    assert two_means(flat).count() == 5
+
+
 def test_gaussian_model_takes_unlabelled_rows(spark):
     from pickwise.models.gaussian import gaussian_em
 
@@ -298,6 +327,8 @@ def test_gaussian_model_takes_unlabelled_rows(spark):
     rows = [(i // 4, i % 4, None if i % 5 == 0 else int(i % 2), float(rng.normal(3 * (i % 2), 0.3)), float(rng.normal(i % 2, 0.3))) for i in range(200)]
     df = spark.createDataFrame(rows, "problem_id long, sample_idx int, y int, a double, b double")
     got = gaussian_em(df, ["a", "b"]).collect()
+    bare = gaussian_em(df.withColumn("y", F.lit(None).cast("int")), ["a", "b"]).collect()      # no label at all: two means
+    assert len(bare) == 200 and np.mean([(r["p1"] > 0.5) == (r["sample_idx"] % 2 == 1) for r in bare]) > 0.98
     assert len(got) == 200 and np.mean([(r["p1"] > 0.5) == (r["sample_idx"] % 2 == 1) for r in got]) > 0.98
 
 
