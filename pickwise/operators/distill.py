@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,23 +70,17 @@ def distilled_scorer_score(model, pairs: DataFrame) -> DataFrame:
 def best_epoch(history: DataFrame, patience: int = 3, min_delta: float = 0.0, run: str = "run_id") -> DataFrame:
     """(run, best_epoch, best_loss, stop_epoch, epochs_seen) per training run: the loss must drop
     below best - min_delta to count as an improvement; training stops once ``patience`` epochs
-    in a row did not improve.  One run's history (bounded by its epoch count) is one group."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        best, best_e, streak, stop = float("inf"), None, 0, None
-        seen = 0
-        for e, loss in zip(pdf["epoch"], pdf["loss"]):
-            seen += 1
-            if loss < best - min_delta:
-                best, best_e, streak = loss, e, 0
-            else:
-                streak += 1
-            if streak >= patience:
-                stop = e
-                break
-        return pd.DataFrame({run: [pdf[run].iloc[0]], "best_epoch": [best_e], "best_loss": [best],
-                             "stop_epoch": [stop], "epochs_seen": [seen]})
-
-    rt = dict(history.dtypes)[run]
-    return history.groupBy(run).applyInPandas(
-        walk, f"{run} {rt}, best_epoch long, best_loss double, stop_epoch long, epochs_seen long")
+    in a row did not improve.  A fold over each run's sorted (epoch, loss) pairs, bounded by its epoch count."""
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(float("inf")).alias("best"), none.alias("at"), F.lit(0).alias("streak"), none.alias("stop"), F.lit(0).cast("long").alias("seen"))
+
+    def step(s, e):
+        better = e["loss"] < s["best"] - F.lit(float(min_delta))
+        streak = F.when(better, 0).otherwise(s["streak"] + 1)
+        moved = F.struct(F.when(better, e["loss"]).otherwise(s["best"]).alias("best"), F.when(better, e["epoch"]).otherwise(s["at"]).alias("at"),
+                         streak.alias("streak"), F.when(streak >= patience, e["epoch"]).alias("stop"), (s["seen"] + 1).alias("seen"))
+        return F.when(s["stop"].isNull(), moved).otherwise(s)
+
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("long").alias("epoch"), F.col("loss").cast("double").alias("loss"))))
+    folded = history.groupBy(run).agg(F.aggregate(pairs, start, step).alias("s"))
+    return folded.select(run, F.col("s.at").alias("best_epoch"), F.col("s.best").alias("best_loss"), F.col("s.stop").alias("stop_epoch"), F.col("s.seen").alias("epochs_seen"))

@@ -215,12 +215,20 @@ def majority_vote(df: DataFrame, k: int = 1, mode: str = "majority", answer: str
                     F.col("idx").cast("int").alias("majority_idx"))
 
 
-def majority_at_k(df: DataFrame, ks, top_m: int = 1, mode: str = "majority", answer: str = "answer") -> DataFrame:
+def majority_at_k(df: DataFrame, ks, top_m: int = 1, mode: str = "majority", answer: str = "answer", no_answer: str = "skip") -> DataFrame:
     """Majority vote over the first k samples with the top-M answers, accuracy per k, over the
-    problems with at least k samples.  One scan: a sample opens into the ks that it counts for."""
+    problems with at least k samples.  One scan: a sample opens into the ks that it counts for.
+
+    ``no_answer``: 'skip' leaves samples marked 'NO_ANSWER' out of the vote; 'error' fails the query
+    when one of them would vote."""
+    if no_answer not in ("skip", "error"):
+        raise ValueError(f"no_answer must be skip or error, not {no_answer}")
     n = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("__n"))
     rows = join_back(df.select("problem_id", "sample_idx", "y", answer), n, "problem_id")
     fits = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: (F.col("sample_idx") < k) & (F.col("__n") >= k))
+    if no_answer == "error":
+        voting = (F.size(fits) > 0) & F.col(answer).eqNullSafe(NO_ANSWER)
+        rows = rows.withColumn(answer, F.when(voting, F.raise_error(F.lit("a sample without an answer takes part in the vote"))).otherwise(F.col(answer)))
     opened = rows.select("problem_id", "sample_idx", "y", answer, F.explode(fits).alias("k"))
     mv = majority_vote(opened.withColumn("problem_id", F.struct("k", "problem_id")), top_m, mode, answer)
     return mv.groupBy(F.col("problem_id.k").alias("k")).agg(F.avg("majority_correct").alias("majority_at_k"))

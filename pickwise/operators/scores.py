@@ -558,7 +558,7 @@ def calibrate_isotonic(df: DataFrame, verifiers) -> DataFrame:
 
 def calibrate_sigmoid(df: DataFrame, verifiers) -> DataFrame:
     """Per verifier over all rows: logistic regression (L2, C = 1) of (score > median) on the
-    score, then the score replaced by the fitted probability.  The median is exact (two order
+    score (taken in standard units while fitting), then the score replaced by the fitted probability.  The median is exact (two order
     statistics from :func:`select_ranks`); the fit is the distributed Newton of
     :func:`pickwise.models.logistic.logistic_fit` with one feature."""
     from pickwise.models.logistic import logistic_fit
@@ -571,9 +571,11 @@ def calibrate_sigmoid(df: DataFrame, verifiers) -> DataFrame:
         if n == 0:
             continue
         med = (found[None, v][(n + 1) // 2] + found[None, v][n // 2 + 1]) / 2.0
-        d = df.filter(F.col(v).isNotNull()).select(F.col(v).alias("x"), (F.col(v) > F.lit(med)).cast("int").alias("y"))
-        prm = logistic_fit(d, ["x"], class_weight=None).first()
+        # centred and scaled for the fit; the penalty stays that of the plain score
+        sd = df.agg(F.stddev_pop(v)).first()[0] or 1.0
+        d = df.filter(F.col(v).isNotNull()).select(((F.col(v) - F.lit(med)) / F.lit(sd)).alias("x"), (F.col(v) > F.lit(med)).cast("int").alias("y"))
+        prm = logistic_fit(d, ["x"], class_weight=None, C=sd * sd, iters=200).first()
         if prm is None:  # one target class only: nothing to fit, keep the scores
             continue
-        exprs[v] = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(prm["b0"]) + F.lit(prm["b1"]) * F.col(v))))
+        exprs[v] = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(prm["b0"]) + F.lit(prm["b1"]) * (F.col(v) - F.lit(med)) / F.lit(sd))))
     return _replace(df, exprs)

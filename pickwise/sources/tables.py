@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +29,32 @@ def verifier_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.endswith(SCORE_SUFFIX) or c.endswith(VERDICT_SUFFIX)]
 
 
+def _read_first(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``: its own Parquet files, else those of its ``data`` split, else all below it.
+
+    Only errors that say that there is nothing to read lead on to the next place."""
+    tried = []
+    for place, deep in ((path, False), (f"{path.rstrip('/')}/data", False), (f"{path.rstrip('/')}/data-*.parquet", False), (path, True)):
+        try:
+            return spark.read.option("recursiveFileLookup", str(deep).lower()).parquet(place)
+        except AnalysisException as exc:
+            if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            tried.append(f"{place} ({exc.getCondition()})")
+    raise FileNotFoundError("no Parquet files at " + ", ".join(tried))
+
+
 def load_responses(spark: SparkSession, source, verifiers="auto", columns=None) -> DataFrame:
     """Read a list-form problem table from parquet path(s) (or take a DataFrame) and keep the
     identifying columns, the sample-aligned lists and the chosen verifier columns
     (``auto``: found by suffix).  ``problem`` is accepted as ``instruction``.
-    Only the kept columns are read from parquet (pruned scan)."""
+    Only the kept columns are read from parquet (pruned scan).  A path may name a table, a folder with a
+    ``data`` split, or a folder of such folders (:func:`_read_first`)."""
     if isinstance(source, DataFrame):
         df = source
     else:
         paths = [source] if isinstance(source, str) else list(source)
-        df = spark.read.parquet(*paths)
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_read_first(spark, p) for p in paths])
     if "instruction" not in df.columns and "problem" in df.columns:
         df = df.withColumnRenamed("problem", "instruction")
     vs = verifier_columns(df) if verifiers == "auto" else list(verifiers)

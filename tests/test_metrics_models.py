@@ -261,6 +261,34 @@ def test_pivot_tree_of_many_levels_equals_brute_force(spark, monkeypatch, broadc
     assert pairs == {(a, b) for a, va in te[:-1] for b, vb in tr[:-2] if math.dist(va, vb) <= 2.0}
 
 
+def test_spectral_clustering_parts_two_moons(spark):
+    from pickwise.operators.groups import cluster_spectral
+
+    t = np.linspace(0, np.pi, 60)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.c_[np.cos(t), np.sin(t)], np.c_[1 - np.cos(t), 0.5 - np.sin(t)]]) + rng.normal(0, 0.03, (120, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "problem_id long, embedding array<double>")
+    label = {r["problem_id"]: r["cluster_id"] for r in cluster_spectral(df, 2, n_neighbors=6).collect()}
+    assert len({label[i] for i in range(60)}) == 1 and len({label[i] for i in range(60, 120)}) == 1 and label[0] != label[60]
+
+
+def test_leading_vectors_equal_the_dense_ones(spark):
+    from pickwise.operators.spectral import leading_vectors
+
+    rng = np.random.default_rng(3)
+    w = np.triu(rng.random((30, 30)) * (rng.random((30, 30)) < 0.3), 1)
+    w += np.diag(np.full(29, 0.2), 1)
+    w += w.T
+    df = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(30) for j in range(30) if w[i, j]], "src long, dst long, weight double")
+    got = leading_vectors(df, 3).orderBy("node").toPandas()
+    d = w.sum(1)
+    m = (np.eye(30) + w / np.sqrt(np.outer(d, d))) / 2
+    want = np.linalg.eigh(m)[1][:, ::-1][:, :3]
+    have = got[["u0", "u1", "u2"]].to_numpy()
+    assert np.allclose(have.T @ have, np.eye(3), atol=1e-6)
+    assert np.allclose(np.abs(np.linalg.det(have.T @ want)), 1, atol=1e-3)
+
+
 def test_chain_of_ten_thousand_is_one_component(spark):
     from pickwise.operators.groups import connected_components
 
