@@ -132,14 +132,19 @@ def _failing(instructions, responses):
     return SC.length_ratio_scorer(instructions, responses)
 
 
-@register("score_many")
+_RATIO = "CAST(length(response) AS DOUBLE) / (1 + length(instruction))"
+
+
+@register("score_many", fixtures=("f3",), sql=f"""SELECT problem_id, sample_idx, round({_RATIO}, 6) AS len_ratio,
+  round(CASE WHEN contains(response, '?') THEN 0.0 ELSE {_RATIO} END, 6) AS fragile,
+  round(CASE WHEN contains(response, '?') THEN NULL ELSE {_RATIO} END, 6) AS fragile_prm FROM f3""")
 def score_many(spark, sf):
-    """Two scorers, one failing on batches with a question mark (NULL -> 0.0 for a scalar
-    scorer, NULL kept for a process scorer); rows-only check (batch composition follows
-    the partitioning)."""
+    """Two scorers, one failing on responses with a question mark (NULL -> 0.0 for a scalar
+    scorer, NULL kept for a process scorer); a batch that fails is scored row by row."""
     d = f3(spark, sf).select(*IDS, "instruction", "response")
-    return SC.score_many(d, {"len_ratio": SC.length_ratio_scorer, "fragile": _failing, "fragile_prm": _failing},
-                         batch=8, kinds={"fragile_prm": "process"})
+    out = SC.score_many(d, {"len_ratio": SC.length_ratio_scorer, "fragile": _failing, "fragile_prm": _failing},
+                        batch=8, kinds={"fragile_prm": "process"})
+    return out.select(*IDS, *[r6(c, c) for c in ("len_ratio", "fragile", "fragile_prm")])
 
 
 @register("inference_cost", fixtures=(), sql="""SELECT stage, calls FROM (
@@ -156,7 +161,20 @@ def inference_cost(spark, sf):
 CAL = ["rm_q", "rm_disc", "rm_null"]
 
 
-@register("calibrate_isotonic")
+def _sql_isotonic(v):
+    """Largest over starts of the least over ends of the mean targets between them, over a problem's distinct scores."""
+    return f"""{v}_t AS (SELECT problem_id, {v} AS x, CASE WHEN count(*) OVER p > 1 THEN (row_number() OVER (PARTITION BY problem_id ORDER BY sample_idx) - 1) / (count(*) OVER p - 1)::DOUBLE ELSE 0.0 END AS y
+  FROM f1 WHERE {v} IS NOT NULL WINDOW p AS (PARTITION BY problem_id)),
+{v}_u AS (SELECT problem_id, x, sum(y) AS s, count(*) AS w FROM {v}_t GROUP BY problem_id, x),
+{v}_c AS (SELECT *, row_number() OVER q AS i, sum(s) OVER q AS cs, sum(w) OVER q AS cw FROM {v}_u WINDOW q AS (PARTITION BY problem_id ORDER BY x)),
+{v}_m AS (SELECT a.problem_id, a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM {v}_c a JOIN {v}_c b ON a.problem_id = b.problem_id AND b.i >= a.i),
+{v}_f AS (SELECT problem_id, x, max(low) AS fit FROM (
+  SELECT c.problem_id, c.x, m.j, min(m.m) AS low FROM {v}_c c JOIN {v}_m m ON m.problem_id = c.problem_id AND m.j <= c.i AND m.k >= c.i GROUP BY c.problem_id, c.x, m.j) GROUP BY problem_id, x)"""
+
+
+@register("calibrate_isotonic", sql=f"""WITH {", ".join(_sql_isotonic(v) for v in CAL)}
+SELECT f1.problem_id, f1.sample_idx, {", ".join(f"round({v}_f.fit, 6) AS {v}" for v in CAL)} FROM f1
+{" ".join(f"LEFT JOIN {v}_f ON {v}_f.problem_id = f1.problem_id AND {v}_f.x = f1.{v}" for v in CAL)}""")
 def calibrate_isotonic(spark, sf):
     d = S.calibrate_isotonic(f1(spark, sf).select(*IDS, *CAL), CAL)
     return d.select(*IDS, *[r6(c, c) for c in CAL])
