@@ -59,10 +59,13 @@ def selection_summary(scores: DataFrame, verifiers, threshold: float = 0.5) -> D
 class RunConfig:
     """One selection run.
 
-    model: naive_bayes | logistic | label_model | gaussian | naive_ensemble | majority_vote | first_sample
-    model_class: per_dataset (one model) | cluster (one per cluster) | per_problem
-    clusters: difficulty | answers | random, into ``n_clusters`` parts
-    normalize: minmax_all | minmax_per_problem | winsorize | quantile | None
+    model: naive_bayes | logistic | label_model | gaussian | mixture | triplet | naive_ensemble | majority_vote | first_sample
+    model_class: per_dataset (one model; the only one of mixture and triplet) | cluster (one per cluster) |
+        per_problem (not for label_model, which would run one fit after the other)
+    clusters: difficulty | binned_difficulty | answers | random | kmeans | gmm | hierarchical | spectral, into ``n_clusters``
+        parts, density, or map (text files with JSON objects {problem: cluster} at ``cluster_path``); the fitted ones
+        group the problems' mean scores
+    normalize: minmax_all | minmax_per_problem | winsorize | quantile | None;  calibrate: None | isotonic | sigmoid, after it
     missing: zero | mean;  binarize: fixed | class_balance | per_problem | per_cluster | None
     drop_imbalanced: None | all | small | large | adaptive;  drop_dependent: density of pairs whose second verifier goes
     class_balance: None (estimated) | "labels" | a number, for the label model
@@ -85,15 +88,20 @@ class RunConfig:
     seed: int = 42
     bins: int = 10
     answer: str = "answer"
+    calibrate: str | None = None
+    cluster_path: str | None = None
 
 
 GROUPED = ("naive_bayes", "logistic", "label_model", "gaussian")
+SINGLE = ("mixture", "triplet")
 
 
 def prepare_scores(base: DataFrame, verifiers, cfg: RunConfig, clusters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(filled scores, votes) by the configured normaliser, missing rule and binariser."""
     norm = {None: lambda d, v: d, "minmax_all": S.minmax_all, "minmax_per_problem": S.minmax_per_problem,
             "winsorize": S.winsorize, "quantile": S.quantile_norm}[cfg.normalize](base, verifiers)
+    if cfg.calibrate:
+        norm = {"isotonic": S.calibrate_isotonic, "sigmoid": S.calibrate_sigmoid}[cfg.calibrate](norm, verifiers)
     filled = S.fill_missing(norm, verifiers, 0 if cfg.missing == "zero" else "mean")
     filled = filled.drop("fill_fallback")
     if cfg.binarize is None:
@@ -111,8 +119,20 @@ def prepare_scores(base: DataFrame, verifiers, cfg: RunConfig, clusters: DataFra
     return filled, votes
 
 
-def cluster_problems(base: DataFrame, cfg: RunConfig) -> DataFrame:
+FITTED_CLUSTERS = {"kmeans": G.cluster_kmeans, "gmm": G.cluster_gmm, "hierarchical": G.cluster_hierarchical, "spectral": G.cluster_spectral}
+
+
+def cluster_problems(base: DataFrame, cfg: RunConfig, verifiers=()) -> DataFrame:
     """(problem_id, cluster_id) of all problems."""
+    if cfg.clusters == "binned_difficulty":
+        return G.cluster_binned_difficulty(base, cfg.n_clusters)
+    if cfg.clusters == "map":
+        return G.cluster_map(base.sparkSession.read.text(cfg.cluster_path), base)
+    if cfg.clusters == "density" or cfg.clusters in FITTED_CLUSTERS:
+        means = NB.mean_vectors(S.fill_missing(base, list(verifiers), 0), verifiers).withColumnRenamed("vec", "embedding")
+        if cfg.clusters == "density":
+            return G.cluster_density(means)
+        return FITTED_CLUSTERS[cfg.clusters](means, cfg.n_clusters).select("problem_id", "cluster_id")
     if cfg.clusters == "difficulty":
         return G.cluster_difficulty(base, cfg.n_clusters)
     if cfg.clusters == "answers":
@@ -149,6 +169,13 @@ def _fit_score(model: str, train: DataFrame, asked: dict[str, DataFrame], verifi
         start = train.withColumn("__init", F.col("y").cast("int"))
         params = gmm_fit(start, list(verifiers), 2, group, reg=0.01, max_iter=50, tol=1e-4, start="two_means")
         return {k: gmm_predict(d, params, list(verifiers), group, out="p1", prob_of=1) for k, d in asked.items()}
+    if model == "mixture":
+        from pickwise.models.mixture import mixture_fit, mixture_score
+        fitted = mixture_fit(train, verifiers)
+        return {k: mixture_score(d, fitted) for k, d in asked.items()}
+    if model == "triplet":
+        from pickwise.models.moments import triplet_fit, triplet_score
+        return {k: triplet_score(d, triplet_fit(train if k == "train" or cfg.train_split >= 1 else d, verifiers), verifiers) for k, d in asked.items()}
     from pickwise.models.label_model import label_model_fit, label_model_score
     out = {}
     groups = [None] if group is None else [r[0] for r in train.select(group).distinct().collect()]  # clusters: a parameter's number
@@ -172,6 +199,8 @@ def run(scores: DataFrame, verifiers, cfg: RunConfig, fixed_test: DataFrame | No
     distance of the mean scores to the train problem behind the choice.  Problems whose model could not be
     trained (one label class) use the nearest train problem with a trained model; train problems without
     a model of their own are left out, as there is nothing to report."""
+    if cfg.model_class != "per_dataset" and cfg.model in SINGLE or cfg.model_class == "per_problem" and cfg.model == "label_model":
+        raise ValueError(f"{cfg.model} has no models by {cfg.model_class}")
     verifiers = list(verifiers)
     columns = ["problem_id", "sample_idx", "y", *verifiers] + ([cfg.answer] if cfg.answer in scores.columns else [])
     base = scores.select(*columns)
@@ -185,7 +214,7 @@ def run(scores: DataFrame, verifiers, cfg: RunConfig, fixed_test: DataFrame | No
     if fixed_test is not None:
         split = SP.with_fixed_test(split, fixed_test, SP.difficulty_bins(base, cfg.bins))
     split = split.checkpoint()
-    clusters = cluster_problems(base, cfg).checkpoint() if "cluster" in (cfg.model_class, (cfg.binarize or "")[4:]) else None
+    clusters = cluster_problems(base, cfg, verifiers).checkpoint() if "cluster" in (cfg.model_class, (cfg.binarize or "")[4:]) else None
     filled, votes = prepare_scores(base, verifiers, cfg, clusters)
 
     def of(df, name):
@@ -196,9 +225,9 @@ def run(scores: DataFrame, verifiers, cfg: RunConfig, fixed_test: DataFrame | No
         train_votes = SP.subsample_samples(train_votes, cfg.train_samples, cfg.seed)
     verifiers = kept_verifiers(train_votes, verifiers, cfg)
     routes = None
-    if cfg.model in GROUPED:
+    if cfg.model in GROUPED + SINGLE:
         source, train = votes, train_votes
-        if cfg.model in ("logistic", "gaussian") and cfg.binarize == "fixed":
+        if cfg.model in ("logistic", "gaussian", "mixture", "triplet") and cfg.binarize == "fixed":
             source = filled  # these models read scores, not votes
             train = of(filled, "train").join(train_votes.select("problem_id", "sample_idx"), ["problem_id", "sample_idx"], "left_semi")
         if cfg.model_class == "per_dataset":

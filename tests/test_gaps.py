@@ -108,3 +108,38 @@ def test_sigmoid_calibration_converges_on_large_scores(spark):
         got = np.array([r["v"] for r in S.calibrate_sigmoid(df, ["v"]).orderBy("problem_id").collect()])
     above = x > np.median(x)
     assert (np.argsort(np.argsort(got, kind="stable")) >= 0).all() and got[above].min() > 0.5 > got[~above].max()
+
+
+@pytest.fixture(scope="module")
+def graded(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for p in range(80):
+        for i in range(4):
+            y = int(rng.random() < 0.15 + 0.7 * (p % 2))
+            rows.append((p, i, y, f"a{y}{i % 2}", *[float(np.clip(0.5 + (y - 0.5) * 0.7 + rng.normal(0, 0.25), 0, 1)) for _ in range(3)]))
+    return spark.createDataFrame(rows, "problem_id long, sample_idx int, y int, answer string, a double, b double, c double").cache()
+
+
+@pytest.mark.parametrize("config", [{"model": "triplet"}, {"model": "mixture", "calibrate": "isotonic"}, {"model_class": "cluster", "clusters": "kmeans"},
+                                    {"model_class": "cluster", "clusters": "map"}])
+def test_runs_reach_every_model_and_cluster(spark, graded, tmp_path, config):
+    import json
+
+    from pickwise.plans.selection import RunConfig, run
+
+    if config.get("clusters") == "map":
+        path = tmp_path / "map.json"
+        path.write_text("\n".join(json.dumps({str(p): p % 2}) for p in range(80)))
+        config = config | {"cluster_path": str(path)}
+    results, summary, _ = run(graded, ["a", "b", "c"], RunConfig(**config))
+    first = graded.where("sample_idx = 0").agg(F.avg("y")).first()[0]
+    got = [r for r in summary.collect() if r["set"] == "train"][0]
+    assert results.where("set = 'train'").count() == 80 and got["n_problems"] == 80 and got["select_acc"] > first
+
+
+def test_runs_refuse_models_that_would_be_fitted_one_by_one(graded):
+    from pickwise.plans.selection import RunConfig, run
+
+    with pytest.raises(ValueError):
+        run(graded, ["a"], RunConfig(model="label_model", model_class="per_problem"))
