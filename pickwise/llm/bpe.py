@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from pickwise.llm.common import prepare
+from pickwise.llm.common import prepare, tidy
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -221,6 +221,7 @@ def _codec(df, path, pattern, source, target, fn, kind) -> DataFrame:
     schema = df.drop(target).schema.add(target, kind)
     names = [f.name for f in schema.fields[:-1]]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(shared.value)
         for batch in batches:
@@ -244,6 +245,7 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     shared = share_vocabulary(spark, path, pattern)
     rows = df.select(df[id_col].cast("long").alias(id_col), df[text_col].cast("string").alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(shared.value)
         for batch in batches:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ _SPACE_BYTES = [c.encode() for c in SPACES]
 LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 BATCH_ROWS = 1_000
+BATCH_BYTES = 16 << 20
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 MIX_C = np.uint64(0x94D049BB133111EB)
@@ -31,11 +35,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Checkpoint folder known, package on the workers, Arrow batches of bounded size; every operator
     with Python tasks calls it. Rows are whole texts, so a batch of Spark's usual 10,000 rows could
-    hold a GB."""
+    hold a GB; batches are bounded by rows and by bytes."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system; Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:      # another C library: nothing to trim
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's generator, after which the worker keeps nothing of it."""
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _tables.cache_clear()
+            give_back()
+    return tidied
 
 
 def scratch(spark: SparkSession, label: str) -> str:

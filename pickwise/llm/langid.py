@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pickwise.llm.common import prepare, stored
+from pickwise.llm.common import prepare, stored, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 5
@@ -175,6 +175,7 @@ def count_grams(rows: DataFrame, text_col: str, lang_col: str, order: int = ORDE
     """(lang, gram, n) over the whole of every row: counted per task first, then added up by Spark."""
     pairs = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
@@ -337,6 +338,7 @@ def _scored(df: DataFrame, model: Model, text_col: str = "text", evidence: int =
     for name, kind in zip(new, ("string", "double", "double", "long", "boolean"), strict=True):
         schema = schema.add(name, kind)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = Scorer(model)

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from pickwise.functions.components import component_labels
 from pickwise.llm import setjoin
-from pickwise.llm.common import MIX_A, folded, mix64, prepare, small_join, stored, window_hashes, word_hashes
+from pickwise.llm.common import MIX_A, folded, mix64, prepare, small_join, stored, tidy, window_hashes, word_hashes
 
 BANDS, ROWS = 16, 4
 SPAN = 30               # words of a passage window
@@ -155,6 +155,7 @@ _MADE = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("cls", pa.int64()
 def index(rows: DataFrame, buckets: int) -> DataFrame:
     """Paragraphs (kind 1), shared bands (2) and shared windows (4) of all rows, stored by kind."""
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, windows = _Dealt(buckets, 2, 2), _Dealt(buckets, 4, 3)
         for batch in batches:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pickwise.functions.components import component_labels
-from pickwise.llm.common import MIX_A, folded, mix64, prepare, small_join, stored, window_hashes, word_hashes
+from pickwise.llm.common import MIX_A, folded, mix64, prepare, small_join, stored, tidy, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Similarity 100 * |r & s| >= 80 * |r | s|.
@@ -215,6 +215,7 @@ def index(rows: DataFrame, buckets: int, small: int = SMALL) -> tuple[DataFrame,
 
     Light sets of up to ``small`` tokens meet every set they can be linked with by a prefix."""
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _Gather(buckets)
         for batch in batches:
@@ -276,6 +277,7 @@ def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, cut=None) ->
     texts = small_join(rows.select("rk", "text"), needed, ["rk"], most=500_000)
     cut = cut or _whole
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at_text, at_of = batch.schema.names.index("text"), batch.schema.names.index("of")
@@ -304,6 +306,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, cut=None) ->
     with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     with_both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
@@ -402,6 +405,7 @@ def _rich_classes(inside: DataFrame, rows: DataFrame, classes: DataFrame, cut=No
     total = wanted.agg(F.sum("n")).first()[0] or 0
     buckets = max(4, int(16 * total // 12_000_000))
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _Gather(buckets)
         for batch in batches:
