@@ -6,7 +6,6 @@ gets the same text with the placeholders replaced by its view names.  Literal
 braces are doubled for ``str.format``.
 
 F1  responses + verifier scores (problem = order, sample = line item)
-F1d dense rectangle: problems with >= 4 samples, first 4 samples
 F1dev sparse dev labels
 F2  documents with few labels (problem = source, sample = document)
 F3  text replies (assistant turns after a user turn)
@@ -49,12 +48,6 @@ SELECT l_orderkey AS problem_id, sample_idx,
 FROM c
 """
 
-F1D_SQL = """
-SELECT * FROM {f1} f
-WHERE f.sample_idx < 4
-  AND f.problem_id IN (SELECT problem_id FROM {f1} GROUP BY problem_id HAVING count(*) >= 4)
-"""
-
 F1DEV_SQL = """
 SELECT problem_id, sample_idx, y AS dev_label FROM {f1} WHERE problem_id % 20 = 0
 """
@@ -98,7 +91,6 @@ FROM {events}
 # name -> (sql text, base tables or fixtures it reads)
 FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
     "f1": (F1_SQL, ("lineitem",)),
-    "f1d": (F1D_SQL, ("f1",)),
     "f1dev": (F1DEV_SQL, ("f1",)),
     "f2": (F2_SQL, ("documents", "labels")),
     "f3": (F3_SQL, ("conversations",)),
@@ -135,10 +127,6 @@ def f1(spark, sf_dir):
     return fixture(spark, sf_dir, "f1")
 
 
-def f1d(spark, sf_dir):
-    return fixture(spark, sf_dir, "f1d")
-
-
 def f1dev(spark, sf_dir):
     return fixture(spark, sf_dir, "f1dev")
 
