@@ -88,3 +88,10 @@ def test_a_sent_record_meets_rows_in_slices(spark):
 
     got = [r["n"] for r in with_record(rows, records, "k", F.lit(1), dict, one, "n long", "id", slice_rows=300).collect()]
     assert max(got) == 300 and sum(got) == 5_000
+
+
+def test_no_tree_where_nobody_asks(spark, monkeypatch):
+    train = _table(spark, np.random.default_rng(1).random((40, 2)))
+    monkeypatch.setattr(NB, "PivotTree", None)
+    got = NB.exact_knn(train.limit(0), train, 2)
+    assert got.columns == ["test_id", "train_id", "distance", "rank"] and got.count() == 0
