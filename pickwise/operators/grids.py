@@ -113,8 +113,9 @@ class Cells:
         if limits:
             source = object.__new__(Cells)
             source.__dict__.update(self.__dict__)
-            source.rows = self.rows.join(self.places.select("problem_id", "place"), "problem_id")
             names.append("place")
+            # once, and not in every pass: beyond a broadcast the join moves all rows
+            source.rows = written(self.rows.join(self.places.select("problem_id", "place"), "problem_id").select(*names), "grid-shares")
 
         def members(columns, k):
             slot, n = columns[1], columns[2]
