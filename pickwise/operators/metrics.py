@@ -215,14 +215,44 @@ def majority_vote(df: DataFrame, k: int = 1, mode: str = "majority", answer: str
                     F.col("idx").cast("int").alias("majority_idx"))
 
 
+def _majority_columns(df: DataFrame, ks, mode: str, answer: str, no_answer: str) -> DataFrame:
+    """(k, majority_at_k) for the top answer: sums per answer hold plain numbers, no row is copied or joined."""
+    none = F.col(answer).eqNullSafe(NO_ANSWER)
+    parts = [F.count(F.lit(1)).alias("c")]
+    for k in ks:
+        inside = F.col("sample_idx") < k
+        parts += [F.count_if(inside).alias(f"n{k}"), F.min(F.when(inside, F.col("sample_idx"))).alias(f"f{k}"),
+                  F.sum(F.when(inside, F.col("y"))).alias(f"y{k}") if mode == "majority" else F.min_by("y", F.when(inside, F.col("sample_idx"))).alias(f"y{k}")]
+    at = df.where("problem_id is not null").groupBy("problem_id", answer).agg(*parts)
+    tops = []
+    for k in ks:
+        n, first, y = F.col(f"n{k}"), F.col(f"f{k}"), F.col(f"y{k}")
+        hit = y > n / 2.0 if mode == "majority" else y == 1
+        tops.append(F.max(F.when((n > 0) & ~none, F.struct(n.alias("n"), (-first).alias("back"), flag(hit).alias("hit")))).alias(f"t{k}"))
+        tops.append(F.max(none & (n > 0)).alias(f"none{k}"))
+    per = at.groupBy("problem_id").agg(F.sum("c").alias("size"), *tops)
+
+    def counted(k):
+        hit = F.when(F.col("size") >= k, F.col(f"t{k}.hit"))
+        if no_answer == "error":
+            hit = F.when((F.col("size") >= k) & F.col(f"none{k}"), F.raise_error(F.lit("a sample without an answer takes part in the vote")).cast("int")).otherwise(hit)
+        return F.avg(hit)
+
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"a{k}").alias("majority_at_k")) for k in ks]))
+    return per.agg(*[counted(k).alias(f"a{k}") for k in ks]).select(rows.alias("r")).select("r.*").where("majority_at_k is not null")
+
+
 def majority_at_k(df: DataFrame, ks, top_m: int = 1, mode: str = "majority", answer: str = "answer", no_answer: str = "skip") -> DataFrame:
     """Majority vote over the first k samples with the top-M answers, accuracy per k, over the
-    problems with at least k samples.  One scan: a sample opens into the ks that it counts for.
+    problems with at least k samples.  One scan: for the top answer alone the ks are columns of one aggregate per
+    answer and one per problem, for more answers a sample opens into the ks that it counts for.
 
     ``no_answer``: 'skip' leaves samples marked 'NO_ANSWER' out of the vote; 'error' fails the query
     when one of them would vote."""
     if no_answer not in ("skip", "error"):
         raise ValueError(f"no_answer must be skip or error, not {no_answer}")
+    if top_m == 1:
+        return _majority_columns(df, sorted(set(ks)), mode, answer, no_answer)
     n = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("__n"))
     rows = join_back(df.select("problem_id", "sample_idx", "y", answer), n, "problem_id")
     fits = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: (F.col("sample_idx") < k) & (F.col("__n") >= k))
@@ -307,11 +337,11 @@ def _long(df, verifiers):
 
 def verifier_top1(df: DataFrame, verifiers) -> DataFrame:
     """Per (verifier, problem): label of the verifier's own top sample (ties: lowest sample_idx;
-    a missing score ranks below every present one)."""
-    lg = _long(df, verifiers)
-    return lg.groupBy("verifier", "pos", "problem_id").agg(
-        F.max_by("y", F.struct(F.col("score").isNotNull(), F.col("score"), -F.col("sample_idx")))
-        .cast("int").alias("top1_label"))
+    a missing score ranks below every present one).  The verifiers are columns of one aggregate per problem."""
+    tops = [F.max_by("y", F.struct(F.col(v).isNotNull(), F.col(v), -F.col("sample_idx"))).cast("int").alias(f"t{i}") for i, v in enumerate(verifiers)]
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("verifier"), F.lit(i).alias("pos"), F.col(f"t{i}").alias("top1_label"))
+                               for i, v in enumerate(verifiers)]))
+    return df.groupBy("problem_id").agg(*tops).select("problem_id", each.alias("s")).select("s.verifier", "s.pos", "problem_id", "s.top1_label")
 
 
 def best_verifier(df: DataFrame, verifiers) -> DataFrame:
