@@ -52,3 +52,15 @@ def test_majority_at_k_copies_and_joins_no_row(spark):
     assert {r["k"]: round(r["majority_at_k"], 6) for r in out.collect()} == {1: 1.0, 2: round(2 / 3, 6), 3: 0.5}
     one = {r["k"]: round(r["majority_at_k"], 6) for r in majority_at_k(d, [1, 2, 3], mode="one_sample").collect()}
     assert one == {1: 1.0, 2: 1.0, 3: 0.5}
+
+
+def test_mixture_step_passes_once_over_the_samples(spark, monkeypatch):
+    """Of a step's passes over the samples, the one for the likelihoods ran twice: for the objective and for the next step."""
+    from pickwise.models import mixture
+
+    d = spark.range(600).select((F.col("id") % 120).alias("problem_id"), (F.col("id") % 7 < 3).cast("int").alias("y"), (F.col("id") % 11 / 11.0).alias("u"))
+    seen = []
+    monkeypatch.setattr(mixture, "written", lambda df, label, f=mixture.written: seen.append(df.columns) or f(df, label))
+    model = mixture.mixture_fit(d, ["u"], k=2, max_iter=2, tol=0.0)
+    assert [c for c in seen if "__lse" in c] == [["problem_id", "r0", "r1", "__lse"]] * 2
+    assert len(seen) == 3 and model["beta"].shape == (2, 2)
