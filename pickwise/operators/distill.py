@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.columns import hash_unit, sum_cols
+from pickwise.functions.joins import written
 from pickwise.sources.tables import explode_samples, union_sources, verifier_columns
 
 
@@ -19,12 +20,13 @@ def pseudo_labels(df: DataFrame, cols=None, out: str = "label") -> DataFrame:
 def pair_table(sources, instruction: str = "instruction", samples: str = "samples") -> DataFrame:
     """(source, problem_idx, sample_idx, instruction, response, label) over several list-form
     datasets given as (table, score columns) pairs: explode samples and scores, pseudo-label
-    each sample with the mean of its scores, union with problem ids running on."""
+    each sample with the mean of its scores, union with problem ids running on. A source's rows are kept: the numbering
+    of its problems reads them several times."""
     rows = []
     for t, score_cols in sources:
         ex = explode_samples(t, [samples, *score_cols], keep=("problem_id", instruction))
-        rows.append(pseudo_labels(ex, score_cols).select("problem_id", "sample_idx", instruction,
-                                                         F.col(samples).alias("response"), "label"))
+        rows.append(written(pseudo_labels(ex, score_cols).select("problem_id", "sample_idx", instruction,
+                                                                 F.col(samples).alias("response"), "label"), "pairs"))
     u = union_sources(rows)
     return u.select("source", "problem_idx", "sample_idx", instruction, "response", "label")
 
@@ -32,19 +34,21 @@ def pair_table(sources, instruction: str = "instruction", samples: str = "sample
 def distilled_scorer_fit(pairs: DataFrame, num_features: int = 1 << 18, reg: float = 1e-3, seed: int = 42):
     """Regression from (instruction, response) text to the pseudo-label, re-aimed from a
     transformer cross-encoder to hashed word features: Tokenizer -> HashingTF -> IDF ->
-    LinearRegression (squared loss), as an MLlib Pipeline."""
-    from pyspark.ml import Pipeline
+    LinearRegression (squared loss), as an MLlib PipelineModel. The pairs are tokenised once: the weights, the
+    regression's statistics, its rows and its summary read the kept counts of hashed words."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
     from pyspark.ml.regression import LinearRegression
 
     text = pairs.withColumn("__text", F.concat_ws(" [SEP] ", F.col("instruction"), F.col("response")))
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol="__text", outputCol="__tok", pattern=r"\W+"),
-        HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features),
-        IDF(inputCol="__tf", outputCol="features"),
-        LinearRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=0.0,
-                         maxIter=50, predictionCol="prediction")])
-    return pipe.fit(text.filter(F.col("label").isNotNull()))
+    words = RegexTokenizer(inputCol="__text", outputCol="__tok", pattern=r"\W+")
+    hashed = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features)
+    counts = hashed.transform(words.transform(text.filter(F.col("label").isNotNull())))
+    counts = written(counts.select("label", "__tf"), "hashed-words")
+    weights = IDF(inputCol="__tf", outputCol="features").fit(counts)
+    line = LinearRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=0.0,
+                            maxIter=50, predictionCol="prediction").fit(weights.transform(counts))
+    return PipelineModel([words, hashed, weights, line])
 
 
 def split_pairs(pairs: DataFrame, validation: float = 0.1, seed: int = 42, keys=("source", "problem_idx")) -> tuple[DataFrame, DataFrame]:

@@ -64,3 +64,38 @@ def test_mixture_step_passes_once_over_the_samples(spark, monkeypatch):
     model = mixture.mixture_fit(d, ["u"], k=2, max_iter=2, tol=0.0)
     assert [c for c in seen if "__lse" in c] == [["problem_id", "r0", "r1", "__lse"]] * 2
     assert len(seen) == 3 and model["beta"].shape == (2, 2)
+
+
+def counted(spark, df, column: str):
+    """``df`` whose ``column`` counts how often its rows are made, and that count."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    return df.withColumn(column, seen.asNondeterministic()(column)), made
+
+
+def test_scorer_fit_makes_its_pairs_once(spark):
+    """Word weights, statistics, rows and summary of the regression each made the pairs anew."""
+    from pickwise.operators.distill import distilled_scorer_fit, distilled_scorer_score
+
+    pairs = spark.createDataFrame([("which one", f"word{i % 7} end", float(i % 7 > 3) if i else None) for i in range(60)], "instruction string, response string, label double")
+    watched, made = counted(spark, pairs, "response")
+    model = distilled_scorer_fit(watched, num_features=256)
+    assert made.value == 60
+    got = distilled_scorer_score(model, pairs).collect()
+    assert len(got) == 60 and all(abs(r["prediction"] - r["label"]) < 0.1 for r in got if r["label"] is not None)
+
+
+def test_pairs_are_numbered_from_kept_rows(spark):
+    from pickwise.operators.distill import pair_table
+
+    lists = spark.createDataFrame([(i, "ask", [f"a{i}", "b"], [float(i), 1.0]) for i in (5, 3, 9)], "problem_id long, instruction string, samples array<string>, u_scores array<double>")
+    watched, made = counted(spark, lists, "instruction")
+    got = pair_table([(watched, ["u_scores"])]).orderBy("problem_idx", "sample_idx").collect()
+    assert made.value <= 6          # once for each pair, or for each list
+    assert [(r["source"], r["problem_idx"], r["sample_idx"], r["response"], r["label"]) for r in got] == [
+        (0, i, s, t, x) for i, p in enumerate((3, 5, 9)) for s, t, x in ((0, f"a{p}", float(p)), (1, "b", 1.0))]
