@@ -134,11 +134,12 @@ def scaling_curve(df: DataFrame, verifiers, ks, b: int = 5, seed: int = 42, meth
     v = len(verifiers)
     scorers: dict = {}
     if "pass_at_k" in methods:
-        scorers |= {("pass_at_k", k): F.col("y").cast("double") for k in cells.ks}
+        scorers |= dict.fromkeys([("pass_at_k", k) for k in cells.ks], F.col("y").cast("double"))
     if "ensemble" in methods:
-        scorers |= {("ensemble", k): cells.mean_score(v) for k in cells.ks}
+        scorers |= dict.fromkeys([("ensemble", k) for k in cells.ks], cells.mean_score(v))
     if "best_verifier" in methods:
-        scorers |= {(f"__v{i}", k): F.col(f"s{i}") for i in range(v) for k in cells.ks}
+        for i in range(v):
+            scorers |= dict.fromkeys([(f"__v{i}", k) for k in cells.ks], F.col(f"s{i}"))
     if "logistic" in methods:
         fits = cells.logistic()
         scorers |= {("logistic", k): cells.logistic_score(fits, k) for k in cells.ks}
@@ -148,12 +149,10 @@ def scaling_curve(df: DataFrame, verifiers, ks, b: int = 5, seed: int = 42, meth
             scorers |= {("label_model", k): cells.vote_score(models, k, v) for k in cells.ks}
         if "continuous" in methods:
             scorers |= {("continuous", k): cells.continuous_score(models, k, v) for k in cells.ks}
-    parts = [cells.accuracies(scorers)] if scorers else []
-    if "majority" in methods:
-        parts.append(cells.majority())
+    found = cells.draw_accuracies(scorers, "majority" in methods)
     # the best single verifier of a draw is the best of their accuracies
     label = F.when(F.col("label").startswith("__v"), "best_verifier").otherwise(F.col("label"))
-    by_draw = reduce(DataFrame.unionByName, parts).groupBy(label.alias("method"), "draw", "k").agg(F.max("accuracy").alias("accuracy"))
+    by_draw = found.groupBy(label.alias("method"), "draw", "k").agg(F.max("accuracy").alias("accuracy"))
     return by_draw.groupBy("method", "k").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd"))
 
 

@@ -92,3 +92,45 @@ def test_curve_of_seven_methods_over_draws(scores):
             want["pass_at_k"].append(own.groupBy("problem_id").agg(F.max("y").alias("y")).agg(F.avg("y")).first()[0])
         for m, values in want.items():
             assert got[m, k] == (pytest.approx(np.mean(values), abs=1e-12), pytest.approx(np.std(values), abs=1e-12)), (m, k)
+
+
+ODD = [(1, 0, 1, "a", 0.5), (1, 1, 0, "b", None), (1, 2, 0, "b", float("nan")), (1, 3, None, "b", 0.2), (2, 0, 0, "NO_ANSWER", None), (2, 1, 1, None, None), (2, 2, 1, None, -0.0), (2, 3, 0, "a", 0.0),
+       (3, 0, None, "c", 0.9), (3, 1, None, "c", 0.9), (4, 0, 1, "a", 0.1), (5, 0, 0, "NO_ANSWER", 0.3), (5, 1, 1, "NO_ANSWER", 0.3), (6, None, 1, "a", 0.4), (6, 1, 0, "a", 0.4), (None, 0, 1, "a", 0.1)]
+
+
+def test_a_sample_is_one_row_of_all_draws(spark):
+    """Copies of the samples for every draw went through two sorts and two aggregates."""
+    from pickwise.operators.grids import Cells
+
+    d = spark.createDataFrame(ODD, "problem_id long, sample_idx int, y int, answer string, u double")
+    cells = Cells(d, ["u"], [1, 2, 4], 3, 42, answer="answer")
+    assert cells.rows.count() == 15
+    for draw in range(3):       # the places of a problem's samples in a draw are those of the bootstrap's
+        slots = {(r["problem_id"], r["sample_idx"]): r[f"slot{draw}"] for r in cells.rows.collect()}
+        want = {(r["problem_id"], r["sample_idx"]): r["slot"] - 1 for r in bootstrap_samples(d.where("problem_id is not null"), 1, 3, 42).where(f"draw = {draw}").collect()}
+        assert want and all(slots[key] == at for key, at in want.items())
+
+
+@pytest.mark.parametrize("most", [1024, 2])
+def test_draw_accuracies_of_odd_rows(spark, monkeypatch, most):
+    """Nulls, NaN and zeros of either sign rank as in the aggregate; with ``most`` 2 the larger problems are drawn from in pieces."""
+    from pickwise.functions import whole
+    from pickwise.operators.grids import Cells
+
+    monkeypatch.setattr(whole, "GROUP_ROWS", most)
+    d = spark.createDataFrame(ODD, "problem_id long, sample_idx int, y int, answer string, u double")
+    cells = Cells(d, ["u"], [1, 2, 4], 1, 42, answer="answer")
+    scorers = {("u", k): F.col("s0") for k in (1, 2, 4)} | {("w", k): [F.col("w0")] for k in (2, 4)}
+    got = {(r["label"], r["k"]): r["accuracy"] for r in cells.draw_accuracies(scorers, majority=True).collect()}
+    assert {key: x for key, x in got.items() if key[0] != "majority"} == {(r["label"], r["k"]): r["accuracy"] for r in cells.accuracies(scorers).collect()}
+    rows = cells.rows.collect()
+    for k in (1, 2, 4):
+        right = []
+        for p in range(1, 7):
+            own = [r for r in rows if r["problem_id"] == p and r["slot0"] < k and r["n"] >= k and r["answer"] != "NO_ANSWER"]
+            groups = {a: [r for r in own if r["answer"] == a] for a in {r["answer"] for r in own}}
+            if groups:
+                top = max(groups.values(), key=lambda g: (len(g), -min(float("inf") if r["sample_idx"] is None else r["sample_idx"] for r in g)))
+                labels = [r["y"] for r in top if r["y"] is not None]
+                right += [sum(labels) > len(top) / 2] if labels else []
+        assert got["majority", k] == (pytest.approx(np.mean(right)) if right else None)
