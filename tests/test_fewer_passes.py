@@ -99,3 +99,17 @@ def test_pairs_are_numbered_from_kept_rows(spark):
     assert made.value <= 6          # once for each pair, or for each list
     assert [(r["source"], r["problem_idx"], r["sample_idx"], r["response"], r["label"]) for r in got] == [
         (0, i, s, t, x) for i, p in enumerate((3, 5, 9)) for s, t, x in ((0, f"a{p}", float(p)), (1, "b", 1.0))]
+
+
+def test_predictions_of_a_mixture_join_no_row_back(spark):
+    """Rows went apart from their predictions and were joined to them again by a number."""
+    from pickwise.models.gaussian import gmm_fit, gmm_predict
+
+    rows = [(g, i, [float(i % 2 * 4) + 0.01 * i, float(i % 3)], i % 2, f"t{i}") for g in ("a", "b") for i in range(12)]
+    df = spark.createDataFrame(rows, "g string, i int, vec array<double>, __init int, word string")
+    params = gmm_fit(df, "vec", 2, "g", reg=0.01, max_iter=3, tol=1.0)
+    asked = df.drop("__init").unionByName(spark.createDataFrame([(None, 90, [0.0, 0.0], "n"), ("c", 91, [0.0, 0.0], "c")], "g string, i int, vec array<double>, word string"))
+    got = gmm_predict(asked, params, "vec", "g")
+    assert got.columns == ["g", "i", "vec", "word", "cluster_id"] and "LeftOuter" not in plan_of(got)
+    assert sorted(((r["g"] or "", r["i"], r["word"], r["cluster_id"]) for r in got.collect()), key=str) == sorted(
+        [(g, i, w, k) for g, i, _, k, w in rows] + [("", 90, "n", None), ("c", 91, "c", None)], key=str)
