@@ -57,21 +57,20 @@ def stream_windowed_selection(spark, sf):
     with a watermark; the stream source is the table written once to the checkpoint folder.
     Window starts are reported as epoch seconds (UTC)."""
     from pickwise.sources.fixtures import read_table
+    from pickwise.streaming.replay import replay
     from pickwise.streaming.scoring import windowed_selection
 
     src = read_table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("problem_id"), F.col("l_linenumber").alias("sample_idx"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"), F.col("l_discount").alias("p1"),
         # the naive ship time read as a UTC instant (independent of the session time zone)
-        F.to_timestamp(F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")),
-                       "yyyy-MM-dd HH:mm:ss Z").alias("ts"))
+        F.date_trunc("second", F.from_utc_timestamp(F.col("l_shipdate").cast("timestamp"), F.current_timezone())).alias("ts"))
+    found = src.groupBy(F.floor(F.unix_seconds("ts") / 86_400).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("ts")).alias("last")).collect()
     # a closing row far ahead moves the watermark past every real window; its own window never closes
-    closing = src.agg(F.expr("max(ts) + INTERVAL 30 DAYS").alias("ts")).select(
+    last = max((r["last"] for r in found if r["last"] is not None), default=None)
+    closing = spark.range(1, numPartitions=1).select(
         F.lit(None).cast("bigint").alias("problem_id"), F.lit(None).cast("int").alias("sample_idx"), F.lit(0).alias("y"),
-        F.lit(None).cast("double").alias("p1"), "ts")
-    src = src.unionByName(closing)
-    root = os.path.join(ensure_checkpoint_dir(spark), "pickwise-stream", uuid.uuid4().hex)
-    src.write.mode("overwrite").parquet(os.path.join(root, "source"))
-    stream = spark.readStream.schema(src.schema).parquet(os.path.join(root, "source"))
-    return _to_files(spark, windowed_selection(stream, "ts", "1 day", "1 day"), root).select(F.unix_seconds(F.col("window.start")).alias("window_start"), "problem_id",
-                                    F.col("top1_idx").cast("int").alias("top1_idx"), "top1_label", "n_samples")
+        F.lit(None).cast("double").alias("p1"), (F.timestamp_micros(F.lit(last).cast("bigint")) + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    days = {r["day"]: r["n"] for r in found if r["day"] is not None}
+    return replay(src.unionByName(closing), lambda stream: windowed_selection(stream, "ts", "1 day", "1 day"), days).select(
+        F.unix_seconds(F.col("window.start")).alias("window_start"), "problem_id", F.col("top1_idx").cast("int").alias("top1_idx"), "top1_label", "n_samples")
